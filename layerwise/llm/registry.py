@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import mixing, secrets
 from .common import bounded_batches, documents
 
 
@@ -42,5 +42,34 @@ SELECT doc_id, size, source_size, target,
 FROM x
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op6_mixing": op6_mixing}
-ORACLE_SQL: dict[str, str] = {"op6_mixing": OP6_SQL}
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("_spans", lambda s: s["kind"].isin(*secrets.BASE))
+    return found.select("doc_id", *[count(k) for k in secrets.BASE], F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("_spans")).alias("spans"))
+
+
+def _op7_sql() -> str:
+    parts, unions = [], []
+    for i, r in enumerate(secrets.RULES):
+        pattern = "'" + r.pattern.replace("'", "''") + "'"
+        parts.append(
+            f"r{i} AS (SELECT rid, unnest(range(1, len(hit) + 1)) AS k, hit, core, gap FROM (SELECT rid, regexp_extract_all(t, {pattern}) AS hit,"
+            f" regexp_extract_all(t, {pattern}, {r.group}) AS core, regexp_split_to_array(t, {pattern}) AS gap FROM d))"
+        )
+        unions.append(
+            f"SELECT rid, {i} AS place, '{r.kind}' AS kind, list_sum([len(x) for x in gap[1:k]]) + coalesce(list_sum([len(x) for x in hit[1:k-1]]), 0) AS s,"
+            f" list_sum([len(x) for x in gap[1:k]]) + list_sum([len(x) for x in hit[1:k]]) AS e FROM r{i} WHERE len(core[k]) >= {r.least}"
+        )
+    return (
+        "WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents), " + ", ".join(parts) + ", m AS (" + " UNION ALL ".join(unions) + "),"
+        " g AS (SELECT rid, count(*) FILTER (WHERE place = 0) AS n_assign, count(*) FILTER (WHERE place = 1) AS n_access, count(*) FILTER (WHERE place = 2) AS n_hex,"
+        " string_agg(kind || ':' || CAST(CAST(s AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(e AS BIGINT) AS VARCHAR), ',' ORDER BY s, place) AS spans,"
+        " string_agg(kind || ':' || CAST(CAST(s AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(e AS BIGINT) AS VARCHAR), ',' ORDER BY s, place) FILTER (WHERE place < 3) AS base FROM m GROUP BY rid)"
+        " SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans"
+        " FROM d LEFT JOIN g USING (rid)"
+    )
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op6_mixing": op6_mixing, "op7_secrets": op7_secrets}
+ORACLE_SQL: dict[str, str] = {"op6_mixing": OP6_SQL, "op7_secrets": _op7_sql()}
