@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, secrets
+from . import mixing, rules, secrets
 from .common import bounded_batches, documents
 
 
@@ -71,5 +71,30 @@ def _op7_sql() -> str:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op6_mixing": op6_mixing, "op7_secrets": op7_secrets}
-ORACLE_SQL: dict[str, str] = {"op6_mixing": OP6_SQL, "op7_secrets": _op7_sql()}
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rules.ledger(documents(spark, sf_dir))
+    base = [m for m in rules.MEASURES if m in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return rows.select("doc_id", *base, (~rules.kept("base-1")).alias("base_failed"), (rules.kept("base-1") & rules.kept("prose-1")).alias("kept"), "failures")
+
+
+def _op8_sql() -> str:
+    bits = " + ".join(f"CASE WHEN {r.fails} THEN {rules.BIT[r.name]} ELSE 0 END" for r in rules.RULES)
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+g AS (SELECT rid, i, ws[i:i+4] AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)),
+h AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM g) WHERE n > 1),
+c AS (SELECT rid, count(DISTINCT j) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS j FROM h) GROUP BY rid),
+m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+        CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+        CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, len(ls) AS n_lines,
+        len(list_filter(ws, lambda x: upper(x) = x AND lower(x) <> x)) AS n_upper_words, len(list_filter(ws, lambda x: regexp_matches(x, '^\p{{L}}'))) AS n_alpha_words
+      FROM w LEFT JOIN c USING (rid)),
+f AS (SELECT *, CAST({bits} AS BIGINT) AS failures FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & {rules.mask("base-1")} <> 0 AS base_failed,
+       failures & {rules.mask("base-1") | rules.mask("prose-1")} = 0 AS kept, failures FROM f"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op6_mixing": op6_mixing, "op7_secrets": op7_secrets, "op8_quality_rules": op8_quality_rules}
+ORACLE_SQL: dict[str, str] = {"op6_mixing": OP6_SQL, "op7_secrets": _op7_sql(), "op8_quality_rules": _op8_sql()}
