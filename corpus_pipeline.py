@@ -1,13 +1,62 @@
-"""A training corpus in stages: each reads what the one before it kept."""
+"""A training corpus in stages: each reads what the one before it kept.
+
+Quality classifier: rejected documents go. N-gram Jaccard join: one document of each class stays. Secret
+scans: found secrets are replaced by their kind. Mixing: documents repeat, or drop out, until each source
+has its share. Packing: what is left goes into windows of token ids.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from layerwise.llm import jaccard, mixing, packing, quality, secrets
+from layerwise.llm.common import stored
+
+
+def _sized(docs: DataFrame, text: DataFrame) -> DataFrame:
+    """text with the columns of docs; n_chars, where there is one, follows the new text."""
+    if "n_chars" in docs.columns:
+        text = text.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return text.select(*docs.columns)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.deduplicated(docs)
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _sized(docs, secrets.redacted(secrets.scan(docs)))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _sized(docs, mixing.repeated(mixing.mix(docs)))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("duplicates", duplicates_stage),
+    ("secrets", secrets_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
+
+#: Neither a trained network nor greedy packing can be put in SQL; see tests/llm/test_pipeline.py.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = stored(docs, f"stage-{name}")
     return docs

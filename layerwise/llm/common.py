@@ -68,3 +68,8 @@ def fold_of_value(doc_id, folds: int) -> int:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def row_key(docs: DataFrame) -> Column:
+    """A hash of doc_id and text by which a row is found again in a later pass; equal rows share it."""
+    return F.xxhash64(docs["doc_id"], docs["text"])

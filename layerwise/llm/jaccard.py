@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, small, stored, words
+from .common import bounded_batches, row_key, small, stored, words
 from .graph import components
 
 N = 5
@@ -152,10 +152,6 @@ def signatures(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return rows.mapInArrow(run, f"_row long, doc_id {kind}, class binary, node long, bands array<long>")
 
 
-def row_key(docs: DataFrame):
-    return F.xxhash64(docs["doc_id"], docs["text"])
-
-
 def compared(texts: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """texts(node, copies, text, component, size) -> (node, links, root), some rows a node.
 

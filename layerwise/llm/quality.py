@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fold_of, stored, words
+from .common import bounded_batches, fold_of, row_key, small, stored, words
 from .labelled import FOLDS, MAX_TRAIN, fitted_on, training_labels
 
 ROWS = 1 << 14  # hashed vocabulary
@@ -99,15 +99,16 @@ def word_vectors(sums: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def pooled(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
-    """(doc_id, pooled binary): the means of the word vectors as float32; a text without words gives zeros."""
+    """(doc_id, _row, pooled binary): the means of the word vectors as float32; a text without words gives zeros."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    keyed = docs.select("doc_id", row_key(docs).alias("_row"), "text")
     shared = docs.sparkSession.sparkContext.broadcast(vectors)  # ROWS rows, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, vocabulary = shared.value, Vocabulary()
         for b in batches:
             out = []
-            for t in b.column(1).to_pylist():
+            for t in b.column(2).to_pylist():
                 ids = vocabulary.ids(t)
                 if not len(ids):
                     out.append(np.zeros(2 * DIM, np.float32).tobytes())
@@ -116,9 +117,9 @@ def pooled(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
                 total = times.astype(np.float32) @ table[rows]
                 mean = np.concatenate([total[:DIM] / len(ids), total[DIM : 2 * DIM] / max(total[-1], 1e-9)])
                 out.append(mean.astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["doc_id", "pooled"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["doc_id", "_row", "pooled"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, pooled binary")
+    return keyed.mapInArrow(run, f"doc_id {kind}, _row long, pooled binary")
 
 
 class Network:
@@ -168,13 +169,8 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self._logit(x) / self.temperature, -35, 35)))
 
 
-def score(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN, threshold: float = 0.3) -> DataFrame:
-    """docs(doc_id, text, ...) -> (doc_id, held_out, score, predicted), a row a row.
-
-    Only the text enters the score. Null and empty texts pool to zeros and get the network's answer to that.
-    Null and repeated ids pass through; an empty table gives none. At most `limit` labelled rows fit the
-    network; context vectors come from all texts.
-    """
+def scored(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) -> DataFrame:
+    """(doc_id, _row, score) of every row; _row tells different rows apart."""
     bounded_batches(docs.sparkSession)
     rows = stored(pooled(docs, word_vectors(*context_sums(docs))), "pooled")
     sample = fitted_on(rows, training_labels(labels, "quality", limit)).orderBy("doc_id").toPandas()
@@ -184,10 +180,26 @@ def score(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN, threshold:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.frombuffer(b"".join(b.column(1).to_pylist()), np.float32).reshape(b.num_rows, 2 * DIM).astype(float)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(network.probability(x), pa.float64())], ["doc_id", "score"])
+            x = np.frombuffer(b"".join(b.column(2).to_pylist()), np.float32).reshape(b.num_rows, 2 * DIM).astype(float)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(network.probability(x), pa.float64())], ["doc_id", "_row", "score"])
+
+    return rows.mapInArrow(run, f"doc_id {kind}, _row long, score double")
+
 
-    scored = rows.select("doc_id", "pooled").mapInArrow(run, f"doc_id {kind}, score double")
-    return scored.select(
+def score(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN, threshold: float = 0.3) -> DataFrame:
+    """docs(doc_id, text, ...) -> (doc_id, held_out, score, predicted), a row a row.
+
+    Only the text enters the score. Null and empty texts pool to zeros and get the network's answer to that.
+    Null and repeated ids pass through; an empty table gives none. At most `limit` labelled rows fit the
+    network; context vectors come from all texts.
+    """
+    return scored(docs, labels, limit).select(
         "doc_id", (fold_of(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
+
+
+def accepted(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs whose score reaches the threshold, with all their columns."""
+    rejected = stored(scored(docs, labels, limit).where(F.col("score") < threshold).select("_row").distinct(), "rejected")
+    kept = docs.withColumn("_row", row_key(docs)).join(small(rejected, rejected.count(), 24), "_row", "left_anti")
+    return kept.select(*docs.columns)
