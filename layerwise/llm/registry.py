@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, packing, quality, rules, secrets, toxicity
+from . import jaccard, mixing, neighbours, packing, quality, rules, secrets, toxicity
 from .common import documents
 
 
@@ -112,10 +112,18 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
        failures & {rules.mask("base-1") | rules.mask("prose-1")} = 0 AS kept, failures FROM f"""
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_toxicity": op2_toxicity,
     "op3_quality": op3_quality,
     "op5_packing": op5_packing,
-    "op6_mixing": op6_mixing, "op7_secrets": op7_secrets, "op8_quality_rules": op8_quality_rules}
+    "op6_mixing": op6_mixing,
+    "op7_secrets": op7_secrets,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_nearest": op9_nearest,
+}
 ORACLE_SQL: dict[str, str] = {"op6_mixing": OP6_SQL, "op7_secrets": _op7_sql(), "op8_quality_rules": _op8_sql()}
