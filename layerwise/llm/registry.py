@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, neighbours, packing, quality, rules, secrets, toxicity
+from . import jaccard, mixing, neighbours, packing, quality, rules, scoring, secrets, toxicity
 from .common import documents
 
 
@@ -116,6 +116,10 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_toxicity": op2_toxicity,
@@ -125,5 +129,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_secrets": op7_secrets,
     "op8_quality_rules": op8_quality_rules,
     "op9_nearest": op9_nearest,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 ORACLE_SQL: dict[str, str] = {"op6_mixing": OP6_SQL, "op7_secrets": _op7_sql(), "op8_quality_rules": _op8_sql()}
