@@ -1,6 +1,438 @@
-"""Queries over the synthetic tables for the auditing operators, and the same in SQL."""
+"""Queries over the synthetic tables for the auditing operators, and the same in SQL for DuckDB."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import fixtures
+from .functions import responses
+from .functions.text import KINDS, LAYERS, STAGING_LAYER, notebook_key, slug, table_kind
+from .operators import audit, codedefs, counts, drift, exclusions, lineage, search, sqlfacts, summary
+from .operators.cells import HEADING, MAGIC, PREFIX, cells
+from .sources.catalog import inventory, table_index
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def literal(x) -> str:
+    if x is None:
+        return "NULL"
+    return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+
+
+def values(rows, name: str, *columns: str) -> str:
+    return "(VALUES " + ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows) + f") AS {name}({', '.join(columns)})"
+
+
+# The layers of fixtures.layers(), table by table.
+_KEPT = "orders WHERE o_orderstatus <> 'P'"
+_TABLES = (
+    (0, "bronze", 0, "orders", "orders"),
+    (0, "bronze", 1, "raw_lineitem", "lineitem"),
+    (0, "bronze", 2, "customer", "customer"),
+    (0, "bronze", 3, "events", "events"),
+    (1, "silver", 0, "orders", _KEPT),
+    (1, "silver", 1, "stg_lineitem", "lineitem WHERE l_returnflag <> 'R'"),
+    (1, "silver", 2, "customer_map", "customer WHERE c_custkey BETWEEN 1 AND 100"),
+    (1, "silver", 3, "stg_tmp", "customer WHERE c_acctbal < 0"),
+    (2, "gold", 0, "orders", _KEPT),
+    (2, "gold", 1, "fact_sales", f"lineitem JOIN (SELECT * FROM {_KEPT}) o ON l_orderkey = o.o_orderkey WHERE l_returnflag <> 'R' AND o.o_totalprice > 1000"),
+    (2, "gold", 2, "dim_customer", "customer"),
+    (2, "gold", 3, "events", "events WHERE value > 50"),
+)
+_COUNTS = "counts AS (" + " UNION ALL ".join(f"SELECT {i} AS layer_ord, '{x}' AS label, {j} AS tbl_ord, '{t}' AS tbl, count(*) AS n FROM {f}" for i, x, j, t, f in _TABLES) + ")"
+_LAYERS = values([(0, "bronze"), (1, "silver"), (2, "gold"), (3, "empty")], "layers", "layer_ord", "label")
+
+
+@query(f"WITH {_COUNTS} SELECT label, tbl AS \"table\", n AS row_count FROM counts")
+def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.table_counts(spark, fixtures.layers(spark, sf_dir)).select("label", "table", "row_count")
+
+
+@query(
+    f"WITH {_COUNTS} SELECT a.tbl AS table_name, a.label AS from_stage, b.label AS to_stage, a.n AS from_count, b.n AS to_count, b.n - a.n AS difference"
+    " FROM counts a JOIN counts b ON a.tbl = b.tbl AND b.layer_ord = a.layer_ord + 1 WHERE a.n <> b.n"
+)
+def stage_count_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.compare_stages(spark, fixtures.layers(spark, sf_dir))
+
+
+def _totals(strict: bool):
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        layers = fixtures.layers(spark, sf_dir)
+        return counts.layer_totals(spark, layers, counts.table_counts(spark, layers), strict)
+
+    return f
+
+
+for _name, _strict, _sum in (("layer_totals_strict", True, "coalesce(sum(n), 0)"), ("layer_totals_nullable", False, "sum(n)")):
+    QUERIES[_name] = _totals(_strict)
+    ORACLE_SQL[_name] = f"WITH {_COUNTS} SELECT l.layer_ord, l.label, CAST({_sum} AS BIGINT) AS total_rows FROM {_LAYERS} LEFT JOIN counts c USING (layer_ord) GROUP BY ALL"
+    ORACLE_SQL[_name] = ORACLE_SQL[_name].replace("FROM (VALUES", "FROM (SELECT * FROM (VALUES").replace("AS layers(layer_ord, label)", "AS v(layer_ord, label)) l")
+
+_PREDICATES = ("o_orderstatus <> 'P'", "o_totalprice > 100000", "o_custkey NOT IN (1, 2, 3)", "nullif(o_orderstatus, 'F') <> 'P'", "nullif(o_totalprice > 100000, true)", "x.o_custkey > 1", "no_such_column = 1", "this is not sql")
+_COMPUTED = _PREDICATES[:5]
+
+
+@query(
+    " UNION ALL ".join(f"SELECT {literal(p)} AS predicate, count(*) FILTER (WHERE NOT ({p})) AS excluded, count(*) FILTER (WHERE ({p}) IS NULL) AS null_dropped FROM orders" for p in _COMPUTED)
+    + "".join(f" UNION ALL SELECT {literal(p)}, NULL, NULL" for p in _PREDICATES[5:])
+)
+def exclusion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exclusions.excluded(spark.read.parquet(f"{sf_dir}/orders.parquet"), list(_PREDICATES))
+    rows = [(p, *(got or (None, None))) for p, got in zip(_PREDICATES, found)]
+    return spark.createDataFrame(rows, "predicate string, excluded long, null_dropped long")
+
+
+def _kind_sql(name: str, layer: str) -> str:
+    tests = [(k, f"regexp_matches(lower({name}), {literal(p.replace(chr(92) + 'z', '$'))})") for k, p in KINDS]
+    tests = [(k, f"({t} OR regexp_matches(lower(coalesce({layer}, '')), {literal(STAGING_LAYER)}))" if k == "staging" else t) for k, t in tests]
+    return "CASE " + " ".join(f"WHEN {t} THEN '{k}'" for k, t in tests) + " ELSE 'other' END"
+
+
+_NAMES = tuple((n, x) for n in ("fact_sales", "FCT_x", "f_y", "sales_facts", "a_fact_b", "dim_date", "d_z", "my_dimension", "bridge_a", "user_map", "xref_q", "stg_a", "stgfoo", "tmp_x", "work_y", "orders", "factory", "") for x in ("bronze", "Raw zone", "gold", None))
+
+
+@query(f"SELECT name, layer, {_kind_sql('name', 'layer')} AS kind FROM {values(_NAMES, 'v', 'name', 'layer')}")
+def classify_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(_NAMES, "name string, layer string").withColumn("kind", table_kind(F.col("name"), F.col("layer")))
+
+
+_SCHEMAS = tuple(enumerate(("zz_gold", "Landing", "raw_x", "silver", "mart", "misc", "clean_source")))
+_RANK = "CASE " + " ".join(f"WHEN regexp_matches(lower(name), '{'|'.join(keys)}') THEN {i}" for i, (_, keys) in enumerate(LAYERS)) + " END"
+
+
+@query(
+    f"SELECT layer_ord, CASE layer_ord WHEN 0 THEN 'bronze' WHEN 1 THEN 'silver' ELSE 'gold' END AS label, arg_min(name, ord) AS \"schema\" FROM (SELECT *, CAST({_RANK} AS INT) AS layer_ord FROM {values(_SCHEMAS, 'v', 'ord', 'name')})"
+    " WHERE layer_ord IS NOT NULL GROUP BY layer_ord"
+)
+def detect_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.detect_layers(spark.createDataFrame(_SCHEMAS, "ord int, name string"))
+
+
+_NOTEBOOK_NAMES = tuple(enumerate(("Sales_v2.py", "sales-final", "sales (2)", "sales(2)", "sales_2024", "_v1_v2", "load  orders", "Load-Orders_copy.sql", "Δ", "x.ipynb", "x_old_bak", " sales ", "v2", "(3)")))
+_BASE = r"regexp_replace(regexp_replace(trim(name), '\.(py|sql|scala|r|ipynb)$', '', 'i'), '^(.+?)(?:[_\-](?:v\d+|version\d+|final|draft|copy|old|new|backup|bak|wip|\d+)|\(\d+\))+$', '\1', 'is')"
+_KEY = rf"regexp_replace(regexp_replace(lower({_BASE}), '[\s_\-]+', '_', 'g'), '^_+|_+$', '', 'g')"
+_SLUG = "coalesce(nullif(regexp_replace(regexp_replace(base_key, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'group')"
+
+
+@query(f"SELECT {_SLUG} AS id, base_key, string_agg(name, '|' ORDER BY ord) AS paths FROM (SELECT *, {_KEY} AS base_key FROM {values(_NOTEBOOK_NAMES, 'v', 'ord', 'name')}) GROUP BY base_key")
+def notebook_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(_NOTEBOOK_NAMES, "nb_ord int, name string").withColumn("path", F.col("name"))
+    return drift.notebook_groups(rows).select("id", "base_key", F.array_join("paths", "|").alias("paths"))
+
+
+def _cells_sql(unknown: str) -> str:
+    """CTE `cells` over the fixture's notebooks: nb_ord, path, cell_index, language, source."""
+    parts = []
+    languages = "CASE lower(named) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in MAGIC.items()) + " ELSE 'unknown' END"
+    for language in ("PYTHON", "SQL", "SCALA", "R", "UNKNOWN"):
+        read_as = unknown if language == "UNKNOWN" else language
+        p, default = PREFIX.get(read_as, "#"), {"UNKNOWN": "unknown"}.get(read_as, read_as.lower())
+        rows = [(i, path, s) for i, (path, x, s) in enumerate(fixtures.NOTEBOOKS) if x == language]
+        magic = rf"'^{p}\s*MAGIC\b ?(.*)$'"
+        parts.append(
+            rf"""SELECT nb_ord, path, cell_index, CASE WHEN named <> '' THEN {languages} ELSE '{default}' END AS language,
+              CASE WHEN NOT marked THEN plain ELSE regexp_replace(array_to_string(CASE WHEN named <> '' THEN bare[2:] ELSE bare END, chr(10)), '^\s+|\s+$', '', 'g') END AS source
+            FROM (SELECT *, CASE WHEN marked THEN regexp_extract(bare[1], '^%([a-zA-Z-]+)\s*$', 1) ELSE '' END AS named
+              FROM (SELECT *, regexp_matches(lines[1], {magic}) AS marked, [CASE WHEN regexp_matches(x, {magic}) THEN regexp_extract(x, {magic}, 1) ELSE x END FOR x IN lines] AS bare
+                FROM (SELECT *, string_split(plain, chr(10)) AS lines
+                  FROM (SELECT nb_ord, path, i - 1 AS cell_index, regexp_replace(raw[i], '^\n+|\n+$', '', 'g') AS plain
+                    FROM (SELECT nb_ord, path, raw, unnest(range(1, len(raw) + 1)) AS i
+                      FROM (SELECT nb_ord, path, regexp_split_to_array(regexp_replace(replace(src, chr(13) || chr(10), chr(10)), '^{p}\s*Databricks notebook source\s*\n', ''), '(?m)^{p}\s*COMMAND -+\s*$') AS raw
+                        FROM {values(rows, "v", "nb_ord", "path", "src")}))) WHERE plain <> '')))"""
+        )
+    return "cells AS (" + " UNION ALL ".join(parts) + ")"
+
+
+@query(f"WITH {_cells_sql('UNKNOWN')} SELECT path, CAST(cell_index AS INT) AS cell_index, language, source FROM cells")
+def notebook_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells(fixtures.corpus(spark)).select("path", "cell_index", "language", "source")
+
+
+@query(
+    f"WITH {_cells_sql('PYTHON')}, code AS (SELECT *, contains(lower(source), 'silver.stg_lineitem') OR contains(lower(source), 'stg_lineitem') AS hit FROM cells WHERE language <> 'md' AND trim(source) <> ''),"
+    " w AS (SELECT *, max(hit) OVER (PARTITION BY nb_ord) AS any_hit FROM code)"
+    " SELECT path, CAST(cell_index AS INT) AS cell_index, source[1:4000] AS snippet FROM w WHERE hit OR NOT any_hit ORDER BY nb_ord, w.cell_index LIMIT 40"
+)
+def level_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.level_code(fixtures.corpus(spark), ["silver.stg_lineitem"]).select("path", "cell_index", "snippet")
+
+
+# The facts that the fixture's notebooks hold, as read by eye: place, metric, tables (target first), raw text, target, sources, join hint, WHERE.
+_P = "/etl/"
+_CLEAN = "CREATE OR REPLACE TABLE silver.orders AS SELECT * FROM bronze.orders WHERE o_orderstatus <> '{}'"
+_SALES = "INSERT OVERWRITE gold.fact_sales SELECT l.*, o.o_custkey FROM silver.stg_lineitem l JOIN silver.orders o ON l.l_orderkey = o.o_orderkey WHERE o.o_totalprice > 1000"
+_MERGE = "MERGE INTO gold.dim_customer t USING bronze.customer s ON t.c_custkey = s.c_custkey WHEN NOT MATCHED THEN INSERT *"
+_MAP = "CREATE TABLE silver.customer_map AS WITH c AS (SELECT * FROM bronze.customer WHERE c_acctbal > 0) SELECT c.c_custkey FROM c WHERE c_custkey BETWEEN 1 AND 100"
+_FRAME = fixtures.NOTEBOOKS[4][2]
+_FACTS = (
+    (0, _P + "load_orders", 1, 0, "silver.orders", "bronze.orders", None, "o_orderstatus <> 'P'", _CLEAN.format("P")),
+    (0, _P + "load_orders", 4, 0, None, "silver.orders", None, None, "SELECT count(*) FROM silver.orders"),
+    (1, _P + "load_orders_v2", 1, 0, "silver.orders", "bronze.orders", None, "o_orderstatus <> 'F'", _CLEAN.format("F")),
+    (1, _P + "load_orders_v2", 4, 0, None, "silver.orders", None, None, "SELECT count(*) FROM silver.orders"),
+    (2, _P + "load_orders_final", 0, 0, None, "bronze.orders", None, None, "SELECT a FROM bronze.orders"),
+    (2, _P + "load_orders_final", 0, 1, None, "bronze.orders", None, None, "select  a from bronze.orders -- same"),
+    (2, _P + "load_orders_final", 1, 0, "recent", "silver.orders", None, "o_orderdate > '1997-01-01'", "CREATE TEMP VIEW recent AS SELECT * FROM silver.orders WHERE o_orderdate > '1997-01-01'"),
+    (3, _P + "build_sales", 0, 0, "silver.stg_lineitem", "bronze.raw_lineitem", None, "l_returnflag <> 'R'", "CREATE OR REPLACE TABLE silver.stg_lineitem USING DELTA AS SELECT * FROM bronze.raw_lineitem WHERE l_returnflag <> 'R'"),
+    (3, _P + "build_sales", 1, 0, "gold.fact_sales", "silver.stg_lineitem,silver.orders", "l.l_orderkey = o.o_orderkey", "o.o_totalprice > 1000", _SALES),
+    (3, _P + "build_sales", 1, 1, "gold.dim_customer", "bronze.customer", "t.c_custkey = s.c_custkey", None, _MERGE),
+    (3, _P + "build_sales", 2, 0, None, "", None, None, "SELECT * FROM {table}"),
+    (4, _P + "df_api", 0, lineage.LAST, "gold.orders", "silver.orders", None, None, _FRAME),
+    (6, _P + "quirks", 0, 0, "silver.customer_map", "bronze.customer", None, "c_custkey BETWEEN 1 AND 100", _MAP),
+    (6, _P + "quirks", 1, 0, "silver.stg_tmp", "bronze.customer", None, "x.c_acctbal < 0", "INSERT INTO `silver`.`stg_tmp` SELECT * FROM bronze.customer x WHERE x.c_acctbal < 0"),
+    (6, _P + "quirks", 1, 1, None, "", None, None, "SELECT '"),
+    (6, _P + "quirks", 1, 2, None, "", None, None, "' AS semi"),
+)
+_FACT_SQL = "facts AS (SELECT * FROM " + values(_FACTS, "v", "nb_ord", "path", "cell_index", "stmt_idx", "target", "sources", "hint", "predicate", "raw_sql") + ")"
+
+
+@query(f"WITH {_FACT_SQL} SELECT path, CAST(cell_index AS INT) AS cell_index, CAST(stmt_idx AS INT) AS stmt_idx, target, sources, predicate, raw_sql FROM facts")
+def lineage_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineage.lineage_facts(fixtures.corpus(spark)).select("path", "cell_index", "stmt_idx", "target", F.array_join("sources", ",").alias("sources"), "predicate", "raw_sql")
+
+
+_INDEX = "idx AS (SELECT DISTINCT lower(tbl) AS name FROM " + values([(t,) for _, _, _, t, _ in _TABLES], "v", "tbl") + ")"
+
+
+@query(
+    f"WITH {_FACT_SQL}, {_INDEX}, e AS (SELECT nb_ord, cell_index, stmt_idx, unnest(string_split(sources, ',')) AS source, target, hint, path FROM facts WHERE target IS NOT NULL AND string_split(target, '.')[-1] IN (SELECT name FROM idx)),"
+    " r AS (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY nb_ord, cell_index, stmt_idx) AS n FROM e)"
+    " SELECT source, target, hint AS join_key_hint, path, CAST(cell_index AS INT) AS cell_index FROM r WHERE n = 1"
+)
+def lineage_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = table_index(inventory(spark, fixtures.layers(spark, sf_dir)))
+    return lineage.edges(lineage.lineage_facts(fixtures.corpus(spark)), index)
+
+
+@query(
+    f"WITH {_FACT_SQL} SELECT target, path, CAST(cell_index AS INT) AS cell_index, sources, raw_sql[1:400] || CASE WHEN length(raw_sql) > 400 THEN chr(10) || '...' ELSE '' END AS snippet"
+    " FROM facts WHERE len(list_filter(string_split(sources, ','), lambda x: string_split(x, '.')[-1] = 'orders')) > 0 AND len(string_split(target, '.')) >= 2 AND string_split(target, '.')[-2] = 'gold'"
+)
+def lineage_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineage.fan_out(fixtures.corpus(spark), "silver.orders", "gold").select("target", "path", "cell_index", F.array_join("sources", ",").alias("sources"), "snippet")
+
+
+@query(f"WITH {_FACT_SQL} SELECT path, CAST(cell_index AS INT) AS cell_index, raw_sql AS snippet FROM facts WHERE target IN ('orders', 'silver.orders', 'main.silver.orders') OR ends_with(target, '.silver.orders')")
+def writers_of_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineage.writers(fixtures.corpus(spark), "main", "silver", "orders").select("path", "cell_index", "snippet")
+
+
+@query(
+    f"WITH {_FACT_SQL} SELECT path, CAST(cell_index AS INT) AS cell_index, raw_sql AS snippet FROM facts WHERE stmt_idx < {lineage.LAST}"
+    " AND len(list_filter(string_split(concat_ws(',', target, sources), ','), lambda x: string_split(x, '.')[-1] = 'customer')) > 0"
+)
+def responsible_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.responsible_code(fixtures.corpus(spark), "customer").select("path", "cell_index", "snippet")
+
+
+# Which rows each rule is counted on: the last layer that has the source's bare name.
+_SOURCES = {"bronze.orders": _KEPT, "bronze.raw_lineitem": "lineitem", "bronze.customer": "customer"}
+
+
+def _rules_sql() -> str:
+    parts = []
+    for i, label, _, table, _ in _TABLES:
+        if i == 0:
+            continue
+        fact = next((f for f in _FACTS if f[4] and f[4].rsplit(".", 1)[-1] == table), None)
+        if fact is None or fact[7] is None:
+            continue
+        _, path, cell, _, _, sources, _, predicate, _ = fact
+        plain = "," not in sources and "x." not in predicate and "o." not in predicate
+        count = f"(SELECT count(*) FROM (SELECT * FROM {_SOURCES[sources]}) WHERE NOT ({predicate}))" if plain else "CAST(NULL AS BIGINT)"
+        parts.append(
+            f"SELECT '{label}' AS layer, {literal(path)} AS path, {cell} AS cell_index, {literal(predicate)} AS predicate_sql, {literal(sources.split(',')[0])} AS source_table,"
+            f" {count} AS excluded_count, {literal(f'{table}: {predicate}')} AS rule_label, '' AS explanation, 'ok' AS severity"
+        )
+    return " UNION ALL ".join(parts)
+
+
+@query(_rules_sql())
+def exclusion_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = exclusions.exclusion_rules(spark, fixtures.layers(spark, sf_dir), lineage.lineage_facts(fixtures.corpus(spark)))
+    return rules.select(F.col("label").alias("layer"), "path", "cell_index", "predicate_sql", "source_table", "excluded_count", "rule_label", "explanation", "severity")
+
+
+# Statements of the one group with several notebooks: place, name, set of tables, a number for each different normal form.
+_DRIFT = (
+    (0, 1, 0, "orders_clean", "bronze.orders,silver.orders", 1), (0, 4, 0, "orders_clean", "silver.orders", 2),
+    (1, 1, 0, "orders_clean", "bronze.orders,silver.orders", 3), (1, 4, 0, "orders_clean", "silver.orders", 2),
+    (2, 0, 0, "cell_0_0", "bronze.orders", 4), (2, 0, 1, "cell_0_1", "bronze.orders", 4), (2, 1, 0, "recent", "recent,silver.orders", 5),
+)
+_DRIFT_SQL = "f AS (SELECT * FROM " + values(_DRIFT, "v", "m", "cell", "stmt", "metric", "tables", "norm") + ")"
+_PAIR = "a.m <> b.m AND a.norm <> b.norm AND (a.m, a.cell, a.stmt) < (b.m, b.cell, b.stmt)"
+
+
+@query(
+    f"""WITH {_DRIFT_SQL}, p1 AS (SELECT 1 AS pass, a.metric AS key, min((z.m, z.cell, z.stmt)) AS first, a.m AS am, a.cell AS ac, a.stmt AS "as", b.m AS bm, b.cell AS bc, b.stmt AS bs
+      FROM f a JOIN f b ON a.metric = b.metric AND {_PAIR} JOIN f z ON z.metric = a.metric GROUP BY ALL),
+    p2 AS (SELECT 2 AS pass, a.tables AS key, min((z.m, z.cell, z.stmt)) AS first, a.m AS am, a.cell AS ac, a.stmt AS "as", b.m AS bm, b.cell AS bc, b.stmt AS bs
+      FROM f a JOIN f b ON a.tables = b.tables AND {_PAIR} JOIN f z ON z.tables = a.tables
+      WHERE NOT EXISTS (SELECT 1 FROM p1 WHERE p1.am = a.m AND p1.ac = a.cell AND p1.bm = b.m AND p1.bc = b.cell) GROUP BY ALL),
+    u AS (SELECT *, row_number() OVER (ORDER BY pass, first, am, ac, "as", bm, bc, bs) AS n FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2))
+    SELECT 'load-orders-sql-' || n AS id, 'load-orders' AS group_id, 'sql-logic-mismatch' AS type, key, CAST(ac AS INT) AS left_cell, CAST(bc AS INT) AS right_cell FROM u"""
+)
+def sql_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    books = fixtures.corpus(spark)
+    found = drift.sql_drift(books, drift.notebook_groups(books))
+    return found.select("id", "group_id", "type", "key", F.col("left.cell_index").alias("left_cell"), F.col("right.cell_index").alias("right_cell"))
+
+
+_DEFS = ((0, 3, 0, "threshold", "threshold = 100"), (0, 3, 1, "clean", "1"), (1, 3, 0, "threshold", "threshold = 200"), (1, 3, 1, "clean", "2"))
+
+
+@query(
+    f"WITH f AS (SELECT * FROM {values(_DEFS, 'v', 'm', 'cell', 'i', 'name', 'norm')})"
+    " SELECT 'load-orders-code-' || row_number() OVER (ORDER BY a.m, a.cell, a.i) AS id, a.name AS key, CAST(a.cell AS INT) AS left_cell, CAST(b.cell AS INT) AS right_cell"
+    " FROM f a JOIN f b ON a.name = b.name AND a.m < b.m AND a.norm <> b.norm"
+)
+def code_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    books = fixtures.corpus(spark)
+    found = drift.code_drift(books, drift.notebook_groups(books))
+    return found.select("id", "key", F.col("left.cell_index").alias("left_cell"), F.col("right.cell_index").alias("right_cell"))
+
+
+_ALL_DEFS = (
+    ("load_orders", 3, "threshold", "variable", "threshold = 100"), ("load_orders", 3, "clean", "function", 'def clean(df): return df.where("x > 1")'),
+    ("load_orders_v2", 3, "threshold", "variable", "threshold = 200"), ("load_orders_v2", 3, "clean", "function", 'def clean(df): return df.where("x > 2")'),
+    ("build_sales", 0, "stg", "variable", fixtures.NOTEBOOKS[3][2].split("\n")[0]), ("df_api", 0, "df", "variable", _FRAME.split("\n")[0]),
+    ("udfs", 0, "twice", "function", "def twice(x: Int): Int = { if (x > 0) { x * 2 } else { 0 } }"), ("udfs", 0, "once", "function", "def once(x: Int) = x"),
+    ("udfs", 0, "limit", "variable", "val limit: Int = 5"), ("udfs", 0, "name", "variable", 'var name = "a"'),
+)
+
+
+@query(f"SELECT '/etl/' || path AS path, CAST(cell AS INT) AS cell_index, name, kind, normal FROM {values(_ALL_DEFS, 'v', 'path', 'cell', 'name', 'kind', 'normal')}")
+def code_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codedefs.code_defs(fixtures.corpus(spark)).select("path", "cell_index", "name", "kind", "normal")
+
+
+_METRICS = tuple((p.removeprefix(_P), c, i) for _, p, c, i, *_ in _FACTS if i < lineage.LAST)
+_METRIC_NAMES = ("orders_clean", "orders_clean", "orders_clean", "orders_clean", "cell_0_0", "cell_0_1", "recent", "stg", "cell_1", "cell_1", "cell_2", "cell_0", "cell_1_0", "cell_1_1", "cell_1_2")
+
+
+@query(f"SELECT '/etl/' || path AS path, CAST(c AS INT) AS cell_index, CAST(i AS INT) AS stmt_idx, metric_name FROM {values([(*m, n) for m, n in zip(_METRICS, _METRIC_NAMES)], 'v', 'path', 'c', 'i', 'metric_name')}")
+def sql_fact_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sqlfacts.sql_facts(fixtures.corpus(spark)).select("path", "cell_index", "stmt_idx", "metric_name")
+
+
+@query(
+    f"WITH {_COUNTS}, k AS (SELECT *, {_kind_sql('tbl', 'label')} AS kind FROM counts), {_FACT_SQL}, {_INDEX},"
+    " e AS (SELECT DISTINCT unnest(string_split(sources, ',')) AS source, target FROM facts WHERE target IS NOT NULL AND string_split(target, '.')[-1] IN (SELECT name FROM idx)),"
+    " p AS (SELECT arg_min(path, (nb_ord, cell_index, stmt_idx)) AS path FROM (SELECT *, unnest(string_split(sources, ',')) AS source FROM facts WHERE target IS NOT NULL AND string_split(target, '.')[-1] IN (SELECT name FROM idx)) GROUP BY source, target)"
+    " SELECT CAST(4 AS BIGINT) AS layer_count, count(*) AS table_count, count(*) FILTER (WHERE kind = 'fact') AS fact_table_count, count(*) FILTER (WHERE kind = 'dimension') AS dimension_table_count,"
+    " count(*) FILTER (WHERE kind NOT IN ('fact', 'dimension')) AS other_table_count, CAST(sum(n) AS BIGINT) AS total_rows, (SELECT count(*) FROM e) AS lineage_edge_count, (SELECT count(DISTINCT path) FROM p) AS notebook_count FROM k"
+)
+def project_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.summarise(spark, fixtures.layers(spark, sf_dir), fixtures.corpus(spark)).stats
+
+
+# Answers of an explaining model: as asked, fenced, malformed, null, and with wrong types.
+_ANSWERS = (
+    '{"responsibleIndex": 1, "explanation": "b", "isCorrect": true, "alerts": ["x", 1, null, "y"], "status": "ok", "summary": "s", "overview": "o", "architecture": "a", "howItWorks": "h", "onboardingTips": ["t", 2]}',
+    '```json\n{"responsibleIndex": 1.9, "explanation": 5, "isCorrect": "true", "alerts": "no", "status": "fine", "summary": 1, "overview": null}\n```',
+    "not json at all",
+    "null",
+    '{"responsibleIndex": -0.5, "explanation": ""}',
+    '{"responsibleIndex": 7}',
+    '{"responsibleIndex": "1", "isCorrect": false, "status": "error"}',
+    "[1, 2]",
+)
+_ANSWER_SQL = (
+    "r AS (SELECT * FROM " + values(list(enumerate(_ANSWERS)), "v", "i", "raw") + "),"
+    r" c AS (SELECT i, regexp_replace(regexp_replace(regexp_replace(raw, '^\s+|\s+$', '', 'g'), '^```(?:json)?\s*', '', 'i'), '```\s*$', '') AS t FROM r),"
+    " j AS (SELECT i, t, CASE WHEN json_valid(t) AND t <> 'null' THEN CAST(t AS JSON) END AS j FROM c)"
+)
+_is = lambda field, kind: f"json_type(j, '$.{field}') IN ({kind})"
+_text = lambda field: f"CASE WHEN {_is(field, chr(39) + 'VARCHAR' + chr(39))} THEN j->>'$.{field}' END"
+_texts = lambda field: (
+    f"coalesce(CASE WHEN {_is(field, chr(39) + 'ARRAY' + chr(39))} THEN array_to_string(list_transform(list_filter(CAST(j->'$.{field}' AS JSON[]), lambda x: json_type(x) = 'VARCHAR'), lambda x: x->>'$'), '|') END, '')"
+)
+
+
+def _answers(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(_ANSWERS)), "i int, raw string").withColumn("n", F.lit(3))
+
+
+@query(
+    f"WITH {_ANSWER_SQL}, x AS (SELECT i, t, j, CASE WHEN {_is('responsibleIndex', chr(39) + 'BIGINT' + chr(39) + ', ' + chr(39) + 'UBIGINT' + chr(39) + ', ' + chr(39) + 'DOUBLE' + chr(39))} THEN trunc(CAST(j->>'$.responsibleIndex' AS DOUBLE)) END AS k FROM j)"
+    f" SELECT i, CASE WHEN k >= 0 AND k < 3 THEN CAST(k AS INT) END AS responsible_index, coalesce({_text('explanation')}, t) AS explanation FROM x"
+)
+def parse_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answers(spark).select("i", responses.analysis(F.col("raw"), F.col("n")).alias("a")).select("i", "a.*")
+
+
+@query(f"WITH {_ANSWER_SQL} SELECT i, coalesce({_is('isCorrect', chr(39) + 'BOOLEAN' + chr(39))} AND j->>'$.isCorrect' = 'true', false) AS is_correct, {_texts('alerts')} AS alerts, coalesce({_text('explanation')}, t) AS explanation FROM j")
+def parse_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answers(spark).select("i", responses.validation(F.col("raw")).alias("a")).select("i", "a.is_correct", F.array_join("a.alerts", "|").alias("alerts"), "a.explanation")
+
+
+@query(f"WITH {_ANSWER_SQL} SELECT i, CASE WHEN {_text('status')} IN ('ok', 'warning', 'error') THEN j->>'$.status' ELSE 'warning' END AS status, coalesce({_text('summary')}, t) AS summary FROM j")
+def parse_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answers(spark).select("i", responses.level(F.col("raw")).alias("a")).select("i", "a.status", "a.summary")
+
+
+@query(
+    f"WITH {_ANSWER_SQL} SELECT i, coalesce({_text('overview')}, t) AS overview, coalesce({_text('architecture')}, '') AS architecture, coalesce({_text('howItWorks')}, '') AS how_it_works, {_texts('onboardingTips')} AS onboarding_tips FROM j"
+)
+def parse_narrative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answers(spark).select("i", responses.narrative(F.col("raw")).alias("a")).select("i", "a.overview", "a.architecture", "a.how_it_works", F.array_join("a.onboarding_tips", "|").alias("onboarding_tips"))
+
+
+_EXPLAINED = (
+    '{"explanations": [{"index": 0, "explanation": "a", "severity": "warning"}, {"index": 2, "explanation": "c"}, {"index": 2.5, "explanation": "d", "severity": "bad"}, {"index": "1", "explanation": "no"}, 5, null]}',
+    '```\n{"explanations": []}\n```',
+    "broken {",
+    '{"explanations": {"index": 0}}',
+)
+_TOLD = ((0, 0, "a", "warning"), (0, 1, responses.NO_RULE, "warning"), (0, 2, "d", "ok")) + tuple((i, k, t, "warning") for i, t in ((1, '{"explanations": []}\n'), (2, "broken {"), (3, '{"explanations": {"index": 0}}')) for k in range(3))
+
+
+@query(f"SELECT i, CAST(k AS INT) AS \"index\", explanation, severity FROM {values(_TOLD, 'v', 'i', 'k', 'explanation', 'severity')}")
+def parse_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(list(enumerate(_EXPLAINED)), "i int, raw string").withColumn("n", F.lit(3))
+    return responses.exclusions(rows).select("i", F.explode("explanations").alias("e")).select("i", "e.*")
+
+
+_LINES = (
+    '{"explanations": [{"targetTable": "a", "explanation": "1"}, {"targetTable": "a", "explanation": "2"}, {"targetTable": "b", "explanation": 3}, {"targetTable": 4, "explanation": "x"}]}',
+    "oops",
+)
+_LINED = ((0, "a", "2"), (0, "b", responses.NO_LINEAGE), (1, "a", "oops"), (1, "b", "oops"))
+
+
+@query(f"SELECT * FROM {values(_LINED, 'v', 'i', 'target', 'explanation')}")
+def parse_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(list(enumerate(_LINES)), "i int, raw string").withColumn("targets", F.array(F.lit("a"), F.lit("b")))
+    return responses.lineage(rows).select("i", F.explode("explanations").alias("e")).select("i", "e.*")
+
+
+# What a heading is called, over real lines.
+_HEADED = (("# Sales  KPI!",), ("  ## Δ",), ("###x_y",), ("#  ",))
+_SLUGGED = r"regexp_replace(regexp_replace(lower(regexp_replace(h, '^\s*#+\s*', '')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')"
+
+
+@query(f"SELECT h, CASE WHEN regexp_matches(h, {literal(HEADING)}) THEN {_SLUGGED} END AS name FROM {values(_HEADED, 'v', 'h')}")
+def heading_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(_HEADED, "h string")
+    name = slug(F.lower(F.regexp_replace("h", r"^\s*#+\s*", "")), "_", None)
+    return rows.withColumn("name", F.when(F.col("h").rlike(HEADING), name))
+
+
+@query(f"SELECT name, {_KEY} AS key FROM {values(_NOTEBOOK_NAMES, 'v', 'ord', 'name')}")
+def notebook_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(_NOTEBOOK_NAMES, "ord int, name string").select("name", notebook_key(F.col("name")).alias("key"))
