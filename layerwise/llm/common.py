@@ -73,3 +73,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def row_key(docs: DataFrame) -> Column:
     """A hash of doc_id and text by which a row is found again in a later pass; equal rows share it."""
     return F.xxhash64(docs["doc_id"], docs["text"])
+
+
+def packed_row(df: DataFrame) -> Column:
+    """All of df's columns as one struct: inside it, no name can clash with an operator's own columns."""
+    return F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("_doc")
+
+
+def unpacked(df: DataFrame, columns: list[str], *own: str) -> DataFrame:
+    """The packed columns again, then an operator's own; where both have a name, the operator's."""
+    return df.select(*[F.col(f"_doc.`{c}`").alias(c) for c in columns if c not in own], *own)

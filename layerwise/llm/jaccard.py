@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, row_key, small, stored, words
+from .common import bounded_batches, packed_row, row_key, small, stored, unpacked, words
 from .graph import components
 
 N = 5
@@ -224,7 +224,7 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs that near_duplicates keeps, one for each class, with all their columns."""
     rows = stored(near_duplicates(docs, similarity).select("_row", "keep"), "keep")
     lost = rows.where("not keep").select("_row").distinct()
-    kept = docs.withColumn("_row", row_key(docs)).join(small(lost, rows.count(), 24), "_row", "left_anti")
+    kept = docs.select(packed_row(docs), row_key(docs).alias("_row")).join(small(lost, rows.count(), 24), "_row", "left_anti")
     if not rows.where("keep").groupBy("_row").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates(["_row"])
-    return kept.select(*docs.columns)
+    return unpacked(kept, docs.columns)

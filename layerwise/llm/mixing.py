@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, small, stored
+from .common import WORD, packed_row, small, stored, unpacked
 
 #: Buckets of the seeded order within a source. Only the one bucket that the target falls into is ordered row by row.
 BUCKETS = 4096
+#: The columns that mix() adds.
+OWN = ("_size", "_source_size", "_target", "_reps", "_part", "_taken")
 
 
 def word_count(text: Column) -> Column:
@@ -64,10 +66,11 @@ def mix(docs: DataFrame, epochs: float = 3.0, weights=(1.0, 2.0, 3.0), seed: int
     Sources go by code point, null last (a null source is a source of its own), and weigh `weights` in turn.
     A null or empty text has size 0 and takes nothing. Equal rows share one place in the seeded order and are
     told apart arbitrarily, which leaves the result as a set of rows the same. An empty table gives no rows.
-    Columns whose names start with an underscore are this operator's own; others pass through untouched.
+    All columns pass through but those named as in OWN, which are replaced.
     """
-    docs = docs.withColumn("_size", word_count(F.col("text")))
-    order = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
+    columns = docs.columns
+    docs = docs.select(packed_row(docs), F.col("doc_id").alias("_id"), F.col("source").alias("source"), word_count(F.col("text")).alias("_size"))
+    order = F.md5(F.concat(F.coalesce(F.col("_id").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
     docs = docs.withColumn("_order", order).withColumn("_bucket", F.conv(F.substring("_order", 1, 3), 16, 10).cast("int"))
     sums = stored(docs.groupBy("source", "_bucket").agg(F.sum("_size").alias("words")), "bucket-sums")
     per = ranked(sums.groupBy("source").agg(F.sum("words").alias("source_size")), "source")
@@ -96,18 +99,18 @@ def mix(docs: DataFrame, epochs: float = 3.0, weights=(1.0, 2.0, 3.0), seed: int
     # Without an edge bucket the wanted words are all of the source's words.
     extra = F.when(F.col("edge").isNull() & (F.col("want") > 0), F.col("_size")).when(F.col("_bucket") < F.col("edge"), F.col("_size")).otherwise(0)
     inside = inside.withColumn("_extra", extra.cast("long"))
-    running = Window.partitionBy("_source").orderBy("_order", "doc_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
+    running = Window.partitionBy("_source").orderBy("_order", "_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
     edge = docs.where(F.col("_bucket") == F.col("edge"))
     edge = edge.withColumn("_before", F.col("edge_before") + F.coalesce(F.sum("_size").over(running), F.lit(0)))
     edge = edge.withColumn("_extra", F.greatest(F.lit(0), F.least(F.col("_size"), F.col("want") - F.col("_before"))).cast("long")).drop("_before")
     both = inside.unionByName(edge)
     full = (F.col("_extra") == F.col("_size")) & (F.col("_size") > 0)
-    return (
+    both = (
         both.withColumn("_reps", F.col("whole") + full.cast("long"))
         .withColumn("_part", F.when(full, F.lit(0)).otherwise(F.col("_extra")).cast("long"))
         .withColumn("_taken", F.col("whole") * F.col("_size") + F.col("_extra"))
-        .drop("_order", "_bucket", "_extra", "whole", "want", "edge", "edge_before", "_source")
     )
+    return unpacked(both, columns, *OWN)
 
 
 def repeated(mixed: DataFrame) -> DataFrame:
@@ -117,4 +120,4 @@ def repeated(mixed: DataFrame) -> DataFrame:
     rows = mixed.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_reps"))))  # 0: the partial repetition
     rows = rows.where((F.col("_copy") > 0) | (F.col("_part") > 0))
     rows = rows.withColumn("text", F.when(F.col("_copy") == 0, cut).otherwise(F.col("text")))
-    return rows.drop(*[c for c in ("_size", "_source_size", "_target", "_reps", "_part", "_taken", "_copy")])
+    return rows.drop(*OWN, "_copy")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, neighbours, packing, quality, rules, scoring, secrets, toxicity
+from . import jaccard, language, mixing, neighbours, packing, quality, rules, scoring, secrets, toxicity
 from .common import documents
 
 
@@ -23,6 +23,16 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document by its text, and every page by its visible text, markup and address."""
+    docs, pages = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/pages.parquet")
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    rows = docs.select("doc_id", none("long", "page_id"), "text", none("string", "html"), none("string", "url")).unionByName(
+        pages.select(none("long", "doc_id"), "page_id", none("string", "text"), F.coalesce("html", F.lit("")).alias("html"), "url")
+    )
+    return language.fused(rows, language.trained(docs.select("doc_id", "text", "lang")), ["doc_id", "page_id"])
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -124,6 +134,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_toxicity": op2_toxicity,
     "op3_quality": op3_quality,
+    "op4_language_id": op4_language_id,
     "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
     "op7_secrets": op7_secrets,

@@ -16,7 +16,7 @@ from re import _parser as sre_parse
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stored
+from .common import packed_row, small, stored, unpacked
 
 
 
@@ -191,9 +191,10 @@ def scan(docs: DataFrame, rules=RULES, key: str = "doc_id", text: str = "text")
 
     A null text counts as empty and gives no spans. Null or repeated keys are no problem: rows are told
     apart by a hash of key and text, and rows that share one are verified each on its own text. An empty
-    table gives an empty table. Columns starting with an underscore are this operator's own.
+    table gives an empty table. All columns pass through; one named _spans is replaced.
     """
-    rows = docs.withColumn("_text", F.coalesce(F.col(text), F.lit(""))).withColumn("_key", F.xxhash64(F.col(key), F.col("_text")))
+    columns = docs.columns
+    rows = docs.select(packed_row(docs), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.xxhash64(F.col(key), F.col(text)).alias("_key"))
     found = stored(candidates(rows.select("_key", F.col("_text").alias("text")), rules), "candidates")
     n = found.count()
     rows = rows.join(small(found, n, 64), "_key", "left")
@@ -209,7 +210,7 @@ def scan(docs: DataFrame, rules=RULES, key: str = "doc_id", text: str = "text")
     place = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])
     keyed = F.transform(F.concat(*parts), lambda s: F.struct(s["start"].alias("start"), place[s["kind"]].alias("at"), s["end"].alias("end"), s["kind"].alias("kind")))
     spans = F.transform(F.sort_array(keyed), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    return rows.withColumn("_spans", spans).drop("_key", "_rules", "_text")
+    return unpacked(rows.withColumn("_spans", spans), columns, "_spans")
 
 
 def joined(spans: Column) -> Column:
