@@ -1,15 +1,18 @@
 """Lexical retrieval packing: documents go into fixed windows beside their BM25 neighbours.
 
-Documents are dealt into shards of about SHARD_CHARS characters. Each shard has an inverted index of its
-documents; document frequencies come from the whole corpus, over hashed words, and so have a fixed size.
-A window starts with a seed document; what is left of it is filled by the seed's best unused neighbours,
-then by the next unused documents. The document that meets the window's end is cut there, and its rest is
-the next window's seed. Only the last window of a shard can be short.
+Texts are tokenised once and kept as ids in the shared folder. Documents are dealt into shards of about
+SHARD_TOKENS ids. Each shard has an inverted index of its documents' words; document frequencies come from the
+whole corpus, over hashed words, and so have a fixed size. A window starts with a seed document; what is left
+of it is filled by the seed's best unused neighbours, then by the next unused documents. The document that
+meets the window's end is cut there, and its rest is the next window's seed. Only the last window of a shard
+can be short.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,90 +22,133 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, words
+from .common import bounded_batches, stored
 
+TOKENIZER = "word_bpe_49k.json"
 WINDOW = 4096
 END = 2
 TERMS = 1 << 18  # hashed words
-SHARD_CHARS = 2 << 20
+SHARD_TOKENS = 600_000
 K1, B = 1.2, 0.75
-_MEMO = 300_000
+_MEMO = 600_000
 _SEQUENCES = 1 << 20  # ids of sequences in a shard
 
+# How the tokenizer file splits a text, for the characters of _PLAIN; and its mark of a word's end.
+_LETTERS = "a-zß-öø-ÿ"
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]*")
+_RUNS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
+_WORD_END = "</w>"
 
-@lru_cache(1)
-def _tokenizer(name: str):
-    import public_tokenizers
-    from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(public_tokenizers.path(name))
+class Memo(dict):
+    """A bounded dict that makes what it hasn't got."""
+
+    def __init__(self, make) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= _MEMO:
+            self.clear()
+        got = self[key] = self.make(key)
+        return got
 
 
 class Encoder:
-    """A text's ids as bytes (little-endian, 32 bits) and its hashed words.
+    """A text's ids, as bytes of numbers of type `kind`.
 
-    The tokenizer never joins letters across a space or line feed, so each word's ids are looked up by
-    themselves; words not met before are encoded in one batch.
+    The tokenizer never joins letters across a space or line feed, so words are looked up one by one. A word
+    of plain characters is cut into runs as the tokenizer does, and its model is asked for runs not met
+    before; any other word is encoded by the tokenizer as it stands.
     """
 
-    def __init__(self, name: str = "word_bpe_49k.json") -> None:
-        self.tokenizer = _tokenizer(name)
-        self.ids: dict[str, bytes] = {"": b""}
-
-    def learn(self, found: set[str]) -> None:
-        new = list(found.difference(self.ids))
-        if not new:
-            return
-        if len(self.ids) + len(new) > _MEMO:
-            self.ids = {"": b""}
-            new = list(found - {""})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.ids[w] = np.array(e.ids, "<u4").tobytes()
+    def __init__(self, name: str = TOKENIZER) -> None:
+        import public_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+        vocabulary = self.tokenizer.get_vocab()
+        self.kind = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
+        shown = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes_of = {ord(c): shown.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xC0, 0x100))}
+        self.by_runs = name == TOKENIZER
+        self.end = array(self.code, [END]).tobytes()
+        marked = [i for t, i in vocabulary.items() if t.endswith(_WORD_END)]
+        self.ends = np.full(max(vocabulary.values()) + 1, not marked)  # whether an id ends a word
+        self.ends[marked] = True
+        self.words, self.runs = Memo(self._word), Memo(self._run)
+
+    def _run(self, run: str) -> bytes:
+        shown = run if run.isascii() else run.translate(self.bytes_of)
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if self.by_runs and _PLAIN.fullmatch(word) and "<|" not in word:
+            low = word.lower()
+            return self.runs[low] if low.isalpha() else b"".join([self.runs[r] for r in _RUNS.findall(low)])
+        return array(self.code, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids of the text, then END."""
-        found = text.replace("\n", " ").split(" ")
-        self.learn(set(found))
-        return b"".join(map(self.ids.__getitem__, found)) + np.array([END], "<u4").tobytes()
+        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" "))) + self.end
 
 
-class Terms:
-    """Hashed words of a text with their counts."""
+@lru_cache(1)
+def encoder(name: str) -> Encoder:
+    """One worker's encoder; its memos are bounded and outlive a task."""
+    return Encoder(name)
 
-    def __init__(self) -> None:
-        self.memo: dict[str, int] = {}
 
-    def _row(self, word: str) -> int:
-        if len(self.memo) >= _MEMO:
-            self.memo.clear()
-        got = self.memo[word] = zlib.crc32(word.strip(".,;:!?\"'()").encode()) % TERMS
-        return got
+def terms(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed words of a document's ids, and how often each occurs. A word is the ids up to one that ends it."""
+    last = ends[ids]
+    last[-1:] = True
+    starts = np.append(0, np.flatnonzero(last)[:-1] + 1)
+    place = np.arange(len(ids)) - np.repeat(starts, np.diff(np.append(starts, len(ids))))
+    h = (ids.astype(np.uint64) + np.uint64(1)) * (place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xBF58476D1CE4E5B9))
+    word = np.add.reduceat(h ^ (h >> np.uint64(29)), starts)
+    return np.unique(((word * np.uint64(0x94D049BB133111EB)) >> np.uint64(46)).astype(np.int32), return_counts=True)
 
-    def count(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        memo, miss = self.memo, self._row
-        return np.unique(np.fromiter((memo[w] if w in memo else miss(w) for w in words(text.lower())), np.int32), return_counts=True)
 
+def tokenised(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """(doc_id, order, n, ids, terms, counts) of every row; order is a hash of doc_id and text, terms are differences."""
+    chosen = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("order"), "text")
+    kind = chosen.schema["doc_id"].dataType.simpleString()
 
-def corpus_counts(docs: DataFrame) -> tuple[int, int, np.ndarray]:
-    """Rows, characters and document frequencies (TERMS of them) of the whole corpus.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = encoder(tokenizer)
+        for b in batches:
+            ids = [one.encode(t or "") for t in b.column(2).to_pylist()]
+            sizes = np.array(list(map(len, ids)), np.int64) // one.kind.itemsize
+            found = [terms(np.frombuffer(x, one.kind), one.ends) for x in ids]
+            steps = pa.array([np.diff(t, prepend=np.int32(0)).tobytes() for t, _ in found], pa.binary())
+            counts = pa.array([c.astype(np.int32).tobytes() for _, c in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes), pa.array(ids, pa.binary()), steps, counts], ["doc_id", "order", "n", "ids", "terms", "counts"])
+
+    return chosen.mapInArrow(run, f"doc_id {kind}, order long, n long, ids binary, terms binary, counts binary")
+
+
+def unpacked_terms(steps: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(steps, np.int32))
 
-    Each task adds up its own frequencies; TERMS sums at most come back.
-    """
+
+def document_frequencies(rows: DataFrame) -> np.ndarray:
+    """In how many rows each of the TERMS hashed words occurs. Each task adds up its own; TERMS sums come back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, chars, freq, terms = 0, 0, np.zeros(TERMS + 2, np.int64), Terms()
+        freq = np.zeros(TERMS, np.int64)
         for b in batches:
-            for t in b.column(0).to_pylist():
-                n, chars = n + 1, chars + len(t or "")
-                freq[terms.count(t or "")[0]] += 1
-        freq[TERMS], freq[TERMS + 1] = n, chars
+            found = [unpacked_terms(x) for x in b.column(0).to_pylist()]
+            if found:
+                freq += np.bincount(np.concatenate(found), minlength=TERMS)
         full = np.flatnonzero(freq)
         yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(freq[full])], ["term", "n"])
 
-    got = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
-    freq = np.zeros(TERMS + 2, np.int64)
+    got = rows.select("terms").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    freq = np.zeros(TERMS, np.int64)
     freq[got["term"].to_numpy(np.int64)] = got["n"]
-    return int(freq[TERMS]), int(freq[TERMS + 1]), freq[:TERMS]
+    return freq
 
 
 class Index:
@@ -173,37 +219,30 @@ def pack(lengths: list[int], index: Index, window: int = WINDOW) -> Iterator[tup
                 break
 
 
-def packed(docs: DataFrame, window: int = WINDOW, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
+def packed(docs: DataFrame, window: int = WINDOW, tokenizer: str = TOKENIZER, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), a row a piece.
 
     A null text counts as empty; an empty text is the one id END. Ids may be null or repeat: each row is a
     document of its own. Pieces of one sequence are gapless from offset 0. An empty table gives no pieces.
     """
     bounded_batches(docs.sparkSession)
-    n, chars, freq = corpus_counts(docs)
-    shards = max(1, round(chars / SHARD_CHARS))
+    rows = stored(tokenised(docs, tokenizer), "ids")
+    n, total = (int(x or 0) for x in rows.agg(F.count("*"), F.sum("n")).first())
+    shards = max(1, round(total / shard_tokens))
+    freq = document_frequencies(rows)
     idf = np.maximum(0, np.log((n - freq + 0.5) / (freq + 0.5))).astype(np.float32)
     shared = docs.sparkSession.sparkContext.broadcast(idf)  # TERMS numbers, whatever the corpus
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind, id_kind = rows.schema["doc_id"].dataType.simpleString(), encoder(tokenizer).kind
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["order", "doc_id"], kind="stable", ignore_index=True)
-        encoder, terms = _shared(tokenizer)
-        texts = [t if isinstance(t, str) else "" for t in rows["text"]]
-        ids = [encoder.encode(t) for t in texts]
-        index = Index([terms.count(t) for t in texts], shared.value)
+        ids = [np.frombuffer(x, id_kind) for x in rows["ids"]]
+        index = Index([(unpacked_terms(t), np.frombuffer(c, np.int32)) for t, c in zip(rows["terms"], rows["counts"])], shared.value)
         out = []
-        for d, start, length, sequence, offset in pack([len(x) // 4 for x in ids], index, window):
-            crc = zlib.crc32(memoryview(ids[d])[4 * start : 4 * (start + length)])
-            out.append((rows["doc_id"].iat[d], start, length, crc, len(ids[d]) // 4, int(key[0]) * _SEQUENCES + sequence, offset))
+        for d, start, length, sequence, offset in pack([len(x) for x in ids], index, window):
+            crc = zlib.crc32(ids[d][start : start + length].astype("<u4").tobytes())
+            out.append((rows["doc_id"].iat[d], start, length, crc, len(ids[d]), int(key[0]) * _SEQUENCES + sequence, offset))
         return pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    order = F.xxhash64("doc_id", "text")
-    dealt = docs.select("doc_id", "text", order.alias("order"), F.pmod(order, F.lit(shards)).alias("shard"))
+    dealt = rows.select("doc_id", "order", "ids", "terms", "counts", F.pmod("order", F.lit(shards)).alias("shard"))
     return dealt.groupBy("shard").applyInPandas(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
-
-
-@lru_cache(1)
-def _shared(tokenizer: str) -> tuple[Encoder, Terms]:
-    """One worker's memos; they are bounded and outlive a shard."""
-    return Encoder(tokenizer), Terms()
