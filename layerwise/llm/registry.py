@@ -115,7 +115,8 @@ c AS (SELECT rid, count(DISTINCT j) AS n FROM (SELECT rid, unnest(range(i, i + 5
 m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
         CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
         CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, len(ls) AS n_lines,
-        len(list_filter(ws, lambda x: upper(x) = x AND lower(x) <> x)) AS n_upper_words, len(list_filter(ws, lambda x: regexp_matches(x, '^\p{{L}}'))) AS n_alpha_words
+        len(list_filter(ws, lambda x: upper(x) = x AND lower(x) <> x)) AS n_upper_words, len(list_filter(ws, lambda x: regexp_matches(x, '^\p{{L}}'))) AS n_alpha_words,
+        len(list_filter(range(1, len(ws)), lambda i: ws[i] = ws[i + 1])) AS n_stutters
       FROM w LEFT JOIN c USING (rid)),
 f AS (SELECT *, CAST({bits} AS BIGINT) AS failures FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & {rules.mask("base-1")} <> 0 AS base_failed,

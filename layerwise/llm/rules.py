@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,7 +20,7 @@ from .common import bounded_batches, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper_words", "n_alpha_words")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper_words", "n_alpha_words", "n_stutters")
 
 
 def repeated_words(found: list[str], size: int = WINDOW) -> int:
@@ -52,6 +53,7 @@ def measure(text: str | None) -> tuple[int, ...]:
         len(lines),
         sum(w.isupper() for w in found),
         sum(w[0].isalpha() for w in found),
+        sum(map(eq, found, found[1:])),
     )
 
 
@@ -68,11 +70,12 @@ RULES = (
     Rule("too_few_words", "n_words < 10"),
     Rule("repeats", "100 * n_repeat_words > 20 * n_words"),
     Rule("symbols", "10 * n_symbols > 3 * n_words"),
-    Rule("duplicate_lines", "10 * n_dup_lines > 3 * n_lines"),
+    Rule("duplicate_lines", "n_lines >= 5 AND 10 * n_dup_lines > 3 * n_lines"),
     Rule("long_words", "word_chars > 25 * n_words"),
     Rule("shouting", "10 * n_upper_words > 5 * n_words"),
     Rule("not_prose", "10 * n_alpha_words < 5 * n_words"),
     Rule("short_words", "2 * word_chars < 3 * n_words"),
+    Rule("stutters", "10 * n_stutters > 3 * n_words"),
 )
 BIT = {r.name: 1 << i for i, r in enumerate(RULES)}
 
