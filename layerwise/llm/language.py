@@ -23,7 +23,7 @@ from .common import bounded_batches, fold_of, small, stored, words
 
 FOLDS = 5
 MAX_TRAIN = 4000  # labelled texts that fit the n-gram model
-ORDERS = (1, 2, 3)
+ORDERS = (2, 3)
 TRUST = 0.2  # n-grams overlap and words repeat, so each counts for less than an independent observation
 WEIGHT = 5.0  # rows that the wider prior counts for
 _MEMO = 200_000
@@ -41,14 +41,14 @@ def grams(word: str) -> Iterator[str]:
 
 
 class NgramModel:
-    """Per language log-probabilities of character n-grams, smoothed by half a count."""
+    """Per language log-probabilities of character n-grams, smoothed by half a count; the last row is for unknown ones."""
 
     def __init__(self, counts: dict[str, Counter]) -> None:
         self.languages = sorted(counts)
         every = sorted(set().union(*counts.values())) if counts else []
-        total = {x: sum(c.values()) + 0.5 * (len(every) + 1) for x, c in counts.items()}
-        self.table = {g: np.array([math.log((counts[x][g] + 0.5) / total[x]) for x in self.languages]) for g in every}
-        self.unknown = np.array([math.log(0.5 / total[x]) for x in self.languages])
+        self.place = {g: i for i, g in enumerate(every)}
+        n = np.array([[counts[x][g] for x in self.languages] for g in every] + [[0] * len(self.languages)], np.float64)
+        self.table = np.log((n + 0.5) / (n.sum(axis=0) + 0.5 * (len(every) + 1)))
 
 
 class Scorer:
@@ -60,28 +60,33 @@ class Scorer:
 
     def _clear(self) -> None:
         self.memo: dict[str, int] = {}
-        self.rows = np.zeros((1024, len(self.model.languages)))
-
-    def _row(self, word: str) -> int:
-        k = self.memo[word] = len(self.memo)
-        if k == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        get, other = self.model.table.get, self.model.unknown
-        for g in grams(word):
-            got = get(g)
-            self.rows[k] += other if got is None else got
-        return k
+        self.rows = np.zeros((_MEMO, len(self.model.languages)))
+
+    def _learn(self, new: set[str]) -> None:
+        get, other, at, sizes = self.model.place.get, len(self.model.place), [], []
+        for word in new:
+            w = f" {word.lower()} "
+            k = [get(w[i : i + n], other) for n in ORDERS for i in range(len(w) - n + 1)]
+            at += k
+            sizes.append(len(k))
+        first = len(self.memo)
+        if first + len(new) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros((first + len(new), self.rows.shape[1]))])
+        starts = np.cumsum([0, *sizes[:-1]])
+        self.rows[first : first + len(new)] = np.add.reduceat(self.model.table[at], starts)
+        self.memo.update(zip(new, range(first, first + len(new))))
 
     def likelihoods(self, text: str | None) -> tuple[int, np.ndarray]:
         """The number of words, and for each language TRUST times the log-likelihood less the best one's."""
         found = words(text or "")
+        if not found:
+            return 0, np.zeros(len(self.model.languages))
         if len(self.memo) > _MEMO:
             self._clear()
-        memo, miss = self.memo, self._row
-        ids = np.fromiter((memo[w] if w in memo else miss(w) for w in found), np.int64, len(found))
-        k, times = np.unique(ids, return_counts=True)
-        total = TRUST * (times @ self.rows[k]) if len(k) else np.zeros(len(self.model.languages))
-        return len(found), total - total.max(initial=-np.inf) if len(total) else total
+        if new := set(found).difference(self.memo):
+            self._learn(new)
+        total = TRUST * self.rows[list(map(self.memo.__getitem__, found))].sum(axis=0)
+        return len(found), total - total.max()
 
 
 def trained(labelled: DataFrame, limit: int = MAX_TRAIN) -> NgramModel:
