@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, fold_of_value, stored
 from .eliasfano import Trie
 
-ORDER = 2
+ORDER = 3
 FOLDS = 10
 BLOCK_TOKENS = 1_000_000
 SHARD_TOKENS = 2_000_000
@@ -62,6 +62,11 @@ class Hasher:
         return b"".join([memo[w] if w in memo else miss(w) for w in found if w]) + END.to_bytes(8, "little")
 
 
+def _planes(steps: np.ndarray) -> np.ndarray:
+    """64-bit numbers as their first bytes, then their second ones, and so on: what is small compresses well."""
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T)
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     return zstandard.compress(b"".join(a.tobytes() for a in arrays), 1)
 
@@ -149,7 +154,8 @@ class Grams:
             c, g = slice(*self.context_edges[s : s + 2]), slice(*self.gram_edges[s : s + 2])
             words = np.ascontiguousarray(self.word[g].view(np.uint8).reshape(-1, 8)[:, :6])
             head = np.array([c.stop - c.start, g.stop - g.start], np.uint64)
-            yield s, _pack(head, self.context[c], self.successors[c], self.counts[self.by_gram[g]], words)
+            steps = np.diff(self.context[c], prepend=np.uint64(0))  # a shard's contexts are in order
+            yield s, _pack(head, _planes(steps), self.successors[c], self.counts[self.by_gram[g]], np.ascontiguousarray(words.T))
 
     def answered(self, answers: dict[int, tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         """Each token's weight and what its context leaves to the lower order."""
@@ -164,11 +170,12 @@ def _unpacked(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     """contexts, their numbers of successors, the n-grams' training counts, the n-grams' words."""
     raw = zstandard.decompress(payload)
     m, n = (int(x) for x in np.frombuffer(raw, np.uint64, 2))
-    contexts = np.frombuffer(raw, np.uint64, m, 16)
+    steps = np.frombuffer(raw, np.uint8, 8 * m, 16).reshape(8, m)
+    contexts = np.cumsum(np.ascontiguousarray(steps.T).reshape(-1).view(np.uint64), dtype=np.uint64)
     sizes = np.frombuffer(raw, np.uint32, m, 16 + 8 * m)
     counts = np.frombuffer(raw, np.uint32, n, 16 + 12 * m)
     words = np.zeros((n, 8), np.uint8)
-    words[:, :6] = np.frombuffer(raw, np.uint8, 6 * n, 16 + 12 * m + 4 * n).reshape(n, 6)
+    words[:, :6] = np.frombuffer(raw, np.uint8, 6 * n, 16 + 12 * m + 4 * n).reshape(6, n).T
     return contexts, sizes, counts, words.reshape(-1).view(np.uint64)
 
 
@@ -239,11 +246,13 @@ def score(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, block_tokens:
             for i in range(b.num_rows):
                 r = b.slice(i, 1).to_pylist()[0]
                 block = Block(r["held"], r["sizes"], r["words"], r["tokens"])
-                rows = [(s, 1, _pack(block.words[w], counts[w])) for s, w, counts in _unigrams(block, shards)]
-                for n in range(2, order + 1):
-                    rows += [(s, n, p) for s, p in Grams(block, n, shards).requests()]
-                s, o, p = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(o, pa.int32()), pa.array([r["block"]] * len(s)), pa.array(p)], ["shard", "ord", "block", "payload"])
+                for n in range(1, order + 1):
+                    if n == 1:
+                        rows = [(s, _pack(block.words[w], counts[w])) for s, w, counts in _unigrams(block, shards)]
+                    else:
+                        rows = list(Grams(block, n, shards).requests())
+                    s, p = zip(*rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array([n] * len(s), pa.int32()), pa.array([r["block"]] * len(s)), pa.array(p)], ["shard", "ord", "block", "payload"])
 
     asked = held.mapInArrow(ask, "shard int, ord int, block string, payload binary")
     replies = stored(answers(asked, discount), "answers")

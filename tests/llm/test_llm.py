@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from layerwise.llm import eliasfano, jaccard, language, mixing, neighbours, packing, quality, rules, scoring, secrets, toxicity
+from layerwise.llm import eliasfano, jaccard, language, mixing, neighbours, packing, quality, registry, rules, scoring, secrets, toxicity
 from layerwise.llm.graph import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _row long, _size string, score string, want int, _spans string, bits int"
@@ -395,6 +395,14 @@ def test_scores_against_counts(spark, rows, order, block, shard):
     assert scoring.score(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_registered_scores_are_of_trigrams(spark, rows, tmp_path):
+    docs_of(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    scores = lambda df: sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, round(r.score, 4)) for r in df.collect())
+    got = scores(registry.op10_lm_scoring(spark, str(tmp_path)))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert got == scores(scoring.score(docs, order=3)) != scores(scoring.score(docs, order=2))
+
+
 def test_language(spark):
     words = {"en": "the and with house that", "de": "der und nicht haus schön", "fr": "le été dans maison où"}
     r = random.Random(5)
