@@ -3,7 +3,8 @@
 Inner products become angles between unit vectors by one more coordinate. A hash is a fast pseudo-rotation
 (random signs and Hadamard transforms, three times over) and the signed axis nearest to what comes out.
 Each table keeps every class of equal vectors in the bucket of its axis; a query looks into the buckets of
-its `probes` nearest axes, and what it finds is scored in double precision on the original vectors.
+its `probes` nearest axes, and what it finds is scored in double precision on the original vectors. Vectors of
+a width that few have all share one bucket, and a query that found too few is compared with all of its width.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ TABLES = 8
 PROBES = 16
 TOP = 20
 SLICE = 2048  # vectors of a bucket that one task scores at a time
+EXACT = 2048  # up to so many classes of one width are compared with every query
 SEED = 3
 
 
@@ -67,8 +69,11 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists(vector, lambda v: v != 0)
 
 
-def _hashed(lengths: dict[int, tuple[float, float]], tables: int, probes: int, index: bool):
-    """Arrow batches (class, v, dim) -> (class, v, dim, table, axis): the buckets that a class is in, or that a query looks into."""
+def _hashed(lengths: dict[int, tuple[float, float] | None], tables: int, probes: int, index: bool):
+    """Arrow batches (class, v, dim) -> (class, v, dim, table, axis): the buckets that a class is in, or that a query looks into.
+
+    A width without lengths has one bucket.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes: dict[tuple, CrossPolytope] = {}
@@ -76,6 +81,10 @@ def _hashed(lengths: dict[int, tuple[float, float]], tables: int, probes: int, i
             dims = b.column(2).to_numpy()
             for dim in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == dim)
+                if lengths[dim] is None:
+                    only = pa.array(np.zeros(len(at), np.int32))
+                    yield pa.RecordBatch.from_arrays([*(b.column(i).take(pa.array(at)) for i in range(3)), only, only], ["class", "v", "dim", "table", "axis"])
+                    continue
                 x = b.column(1).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), dim)
                 shortest, longest = lengths[dim]
                 norm = np.linalg.norm(x, axis=1, keepdims=True)
@@ -111,37 +120,13 @@ def best_of(queries: np.ndarray, vectors: np.ndarray, keys: np.ndarray, top: int
     return q[rank < top], keys[v][rank < top], score[rank < top]
 
 
-def nearest(vectors: DataFrame, every: int = 20, top: int = TOP, tables: int = TABLES, probes: int = PROBES, key: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """vectors(key, column, ...) -> (query_id, rank, vec_id, score): of each query the `top` nearest found.
-
-    Queries are the rows whose key is divisible by `every`; a query's candidates are all other rows with as
-    many components. Rows whose vector is null, empty, zero, or holds null or non-finite components take no
-    part, nor do rows with a null key. Equal vectors are one class: a class keeps its top + 1 least keys, which
-    is all that a ranking can show of it. Of several rows with one key the one with the least vector counts.
-    Ties go to the smaller key. An empty table gives none.
-    """
-    bounded_batches(vectors.sparkSession)
-    kind = vectors.schema[column].dataType.elementType.simpleString()
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(column).alias("v")).where(F.col("id").isNotNull() & usable(F.col("v"))).groupBy("id").agg(F.min("v").alias("v"))
-    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id")))
-    rows = stored(rows.withColumn("query", F.col("id") % every == 0).where(F.col("query") | (F.col("n") <= top + 1)), "vectors")
-    classes = rows.where(F.col("n") <= top + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
-    classes = stored(classes.select(F.element_at("ids", 1).alias("class"), "v", F.size("v").alias("dim"), "ids", norm.alias("norm")), "vector-classes")
-    spans = classes.groupBy("dim").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi")).collect()  # a row for each width of vectors
-    lengths = {r.dim: (r.lo, r.hi) for r in spans}
-    asked = rows.where("query").join(classes.select("v", "class", "dim"), "v").select("id", "class", "v", "dim")
-    asked = stored(asked, "queries")
-
-    shape = f"class long, v array<{kind}>, dim int, table int, axis int"
-    index = classes.select("class", "v", "dim").mapInArrow(_hashed(lengths, tables, probes, True), shape)
-    probe = asked.select("class", "v", "dim").distinct().mapInArrow(_hashed(lengths, tables, probes, False), shape)
-    index, probe = stored(index, "index"), stored(probe, "probes")
+def _compared(index: DataFrame, probe: DataFrame, n_buckets: int, top: int) -> DataFrame:
+    """index, probe(class, v, dim, table, axis) -> (class, near, score, r): of each class of probe the top + 1 nearest
+    classes of index that share a bucket with it."""
     bucket = ["dim", "table", "axis"]
     # Both sides of a bucket are cut into slices of about SLICE rows; every slice meets every slice of the other side.
     parts = lambda df, name: df.groupBy(bucket).agg(F.ceil(F.count("*") / SLICE).cast("int").alias(name))
     sizes = parts(index, "of_index").join(parts(probe, "of_probe"), bucket)
-    n_buckets = len(lengths) * tables * 4 * max([1, *lengths])
     cut = lambda n: F.pmod(F.xxhash64("class"), F.col(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     sized = lambda df: df.join(small(sizes, n_buckets, 24), bucket)
@@ -162,9 +147,50 @@ def nearest(vectors: DataFrame, every: int = 20, top: int = TOP, tables: int = T
     pairs = left.groupBy(place).cogroup(right.groupBy(place)).applyInPandas(run, "class long, near long, score double")
     pairs = pairs.groupBy("class", "near").agg(F.max("score").alias("score"))
     nearest_first = Window.partitionBy("class").orderBy(F.desc("score"), "near")
-    pairs = pairs.withColumn("r", F.row_number().over(nearest_first)).where(F.col("r") <= top + 1)
-    pairs = stored(pairs.join(classes.select(F.col("class").alias("near"), "ids"), "near").select("class", "score", "ids"), "near-classes")
-    hits = asked.select(F.col("id").alias("query_id"), "class").join(pairs, "class").select("query_id", F.explode("ids").alias("vec_id"), "score")
+    return pairs.withColumn("r", F.row_number().over(nearest_first)).where(F.col("r") <= top + 1)
+
+
+def nearest(vectors: DataFrame, every: int = 20, top: int = TOP, tables: int = TABLES, probes: int = PROBES, key: str = "vec_id", column: str = "embedding", exact: int = EXACT) -> DataFrame:
+    """vectors(key, column, ...) -> (query_id, rank, vec_id, score): of each query the `top` nearest found.
+
+    Queries are the rows whose key is divisible by `every`; a query's candidates are all other rows with as
+    many components, of which it gets `top`, or all if there are fewer. Widths of up to `exact` classes, and
+    queries that hashing leaves short, are compared with every candidate. Rows whose vector is null, empty, zero, or holds null or non-finite components take no
+    part, nor do rows with a null key. Equal vectors are one class: a class keeps its top + 1 least keys, which
+    is all that a ranking can show of it. Of several rows with one key the one with the least vector counts.
+    Ties go to the smaller key. An empty table gives none.
+    """
+    bounded_batches(vectors.sparkSession)
+    kind = vectors.schema[column].dataType.elementType.simpleString()
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(column).alias("v")).where(F.col("id").isNotNull() & usable(F.col("v"))).groupBy("id").agg(F.min("v").alias("v"))
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id")))
+    rows = stored(rows.withColumn("query", F.col("id") % every == 0).where(F.col("query") | (F.col("n") <= top + 1)), "vectors")
+    classes = rows.where(F.col("n") <= top + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
+    classes = stored(classes.select(F.element_at("ids", 1).alias("class"), "v", F.size("v").alias("dim"), "ids", norm.alias("norm")), "vector-classes")
+    spans = classes.groupBy("dim").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi"), F.count("*").alias("n"), F.sum(F.size("ids")).alias("rows")).collect()  # a row for each width of vectors
+    lengths = {r.dim: (r.lo, r.hi) if r.n > exact else None for r in spans}
+    asked = rows.where("query").join(classes.select("v", "class", "dim"), "v").select("id", "class", "v", "dim")
+    asked = stored(asked, "queries")
+
+    shape = f"class long, v array<{kind}>, dim int, table int, axis int"
+    index = classes.select("class", "v", "dim").mapInArrow(_hashed(lengths, tables, probes, True), shape)
+    probe = asked.select("class", "v", "dim").distinct().mapInArrow(_hashed(lengths, tables, probes, False), shape)
+    index, probe = stored(index, "index"), stored(probe, "probes")
+    n_buckets = len(lengths) * tables * 4 * max([1, *lengths])
+    found = stored(_compared(index, probe, n_buckets, top).join(classes.select(F.col("class").alias("near"), "ids"), "near").select("class", "score", "ids"), "near-classes")
+
+    # A class has its top + 1 least keys at most, so `rows` tells how many candidates there are up to `top`.
+    due = F.coalesce(*[F.when(F.col("dim") == r.dim, min(top, r.rows - 1)) for r in spans], F.lit(0))
+    own = asked.select(F.col("id").alias("query_id"), "class").join(found, "class").groupBy("query_id").agg(F.sum(F.size("ids") - F.array_contains("ids", F.col("query_id")).cast("int")).alias("got"))
+    short = asked.join(own, asked["id"] == own["query_id"], "left").where(F.coalesce("got", F.lit(0)) < due).select("class", "v", "dim").distinct()
+    short = stored(short, "short-queries")
+    if not short.isEmpty():
+        whole = lambda df: df.select("class", "v", "dim", F.lit(0).alias("table"), F.lit(0).alias("axis"))
+        wide = classes.join(F.broadcast(short.select("dim").distinct()), "dim")  # a row for each width of vectors
+        more = _compared(whole(wide), whole(short), len(lengths), top).join(classes.select(F.col("class").alias("near"), "ids"), "near").select("class", "score", "ids")
+        found = stored(found.join(short.select("class"), "class", "left_anti").unionByName(more), "near-classes")
+    hits = asked.select(F.col("id").alias("query_id"), "class").join(found, "class").select("query_id", F.explode("ids").alias("vec_id"), "score")
     hits = hits.where("query_id <> vec_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

@@ -345,6 +345,22 @@ def test_neighbours(spark):
     assert neighbours.nearest(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("exact", [neighbours.EXACT, 0])
+def test_neighbours_of_small_tables(spark, exact):
+    for n in (1, 5, 21, 40, 100):
+        vectors = np.random.default_rng(n).normal(size=(n, 64))
+        vectors = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
+        frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+        got = defaultdict(list)
+        for x in neighbours.nearest(frame, every=5, exact=exact).orderBy("query_id", "rank").collect():
+            got[x.query_id].append(x.vec_id)
+        scores = vectors.astype(float) @ vectors.astype(float).T
+        want = {q: sorted((i for i in range(n) if i != q), key=lambda i: (-scores[q, i], i))[:20] for q in range(0, n, 5) if n > 1}
+        assert {q: len(x) for q, x in got.items()} == {q: len(x) for q, x in want.items()}
+        if exact or n <= 21:
+            assert got == want
+
+
 def test_elias_fano():
     r = np.random.default_rng(1)
     for n, top in ((0, 9), (1, 0), (1, 5), (500, 600), (1000, 1 << 62), (3000, 10_000)):
