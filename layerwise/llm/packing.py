@@ -1,7 +1,9 @@
 """Lexical retrieval packing: documents go into fixed windows beside their BM25 neighbours.
 
 Texts are tokenised once and kept as ids in the shared folder. Documents are dealt into shards of about
-SHARD_TOKENS ids. Each shard has an inverted index of its documents' words; document frequencies come from the
+SHARD_TOKENS ids by what they say: a tree of halving cuts, learned from a sample, sorts vectors of weighted words
+into leaves, and near copies (by MinHash) go where the first of them goes. Leaves that are too big are dealt
+by groups of near copies, and groups that are too big by hashes. Each shard has an inverted index of its documents' words; document frequencies come from the
 whole corpus, over hashed words, and so have a fixed size. A window starts with a seed document; what is left
 of it is filled by the seed's best unused neighbours, then by the next unused documents. The document that
 meets the window's end is cut there, and its rest is the next window's seed. Only the last window of a shard
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stored
+from .common import bounded_batches, small, stored
 
 TOKENIZER = "word_bpe_49k.json"
 WINDOW = 4096
@@ -30,6 +32,11 @@ END = 2
 TERMS = 1 << 18  # hashed words
 SHARD_TOKENS = 600_000
 K1, B = 1.2, 0.75
+SAMPLE = 1 << 16  # documents that the tree is learned from
+LEAVES = 1 << 14
+DIMENSIONS = 64
+COPY_KEYS, KEY_HASHES = 6, 3  # near copies share a key of so many MinHashes: of Jaccard 0.8 98.6 %, of 0.1 0.6 %
+_PARTS = 1 << 14  # of a leaf, and of a group of near copies
 _MEMO = 600_000
 _SEQUENCES = 1 << 20  # ids of sequences in a shard
 
@@ -111,8 +118,24 @@ def terms(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(((word * np.uint64(0x94D049BB133111EB)) >> np.uint64(46)).astype(np.int32), return_counts=True)
 
 
+_FACTORS = np.random.default_rng(11).integers(1, 1 << 63, (COPY_KEYS * KEY_HASHES, 1), dtype=np.uint64) | np.uint64(1)
+
+
+def copy_keys(words: np.ndarray) -> np.ndarray:
+    """Keys that near copies share, from a document's hashed words."""
+    if not len(words):
+        return np.zeros(COPY_KEYS, np.int64)
+    h = (words.astype(np.uint64) + np.uint64(1)) * _FACTORS
+    h = ((h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)).min(axis=1).reshape(COPY_KEYS, KEY_HASHES)
+    key = np.arange(COPY_KEYS, dtype=np.uint64)
+    for i in range(KEY_HASHES):
+        key = (key ^ h[:, i]) * np.uint64(0xBF58476D1CE4E5B9)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
 def tokenised(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, order, n, ids, terms, counts) of every row; order is a hash of doc_id and text, terms are differences."""
+    """(doc_id, order, n, ids, terms, counts, keys) of every row; order is a hash of doc_id and text, terms are differences."""
     chosen = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("order"), "text")
     kind = chosen.schema["doc_id"].dataType.simpleString()
 
@@ -124,9 +147,10 @@ def tokenised(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             found = [terms(np.frombuffer(x, one.kind), one.ends) for x in ids]
             steps = pa.array([np.diff(t, prepend=np.int32(0)).tobytes() for t, _ in found], pa.binary())
             counts = pa.array([c.astype(np.int32).tobytes() for _, c in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes), pa.array(ids, pa.binary()), steps, counts], ["doc_id", "order", "n", "ids", "terms", "counts"])
+            keys = pa.array([copy_keys(t) for t, _ in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes), pa.array(ids, pa.binary()), steps, counts, keys], ["doc_id", "order", "n", "ids", "terms", "counts", "keys"])
 
-    return chosen.mapInArrow(run, f"doc_id {kind}, order long, n long, ids binary, terms binary, counts binary")
+    return chosen.mapInArrow(run, f"doc_id {kind}, order long, n long, ids binary, terms binary, counts binary, keys array<long>")
 
 
 def unpacked_terms(steps: bytes) -> np.ndarray:
@@ -151,6 +175,103 @@ def document_frequencies(rows: DataFrame) -> np.ndarray:
     return freq
 
 
+@lru_cache(1)
+def _signs() -> np.ndarray:
+    return np.random.default_rng(12).integers(0, 2, (TERMS, DIMENSIONS), dtype=np.int8) * np.int8(2) - np.int8(1)
+
+
+def vector(words: np.ndarray, counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """A unit vector of a document's words, each with its weight and BM25's saturation; 0 without such words."""
+    w = weights[words] * (counts * (K1 + 1) / (counts + K1))
+    v = (w @ _signs()[words].astype(np.float32)).astype(np.float32)
+    return v / max(float(np.linalg.norm(v)), 1e-9)
+
+
+class Tree:
+    """Halving cuts, each between two means, that deal the sampled vectors into `leaves` leaves of like sizes."""
+
+    def __init__(self, sample: np.ndarray, leaves: int) -> None:
+        self.directions, self.cuts, self.below = [], [], []
+        self.leaves = 0
+        self._grow(sample, leaves)
+        self.directions = np.array(self.directions, np.float32).reshape(-1, DIMENSIONS)
+        self.cuts, self.below = np.array(self.cuts, np.float32), np.array(self.below, np.int64).reshape(-1, 2)
+
+    def _grow(self, x: np.ndarray, leaves: int) -> int:
+        """The node's number; of a leaf -1 - the leaf's number."""
+        if leaves < 2 or len(x) < 2:
+            self.leaves += 1
+            return -self.leaves
+        some = x[:: max(1, len(x) // 1024)]
+        along = np.linalg.eigh(np.cov(some.T.astype(np.float64)))[1][:, -1]
+        for _ in range(4):
+            side = some @ along > np.median(some @ along)
+            if side.all() or not side.any():
+                break
+            along = some[side].mean(axis=0) - some[~side].mean(axis=0)
+        at = x @ along.astype(np.float32)
+        left = leaves // 2
+        cut = np.partition(at, len(x) * left // leaves)[len(x) * left // leaves]
+        below = at < cut
+        node = len(self.cuts)
+        self.directions.append(along), self.cuts.append(cut), self.below.append((0, 0))
+        self.below[node] = self._grow(x[below], left), self._grow(x[~below], leaves - left)
+        return node
+
+    def leaf(self, x: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(x), np.int64) if len(self.cuts) else np.full(len(x), -1)
+        while (todo := np.flatnonzero(node >= 0)).size:
+            n = node[todo]
+            node[todo] = self.below[n, ((x[todo] * self.directions[n]).sum(axis=1) >= self.cuts[n]).astype(np.int64)]
+        return -1 - node
+
+
+def dealt(rows: DataFrame, freq: np.ndarray, idf: np.ndarray, n: int, shards: int, shard_tokens: int) -> DataFrame:
+    """(order, shard) of every order in rows."""
+    spark = rows.sparkSession
+    weights = spark.sparkContext.broadcast(np.where(freq > 1, idf, 0).astype(np.float32))  # a word of one document links nothing
+    docs = rows.select("order", "n", "terms", "counts")
+
+    def vectors(b: pa.RecordBatch) -> np.ndarray:
+        pairs = zip(b.column(2).to_pylist(), b.column(3).to_pylist())
+        return np.array([vector(unpacked_terms(t), np.frombuffer(c, np.int32), weights.value) for t, c in pairs], np.float32).reshape(-1, DIMENSIONS)
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.round(v * 127).astype(np.int8).tobytes() for v in vectors(b)], pa.binary())], ["order", "v"])
+
+    step = -(-n // SAMPLE)
+    sample = docs.where(F.pmod(F.xxhash64("order"), F.lit(step)) == 0).mapInArrow(sampled, "order long, v binary").orderBy("order").toPandas()  # about SAMPLE rows at most
+    tree = Tree(np.array([np.frombuffer(v, np.int8) for v in sample["v"]], np.float32).reshape(-1, DIMENSIONS) / 127, min(shards, LEAVES))
+    shared = spark.sparkContext.broadcast(tree)  # at most LEAVES cuts
+
+    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(shared.value.leaf(vectors(b)))], ["order", "n", "leaf"])
+
+    placed = docs.mapInArrow(leaves, "order long, n long, leaf long").groupBy("order").agg(F.sum("n").alias("n"), F.min("leaf").alias("leaf"))
+    placed = stored(placed, "leaves")
+    keyed = rows.select("order", F.explode("keys").alias("key"))
+    first = keyed.groupBy("key").agg(F.min("order").alias("lead"), F.count("*").alias("of")).where("of > 1").select("key", "lead")
+    led = keyed.join(first, "key").groupBy("order").agg(F.min("lead").alias("lead")).where("lead < order")
+    led = stored(led, "leads")
+    while True:  # a lead that has a lead itself gives way to it, so that all who are linked to the last one meet
+        up = led.select(F.col("order").alias("lead"), F.col("lead").alias("top"))
+        jumped = stored(led.join(up, "lead", "left").select("order", F.coalesce("top", "lead").alias("lead"), F.col("top").isNotNull().alias("moved")), "leads")
+        led = jumped.select("order", "lead")
+        if jumped.where("moved").isEmpty():
+            break
+    moved = led.join(placed.select(F.col("order").alias("lead"), F.col("leaf").alias("lead_leaf")), "lead")
+    placed = placed.join(moved, "order", "left").select("order", "n", F.coalesce("lead_leaf", "leaf").alias("leaf"), F.coalesce("lead", "order").alias("lead"))
+    placed = stored(placed, "led-leaves")
+    # A leaf, or a part of one, of more than two shards' ids is cut; both tables have about a row a shard.
+    parts = lambda df, by, name: df.groupBy(*by).agg(F.sum("n").alias("all")).select(*by, F.when(F.col("all") > 2 * shard_tokens, F.least(F.ceil(F.col("all") / shard_tokens), F.lit(_PARTS))).otherwise(1).cast("long").alias(name))
+    placed = placed.join(small(parts(placed, ["leaf"], "of_leaf"), tree.leaves, 24), "leaf")
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("lead"), F.col("of_leaf")))
+    placed = placed.join(small(parts(placed, ["leaf", "part"], "of_part"), 2 * shards + tree.leaves, 32), ["leaf", "part"])
+    return placed.select("order", ((F.col("leaf") * _PARTS + F.col("part")) * _PARTS + F.pmod(F.xxhash64("order"), F.col("of_part"))).alias("shard"))
+
+
 class Index:
     """BM25 over one shard's documents, with the corpus's document frequencies."""
 
@@ -232,17 +353,18 @@ def packed(docs: DataFrame, window: int = WINDOW, tokenizer: str = TOKENIZER, sh
     freq = document_frequencies(rows)
     idf = np.maximum(0, np.log((n - freq + 0.5) / (freq + 0.5))).astype(np.float32)
     shared = docs.sparkSession.sparkContext.broadcast(idf)  # TERMS numbers, whatever the corpus
-    kind, id_kind = rows.schema["doc_id"].dataType.simpleString(), encoder(tokenizer).kind
+    kind, id_kind, ends = rows.schema["doc_id"].dataType.simpleString(), encoder(tokenizer).kind, encoder(tokenizer).ends
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["order", "doc_id"], kind="stable", ignore_index=True)
         ids = [np.frombuffer(x, id_kind) for x in rows["ids"]]
-        index = Index([(unpacked_terms(t), np.frombuffer(c, np.int32)) for t, c in zip(rows["terms"], rows["counts"])], shared.value)
+        index = Index([terms(x, ends) for x in ids], shared.value)  # cheaper than to shuffle them
         out = []
         for d, start, length, sequence, offset in pack([len(x) for x in ids], index, window):
             crc = zlib.crc32(ids[d][start : start + length].astype("<u4").tobytes())
             out.append((rows["doc_id"].iat[d], start, length, crc, len(ids[d]), int(key[0]) * _SEQUENCES + sequence, offset))
         return pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    dealt = rows.select("doc_id", "order", "ids", "terms", "counts", F.pmod("order", F.lit(shards)).alias("shard"))
-    return dealt.groupBy("shard").applyInPandas(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    chosen = rows.select("doc_id", "order", "ids")
+    chosen = chosen.join(dealt(rows, freq, idf, n, shards, shard_tokens), "order") if shards > 1 else chosen.withColumn("shard", F.lit(0).cast("long"))
+    return chosen.groupBy("shard").applyInPandas(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

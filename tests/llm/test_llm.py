@@ -210,6 +210,29 @@ def test_packing_round_trip(spark, rows):
     assert packing.packed(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_packing_brings_near_copies_together(spark):
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(4000)]
+    said = [[r.choice(words) for _ in range(60)] for _ in range(1500)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(said)]
+    for i in range(40):  # near copies
+        w = list(said[i * 7])
+        w[30] = "changed"
+        rows.append((5000 + i * 7, " ".join(w)))
+    rows += [(10_000 + i, "the same words in many hot copies " * 8) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    pieces = packing.packed(docs, window=1024, shard_tokens=20_000).collect()
+    at = defaultdict(set)
+    held = Counter()
+    for p in pieces:
+        at[p.doc_id].add(p.sequence_id)
+        held[p.sequence_id // packing._SEQUENCES] += p.length
+    assert len(held) > 10 and max(held.values()) < 60_000 and sum(held.values()) == sum({p.doc_id: p.doc_tokens for p in pieces}.values())
+    # A window's end may come between the two.
+    near = lambda a, b: min(abs(x - y) for x in at[a] for y in at[b]) <= 1
+    assert sum(near(i * 7, 5000 + i * 7) for i in range(40)) >= 36
+
+
 def test_encoder_is_the_tokenizer():
     one, r = packing.Encoder(), random.Random(7)
     alphabet = "abcXYZ éÉßñÀÿ×÷µªº0129'’\"#$%&<|>\t\n\u0301İΣσςﬁ١中!.,;-_"
