@@ -23,7 +23,7 @@ from .common import bounded_batches, fold_of, small, stored, words
 
 FOLDS = 5
 MAX_TRAIN = 4000  # labelled texts that fit the n-gram model
-ORDERS = (2, 3)
+ORDERS = (1, 2, 3)
 TRUST = 0.2  # n-grams overlap and words repeat, so each counts for less than an independent observation
 WEIGHT = 5.0  # rows that the wider prior counts for
 _MEMO = 200_000

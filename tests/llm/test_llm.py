@@ -468,6 +468,12 @@ def test_language(spark):
     assert language.fused(frame, language.NgramModel({}), ["doc_id"]).where("lang is not null").count() == 0
 
 
+def test_language_counts_single_characters():
+    assert list(language.grams("Ab")) == [" ", "a", "b", " ", " a", "ab", "b ", " ab", "ab "]
+    model = language.NgramModel({"a": Counter(language.grams("ß")), "b": Counter(language.grams("z"))})
+    assert language.Scorer(model).likelihoods("xßy")[1][0] == 0 > language.Scorer(model).likelihoods("xßy")[1][1]  # only the character is known
+
+
 def test_language_parts():
     assert language.address("https://u:p@WWW.Example.co.uk:8080/x") == ("www.example.co.uk", "co.uk", "uk")
     assert language.address("no host") == (None, None, None) == language.address(None)
