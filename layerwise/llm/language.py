@@ -30,6 +30,21 @@ _MEMO = 200_000
 _HIDDEN = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
 _DECLARED = re.compile(r"""(?is)<html\b[^>]*?\b(?:xml:)?lang\s*=\s*["']?([a-z]+)|<meta\b[^>]*?content-language[^>]*?content\s*=\s*["']?([a-z]+)""")
 _HOST = re.compile(r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
+# Three-letter codes (ISO 639-2 and 639-3) of languages that have a two-letter one.
+_ALIASES = {
+    "eng": "en", "deu": "de", "ger": "de", "fra": "fr", "fre": "fr", "spa": "es", "ita": "it", "por": "pt", "nld": "nl", "dut": "nl",
+    "swe": "sv", "dan": "da", "nor": "no", "fin": "fi", "pol": "pl", "ces": "cs", "cze": "cs", "rus": "ru", "tur": "tr", "ell": "el", "gre": "el",
+}
+
+
+def declared_language(page: str | None, known: set[str]) -> str | None:
+    """The language that a page's markup declares, by its whole primary subtag; `other` if it isn't known."""
+    m = _DECLARED.search(page or "")
+    if not m:
+        return None
+    said = (m[1] or m[2]).lower()
+    said = said if said in known else _ALIASES.get(said)
+    return said if said in known else "other"
 
 
 def grams(word: str) -> Iterator[str]:
@@ -143,9 +158,7 @@ def evidence(rows: DataFrame, model: NgramModel, keys: list[str]) -> DataFrame:
             ll = []
             for text, page, url in zip(*(b.column(n + i).to_pylist() for i in range(3))):
                 count, x = scorer.likelihoods(text if page is None else visible(page))
-                m = _DECLARED.search(page or "")
-                said = (m[1] or m[2]).lower()[:2] if m else None
-                for column, value in zip(out, (count, said if said is None or said in known else "other", *address(url))):
+                for column, value in zip(out, (count, declared_language(page, known), *address(url))):
                     column.append(value)
                 ll.append(x)
             ll_columns = np.array(ll).reshape(len(ll), len(lls)).T

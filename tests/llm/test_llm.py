@@ -474,6 +474,13 @@ def test_language_counts_single_characters():
     assert language.Scorer(model).likelihoods("xßy")[1][0] == 0 > language.Scorer(model).likelihoods("xßy")[1][1]  # only the character is known
 
 
+def test_declared_language_is_the_whole_subtag(spark):
+    model = language.NgramModel({x: Counter(language.grams(x)) for x in ("de", "en", "es", "fr")})
+    said = {"frr": "other", "frp": "other", "est": "other", "enm": "other", "deu": "de", "ger": "de", "ENG-gb": "en", "spa": "es", "fr-CA": "fr", "es_MX": "es"}
+    frame = spark.createDataFrame([(x, None, f'<html lang="{x}">', None) for x in said], "k string, text string, html string, url string")
+    assert {r.k: r.declared for r in language.evidence(frame, model, ["k"]).collect()} == said
+
+
 def test_language_parts():
     assert language.address("https://u:p@WWW.Example.co.uk:8080/x") == ("www.example.co.uk", "co.uk", "uk")
     assert language.address("no host") == (None, None, None) == language.address(None)
