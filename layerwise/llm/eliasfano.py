@@ -54,8 +54,8 @@ class EliasFano:
         ones = np.flatnonzero(np.unpackbits(np.asarray(self.high), bitorder="little"))[: self.n]
         return (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits) | self.lows(np.arange(self.n))
 
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """The place of each x in the sequence (of distinct numbers), -1 where it isn't there.
+    def find(self, x: np.ndarray, first: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
+        """The place of each x in the sequence (of distinct numbers), from `first` on and before `end`; -1 where it isn't there.
 
         The high part of x names a run of places, about one on average but many where numbers are dense; it is
         searched by halves.
@@ -72,13 +72,15 @@ class EliasFano:
         inside = np.flatnonzero(high < len(self._first) - 1)
         want = low[inside]
         at, stop = self._first[high[inside]].astype(np.int64), self._first[high[inside] + 1].astype(np.int64)
-        end = stop.copy()
+        if first is not None:
+            at, stop = np.maximum(at, first[inside]), np.minimum(stop, end[inside])
+        limit = stop.copy()
         while (todo := np.flatnonzero(at < stop)).size:  # the first place in the run that isn't below x
             middle = (at[todo] + stop[todo]) // 2
             below = self.lows(middle) < want[todo]
             at[todo[below]] = middle[below] + 1
             stop[todo[~below]] = middle[~below]
-        some = np.flatnonzero(at < end)
+        some = np.flatnonzero(at < limit)
         hit = some[self.lows(at[some]) == want[some]]
         out[inside[hit]] = at[hit]
         return out
@@ -148,7 +150,9 @@ class Trie:
         back = np.where(place >= 0, self.back_codes[np.maximum(place, 0)], 0) if self.contexts.n else np.zeros(len(contexts), np.uint8)
         rank = self.words.find(words)
         known = np.flatnonzero((place[owner] >= 0) & (rank >= 0))
-        at = self.successors.find(place[owner[known]].astype(np.uint64) * np.uint64(self.n_words) + rank[known].astype(np.uint64))
+        above, pointers = place[owner[known]], self.pointers.values().astype(np.int64)
+        numbers = above.astype(np.uint64) * np.uint64(self.n_words) + rank[known].astype(np.uint64)
+        at = self.successors.find(numbers, pointers[above], pointers[above + 1])
         weight = np.zeros(len(words), np.uint8)
         weight[known[at >= 0]] = self.weight_codes[at[at >= 0]]
         return weight, back.astype(np.uint8)

@@ -395,6 +395,19 @@ def test_elias_fano():
         assert e.find(asked).tolist() == [want.get(int(x), -1) for x in asked]
 
 
+def test_trie_follows_its_pointers():
+    r = np.random.default_rng(4)
+    contexts, words = np.arange(50, dtype=np.uint64) * np.uint64(1 << 50), np.arange(80, dtype=np.uint64) * np.uint64(1 << 40)
+    numbers = np.unique(r.integers(0, 50 * 80, 900))
+    weight = r.uniform(-5, 0, len(numbers))
+    trie = eliasfano.Trie(contexts, words, numbers // 80, numbers % 80, weight, r.uniform(-5, 0, 50))
+    owner, word = np.divmod(np.arange(50 * 80), 80)
+    got, _ = trie.query(contexts, owner, words[word])
+    assert np.flatnonzero(got).tolist() == numbers.tolist() and (got[numbers] == trie.weights.codes(weight)).all()
+    trie.pointers = eliasfano.EliasFano.encode(np.zeros(51, np.uint64))  # no context has successors
+    assert not trie.query(contexts, owner, words[word])[0].any()
+
+
 @pytest.mark.parametrize(("order", "block", "shard"), [(2, 10**6, 10**6), (3, 700, 900)])
 def test_scores_against_counts(spark, rows, order, block, shard):
     rows = [x for x in rows if x[0] != 504] + [(800 + i, x[1].upper(), "s") for i, x in enumerate(rows[:20])]
