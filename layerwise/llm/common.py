@@ -71,8 +71,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def row_key(docs: DataFrame) -> Column:
-    """A hash of doc_id and text by which a row is found again in a later pass; equal rows share it."""
-    return F.xxhash64(docs["doc_id"], docs["text"])
+    """128 bits of doc_id and text by which a row is found again in a later pass; equal rows share them.
+
+    A null is told from an empty text by a mark before each value.
+    """
+    part = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-"))
+    return F.unhex(F.md5(F.concat(part(docs["doc_id"]), F.lit("\n"), part(docs["text"]))))
 
 
 def packed_row(df: DataFrame) -> Column:

@@ -2,9 +2,10 @@
 
 Rows with equal n-gram sets are one class (copies). Band hashes of the classes are shuffled; classes that
 share a bucket are candidates. Candidates that hang together form a neighbourhood, inside which every pair
-is compared on its full n-gram sets, by products of 0/1 matrices. A neighbourhood over BLOCK classes is cut
-into blocks and compared block by block, so no task holds more than two blocks. What leaves a task is a row
-for each class: its number of links and one class that it is connected to, never the pairs.
+is compared on its full n-gram sets, by products of 0/1 matrices. A neighbourhood over BLOCK classes or
+BLOCK_GRAMS n-grams is cut into blocks. A block is one row, linked inside first, which leaves it a few roots;
+then every two blocks meet in a task, which says how many links each class got there, as one array a block,
+and names one edge for each root that it joins to others, never the pairs.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ N = 5
 SIMILARITY = 0.8
 ROWS = 8
 RECALL = 0.999  # wanted of pairs at exactly SIMILARITY
-BLOCK = 500
+BLOCK = 1000
+BLOCK_GRAMS = 1_000_000
 _MEMO = 300_000
 _MAX = np.uint32(0xFFFFFFFF)
 
@@ -90,28 +92,41 @@ class MinHash:
         return (h ^ (h >> np.uint64(29))).view(np.int64)
 
 
-def similar(sets: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
-    """Boolean matrix: whether two sets' Jaccard similarity is at least `similarity`; an empty set is like no other."""
+def overlaps(sets: list[np.ndarray], split: int | None = None) -> np.ndarray:
+    """Sizes of the intersections of all sets; with `split`, of those before it (rows) with those from it on."""
     m = len(sets)
+    rows, cols = (slice(0, split), slice(split, m)) if split else (slice(0, m), slice(0, m))
+    inter = np.zeros((rows.stop - rows.start, cols.stop - cols.start))
+    owner = np.repeat(np.arange(m), [len(s) for s in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[column] > 1  # what one set alone has adds to no intersection
+    owner, column = owner[shared], np.cumsum(times > 1)[column[shared]] - 1
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        lo, hi = np.searchsorted(column, [start, start + 4096])
+        x = np.zeros((m, int(column[hi - 1]) - start + 1), np.float32)
+        x[owner[lo:hi], column[lo:hi] - start] = 1
+        inter += x[rows] @ x[cols].T
+    return inter
+
+
+def similar(sets: list[np.ndarray], similarity: float = SIMILARITY, split: int | None = None) -> np.ndarray:
+    """Boolean matrix: whether two sets' Jaccard similarity is at least `similarity`; an empty set is like no other.
+
+    With `split`, those before it are the rows and those from it on the columns.
+    """
     sizes = np.array([len(s) for s in sets], np.float64)
-    if m == 2:
+    if len(sets) == 2 and not split:
         inter = np.zeros((2, 2))
         inter[0, 1] = inter[1, 0] = len(np.intersect1d(*sets, assume_unique=True))
     else:
-        owner = np.repeat(np.arange(m), [len(s) for s in sets])
-        _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        shared = times[column] > 1  # what one set alone has adds to no intersection
-        owner, column = owner[shared], np.cumsum(times > 1)[column[shared]] - 1
-        inter, order = np.zeros((m, m)), np.argsort(column, kind="stable")
-        owner, column = owner[order], column[order]
-        for start in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
-            lo, hi = np.searchsorted(column, [start, start + 4096])
-            x = np.zeros((m, 4096), np.float32)
-            x[owner[lo:hi], column[lo:hi] - start] = 1
-            inter += x @ x.T
-    out = inter * (1 + similarity) >= similarity * (sizes[:, None] + sizes[None]) - 1e-9
-    out &= (sizes[:, None] > 0) & (sizes[None] > 0)
-    np.fill_diagonal(out, False)
+        inter = overlaps(sets, split)
+    a, b = (sizes[:split, None], sizes[None, split:]) if split else (sizes[:, None], sizes[None])
+    out = inter * (1 + similarity) >= similarity * (a + b) - 1e-9
+    out &= (a > 0) & (b > 0)
+    if not split:
+        np.fill_diagonal(out, False)
     return out
 
 
@@ -128,7 +143,7 @@ def connected(links: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(_row, doc_id, class, node, bands) of every row; _row tells different rows apart, node is half of class."""
+    """(_row, doc_id, class, node, grams, bands) of every row; _row tells different rows apart, node is half of class, grams the set's size."""
     bounded_batches(docs.sparkSession)
     bands = bands_for(similarity)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -136,48 +151,97 @@ def signatures(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, minhash = Shingler(), MinHash(bands)
         for b in batches:
-            keys, nodes, out = [], [], []
+            keys, nodes, grams, out = [], [], [], []
             for text in b.column(2).to_pylist():
                 s = shingler.shingles(text)
                 digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 keys.append(digest)
                 nodes.append(int.from_bytes(digest[:8], "little", signed=True))
+                grams.append(len(s))
                 out.append(minhash.signature(s))
             flat = pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))
             ends = pa.array(np.cumsum([0, *map(len, out)]), pa.int32())
-            arrays = [b.column(0), b.column(1), pa.array(keys, pa.binary()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(ends, flat)]
-            yield pa.RecordBatch.from_arrays(arrays, ["_row", "doc_id", "class", "node", "bands"])
+            arrays = [b.column(0), b.column(1), pa.array(keys, pa.binary()), pa.array(nodes, pa.int64()), pa.array(grams, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(ends, flat)], ["_row", "doc_id", "class", "node", "grams", "bands"])
 
     rows = docs.select(row_key(docs).alias("_row"), "doc_id", "text")
-    return rows.mapInArrow(run, f"_row long, doc_id {kind}, class binary, node long, bands array<long>")
+    return rows.mapInArrow(run, f"_row binary, doc_id {kind}, class binary, node long, grams long, bands array<long>")
+
+
+_BLOCK = "component long, own int, n int, nodes binary, sizes binary, copies binary, sets binary, links binary, roots binary"
+
+
+def _linked(rows: pd.DataFrame, shingler: Shingler, similarity: float) -> tuple[list[np.ndarray], pd.DataFrame]:
+    """The n-gram sets of some classes, and (node, links, root) as far as they are linked among themselves."""
+    sets = [shingler.shingles(t) for t in rows["text"]]
+    like = similar(sets, similarity)
+    nodes = rows["node"].to_numpy()
+    return sets, pd.DataFrame({"node": nodes, "links": like @ rows["copies"].to_numpy(np.int64), "root": nodes[connected(like)]})
+
+
+def _unpacked_block(r: pd.Series) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """A block's sets, its classes' numbers of copies and their roots."""
+    sizes = np.frombuffer(r["sizes"], np.int64)
+    return np.split(np.frombuffer(r["sets"], np.uint64), np.cumsum(sizes)[:-1]), np.frombuffer(r["copies"], np.int64), np.frombuffer(r["roots"], np.int64)
 
 
-def compared(texts: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """texts(node, copies, text, component, size) -> (node, links, root), some rows a node.
+def compared(texts: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK, block_grams: int = BLOCK_GRAMS) -> tuple[DataFrame, DataFrame]:
+    """texts(node, copies, text, component, size, all_grams), a row a node -> (node, links, root) and (u, v).
 
-    links: rows whose n-gram sets are like the node's, found in one task; root: a node that it is connected to.
+    links: rows whose n-gram sets are like the node's; root: a node of its block that it is connected to, by
+    links inside the block. (u, v): edges between roots of different blocks, fewer a task than its two blocks
+    have roots.
     """
-    spare = texts.where(F.col("size") <= block)
-    batches = max(1, spare.select("node").count() // block)
-    n = F.ceil(F.col("size") / block).cast("int")
-    own = F.pmod(F.xxhash64("node", F.lit(1)), n).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
-    few = spare.select("node", "copies", "text", "component", F.lit(0).alias("own"), F.pmod(F.xxhash64("component"), F.lit(batches)).alias("task"), F.lit(-1).alias("i"), F.lit(-1).alias("j"))
-    many = texts.where(F.col("size") > block).select("node", "copies", "text", "component", own.alias("own"), F.explode(pairs).alias("p"))
-    many = many.select("node", "copies", "text", "component", "own", F.col("component").alias("task"), "p.i", "p.j")
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        shingler, found = Shingler(), []
-        for _, group in rows.drop_duplicates("node").sort_values("node").groupby("component"):
-            like = similar([shingler.shingles(t) for t in group["text"]], similarity)
-            if key[1] != key[2]:  # two blocks: only what lies across
-                at = group["own"].to_numpy()
-                like &= at[:, None] != at[None]
-            nodes = group["node"].to_numpy()
-            found.append(pd.DataFrame({"node": nodes, "links": like @ group["copies"].to_numpy(), "root": nodes[connected(like)]}))
-        return pd.concat(found) if found else pd.DataFrame({"node": [], "links": [], "root": []})
-
-    return few.unionByName(many).groupBy("task", "i", "j").applyInPandas(run, "node long, links long, root long")
+    blocks = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("all_grams") / block_grams)).cast("int")
+    sized = texts.withColumn("n", blocks)
+    few, many = sized.where(F.col("n") <= 1), sized.where(F.col("n") > 1)
+    load = few.agg(F.count("*"), F.sum(F.col("all_grams") / F.col("size"))).first()
+    batches = max(1, int(load[0] // block), int((load[1] or 0) // block_grams))
+
+    def inside(rows: pd.DataFrame) -> pd.DataFrame:
+        shingler = Shingler()
+        return pd.concat([_linked(g, shingler, similarity)[1] for _, g in rows.sort_values("node").groupby("component")])
+
+    def packed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("node")
+        sets, found = _linked(rows, Shingler(), similarity)
+        raw = lambda x, kind: np.asarray(x, kind).tobytes()
+        row = (key[0], key[1], int(rows["n"].iat[0]), raw(rows["node"], np.int64), raw([len(s) for s in sets], np.int64), raw(rows["copies"], np.int64))
+        return pd.DataFrame([(*row, np.concatenate(sets).tobytes(), raw(found["links"], np.int64), raw(found["root"], np.int64))], columns=_BLOCK.replace(",", "").split()[::2])
+
+    small_ones = few.select("node", "copies", "text", "component").groupBy(F.pmod(F.xxhash64("component"), F.lit(batches))).applyInPandas(inside, "node long, links long, root long")
+    own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("n")).cast("int").alias("own")
+    cut = stored(many.select("node", "copies", "text", "component", "n", own).groupBy("component", "own").applyInPandas(packed, _BLOCK), "blocks")
+
+    def across(key: tuple, pair: pd.DataFrame) -> pd.DataFrame:
+        if len(pair) < 2:  # hashing left the other block empty
+            return pd.DataFrame({"component": [], "own": [], "links": [], "edges": []})
+        (sets, copies, roots), (sets2, copies2, roots2) = (_unpacked_block(pair.iloc[k]) for k in pair["own"].argsort())
+        like = similar([*sets, *sets2], similarity, len(sets))
+        # Roots that a link joins hang together; each but the least of such a set names one edge.
+        names, at = np.unique(np.concatenate([roots, roots2]), return_inverse=True)
+        joined = np.zeros((len(names), len(names)), bool)
+        a, b = np.nonzero(like)
+        joined[at[: len(roots)][a], at[len(roots) :][b]] = True
+        top = connected(joined | joined.T)
+        edges = [[{"u": int(u), "v": int(v)} for u, v in zip(names, names[top]) if u != v], []]
+        links = [(like @ copies2).tobytes(), (like.T @ copies).tobytes()]
+        return pd.DataFrame({"component": [key[0]] * 2, "own": list(key[1:]), "links": links, "edges": edges})
+
+    others = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda k: k != F.col("own"))
+    meets = F.transform(others, lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
+    tasks = cut.select("component", "own", "sizes", "copies", "sets", "roots", F.explode(meets).alias("p")).select("*", "p.i", "p.j").drop("p")
+    met = stored(tasks.groupBy("component", "i", "j").applyInPandas(across, "component long, own int, links binary, edges array<struct<u:long,v:long>>"), "meetings")
+
+    def summed(rows: pd.DataFrame) -> pd.DataFrame:
+        block = rows[rows["nodes"].notna()].iloc[0]
+        links = np.sum([np.frombuffer(x, np.int64) for x in rows["links"]], axis=0)
+        return pd.DataFrame({"node": np.frombuffer(block["nodes"], np.int64), "links": links, "root": np.frombuffer(block["roots"], np.int64)})
+
+    none = F.lit(None).cast("binary")
+    parts = cut.select("component", "own", "links", "nodes", "roots").unionByName(met.select("component", "own", "links", none.alias("nodes"), none.alias("roots")))
+    large_ones = parts.groupBy("component", "own").applyInPandas(summed, "node long, links long, root long")
+    return small_ones.unionByName(large_ones), met.select(F.explode("edges").alias("e")).select("e.u", "e.v")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -192,18 +256,21 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     """
     sigs = stored(signatures(docs, similarity), "signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("_row").alias("row")))
-    classes = stored(sigs.groupBy("class", "node").agg(F.count("*").alias("copies"), first.alias("least"), F.min("_row").alias("_row"), F.first("bands").alias("bands")), "classes")
+    classes = stored(sigs.groupBy("class", "node").agg(F.count("*").alias("copies"), first.alias("least"), F.min("_row").alias("_row"), F.first("grams").alias("grams"), F.first("bands").alias("bands")), "classes")
     banded = classes.select("node", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("node").alias("v"), F.max("node").alias("last")).where("v < last").select("band", "v")
     edges = banded.join(buckets, "band").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
     near = components(stored(edges, "candidates"))
-    sizes = near.groupBy("component").agg(F.count("*").alias("size"))
-    members = classes.select("node", "copies", "_row").join(near, "node").join(sizes, "component")
-    members = stored(members, "neighbourhoods")
-    texts = docs.select(row_key(docs).alias("_row"), "text").join(small(members, members.count(), 96), "_row")
-    found = stored(compared(texts, similarity), "compared")
-    links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    near = components(stored(found.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")), "links"))
+    members = classes.select("node", "copies", "grams", "_row").join(near, "node")
+    sizes = members.groupBy("component").agg(F.count("*").alias("size"), F.sum("grams").alias("all_grams"))
+    members = stored(members.join(sizes, "component"), "neighbourhoods")
+    texts = docs.select(row_key(docs).alias("_row"), "text").join(small(members.select("_row"), members.count(), 32), "_row", "left_semi")
+    texts = texts.dropDuplicates(["_row"]).join(members, "_row")  # equal rows have one text
+    inside, across = compared(texts, similarity)
+    inside = stored(inside, "compared")
+    links = inside.select("node", "links")
+    edges = inside.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(across)
+    near = components(stored(edges, "links"))
     info = classes.select("class", "node", "copies", "least").join(links, "node", "left").join(near, "node", "left")
     info = stored(info.select("class", "copies", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component")), "class-links")
     groups = info.groupBy("component").agg(F.min("least").alias("winner"))
@@ -224,7 +291,7 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs that near_duplicates keeps, one for each class, with all their columns."""
     rows = stored(near_duplicates(docs, similarity).select("_row", "keep"), "keep")
     lost = rows.where("not keep").select("_row").distinct()
-    kept = docs.select(packed_row(docs), row_key(docs).alias("_row")).join(small(lost, rows.count(), 24), "_row", "left_anti")
+    kept = docs.select(packed_row(docs), row_key(docs).alias("_row")).join(small(lost, rows.count(), 32), "_row", "left_anti")
     if not rows.where("keep").groupBy("_row").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates(["_row"])
     return unpacked(kept, docs.columns)

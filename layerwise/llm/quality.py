@@ -119,7 +119,7 @@ def pooled(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
                 out.append(mean.astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["doc_id", "_row", "pooled"])
 
-    return keyed.mapInArrow(run, f"doc_id {kind}, _row long, pooled binary")
+    return keyed.mapInArrow(run, f"doc_id {kind}, _row binary, pooled binary")
 
 
 class Network:
@@ -183,7 +183,7 @@ def scored(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) -> DataFr
             x = np.frombuffer(b"".join(b.column(2).to_pylist()), np.float32).reshape(b.num_rows, 2 * DIM).astype(float)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(network.probability(x), pa.float64())], ["doc_id", "_row", "score"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, _row long, score double")
+    return rows.mapInArrow(run, f"doc_id {kind}, _row binary, score double")
 
 
 def score(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN, threshold: float = 0.3) -> DataFrame:
@@ -201,5 +201,5 @@ def score(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN, threshold:
 def accepted(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN, threshold: float = 0.3) -> DataFrame:
     """The rows of docs whose score reaches the threshold, with all their columns."""
     rejected = stored(scored(docs, labels, limit).where(F.col("score") < threshold).select("_row").distinct(), "rejected")
-    kept = docs.select(packed_row(docs), row_key(docs).alias("_row")).join(small(rejected, rejected.count(), 24), "_row", "left_anti")
+    kept = docs.select(packed_row(docs), row_key(docs).alias("_row")).join(small(rejected, rejected.count(), 32), "_row", "left_anti")
     return unpacked(kept, docs.columns)

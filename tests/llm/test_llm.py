@@ -85,15 +85,48 @@ def test_jaccard_against_all_pairs(spark, rows):
     assert kept.count() == groups
 
 
-def test_jaccard_blocks_give_the_same(spark):
-    base = texts(1)[1](120).split()
+def near_copies(n, changed=0.01, words=120):
+    base = texts(1)[1](words).split()
     r = random.Random(2)
-    near = [(i, " ".join(w if r.random() > 0.01 else f"x{i}" for w in base)) for i in range(40)]
-    frame = spark.createDataFrame([(i, 1 + i % 3, t, 7, 40) for i, t in near], "node long, copies long, text string, component long, size long")
-    whole, cut = (
-        {x.node: x.links for x in jaccard.compared(frame, block=b).groupBy("node").agg(F.sum("links").alias("links")).collect()} for b in (100, 6)
-    )
-    assert whole == cut and sum(whole.values()) > 0
+    return [" ".join(w if r.random() > changed else f"x{i}" for w in base) for i in range(n)]
+
+
+def groups_of(edges, nodes):
+    parent = {n: n for n in nodes}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for u, v in edges:
+        a, b = sorted((root(u), root(v)))
+        parent[b] = a
+    return {n: root(n) for n in nodes}
+
+
+def test_jaccard_blocks_give_the_same(spark):
+    schema = "node long, copies long, text string, component long, size long, all_grams long"
+    frame = spark.createDataFrame([(i, 1 + i % 3, t, 7, 60, 6000) for i, t in enumerate(near_copies(60, 0.02))], schema)
+    seen = []
+    for block, grams in ((100, 10**6), (6, 10**6), (100, 600)):
+        inside, across = jaccard.compared(frame, block=block, block_grams=grams)
+        rows, far = inside.collect(), [tuple(e) for e in across.collect()]
+        assert len(rows) == 60 and len(far) <= 60 * 2
+        seen.append(({r.node: r.links for r in rows}, groups_of([(r.node, r.root) for r in rows] + far, range(60))))
+    assert seen[0] == seen[1] == seen[2]
+    assert sum(seen[0][0].values()) > 0 and len(set(seen[0][1].values())) > 1
+
+
+def test_jaccard_edges_stay_linear(spark):
+    """Each row of a group of near copies gives one row; what blocks add is far fewer edges than rows."""
+    schema = "node long, copies long, text string, component long, size long, all_grams long"
+    for n in (200, 400, 800):
+        frame = spark.createDataFrame([(i, 1, t, 7, n, 50 * n) for i, t in enumerate(near_copies(n, 0.002, 50))], schema)
+        inside, across = jaccard.compared(frame, block=50)
+        blocks = n // 50
+        assert inside.count() == n and across.count() <= blocks * (blocks - 1)
+        assert sum(r.links for r in inside.collect()) > n
 
 
 def test_minhash_recall():
