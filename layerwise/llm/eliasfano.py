@@ -1,10 +1,8 @@
-"""Elias-Fano coded monotone sequences and the n-gram trie made of them, in one memory-mapped file."""
+"""Elias-Fano coded monotone sequences and the n-gram trie made of them, in one memory map."""
 
 from __future__ import annotations
 
 import mmap
-import os
-import tempfile
 
 import numpy as np
 
@@ -87,72 +85,66 @@ class EliasFano:
 
 
 class Quantiser:
-    """Logarithms in 255 steps of even width, each standing for the mean of what it holds; code 0 is nothing."""
+    """Logarithms from `least` to 0 in 254 even steps; code 0 is nothing. The same steps everywhere, so none are sent along."""
 
-    def __init__(self, values: np.ndarray) -> None:
-        self.least, most = (values.min(), values.max()) if len(values) else (0.0, 0.0)
-        self.width = (most - self.least) / 255 or 1.0
-        at = self._step(values)
-        self.centres = np.bincount(at, values, 255) / np.maximum(np.bincount(at, minlength=255), 1)
-
-    def _step(self, values: np.ndarray) -> np.ndarray:
-        return np.minimum((values - self.least) / self.width, 254).astype(np.int64)
+    def __init__(self, least: float) -> None:
+        self.least = min(float(least), -1.0)
 
     def codes(self, values: np.ndarray) -> np.ndarray:
-        return (1 + self._step(values)).astype(np.uint8)
+        return (1 + np.clip(np.rint(values / self.least * 254), 0, 254)).astype(np.uint8)
 
     def table(self) -> np.ndarray:
         """What each code stands for, as a plain number; 256 entries."""
-        return np.append(0.0, 10.0**self.centres)
+        return np.append(0.0, 10.0 ** (np.arange(255) * self.least / 254))
 
 
 class Trie:
-    """Contexts, pointers to their successors, and the successors as ranks among the trie's words.
+    """N-grams by length: the words that start one, then, length by length, pointers to the successors of each
+    n-gram one word shorter, and those successors as ranks among the words that follow anything.
 
-    A context's successors are searched for relative to the context: a successor's number is the context's
-    place times the count of words plus the word's rank, which makes the whole level one monotone sequence.
-    All levels live in one file that is mapped into memory and removed when the trie is closed.
+    Successors are searched for relative to their context, between its pointers: a successor's number is the
+    context's place times the count of words plus the word's rank, which makes a level one monotone sequence.
+    All levels lie in one memory map, which needs no file: a trie lives no longer than the task that asks it.
     """
 
-    LEVELS = ("contexts", "words", "pointers", "successors")
-
-    def __init__(self, contexts: np.ndarray, words: np.ndarray, owner: np.ndarray, word: np.ndarray, weight: np.ndarray, back: np.ndarray) -> None:
-        """owner and word: places of each n-gram's context and word, sorted; weight: its log10 discounted
-        probability; back: the log10 of what each context leaves to the lower order."""
-        numbers = owner.astype(np.uint64) * np.uint64(max(1, len(words))) + word.astype(np.uint64)
-        pointers = np.searchsorted(owner, np.arange(len(contexts) + 1))
+    def __init__(self, first: np.ndarray, words: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], weights: list[np.ndarray], backs: list[np.ndarray]) -> None:
+        """first, words: sorted; levels: from length 2 on, the places of each n-gram's context one level up and
+        of its last word in `words`, sorted; weights, backs: codes for each level, backs for all but the last."""
         self.n_words = max(1, len(words))
-        self.weights, self.backs = Quantiser(weight), Quantiser(back)
-        coded = dict(zip(self.LEVELS, map(EliasFano.encode, (contexts, words, pointers, numbers))))
-        parts = [a for c in coded.values() for a in (c.low, c.high)] + [self.weights.codes(weight), self.backs.codes(back)]
-        handle, self.path = tempfile.mkstemp(prefix="trie-")
-        places = []
-        with os.fdopen(handle, "wb") as f:
-            for a in parts:
-                f.write(b"\0" * (-f.tell() % 8))
-                places.append((f.tell(), a.dtype, len(a)))
-                f.write(a.tobytes())
-            f.write(b"\0" * 8)
-        with open(self.path, "rb") as f:
-            self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        os.unlink(self.path)  # the mapping keeps the file until it is closed
-        read = [np.frombuffer(self.map, kind, n, at) for at, kind, n in places]
-        for i, (name, c) in enumerate(coded.items()):
-            setattr(self, name, EliasFano(c.n, c.low_bits, read[2 * i], read[2 * i + 1]))
-        self.weight_codes, self.back_codes = read[-2:]
+        coded, above = [EliasFano.encode(first), EliasFano.encode(words)], len(first)
+        for owner, word in levels:
+            coded.append(EliasFano.encode(np.searchsorted(owner, np.arange(above + 1))))
+            coded.append(EliasFano.encode(owner.astype(np.uint64) * np.uint64(self.n_words) + word.astype(np.uint64)))
+            above = len(owner)
+        parts = [a for c in coded for a in (c.low, c.high)] + [*weights, *backs]
+        ends = np.cumsum([0] + [-(-a.nbytes // 8) * 8 for a in parts])
+        self.map = mmap.mmap(-1, int(ends[-1]) + 8)
+        read = []
+        for a, at in zip(parts, ends.tolist()):
+            self.map[at : at + a.nbytes] = a.tobytes()
+            read.append(np.frombuffer(self.map, a.dtype, len(a), at))
+        mapped = [EliasFano(c.n, c.low_bits, read[2 * i], read[2 * i + 1]) for i, c in enumerate(coded)]
+        self.first, self.words, self.pointers, self.successors = mapped[0], mapped[1], mapped[2::2], mapped[3::2]
+        self.weights = read[2 * len(coded) : 2 * len(coded) + len(weights)]
+        self.backs = read[2 * len(coded) + len(weights) :]
 
     def bytes(self) -> int:
         return len(self.map)
 
-    def query(self, contexts: np.ndarray, owner: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of each n-gram (contexts[owner], words) and of each context; 0 where the trie hasn't got it."""
-        place = self.contexts.find(contexts)
-        back = np.where(place >= 0, self.back_codes[np.maximum(place, 0)], 0) if self.contexts.n else np.zeros(len(contexts), np.uint8)
-        rank = self.words.find(words)
-        known = np.flatnonzero((place[owner] >= 0) & (rank >= 0))
-        above, pointers = place[owner[known]], self.pointers.values().astype(np.int64)
-        numbers = above.astype(np.uint64) * np.uint64(self.n_words) + rank[known].astype(np.uint64)
-        at = self.successors.find(numbers, pointers[above], pointers[above + 1])
-        weight = np.zeros(len(words), np.uint8)
-        weight[known[at >= 0]] = self.weight_codes[at[at >= 0]]
-        return weight, back.astype(np.uint8)
+    def query(self, words: list[np.ndarray], parents: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Codes of n-grams by length, given their last words and the places of their contexts among those asked
+        for one length up: weights, and backs for all lengths but the last; 0 where the trie hasn't got it."""
+        place = self.first.find(words[0])
+        weights, backs = [], []
+        for k in range(len(words)):
+            if k:
+                above, rank = place[parents[k]], self.words.find(words[k])
+                known = np.flatnonzero((above >= 0) & (rank >= 0))
+                above, rank = above[known], rank[known]
+                edges = self.pointers[k - 1].values().astype(np.int64)
+                place = np.full(len(words[k]), -1, np.int64)
+                place[known] = self.successors[k - 1].find(above.astype(np.uint64) * np.uint64(self.n_words) + rank.astype(np.uint64), edges[above], edges[above + 1])
+            for out, codes in ((weights, self.weights), (backs, self.backs)):
+                if k < len(codes):
+                    out.append(np.where(place >= 0, codes[k][np.maximum(place, 0)], 0).astype(np.uint8) if len(codes[k]) else np.zeros(len(place), np.uint8))
+        return weights, backs

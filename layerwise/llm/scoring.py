@@ -1,13 +1,16 @@
-"""Language-model scoring with an n-gram trie that is sharded by context.
-
-Texts become blocks of about BLOCK_TOKENS tokens, kept in the shared folder as numbers of each block's own
-words. A block asks for each distinct n-gram once: requests go to the shard of the n-gram's context, with the
-counts from training texts. A shard adds up the counts, builds its Elias-Fano trie, answers every request from
-it, and forgets it. Blocks put the answers together into the scores of their documents. No machine ever holds
-the whole model.
-
-The model interpolates: p(w | h) = max(c(hw) - D, 0) / c(h) + D * distinct(h) / c(h) * p(w | shorter h), down to
-p(w) = (c + 0.1) / (N + 0.1 * (V + 1)); a context that training never met leaves all to the shorter one.
+"""Language-model scoring with an n-gram trie that is sharded by the n-grams' first words.
+
+Texts become blocks of about BLOCK_TOKENS tokens, kept in the shared folder as numbers of each block's own words.
+First the blocks' words are counted: each gets a number, small ones for frequent words. Then a block asks for
+each of its distinct n-grams once. Requests are tries themselves: a context is sent once, with its successors
+below it. They go to the shard of the n-gram's first word, with the counts from training texts; frequent first
+words, and pairs of frequent words, are split by what follows them. A shard adds up the counts, builds its
+Elias-Fano trie of all lengths, answers every request from it, and forgets it. Blocks put the answers together
+into the scores of their documents. No machine ever holds the whole model.
+
+The model interpolates: p(w | h) = (1 - b) * c(hw) / c(h) + b * p(w | shorter h) with b = LEAVES * c(h)^-FADE, down
+to p(w) = (c + 0.1) / (N + 0.1 * (V + 1)); a context that training never met leaves all to the shorter one. It needs
+no more than counts of an n-gram and of its context, so that a split context gets the same answers in each part.
 """
 
 from __future__ import annotations
@@ -24,24 +27,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, fold_of_value, stored
-from .eliasfano import Trie
+from .eliasfano import Quantiser, Trie
 
 ORDER = 3
 FOLDS = 10
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 2_000_000
 SHARD_TOKENS = 2_000_000
-DISCOUNT = 0.75
+LEAVES, FADE = 0.75, 0.1
 _MEMO = 300_000
 _SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 END = xxhash.xxh64_intdigest(b" end")  # no word holds a space
-START = xxhash.xxh64_intdigest(b" start")
-_KEY = np.uint64(0xFFFFFFFFFFFF)  # words are told apart inside a context by 48 bits of their hash
-_63 = np.uint64((1 << 63) - 1)
+UNKNOWN, START, FIRST = 0, 1, 2  # numbers of words: those that training never met, what stands before a text, real ones
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (h ^ (h >> np.uint64(29))) & _63
+    return h ^ (h >> np.uint64(29))
 
 
 class Hasher:
@@ -62,9 +63,16 @@ class Hasher:
         return b"".join([memo[w] if w in memo else miss(w) for w in found if w]) + END.to_bytes(8, "little")
 
 
-def _planes(steps: np.ndarray) -> np.ndarray:
-    """64-bit numbers as their first bytes, then their second ones, and so on: what is small compresses well."""
-    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T)
+def _planes(x: np.ndarray) -> np.ndarray:
+    """Numbers as their first bytes, then their second ones, and so on: what is small compresses well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T)
+
+
+def _from_planes(raw: bytes, at: int, n: int, kind: type) -> tuple[np.ndarray, int]:
+    """n numbers out of their planes from byte `at` on, and where those end."""
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind), at + n * size
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -72,7 +80,7 @@ def _pack(*arrays: np.ndarray) -> bytes:
 
 
 def blocks(docs: DataFrame, folds: int = FOLDS, size: int = BLOCK_TOKENS) -> DataFrame:
-    """(block, ids, held, sizes, words, tokens): whole documents, `size` tokens or little more at a time."""
+    """(block, ids, held, sizes, n_words, words, tokens): whole documents, `size` tokens or little more at a time."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,17 +90,19 @@ def blocks(docs: DataFrame, folds: int = FOLDS, size: int = BLOCK_TOKENS) -> Dat
         total = 0
 
         def flushed() -> pa.RecordBatch:
-            h = np.frombuffer(b"".join(parts), np.uint64)
-            words, tokens = np.unique(h, return_inverse=True)
+            words, tokens, times = np.unique(np.frombuffer(b"".join(parts), np.uint64), return_inverse=True, return_counts=True)
+            rank = np.empty(len(words), np.uint32)
+            rank[np.argsort(-times, kind="stable")] = np.arange(len(words))  # frequent words get small numbers
             columns = [
                 pa.array([f"{task}-{n}"]),
                 pa.array([ids], pa.list_(id_type)),
                 pa.array([[fold_of_value(i, folds) == 0 for i in ids]]),
                 pa.array([[len(p) // 8 for p in parts]], pa.list_(pa.int64())),
-                pa.array([_pack(words)]),
-                pa.array([_pack(tokens.astype(np.int32))]),
+                pa.array([len(words)]),
+                pa.array([_pack(words[np.argsort(rank)])]),
+                pa.array([_pack(_planes(rank[tokens]))]),
             ]
-            return pa.RecordBatch.from_arrays(columns, ["block", "ids", "held", "sizes", "words", "tokens"])
+            return pa.RecordBatch.from_arrays(columns, ["block", "ids", "held", "sizes", "n_words", "words", "tokens"])
 
         for b in batches:
             id_type = b.schema.field(0).type
@@ -106,128 +116,237 @@ def blocks(docs: DataFrame, folds: int = FOLDS, size: int = BLOCK_TOKENS) -> Dat
         if ids:
             yield flushed()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"block string, ids array<{kind}>, held array<boolean>, sizes array<long>, words binary, tokens binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"block string, ids array<{kind}>, held array<boolean>, sizes array<long>, n_words long, words binary, tokens binary")
 
 
 class Block:
     def __init__(self, held, sizes, words: bytes, tokens: bytes) -> None:
         unpack = zstandard.decompress
         self.words = np.frombuffer(unpack(words), np.uint64)
-        self.tokens = np.frombuffer(unpack(tokens), np.int32)
         self.sizes, self.held = np.asarray(sizes, np.int64), np.asarray(held, bool)
+        self.tokens = _from_planes(unpack(tokens), 0, int(self.sizes.sum()), np.uint32)[0].astype(np.int64)
         self.starts = np.append(0, np.cumsum(self.sizes)[:-1]).astype(np.int64)
         self.training = np.repeat(~self.held, self.sizes)
 
-    def contexts(self, order: int) -> np.ndarray:
-        """For each token a hash of the order - 1 tokens before it in its document."""
-        h = self.words[self.tokens]
-        before = np.zeros(len(h), np.uint64)
-        for n in range(1, order):
-            fresh = np.empty_like(before)
-            fresh[1:] = mixed(before[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[:-1])
-            fresh[self.starts] = mixed(np.array([START + n], np.uint64))[0]
-            before = fresh
-        return before
-
 
 class Grams:
-    """A block's distinct n-grams of one order, dealt to shards by their contexts."""
-
-    def __init__(self, block: Block, order: int, shards: int) -> None:
-        contexts, at = np.unique(block.contexts(order), return_inverse=True)
-        n = np.int64(len(block.words))
-        key, self.gram = np.unique(at * n + block.tokens, return_inverse=True)
-        owner, word = key // n, key % n
-        self.counts = np.bincount(self.gram, block.training, len(key)).astype(np.uint32)
-        self.at = at
-        shard = (contexts % np.uint64(shards)).astype(np.int64)
-        self.by_context = np.argsort(shard, kind="stable")
-        self.by_gram = np.argsort(shard[owner], kind="stable")
-        self.context_edges = np.searchsorted(shard[self.by_context], np.arange(shards + 1))
-        self.gram_edges = np.searchsorted(shard[owner][self.by_gram], np.arange(shards + 1))
-        self.context = contexts[self.by_context]
-        self.successors = np.bincount(owner, minlength=len(contexts))[self.by_context].astype(np.uint32)
-        self.word = (block.words[word] & _KEY)[self.by_gram]
+    """A block's distinct n-grams of known words, of each length up to `order`, and the shards that they go to.
+
+    nodes[k - 1][i]: the n-gram of length k at place i of the block's texts, each with START before it; -1 where
+    there is none. An n-gram can have several shards: if what follows it is split, they all need its count.
+    """
+
+    def __init__(self, block: Block, numbers: np.ndarray, counts: np.ndarray, starts: int, order: int, shards: int, split: int) -> None:
+        """numbers, counts: of the block's words, in the whole corpus; starts: the number of training texts."""
+        words, local = np.unique(np.append(numbers, np.uint64(START)), return_inverse=True)
+        total = np.zeros(len(words), np.int64)
+        total[local] = np.append(counts, starts)
+        spans = block.sizes + 1
+        self.place = np.arange(len(block.tokens)) + np.repeat(np.arange(1, len(spans) + 1), block.sizes)  # of each token
+        text = np.full(spans.sum(), local[-1], np.int64)
+        text[self.place] = local[block.tokens]
+        known = words[text] != UNKNOWN
+        left = np.repeat(np.cumsum(spans), spans) - np.arange(len(text))
+        training = np.repeat(~block.held, spans)
+        self.nodes, self.parent, self.word, self.count = [], [], [], []
+        at = np.flatnonzero(known)
+        key = text[at]
+        for k in range(1, order + 1):
+            if k > 1:
+                above = self.nodes[-1]
+                at = np.flatnonzero((above >= 0) & (left >= k))
+                at = at[known[at + k - 1]]
+                key = above[at] * len(words) + text[at + k - 1]
+            grams, which = np.unique(key, return_inverse=True)
+            node = np.full(len(text), -1, np.int32)
+            node[at] = which
+            self.nodes.append(node.astype(np.int64))
+            self.parent.append(grams // len(words))
+            self.word.append(words[grams % len(words)])
+            self.count.append(total[grams] if k == 1 else np.bincount(which, training[at], len(grams)).astype(np.int64))
+        self._deal(total[np.searchsorted(words, self.word[1])] if order > 1 else None, shards, split)
+
+    def _deal(self, second: np.ndarray | None, shards: int, split: int) -> None:
+        route = lambda w, a, b: (mixed(w * np.uint64(0x9E3779B97F4A7C15) + a.astype(np.uint64) * np.uint64(0x94D049BB133111EB) + b.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+        parts = lambda c: np.maximum(1, -(-c // split))
+        first, order = self.word[0], len(self.word)
+        zero = np.zeros(len(first), np.int64)
+        pairs = [(np.arange(len(first)), route(first, zero, zero))]
+        if order > 1:
+            up = self.parent[1]
+            part = (self.word[1] % parts(self.count[0])[up].astype(np.uint64)).astype(np.int64)
+            most = parts(np.minimum(self.count[0][up], second)) if order > 2 else np.ones(len(up), np.int64)
+            node = np.repeat(np.arange(len(up)), most)
+            place = np.arange(len(node)) - np.repeat(np.cumsum(most) - most, most)
+            pairs.append((node, route(first[up[node]], part[node], place)))
+            pairs[0] = tuple(np.concatenate(x) for x in zip(pairs[0], (up[node], pairs[1][1])))
+        for k in range(3, order + 1):
+            up = self.parent[k - 1]
+            if k == 3:
+                below = (self.word[2] % most[up].astype(np.uint64)).astype(np.int64)
+                shard = route(first[self.parent[1][up]], part[up], below)
+            else:
+                shard = shard[up]
+            pairs.append((np.arange(len(up)), shard))
+        self.node, self.edges, self.children = [], [], []
+        keys: list[np.ndarray] = []
+        for k, (node, shard) in enumerate(pairs):
+            n = max(1, len(self.word[k]))
+            key = np.unique(shard * n + node)
+            self.node.append(key % n)
+            self.edges.append(np.searchsorted(key, np.arange(shards + 1) * n))
+            if k:
+                above = max(1, len(self.word[k - 1]))
+                self.children.append(np.bincount(np.searchsorted(keys[-1], key // n * above + self.parent[k][key % n]), minlength=len(keys[-1])).astype(np.uint32))
+            keys.append(key)
 
     def requests(self) -> Iterator[tuple[int, bytes]]:
-        for s in np.flatnonzero(np.diff(self.context_edges)).tolist():
-            c, g = slice(*self.context_edges[s : s + 2]), slice(*self.gram_edges[s : s + 2])
-            words = np.ascontiguousarray(self.word[g].view(np.uint8).reshape(-1, 8)[:, :6])
-            head = np.array([c.stop - c.start, g.stop - g.start], np.uint64)
-            steps = np.diff(self.context[c], prepend=np.uint64(0))  # a shard's contexts are in order
-            yield s, _pack(head, _planes(steps), self.successors[c], self.counts[self.by_gram[g]], np.ascontiguousarray(words.T))
-
-    def answered(self, answers: dict[int, tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        """Each token's weight and what its context leaves to the lower order."""
-        weight, back = np.empty(len(self.by_gram)), np.empty(len(self.by_context))
-        for s, (w, b) in answers.items():
-            weight[self.by_gram[self.gram_edges[s] : self.gram_edges[s + 1]]] = w
-            back[self.by_context[self.context_edges[s] : self.context_edges[s + 1]]] = b
-        return weight[self.gram], back[self.at]
-
-
-def _unpacked(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """contexts, their numbers of successors, the n-grams' training counts, the n-grams' words."""
-    raw = zstandard.decompress(payload)
-    m, n = (int(x) for x in np.frombuffer(raw, np.uint64, 2))
-    steps = np.frombuffer(raw, np.uint8, 8 * m, 16).reshape(8, m)
-    contexts = np.cumsum(np.ascontiguousarray(steps.T).reshape(-1).view(np.uint64), dtype=np.uint64)
-    sizes = np.frombuffer(raw, np.uint32, m, 16 + 8 * m)
-    counts = np.frombuffer(raw, np.uint32, n, 16 + 12 * m)
-    words = np.zeros((n, 8), np.uint8)
-    words[:, :6] = np.frombuffer(raw, np.uint8, 6 * n, 16 + 12 * m + 4 * n).reshape(6, n).T
-    return contexts, sizes, counts, words.reshape(-1).view(np.uint64)
-
-
-def built(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], discount: float = DISCOUNT) -> Trie:
-    """The trie over the n-grams that training met, from all requests of a shard."""
-    owners, words, counts = [], [], []
-    for contexts, sizes, count, word in parts:
-        seen = count > 0
-        owners.append(np.repeat(contexts, sizes)[seen])
-        words.append(word[seen])
-        counts.append(count[seen])
-    contexts, at = np.unique(np.concatenate(owners), return_inverse=True)
-    vocabulary, rank = np.unique(np.concatenate(words), return_inverse=True)
-    n = np.int64(max(1, len(vocabulary)))
-    key, gram = np.unique(at * n + rank, return_inverse=True)
-    count = np.bincount(gram, np.concatenate(counts), len(key))
-    owner = key // n
-    total = np.bincount(owner, count, len(contexts))
-    distinct = np.bincount(owner, minlength=len(contexts))
-    return Trie(contexts, vocabulary, owner, key % n, np.log10((count - discount) / total[owner]), np.log10(discount * distinct / total))
-
-
-def answers(requests: DataFrame, discount: float = DISCOUNT) -> DataFrame:
-    """requests(shard, ord, block, payload) -> (block, ord, shard, distinct, answer).
-
-    Order 1 is answered with exact training counts; `distinct` is then the shard's number of words that
-    training met (in one of its rows, 0 in the others). Higher orders are answered with the trie's codes.
+        """For each shard: the numbers of n-grams of each length; then, length by length, how many successors
+        each n-gram of the length before has, the last words as steps from the one before, and the counts."""
+        for s in np.flatnonzero(np.diff(self.edges[0])).tolist():
+            cut = [slice(*e[s : s + 2]) for e in self.edges]
+            out = [np.array([c.stop - c.start for c in cut], np.uint64)]
+            for k, c in enumerate(cut):
+                node = self.node[k][c]
+                word = self.word[k][node]
+                steps = np.diff(word, prepend=np.uint64(0))
+                if k:
+                    children = self.children[k - 1][cut[k - 1]]
+                    heads = (np.cumsum(children) - children)[children > 0]
+                    steps[heads] = word[heads]
+                    out.append(_planes(children))
+                out += [_planes(steps), _planes(self.count[k][node].astype(np.uint64 if k == 0 else np.uint32))]
+            yield s, _pack(*out)
+
+    def answered(self, answers: dict[int, bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Codes of each length's n-grams: their weights, and what they leave, as contexts, to the shorter one."""
+        order = len(self.word)
+        weights, backs = ([np.zeros(len(w), np.uint8) for w in self.word] for _ in range(2))
+        for s, raw in answers.items():
+            at = 0
+            for k in range(order):
+                node = self.node[k][self.edges[k][s] : self.edges[k][s + 1]]
+                for codes in (weights, backs) if k < order - 1 else (weights,):
+                    codes[k][node] = np.frombuffer(raw, np.uint8, len(node), at)
+                    at += len(node)
+        return weights, backs
+
+
+class Requests:
+    """All requests of a shard, length by length: last words, counts, and the places of the contexts one length up."""
+
+    def __init__(self, payloads: list[bytes], order: int) -> None:
+        self.sizes = np.zeros((len(payloads), order), np.int64)
+        found: list[list[tuple]] = [[] for _ in range(order)]
+        offset = np.zeros(order, np.int64)
+        for i, payload in enumerate(payloads):
+            raw = zstandard.decompress(payload)
+            self.sizes[i] = np.frombuffer(raw, np.uint64, order)
+            n, at = self.sizes[i], 8 * order
+            for k in range(order):
+                up = np.zeros(0, np.int64)
+                if k:
+                    children, at = _from_planes(raw, at, n[k - 1], np.uint32)
+                    up = np.repeat(np.arange(n[k - 1]), children) + offset[k - 1]
+                steps, at = _from_planes(raw, at, n[k], np.uint64)
+                word = np.cumsum(steps, dtype=np.uint64)
+                if k:  # each context's successors start anew
+                    sizes = children[children > 0]
+                    heads = np.cumsum(sizes) - sizes
+                    word -= np.repeat(word[heads] - steps[heads], sizes)
+                count, at = _from_planes(raw, at, n[k], np.uint64 if k == 0 else np.uint32)
+                found[k].append((word, count.astype(np.int64), up))
+            offset = offset + n
+        self.words, self.counts, self.parents = ([np.concatenate([f[j] for f in level]) for level in found] for j in range(3))
+
+    def split(self, k: int, x: np.ndarray) -> list[np.ndarray]:
+        return np.split(x, np.cumsum(self.sizes[:, k])[:-1])
+
+
+def left_over(count: np.ndarray) -> np.ndarray:
+    """The share that contexts of these counts leave to the shorter one."""
+    return LEAVES * np.maximum(count, 1) ** -FADE
+
+
+def built(asked: Requests, below: float, quantiser: Quantiser) -> Trie:
+    """The trie of the n-grams that training met, from all requests of a shard; below: N + 0.1 * (V + 1)."""
+    first, at = np.unique(asked.words[0], return_inverse=True)
+    total = np.zeros(len(first), np.int64)
+    total[at] = asked.counts[0]  # every block sends the corpus's count
+    words = np.unique(np.concatenate([np.zeros(0, np.uint64), *asked.words[1:]]))
+    n = max(1, len(words))
+    weights, backs = [quantiser.codes(np.log10((total + 0.1) / below))], [quantiser.codes(np.log10(left_over(total)))]
+    levels = []
+    for word, count, parent in zip(asked.words[1:], asked.counts[1:], asked.parents[1:]):
+        owner = at[parent]
+        some = np.flatnonzero(owner >= 0)
+        key, which = np.unique(owner[some] * n + np.searchsorted(words, word[some]), return_inverse=True)
+        sums = np.bincount(which, count[some], len(key)).astype(np.int64)
+        met = sums > 0  # held-out texts ask for others too
+        at = np.full(len(word), -1, np.int64)
+        at[some] = np.where(met, np.cumsum(met) - 1, -1)[which]
+        key, sums, owner = key[met], sums[met], key[met] // n
+        levels.append((owner, key % n))
+        weights.append(quantiser.codes(np.log10(sums / total[owner] * (1 - left_over(total[owner])))))
+        backs.append(quantiser.codes(np.log10(left_over(sums))))
+        total = sums
+    return Trie(first, words, levels, weights, backs[:-1] if levels else [])
+
+
+def _unigrams(block: Block, shards: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, places of its words, their training counts) for each shard that the block's words go to."""
+    counts = np.bincount(block.tokens, block.training, len(block.words)).astype(np.uint64)
+    shard = ((block.words >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    edges = np.searchsorted(shard[order], np.arange(shards + 1))
+    places = [(s, order[edges[s] : edges[s + 1]]) for s in np.flatnonzero(np.diff(edges)).tolist()]
+    return [(s, at, counts[at]) for s, at in places]
+
+
+def numbered(held: DataFrame, shards: int) -> DataFrame:
+    """blocks -> (block, shard, met, answer): numbers and training counts of a block's words, shard by shard.
+
+    met: the shard's number of words that training met, in one of its rows, 0 in the others. Numbers go by
+    frequency; a word that training never met is UNKNOWN.
     """
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out, order = [], int(key[1])
-        if order == 1:
-            asked = [np.frombuffer(zstandard.decompress(p), np.uint64).reshape(2, -1) for p in rows["payload"]]
-            words, at = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
-            counts = np.bincount(at, np.concatenate([a[1] for a in asked]), len(words)).astype(np.int64)
-            replies = np.split(counts[at], np.cumsum([a.shape[1] for a in asked])[:-1])
-            for i, (block, reply) in enumerate(zip(rows["block"], replies)):
-                out.append((block, order, int(key[0]), int((counts > 0).sum()) if i == 0 else 0, _pack(reply)))
-        else:
-            parts = [_unpacked(p) for p in rows["payload"]]
-            trie = built(parts, discount)
-            weights, backs = trie.weights.table(), trie.backs.table()
-            backs[0] = 1.0  # an unknown context leaves everything to the lower order
-            for block, (contexts, sizes, _, words) in zip(rows["block"], parts):
-                weight, back = trie.query(contexts, np.repeat(np.arange(len(contexts)), sizes), words)
-                out.append((block, order, int(key[0]), 0, _pack(weights, backs, np.array([len(weight)], np.float64), weight, back)))
-        return pd.DataFrame(out, columns=["block", "ord", "shard", "distinct", "answer"])
-
-    return requests.groupBy("shard", "ord").applyInPandas(run, "block string, ord int, shard int, distinct long, answer binary")
-
-
-def score(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, discount: float = DISCOUNT) -> DataFrame:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                block = Block(r["held"], r["sizes"], r["words"], r["tokens"])
+                s, p = zip(*[(s, _pack(block.words[at], counts)) for s, at, counts in _unigrams(block, shards)])
+                yield pa.RecordBatch.from_arrays([pa.array([r["block"]] * len(s)), pa.array(s, pa.int32()), pa.array(p)], ["block", "shard", "payload"])
+
+    def count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("block", ignore_index=True)
+        asked = [np.frombuffer(zstandard.decompress(p), np.uint64).reshape(2, -1) for p in rows["payload"]]
+        words, at = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
+        counts = np.bincount(at, np.concatenate([a[1] for a in asked]), len(words)).astype(np.int64)
+        rank = np.empty(len(words), np.int64)
+        rank[np.argsort(-counts, kind="stable")] = np.arange(len(words))
+        number = np.where(counts > 0, FIRST + rank * shards + key[0], UNKNOWN)
+        ends = np.cumsum([a.shape[1] for a in asked])[:-1]
+        answers = [_pack(_planes(a), _planes(b)) for a, b in zip(np.split(number[at], ends), np.split(counts[at], ends))]
+        return pd.DataFrame({"block": rows["block"], "shard": key[0], "met": [int((counts > 0).sum())] + [0] * (len(rows) - 1), "answer": answers})
+
+    asked = held.select("block", "held", "sizes", "words", "tokens").mapInArrow(ask, "block string, shard int, payload binary")
+    return asked.groupBy("shard").applyInPandas(count, "block string, shard int, met long, answer binary")
+
+
+def _block_of(own: pd.DataFrame, got: pd.DataFrame, shards: int) -> tuple[Block, np.ndarray, np.ndarray]:
+    """A block with its words' numbers and training counts."""
+    r = own.iloc[0]
+    block = Block(r["held"], r["sizes"], r["words"], r["tokens"])
+    numbers, counts = np.zeros(len(block.words), np.uint64), np.zeros(len(block.words), np.int64)
+    answer = dict(zip(got["shard"], got["answer"]))
+    for s, at, _ in _unigrams(block, shards):
+        raw = zstandard.decompress(answer[s])
+        numbers[at], end = _from_planes(raw, 0, len(at), np.uint64)
+        counts[at] = _from_planes(raw, end, len(at), np.int64)[0]
+    return block, numbers, counts
+
+
+def score(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row a row.
 
     Rows whose crc32(doc_id as text) mod `folds` isn't 0 train; a null id counts as the empty text. Null and
@@ -236,54 +355,50 @@ def score(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, block_tokens:
     bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     held = stored(blocks(docs, folds, block_tokens), "blocks")
-    sizes = F.aggregate(F.zip_with("sizes", "held", lambda s, h: F.when(h, 0).otherwise(s)), F.lit(0).cast("long"), lambda a, x: a + x)
-    everything = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
-    train_tokens, tokens = (int(x or 0) for x in held.agg(F.sum(sizes), F.sum(everything)).first())
-    shards = max(1, round(tokens / shard_tokens))
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                r = b.slice(i, 1).to_pylist()[0]
-                block = Block(r["held"], r["sizes"], r["words"], r["tokens"])
-                for n in range(1, order + 1):
-                    if n == 1:
-                        rows = [(s, _pack(block.words[w], counts[w])) for s, w, counts in _unigrams(block, shards)]
-                    else:
-                        rows = list(Grams(block, n, shards).requests())
-                    s, p = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array([n] * len(s), pa.int32()), pa.array([r["block"]] * len(s)), pa.array(p)], ["shard", "ord", "block", "payload"])
-
-    asked = held.mapInArrow(ask, "shard int, ord int, block string, payload binary")
-    replies = stored(answers(asked, discount), "answers")
-    distinct = int(replies.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0])
-    below = train_tokens + 0.1 * (distinct + 1)
+    of = lambda n, over: F.aggregate(over, F.lit(0).cast("long"), lambda a, x: a + n(x))
+    trains = F.zip_with("sizes", "held", lambda s, h: F.when(h, 0).otherwise(s))
+    sums = held.agg(F.sum(of(lambda x: x, trains)), F.sum(of(lambda x: x, "sizes")), F.sum(of(lambda h: F.when(h, 0).otherwise(1), "held")), F.sum("n_words"))
+    train_tokens, tokens, texts, words = (int(x or 0) for x in sums.first())
+    shards, word_shards = max(1, round(tokens / shard_tokens)), max(1, round(words / shard_tokens))
+    split = max(1, shard_tokens // 4)
+    known = stored(numbered(held, word_shards), "words")
+    below = train_tokens + 0.1 * (int(known.agg(F.coalesce(F.sum("met"), F.lit(0))).first()[0]) + 1)
+    quantiser = Quantiser(-np.log10(below + 10) - 1)
+
+    def ask(_: tuple, own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        block, numbers, counts = _block_of(own, got, word_shards)
+        rows = list(Grams(block, numbers, counts, texts, order, shards, split).requests())
+        return pd.DataFrame({"block": own["block"].iat[0], "shard": [s for s, _ in rows], "payload": [p for _, p in rows]})
+
+    def answer(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        asked = Requests(list(rows["payload"]), order)
+        weights, backs = built(asked, below, quantiser).query(asked.words, asked.parents)
+        columns = [asked.split(k, x) for k in range(order) for x in ((weights[k], backs[k]) if k < order - 1 else (weights[k],))]
+        return pd.DataFrame({"block": rows["block"], "shard": int(key[0]), "answer": [_pack(*parts) for parts in zip(*columns)]})
 
     def combine(_: tuple, own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        r = own.iloc[0]
-        block = Block(r["held"], r["sizes"], r["words"], r["tokens"])
-        by_order: dict[int, dict[int, bytes]] = {}
-        for o, s, a in zip(got["ord"], got["shard"], got["answer"]):
-            by_order.setdefault(int(o), {})[int(s)] = zstandard.decompress(a)
-        counts = np.zeros(len(block.words), np.int64)
-        for s, w, _ in _unigrams(block, shards):
-            counts[w] = np.frombuffer(by_order[1][s], np.int64)
+        block, numbers, counts = _block_of(own, got[got["of_words"]], word_shards)
+        grams = Grams(block, numbers, counts, texts, order, shards, split)
+        replies = got[~got["of_words"]]
+        weights, backs = grams.answered({int(s): zstandard.decompress(a) for s, a in zip(replies["shard"], replies["answer"])})
+        table = quantiser.table()
+        left = np.append(1.0, table[1:])  # an unknown context leaves everything to the shorter one
         count = counts[block.tokens]
         base = (count + 0.1) / below
-        p = base
-        for n in range(2, order + 1):
-            replied = {}
-            for s, a in by_order[n].items():
-                weights, backs = np.frombuffer(a, np.float64, 256), np.frombuffer(a, np.float64, 256, 2048)
-                m = int(np.frombuffer(a, np.float64, 1, 4096)[0])
-                codes = np.frombuffer(a, np.uint8, -1, 4104)
-                replied[s] = weights[codes[:m]], backs[codes[m:]]
-            weight, back = Grams(block, n, shards).answered(replied)
-            p = weight + back * p
+        at = grams.nodes[0][grams.place]
+        p = np.where(at >= 0, table[weights[0][at]] if len(weights[0]) else 0, 0.1 / below)
+        reach = np.arange(len(p)) - np.repeat(block.starts, block.sizes) + 1  # tokens and START before a token
+        for k in range(2, order + 1):
+            some = np.flatnonzero(reach >= k - 1)
+            begin = grams.place[some] - k + 1
+            context, node = grams.nodes[k - 2][begin], grams.nodes[k - 1][begin]
+            back = np.where(context >= 0, left[backs[k - 2][context]] if len(backs[k - 2]) else 1.0, 1.0)
+            weight = np.where(node >= 0, table[weights[k - 1][node]] if len(weights[k - 1]) else 0.0, 0.0)
+            p[some] = weight + back * p[some]
         add = lambda x: np.add.reduceat(x, block.starts)
         return pd.DataFrame(
             {
-                "doc_id": pd.Series(list(r["ids"]), dtype=object),
+                "doc_id": pd.Series(list(own["ids"].iat[0]), dtype=object),
                 "held_out": block.held,
                 "n_tokens": block.sizes,
                 "n_known": add((count > 0).astype(np.int64)),
@@ -293,14 +408,10 @@ def score(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, block_tokens:
             }
         )
 
+    told = known.select("block", "shard", "answer")
+    whole = held.select("block", "ids", "held", "sizes", "words", "tokens")
+    asked = whole.drop("ids").groupBy("block").cogroup(told.groupBy("block")).applyInPandas(ask, "block string, shard int, payload binary")
+    replies = asked.groupBy("shard").applyInPandas(answer, "block string, shard int, answer binary")
+    got = replies.withColumn("of_words", F.lit(False)).unionByName(told.withColumn("of_words", F.lit(True)))
     shape = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return held.groupBy("block").cogroup(replies.select("block", "ord", "shard", "answer").groupBy("block")).applyInPandas(combine, shape)
-
-
-def _unigrams(block: Block, shards: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(shard, places of its words, every word's training count) for each shard that the block's words go to."""
-    counts = np.bincount(block.tokens, block.training, len(block.words)).astype(np.uint64)
-    shard = ((block.words >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
-    edges = np.searchsorted(shard[order], np.arange(shards + 1))
-    return [(s, order[edges[s] : edges[s + 1]], counts) for s in np.flatnonzero(np.diff(edges)).tolist()]
+    return whole.groupBy("block").cogroup(got.groupBy("block")).applyInPandas(combine, shape)
