@@ -31,12 +31,13 @@ from .eliasfano import Quantiser, Trie
 
 ORDER = 3
 FOLDS = 10
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 SHARD_TOKENS = 2_000_000
 LEAVES, FADE = 0.75, 0.1
 _MEMO = 300_000
 _SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 END = xxhash.xxh64_intdigest(b" end")  # no word holds a space
+_DEAL = np.uint64(40)  # 24 bits of a word's hash choose its shard
 UNKNOWN, START, FIRST = 0, 1, 2  # numbers of words: those that training never met, what stands before a text, real ones
 
 
@@ -80,7 +81,10 @@ def _pack(*arrays: np.ndarray) -> bytes:
 
 
 def blocks(docs: DataFrame, folds: int = FOLDS, size: int = BLOCK_TOKENS) -> DataFrame:
-    """(block, ids, held, sizes, n_words, words, tokens): whole documents, `size` tokens or little more at a time."""
+    """(block, ids, held, sizes, n_words, words, deal, tokens): whole documents, `size` tokens or little more at a time.
+
+    words: the block's words with their counts in training texts; deal: the bits of them that choose their shards.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,18 +95,23 @@ def blocks(docs: DataFrame, folds: int = FOLDS, size: int = BLOCK_TOKENS) -> Dat
 
         def flushed() -> pa.RecordBatch:
             words, tokens, times = np.unique(np.frombuffer(b"".join(parts), np.uint64), return_inverse=True, return_counts=True)
+            order = np.argsort(-times, kind="stable")  # frequent words get small numbers; equally frequent ones stay in order
             rank = np.empty(len(words), np.uint32)
-            rank[np.argsort(-times, kind="stable")] = np.arange(len(words))  # frequent words get small numbers
+            rank[order] = np.arange(len(words))
+            words, tokens = words[order], rank[tokens]
+            training = np.repeat([fold_of_value(i, folds) != 0 for i in ids], [len(p) // 8 for p in parts])
+            counts = np.bincount(tokens, training, len(words)).astype(np.uint32)
             columns = [
                 pa.array([f"{task}-{n}"]),
                 pa.array([ids], pa.list_(id_type)),
                 pa.array([[fold_of_value(i, folds) == 0 for i in ids]]),
                 pa.array([[len(p) // 8 for p in parts]], pa.list_(pa.int64())),
                 pa.array([len(words)]),
-                pa.array([_pack(words[np.argsort(rank)])]),
-                pa.array([_pack(_planes(rank[tokens]))]),
+                pa.array([_pack(_planes(np.diff(words, prepend=np.uint64(0))), _planes(counts))]),
+                pa.array([_pack(_planes(np.diff((words >> _DEAL).astype(np.uint32), prepend=np.uint32(0))))]),
+                pa.array([_pack(_planes(tokens))]),
             ]
-            return pa.RecordBatch.from_arrays(columns, ["block", "ids", "held", "sizes", "n_words", "words", "tokens"])
+            return pa.RecordBatch.from_arrays(columns, ["block", "ids", "held", "sizes", "n_words", "words", "deal", "tokens"])
 
         for b in batches:
             id_type = b.schema.field(0).type
@@ -116,17 +125,24 @@ def blocks(docs: DataFrame, folds: int = FOLDS, size: int = BLOCK_TOKENS) -> Dat
         if ids:
             yield flushed()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"block string, ids array<{kind}>, held array<boolean>, sizes array<long>, n_words long, words binary, tokens binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"block string, ids array<{kind}>, held array<boolean>, sizes array<long>, n_words long, words binary, deal binary, tokens binary")
 
 
 class Block:
-    def __init__(self, held, sizes, words: bytes, tokens: bytes) -> None:
+    def __init__(self, held, sizes, n_words: int, deal: bytes, tokens: bytes) -> None:
         unpack = zstandard.decompress
-        self.words = np.frombuffer(unpack(words), np.uint64)
         self.sizes, self.held = np.asarray(sizes, np.int64), np.asarray(held, bool)
-        self.tokens = _from_planes(unpack(tokens), 0, int(self.sizes.sum()), np.uint32)[0].astype(np.int64)
+        self.deal = np.cumsum(_from_planes(unpack(deal), 0, n_words, np.uint32)[0], dtype=np.uint32)
+        self.tokens = _from_planes(unpack(tokens), 0, int(self.sizes.sum()), np.uint32)[0].astype(np.int32)
         self.starts = np.append(0, np.cumsum(self.sizes)[:-1]).astype(np.int64)
-        self.training = np.repeat(~self.held, self.sizes)
+
+
+def _dealt(deal: np.ndarray, shards: int) -> list[tuple[int, np.ndarray]]:
+    """(shard, places of its words) for each shard that a block's words go to."""
+    shard = deal % np.uint32(shards)
+    order = np.argsort(shard, kind="stable")
+    edges = np.searchsorted(shard[order], np.arange(shards + 1))
+    return [(s, order[edges[s] : edges[s + 1]]) for s in np.flatnonzero(np.diff(edges)).tolist()]
 
 
 class Grams:
@@ -143,10 +159,10 @@ class Grams:
         total[local] = np.append(counts, starts)
         spans = block.sizes + 1
         self.place = np.arange(len(block.tokens)) + np.repeat(np.arange(1, len(spans) + 1), block.sizes)  # of each token
-        text = np.full(spans.sum(), local[-1], np.int64)
+        text = np.full(spans.sum(), local[-1], np.int32)
         text[self.place] = local[block.tokens]
-        known = words[text] != UNKNOWN
-        left = np.repeat(np.cumsum(spans), spans) - np.arange(len(text))
+        known = (words != UNKNOWN)[text]
+        left = np.repeat(np.cumsum(spans), spans).astype(np.int32) - np.arange(len(text), dtype=np.int32)
         training = np.repeat(~block.held, spans)
         self.nodes, self.parent, self.word, self.count = [], [], [], []
         at = np.flatnonzero(known)
@@ -156,11 +172,11 @@ class Grams:
                 above = self.nodes[-1]
                 at = np.flatnonzero((above >= 0) & (left >= k))
                 at = at[known[at + k - 1]]
-                key = above[at] * len(words) + text[at + k - 1]
+                key = above[at].astype(np.int64) * len(words) + text[at + k - 1]
             grams, which = np.unique(key, return_inverse=True)
             node = np.full(len(text), -1, np.int32)
             node[at] = which
-            self.nodes.append(node.astype(np.int64))
+            self.nodes.append(node)
             self.parent.append(grams // len(words))
             self.word.append(words[grams % len(words)])
             self.count.append(total[grams] if k == 1 else np.bincount(which, training[at], len(grams)).astype(np.int64))
@@ -293,16 +309,6 @@ def built(asked: Requests, below: float, quantiser: Quantiser) -> Trie:
     return Trie(first, words, levels, weights, backs[:-1] if levels else [])
 
 
-def _unigrams(block: Block, shards: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(shard, places of its words, their training counts) for each shard that the block's words go to."""
-    counts = np.bincount(block.tokens, block.training, len(block.words)).astype(np.uint64)
-    shard = ((block.words >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
-    edges = np.searchsorted(shard[order], np.arange(shards + 1))
-    places = [(s, order[edges[s] : edges[s + 1]]) for s in np.flatnonzero(np.diff(edges)).tolist()]
-    return [(s, at, counts[at]) for s, at in places]
-
-
 def numbered(held: DataFrame, shards: int) -> DataFrame:
     """blocks -> (block, shard, met, answer): numbers and training counts of a block's words, shard by shard.
 
@@ -312,34 +318,45 @@ def numbered(held: DataFrame, shards: int) -> DataFrame:
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
-                block = Block(r["held"], r["sizes"], r["words"], r["tokens"])
-                s, p = zip(*[(s, _pack(block.words[at], counts)) for s, at, counts in _unigrams(block, shards)])
-                yield pa.RecordBatch.from_arrays([pa.array([r["block"]] * len(s)), pa.array(s, pa.int32()), pa.array(p)], ["block", "shard", "payload"])
+            for i in range(b.num_rows):
+                block, n, raw = b.column(0)[i].as_py(), b.column(1)[i].as_py(), zstandard.decompress(b.column(2)[i].as_py())
+                steps, at = _from_planes(raw, 0, n, np.uint64)
+                words, counts = np.cumsum(steps, dtype=np.uint64), _from_planes(raw, at, n, np.uint32)[0]
+                rows = []
+                for s, at in _dealt((words >> _DEAL).astype(np.uint32), shards):
+                    steps = np.diff(words[at], prepend=np.uint64(0))
+                    rows.append((s, _pack(np.array([len(at)]), _planes(steps), _planes(counts[at]))))
+                s, p = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(s)), pa.array(s, pa.int32()), pa.array(p)], ["block", "shard", "payload"])
+
+    def opened(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+        raw = zstandard.decompress(payload)
+        n = int(np.frombuffer(raw, np.int64, 1)[0])
+        steps, at = _from_planes(raw, 8, n, np.uint64)
+        return np.cumsum(steps, dtype=np.uint64), _from_planes(raw, at, n, np.uint32)[0]
 
     def count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("block", ignore_index=True)
-        asked = [np.frombuffer(zstandard.decompress(p), np.uint64).reshape(2, -1) for p in rows["payload"]]
+        asked = list(map(opened, rows["payload"]))
         words, at = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
         counts = np.bincount(at, np.concatenate([a[1] for a in asked]), len(words)).astype(np.int64)
         rank = np.empty(len(words), np.int64)
         rank[np.argsort(-counts, kind="stable")] = np.arange(len(words))
         number = np.where(counts > 0, FIRST + rank * shards + key[0], UNKNOWN)
-        ends = np.cumsum([a.shape[1] for a in asked])[:-1]
+        ends = np.cumsum([len(a[0]) for a in asked])[:-1]
         answers = [_pack(_planes(a), _planes(b)) for a, b in zip(np.split(number[at], ends), np.split(counts[at], ends))]
         return pd.DataFrame({"block": rows["block"], "shard": key[0], "met": [int((counts > 0).sum())] + [0] * (len(rows) - 1), "answer": answers})
 
-    asked = held.select("block", "held", "sizes", "words", "tokens").mapInArrow(ask, "block string, shard int, payload binary")
+    asked = held.select("block", "n_words", "words").mapInArrow(ask, "block string, shard int, payload binary")
     return asked.groupBy("shard").applyInPandas(count, "block string, shard int, met long, answer binary")
 
 
-def _block_of(own: pd.DataFrame, got: pd.DataFrame, shards: int) -> tuple[Block, np.ndarray, np.ndarray]:
+def _opened(row, shards: int) -> tuple[Block, np.ndarray, np.ndarray]:
     """A block with its words' numbers and training counts."""
-    r = own.iloc[0]
-    block = Block(r["held"], r["sizes"], r["words"], r["tokens"])
-    numbers, counts = np.zeros(len(block.words), np.uint64), np.zeros(len(block.words), np.int64)
-    answer = dict(zip(got["shard"], got["answer"]))
-    for s, at, _ in _unigrams(block, shards):
+    block = Block(row["held"], row["sizes"], int(row["n_words"]), row["deal"], row["tokens"])
+    numbers, counts = np.zeros(len(block.deal), np.uint64), np.zeros(len(block.deal), np.int64)
+    answer = {a["shard"]: a["answer"] for a in row["told"]}
+    for s, at in _dealt(block.deal, shards):
         raw = zstandard.decompress(answer[s])
         numbers[at], end = _from_planes(raw, 0, len(at), np.uint64)
         counts[at] = _from_planes(raw, end, len(at), np.int64)[0]
@@ -365,8 +382,8 @@ def score(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, block_tokens:
     below = train_tokens + 0.1 * (int(known.agg(F.coalesce(F.sum("met"), F.lit(0))).first()[0]) + 1)
     quantiser = Quantiser(-np.log10(below + 10) - 1)
 
-    def ask(_: tuple, own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        block, numbers, counts = _block_of(own, got, word_shards)
+    def ask(own: pd.DataFrame) -> pd.DataFrame:
+        block, numbers, counts = _opened(own.iloc[0], word_shards)
         rows = list(Grams(block, numbers, counts, texts, order, shards, split).requests())
         return pd.DataFrame({"block": own["block"].iat[0], "shard": [s for s, _ in rows], "payload": [p for _, p in rows]})
 
@@ -377,10 +394,9 @@ def score(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, block_tokens:
         return pd.DataFrame({"block": rows["block"], "shard": int(key[0]), "answer": [_pack(*parts) for parts in zip(*columns)]})
 
     def combine(_: tuple, own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        block, numbers, counts = _block_of(own, got[got["of_words"]], word_shards)
+        block, numbers, counts = _opened(own.iloc[0], word_shards)
         grams = Grams(block, numbers, counts, texts, order, shards, split)
-        replies = got[~got["of_words"]]
-        weights, backs = grams.answered({int(s): zstandard.decompress(a) for s, a in zip(replies["shard"], replies["answer"])})
+        weights, backs = grams.answered({int(s): zstandard.decompress(a) for s, a in zip(got["shard"], got["answer"])})
         table = quantiser.table()
         left = np.append(1.0, table[1:])  # an unknown context leaves everything to the shorter one
         count = counts[block.tokens]
@@ -408,10 +424,10 @@ def score(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, block_tokens:
             }
         )
 
-    told = known.select("block", "shard", "answer")
-    whole = held.select("block", "ids", "held", "sizes", "words", "tokens")
-    asked = whole.drop("ids").groupBy("block").cogroup(told.groupBy("block")).applyInPandas(ask, "block string, shard int, payload binary")
+    # Both passes over the blocks read one and the same shuffle of them.
+    told = known.groupBy("block").agg(F.collect_list(F.struct("shard", "answer")).alias("told"))
+    whole = held.select("block", "ids", "held", "sizes", "n_words", "deal", "tokens").join(told.hint("merge"), "block")
+    asked = whole.groupBy("block").applyInPandas(ask, "block string, shard int, payload binary")
     replies = asked.groupBy("shard").applyInPandas(answer, "block string, shard int, answer binary")
-    got = replies.withColumn("of_words", F.lit(False)).unionByName(told.withColumn("of_words", F.lit(True)))
     shape = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return whole.groupBy("block").cogroup(got.groupBy("block")).applyInPandas(combine, shape)
+    return whole.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(combine, shape)
