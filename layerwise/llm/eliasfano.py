@@ -7,6 +7,7 @@ import mmap
 import numpy as np
 
 _ONE = np.uint64(1)
+_PIECE = 1 << 18
 
 
 class EliasFano:
@@ -58,6 +59,9 @@ class EliasFano:
         The high part of x names a run of places, about one on average but many where numbers are dense; it is
         searched by halves.
         """
+        if len(x) > _PIECE:  # what is held at a time stays small
+            cuts = [slice(i, i + _PIECE) for i in range(0, len(x), _PIECE)]
+            return np.concatenate([self.find(x[c], *(None if e is None else e[c] for e in (first, end))) for c in cuts])
         out = np.full(len(x), -1, np.int64)
         if not self.n or not len(x):
             return out

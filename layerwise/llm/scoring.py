@@ -20,7 +20,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -32,11 +31,11 @@ from .eliasfano import Quantiser, Trie
 ORDER = 3
 FOLDS = 10
 BLOCK_TOKENS = 1_000_000
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS = 1_500_000
 LEAVES, FADE = 0.75, 0.1
-_MEMO = 300_000
+_PART = 1 << 21  # bytes of text that are hashed at a time
 _SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
-END = xxhash.xxh64_intdigest(b" end")  # no word holds a space
+END = 0x5851F42D4C957F2D
 _DEAL = np.uint64(40)  # 24 bits of a word's hash choose its shard
 UNKNOWN, START, FIRST = 0, 1, 2  # numbers of words: those that training never met, what stands before a text, real ones
 
@@ -46,22 +45,51 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-class Hasher:
-    """A text's words, A-Z lower-cased, as 64-bit hashes, then END."""
-
-    def __init__(self) -> None:
-        self.memo: dict[bytes, bytes] = {}
-
-    def _hash(self, word: bytes) -> bytes:
-        if len(self.memo) >= _MEMO:
-            self.memo.clear()
-        got = self.memo[word] = xxhash.xxh64_intdigest(word).to_bytes(8, "little")
-        return got
-
-    def tokens(self, text: str | None) -> bytes:
-        found = (text or "").encode("utf-8", "surrogatepass").lower().translate(_SPACES).split(b" ")
-        memo, miss = self.memo, self._hash
-        return b"".join([memo[w] if w in memo else miss(w) for w in found if w]) + END.to_bytes(8, "little")
+_BYTE = np.random.default_rng(13).integers(0, 1 << 63, 256, dtype=np.uint64)
+_POWERS = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(256)], np.uint64)
+
+
+def _powers(n: int) -> np.ndarray:
+    """The first n powers of the hash's factor."""
+    if n <= len(_POWERS):
+        return _POWERS[:n]
+    return np.cumprod(np.append(np.uint64(1), np.full(n - 1, 0x9E3779B97F4A7C15, np.uint64)))
+
+
+def hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a text's words, parted by spaces, and where they begin; a part of the text at a time."""
+    found, begins, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while at < len(text):
+        end = text.rfind(b" ", at, at + _PART) + 1 if at + _PART < len(text) else len(text)
+        if not end:  # one long word
+            end = text.find(b" ", at + _PART) + 1 or len(text)
+        piece = np.frombuffer(text, np.uint8, end - at, at)
+        inside = piece != 32
+        starts = np.flatnonzero(inside & ~np.append(False, inside[:-1]))
+        if len(starts):
+            ends = np.flatnonzero(inside & ~np.append(inside[1:], False)) + 1
+            sizes = ends - starts
+            letters = _BYTE[piece[inside]]
+            first = np.cumsum(sizes) - sizes
+            letters *= _powers(int(sizes.max()))[np.arange(len(letters)) - np.repeat(first, sizes)]
+            found.append(mixed(np.add.reduceat(letters, first) + sizes.astype(np.uint64)))
+            begins.append(starts + at)
+        at = end
+    return np.concatenate(found), np.concatenate(begins)
+
+
+def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the texts' words, A-Z lower-cased, and END after each text's last one; the number of tokens of each."""
+    raw = [(t or "").encode("utf-8", "surrogatepass").lower().translate(_SPACES) for t in texts]
+    found, begins = hashes(b" ".join(raw))
+    edges = np.cumsum([0, *(len(r) + 1 for r in raw)])
+    sizes = np.diff(np.searchsorted(begins, edges)) + 1
+    out = np.full(sizes.sum(), END, np.uint64)
+    last = np.cumsum(sizes) - 1
+    words = np.ones(len(out), bool)
+    words[last] = False
+    out[words] = found
+    return out, sizes
 
 
 def _planes(x: np.ndarray) -> np.ndarray:
@@ -88,24 +116,21 @@ def blocks(docs: DataFrame, folds: int = FOLDS, size: int = BLOCK_TOKENS) -> Dat
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, task, n = Hasher(), TaskContext.get().partitionId(), 0
-        ids: list = []
-        parts: list[bytes] = []
-        total = 0
+        task, n, ids, sizes, parts, total = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def flushed() -> pa.RecordBatch:
-            words, tokens, times = np.unique(np.frombuffer(b"".join(parts), np.uint64), return_inverse=True, return_counts=True)
+            words, tokens, times = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
             order = np.argsort(-times, kind="stable")  # frequent words get small numbers; equally frequent ones stay in order
             rank = np.empty(len(words), np.uint32)
             rank[order] = np.arange(len(words))
             words, tokens = words[order], rank[tokens]
-            training = np.repeat([fold_of_value(i, folds) != 0 for i in ids], [len(p) // 8 for p in parts])
+            training = np.repeat([fold_of_value(i, folds) != 0 for i in ids], sizes)
             counts = np.bincount(tokens, training, len(words)).astype(np.uint32)
             columns = [
                 pa.array([f"{task}-{n}"]),
                 pa.array([ids], pa.list_(id_type)),
                 pa.array([[fold_of_value(i, folds) == 0 for i in ids]]),
-                pa.array([[len(p) // 8 for p in parts]], pa.list_(pa.int64())),
+                pa.array([sizes], pa.list_(pa.int64())),
                 pa.array([len(words)]),
                 pa.array([_pack(_planes(np.diff(words, prepend=np.uint64(0))), _planes(counts))]),
                 pa.array([_pack(_planes(np.diff((words >> _DEAL).astype(np.uint32), prepend=np.uint32(0))))]),
@@ -115,13 +140,16 @@ def blocks(docs: DataFrame, folds: int = FOLDS, size: int = BLOCK_TOKENS) -> Dat
 
         for b in batches:
             id_type = b.schema.field(0).type
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids.append(i)
-                parts.append(hasher.tokens(text))
-                total += len(parts[-1]) // 8
+            found, counted = tokens_of(b.column(1).to_pylist())
+            edges = np.append(0, np.cumsum(counted))
+            for i, key in enumerate(b.column(0).to_pylist()):
+                ids.append(key)
+                sizes.append(int(counted[i]))
+                parts.append(found[edges[i] : edges[i + 1]])
+                total += sizes[-1]
                 if total >= size:
                     yield flushed()
-                    ids, parts, total, n = [], [], 0, n + 1
+                    ids, sizes, parts, total, n = [], [], [], 0, n + 1
         if ids:
             yield flushed()
 
@@ -164,57 +192,84 @@ class Grams:
         known = (words != UNKNOWN)[text]
         left = np.repeat(np.cumsum(spans), spans).astype(np.int32) - np.arange(len(text), dtype=np.int32)
         training = np.repeat(~block.held, spans)
-        self.nodes, self.parent, self.word, self.count = [], [], [], []
-        at = np.flatnonzero(known)
-        key = text[at]
-        for k in range(1, order + 1):
-            if k > 1:
-                above = self.nodes[-1]
-                at = np.flatnonzero((above >= 0) & (left >= k))
-                at = at[known[at + k - 1]]
-                key = above[at].astype(np.int64) * len(words) + text[at + k - 1]
+        met = int(words[0] == UNKNOWN)  # all other words are in the texts, so their numbers are those of the n-grams of length 1
+        self.nodes, self.last = [text - np.int32(met)], [np.arange(met, len(words))]
+        self.parent, self.count = [np.zeros(len(words) - met, np.int64)], [total[met:]]
+        for k in range(2, order + 1):
+            above = self.nodes[-1]
+            at = np.flatnonzero((above >= 0) & (left >= k))
+            at = at[known[at + k - 1]]
+            key = above[at].astype(np.int64) * len(words) + text[at + k - 1]
             grams, which = np.unique(key, return_inverse=True)
             node = np.full(len(text), -1, np.int32)
             node[at] = which
             self.nodes.append(node)
+            self.count.append(np.bincount(which, training[at], len(grams)).astype(np.int64))
             self.parent.append(grams // len(words))
-            self.word.append(words[grams % len(words)])
-            self.count.append(total[grams] if k == 1 else np.bincount(which, training[at], len(grams)).astype(np.int64))
-        self._deal(total[np.searchsorted(words, self.word[1])] if order > 1 else None, shards, split)
-
-    def _deal(self, second: np.ndarray | None, shards: int, split: int) -> None:
-        route = lambda w, a, b: (mixed(w * np.uint64(0x9E3779B97F4A7C15) + a.astype(np.uint64) * np.uint64(0x94D049BB133111EB) + b.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
-        parts = lambda c: np.maximum(1, -(-c // split))
-        first, order = self.word[0], len(self.word)
-        zero = np.zeros(len(first), np.int64)
-        pairs = [(np.arange(len(first)), route(first, zero, zero))]
+            self.last.append(grams - self.parent[-1] * len(words))
+        self.words = words
+        self._deal(total, shards, split)
+
+    def _deal(self, total: np.ndarray, shards: int, split: int) -> None:
+        factor, other = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x94D049BB133111EB)
+        route = lambda w, a, b: (mixed(w * factor + a * other + b) % np.uint64(shards)).astype(np.int32)
+        parts = lambda c: np.maximum(1, -(-c // split)).astype(np.uint64)
+        first, order = self.words[self.last[0]], len(self.last)
+
+        def rest(last: np.ndarray, of: np.ndarray, context: np.ndarray) -> np.ndarray:
+            """Which part of its context, cut into so many, each n-gram belongs to."""
+            out = np.zeros(len(last), np.uint64)
+            many = np.flatnonzero((of > 1)[context])
+            out[many] = self.words[last[many]] % of[context[many]]
+            return out
+
+        home = [route(first, np.uint64(0), np.uint64(0))]  # of each n-gram the shard that always gets it
+        extra = [[] for _ in range(order)]  # (n-gram, another shard that gets it)
         if order > 1:
             up = self.parent[1]
-            part = (self.word[1] % parts(self.count[0])[up].astype(np.uint64)).astype(np.int64)
-            most = parts(np.minimum(self.count[0][up], second)) if order > 2 else np.ones(len(up), np.int64)
-            node = np.repeat(np.arange(len(up)), most)
-            place = np.arange(len(node)) - np.repeat(np.cumsum(most) - most, most)
-            pairs.append((node, route(first[up[node]], part[node], place)))
-            pairs[0] = tuple(np.concatenate(x) for x in zip(pairs[0], (up[node], pairs[1][1])))
-        for k in range(3, order + 1):
-            up = self.parent[k - 1]
-            if k == 3:
-                below = (self.word[2] % most[up].astype(np.uint64)).astype(np.int64)
-                shard = route(first[self.parent[1][up]], part[up], below)
-            else:
-                shard = shard[up]
-            pairs.append((np.arange(len(up)), shard))
+            part = rest(self.last[1], parts(self.count[0]), up)
+            home.append(route(first[up], part, np.uint64(0)))
+            extra[0].append((up, home[1]))
+        if order > 2:
+            most = parts(np.minimum(self.count[0][up], total[self.last[1]]))
+            cut = np.flatnonzero(most > 1)
+            times = most[cut].astype(np.int64) - 1
+            node = np.repeat(cut, times)
+            place = np.arange(len(node)) - np.repeat(np.cumsum(times) - times, times) + 1
+            other_home = route(first[up[node]], part[node], place.astype(np.uint64))
+            extra[1].append((node, other_home))
+            extra[0].append((up[node], other_home))
+            pair = self.parent[2]
+            home.append(route(first[up[pair]], part[pair], rest(self.last[2], most, pair)))
+        for k in range(3, order):
+            home.append(home[-1][self.parent[k]])
         self.node, self.edges, self.children = [], [], []
-        keys: list[np.ndarray] = []
-        for k, (node, shard) in enumerate(pairs):
-            n = max(1, len(self.word[k]))
-            key = np.unique(shard * n + node)
-            self.node.append(key % n)
-            self.edges.append(np.searchsorted(key, np.arange(shards + 1) * n))
+        for k in range(order):
+            node, shard = np.arange(len(home[k])), home[k]
+            if extra[k]:
+                more, to = (np.concatenate(x) for x in zip(*extra[k]))
+                far = np.flatnonzero(to != shard[more])
+                n = max(1, len(node))
+                key = np.unique(to[far].astype(np.int64) * n + more[far])
+                node, shard = np.append(node, key % n), np.append(shard, (key // n).astype(np.int32))
+            by = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
+            if extra[k]:  # in order of n-grams inside each shard
+                by = by[np.lexsort((node[by], shard[by]))] if len(key) else by
+            self.node.append(node[by])
+            self.edges.append(np.searchsorted(shard[by], np.arange(shards + 1)))
             if k:
-                above = max(1, len(self.word[k - 1]))
-                self.children.append(np.bincount(np.searchsorted(keys[-1], key // n * above + self.parent[k][key % n]), minlength=len(keys[-1])).astype(np.uint32))
-            keys.append(key)
+                owner, there = self.parent[k][node[by]], shard[by]
+                at = at_home[owner]
+                away = np.flatnonzero(home[k - 1][owner] != there)
+                if len(away):
+                    n = max(1, len(home[k - 1]))
+                    at[away] = np.searchsorted(pairs, there[away].astype(np.int64) * n + owner[away])
+                self.children.append(np.bincount(at, minlength=len(self.node[k - 1])).astype(np.uint32))
+            at_home = np.empty(len(home[k]), np.int64)  # where each n-gram with its home is in the order by shards
+            place = np.empty(len(by), np.int64)
+            place[by] = np.arange(len(by))
+            at_home[:] = place[: len(home[k])]
+            pairs = shard[by].astype(np.int64) * max(1, len(home[k])) + node[by]
 
     def requests(self) -> Iterator[tuple[int, bytes]]:
         """For each shard: the numbers of n-grams of each length; then, length by length, how many successors
@@ -224,7 +279,7 @@ class Grams:
             out = [np.array([c.stop - c.start for c in cut], np.uint64)]
             for k, c in enumerate(cut):
                 node = self.node[k][c]
-                word = self.word[k][node]
+                word = self.words[self.last[k][node]]
                 steps = np.diff(word, prepend=np.uint64(0))
                 if k:
                     children = self.children[k - 1][cut[k - 1]]
@@ -236,8 +291,8 @@ class Grams:
 
     def answered(self, answers: dict[int, bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Codes of each length's n-grams: their weights, and what they leave, as contexts, to the shorter one."""
-        order = len(self.word)
-        weights, backs = ([np.zeros(len(w), np.uint8) for w in self.word] for _ in range(2))
+        order = len(self.last)
+        weights, backs = ([np.zeros(len(w), np.uint8) for w in self.last] for _ in range(2))
         for s, raw in answers.items():
             at = 0
             for k in range(order):
@@ -263,7 +318,7 @@ class Requests:
                 up = np.zeros(0, np.int64)
                 if k:
                     children, at = _from_planes(raw, at, n[k - 1], np.uint32)
-                    up = np.repeat(np.arange(n[k - 1]), children) + offset[k - 1]
+                    up = np.repeat(np.arange(offset[k - 1], offset[k - 1] + n[k - 1]), children)
                 steps, at = _from_planes(raw, at, n[k], np.uint64)
                 word = np.cumsum(steps, dtype=np.uint64)
                 if k:  # each context's successors start anew
@@ -271,17 +326,26 @@ class Requests:
                     heads = np.cumsum(sizes) - sizes
                     word -= np.repeat(word[heads] - steps[heads], sizes)
                 count, at = _from_planes(raw, at, n[k], np.uint64 if k == 0 else np.uint32)
-                found[k].append((word, count.astype(np.int64), up))
+                found[k].append((word, count, up.astype(np.int32)))
             offset = offset + n
-        self.words, self.counts, self.parents = ([np.concatenate([f[j] for f in level]) for level in found] for j in range(3))
+        self.words, self.counts, self.parents = [], [], []
+        for level in found:
+            for j, out in enumerate((self.words, self.counts, self.parents)):
+                out.append(np.concatenate([f[j] for f in level]))
+            level.clear()
 
     def split(self, k: int, x: np.ndarray) -> list[np.ndarray]:
         return np.split(x, np.cumsum(self.sizes[:, k])[:-1])
 
 
+_LEAVES = LEAVES * np.maximum(np.arange(1 << 12), 1.0) ** -FADE
+
+
 def left_over(count: np.ndarray) -> np.ndarray:
     """The share that contexts of these counts leave to the shorter one."""
-    return LEAVES * np.maximum(count, 1) ** -FADE
+    out, large = _LEAVES[np.minimum(count, len(_LEAVES) - 1)], count >= len(_LEAVES)
+    out[large] = LEAVES * count[large] ** -FADE
+    return out
 
 
 def built(asked: Requests, below: float, quantiser: Quantiser) -> Trie:
