@@ -14,13 +14,13 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,12 +29,13 @@ from .common import bounded_batches, small, stored
 TOKENIZER = "word_bpe_49k.json"
 WINDOW = 4096
 END = 2
-TERMS = 1 << 18  # hashed words
+_TERM_BITS = 18
+TERMS = 1 << _TERM_BITS  # hashed words
 SHARD_TOKENS = 600_000
 K1, B = 1.2, 0.75
 SAMPLE = 1 << 16  # documents that the tree is learned from
 LEAVES = 1 << 14
-DIMENSIONS = 64
+DIMENSIONS = 32
 COPY_KEYS, KEY_HASHES = 6, 3  # near copies share a key of so many MinHashes: of Jaccard 0.8 98.6 %, of 0.1 0.6 %
 _PARTS = 1 << 14  # of a leaf, and of a group of near copies
 _MEMO = 600_000
@@ -45,28 +46,14 @@ _LETTERS = "a-zß-öø-ÿ"
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]*")
 _RUNS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
 _WORD_END = "</w>"
-
-
-class Memo(dict):
-    """A bounded dict that makes what it hasn't got."""
-
-    def __init__(self, make) -> None:
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key: str) -> bytes:
-        if len(self) >= _MEMO:
-            self.clear()
-        got = self[key] = self.make(key)
-        return got
+_ZSTD = zstandard.ZstdCompressor(1)
 
 
 class Encoder:
-    """A text's ids, as bytes of numbers of type `kind`.
+    """Texts' ids. The tokenizer never joins letters across a space or line feed, so words are looked up one by one.
 
-    The tokenizer never joins letters across a space or line feed, so words are looked up one by one. A word
-    of plain characters is cut into runs as the tokenizer does, and its model is asked for runs not met
-    before; any other word is encoded by the tokenizer as it stands.
+    A word of plain characters is cut into runs as the tokenizer does; runs of letters not met before are encoded
+    many at a time, each ending in an id that marks a word's end. Any other word is encoded as it stands.
     """
 
     def __init__(self, name: str = TOKENIZER) -> None:
@@ -76,29 +63,59 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         vocabulary = self.tokenizer.get_vocab()
         self.kind = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
-        self.code = "H" if self.kind.itemsize == 2 else "I"
-        shown = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.bytes_of = {ord(c): shown.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xC0, 0x100))}
         self.by_runs = name == TOKENIZER
-        self.end = array(self.code, [END]).tobytes()
         marked = [i for t, i in vocabulary.items() if t.endswith(_WORD_END)]
         self.ends = np.full(max(vocabulary.values()) + 1, not marked)  # whether an id ends a word
         self.ends[marked] = True
-        self.words, self.runs = Memo(self._word), Memo(self._run)
+        shown = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes_of = {ord(c): shown.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xC0, 0x100))}
+        self.end = np.array([END], self.kind).tobytes()
+        self.words: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
 
     def _run(self, run: str) -> bytes:
         shown = run if run.isascii() else run.translate(self.bytes_of)
-        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
-
-    def _word(self, word: str) -> bytes:
-        if self.by_runs and _PLAIN.fullmatch(word) and "<|" not in word:
-            low = word.lower()
-            return self.runs[low] if low.isalpha() else b"".join([self.runs[r] for r in _RUNS.findall(low)])
-        return array(self.code, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """Ids of the text, then END."""
-        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" "))) + self.end
+        return np.array([t.id for t in self.tokenizer.model.tokenize(shown)], self.kind).tobytes()
+
+    def _learn_letters(self, runs: list[str]) -> None:
+        for i in range(0, len(runs), 256):
+            some = runs[i : i + 256]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, self.kind)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(some):
+                raw, cuts = ids.tobytes(), (np.append(0, ends) * self.kind.itemsize).tolist()
+                self.runs.update((run, raw[a:b]) for run, a, b in zip(some, cuts, cuts[1:]))
+            else:
+                self.runs.update((run, self._run(run)) for run in some)
+
+    def _learn(self, words: set[str]) -> None:
+        whole, cut, runs = {}, {}, self.runs
+        for word in words:
+            if self.by_runs and _PLAIN.fullmatch(word) and "<|" not in word:
+                low = word.lower()
+                if low.isalpha():
+                    whole[word] = low
+                else:
+                    cut[word] = _RUNS.findall(low)
+            else:
+                self.words[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
+        new = {r for r in whole.values() if r not in runs} | {r for found in cut.values() for r in found if r not in runs}
+        self._learn_letters([r for r in new if r.isalpha()])
+        runs.update((r, self._run(r)) for r in new if not r.isalpha())
+        self.words.update(zip(whole, map(runs.__getitem__, whole.values())))
+        self.words.update((word, b"".join([runs[r] for r in found])) for word, found in cut.items())
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, then END."""
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        new = set().union(*split).difference(self.words)
+        if len(self.words) + len(new) > _MEMO:
+            self.words.clear()
+            self.runs.clear()
+            new = set().union(*split)
+        self._learn(new)
+        known = self.words.__getitem__
+        return [np.frombuffer(b"".join(map(known, words)) + self.end, self.kind) for words in split]
 
 
 @lru_cache(1)
@@ -107,31 +124,52 @@ def encoder(name: str) -> Encoder:
     return Encoder(name)
 
 
-def terms(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed words of a document's ids, and how often each occurs. A word is the ids up to one that ends it."""
-    last = ends[ids]
-    last[-1:] = True
-    starts = np.append(0, np.flatnonzero(last)[:-1] + 1)
-    place = np.arange(len(ids)) - np.repeat(starts, np.diff(np.append(starts, len(ids))))
-    h = (ids.astype(np.uint64) + np.uint64(1)) * (place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xBF58476D1CE4E5B9))
-    word = np.add.reduceat(h ^ (h >> np.uint64(29)), starts)
-    return np.unique(((word * np.uint64(0x94D049BB133111EB)) >> np.uint64(46)).astype(np.int32), return_counts=True)
-
-
-_FACTORS = np.random.default_rng(11).integers(1, 1 << 63, (COPY_KEYS * KEY_HASHES, 1), dtype=np.uint64) | np.uint64(1)
-
-
-def copy_keys(words: np.ndarray) -> np.ndarray:
-    """Keys that near copies share, from a document's hashed words."""
-    if not len(words):
-        return np.zeros(COPY_KEYS, np.int64)
-    h = (words.astype(np.uint64) + np.uint64(1)) * _FACTORS
-    h = ((h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)).min(axis=1).reshape(COPY_KEYS, KEY_HASHES)
-    key = np.arange(COPY_KEYS, dtype=np.uint64)
-    for i in range(KEY_HASHES):
-        key = (key ^ h[:, i]) * np.uint64(0xBF58476D1CE4E5B9)
-        key ^= key >> np.uint64(29)
-    return key.view(np.int64)
+def terms(ids: list[np.ndarray], ends: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each document the hashed words of its ids, and how often each occurs. A word is the ids up to one that ends it."""
+    out, sizes = [], np.array(list(map(len, ids)), np.int64)
+    for cut in pieces(sizes):
+        flat, edges = np.concatenate(ids[cut]), np.cumsum(sizes[cut])
+        last = ends[flat]
+        last[edges - 1] = True
+        starts = np.append(0, np.flatnonzero(last)[:-1] + 1)
+        place = np.arange(len(flat)) - np.repeat(starts, np.diff(np.append(starts, len(flat))))
+        factor = np.arange(place.max() + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xBF58476D1CE4E5B9)
+        h = (flat.astype(np.uint64) + np.uint64(1)) * factor[place]
+        word = np.add.reduceat(h ^ (h >> np.uint64(29)), starts) * np.uint64(0x94D049BB133111EB)
+        document = np.searchsorted(edges, starts, "right")
+        key, counts = np.unique((document << _TERM_BITS) | (word >> np.uint64(64 - _TERM_BITS)).astype(np.int64), return_counts=True)
+        at = np.searchsorted(key >> _TERM_BITS, np.arange(1, len(edges)))
+        out += zip(np.split((key & (TERMS - 1)).astype(np.int32), at), np.split(counts, at))
+    return out
+
+
+_FACTORS = np.random.default_rng(11).integers(1, 1 << 63, COPY_KEYS * KEY_HASHES, dtype=np.uint64) | np.uint64(1)
+
+
+def copy_keys(words: list[np.ndarray]) -> np.ndarray:
+    """A row a document of keys that near copies share, from their hashed words; each has one at least (END)."""
+    out, sizes = [np.zeros((0, COPY_KEYS), np.int64)], np.array(list(map(len, words)), np.int64)
+    for cut in pieces(sizes):
+        flat, starts = np.concatenate(words[cut]).astype(np.uint64) + np.uint64(1), np.cumsum(sizes[cut]) - sizes[cut]
+        least = []
+        for f in _FACTORS:
+            h = flat * f
+            least.append(np.minimum.reduceat((h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB), starts))
+        h = np.array(least).T.reshape(-1, COPY_KEYS, KEY_HASHES)
+        key = np.tile(np.arange(COPY_KEYS, dtype=np.uint64), (len(h), 1))
+        for i in range(KEY_HASHES):
+            key = (key ^ h[:, :, i]) * np.uint64(0xBF58476D1CE4E5B9)
+            key ^= key >> np.uint64(29)
+        out.append(key.view(np.int64))
+    return np.concatenate(out)
+
+
+def pieces(sizes: np.ndarray, most: int = 1 << 19) -> Iterator[slice]:
+    """Slices of documents with about `most` entries together, or one document with more."""
+    group = np.cumsum(sizes) // most
+    edges = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(sizes)) if len(sizes) else [0]
+    for a, b in zip(edges, edges[1:]):
+        yield slice(int(a), int(b))
 
 
 def tokenised(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -142,17 +180,28 @@ def tokenised(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = encoder(tokenizer)
         for b in batches:
-            ids = [one.encode(t or "") for t in b.column(2).to_pylist()]
-            sizes = np.array(list(map(len, ids)), np.int64) // one.kind.itemsize
-            found = [terms(np.frombuffer(x, one.kind), one.ends) for x in ids]
+            ids = one.encode_all([t or "" for t in b.column(2).to_pylist()])
+            sizes = np.array(list(map(len, ids)), np.int64)
+            found = terms(ids, one.ends)
             steps = pa.array([np.diff(t, prepend=np.int32(0)).tobytes() for t, _ in found], pa.binary())
             counts = pa.array([c.astype(np.int32).tobytes() for _, c in found], pa.binary())
-            keys = pa.array([copy_keys(t) for t, _ in found], pa.list_(pa.int64()))
+            keys = pa.FixedSizeListArray.from_arrays(pa.array(copy_keys([t for t, _ in found]).ravel()), COPY_KEYS).cast(pa.list_(pa.int64()))
+            ids = list(map(squeezed, ids))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes), pa.array(ids, pa.binary()), steps, counts, keys], ["doc_id", "order", "n", "ids", "terms", "counts", "keys"])
 
     return chosen.mapInArrow(run, f"doc_id {kind}, order long, n long, ids binary, terms binary, counts binary, keys array<long>")
 
 
+def squeezed(ids: np.ndarray) -> bytes:
+    """Ids in fewer bytes than a shuffle would need for them: first their low bytes, then their high ones, compressed."""
+    return _ZSTD.compress(np.ascontiguousarray(ids.view(np.uint8).reshape(-1, ids.itemsize).T))
+
+
+def unsqueezed(raw: bytes, kind: np.dtype) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(kind.itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
 def unpacked_terms(steps: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(steps, np.int32))
 
@@ -177,13 +226,13 @@ def document_frequencies(rows: DataFrame) -> np.ndarray:
 
 @lru_cache(1)
 def _signs() -> np.ndarray:
-    return np.random.default_rng(12).integers(0, 2, (TERMS, DIMENSIONS), dtype=np.int8) * np.int8(2) - np.int8(1)
+    return np.random.default_rng(12).integers(0, 2, (TERMS, DIMENSIONS), dtype=np.int8).astype(np.float32) * 2 - 1
 
 
 def vector(words: np.ndarray, counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """A unit vector of a document's words, each with its weight and BM25's saturation; 0 without such words."""
     w = weights[words] * (counts * (K1 + 1) / (counts + K1))
-    v = (w @ _signs()[words].astype(np.float32)).astype(np.float32)
+    v = w.astype(np.float32) @ _signs()[words]
     return v / max(float(np.linalg.norm(v)), 1e-9)
 
 
@@ -357,8 +406,8 @@ def packed(docs: DataFrame, window: int = WINDOW, tokenizer: str = TOKENIZER, sh
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["order", "doc_id"], kind="stable", ignore_index=True)
-        ids = [np.frombuffer(x, id_kind) for x in rows["ids"]]
-        index = Index([terms(x, ends) for x in ids], shared.value)  # cheaper than to shuffle them
+        ids = [unsqueezed(x, id_kind) for x in rows["ids"]]
+        index = Index(terms(ids, ends), shared.value)  # cheaper than to shuffle them
         out = []
         for d, start, length, sequence, offset in pack([len(x) for x in ids], index, window):
             crc = zlib.crc32(ids[d][start : start + length].astype("<u4").tobytes())
