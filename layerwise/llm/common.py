@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zlib
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,3 +88,22 @@ def packed_row(df: DataFrame) -> Column:
 def unpacked(df: DataFrame, columns: list[str], *own: str) -> DataFrame:
     """The packed columns again, then an operator's own; where both have a name, the operator's."""
     return df.select(*[F.col(f"_doc.`{c}`").alias(c) for c in columns if c not in own], *own)
+
+
+_BYTE = np.random.default_rng(13).integers(0, 1 << 63, 256, dtype=np.uint64)
+_FACTOR = 0x9E3779B97F4A7C15
+_POWERS = np.array([pow(_FACTOR, i, 1 << 64) for i in range(256)], np.uint64)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def hashed_runs(letters: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of runs of bytes that lie one after the other and are not empty."""
+    longest = int(sizes.max())
+    powers = _POWERS if longest <= len(_POWERS) else np.cumprod(np.append(np.uint64(1), np.full(longest - 1, _FACTOR, np.uint64)))
+    terms = _BYTE[letters]
+    terms *= powers[np.arange(len(letters)) - np.repeat(starts, sizes)]
+    return mixed(np.add.reduceat(terms, starts) + sizes.astype(np.uint64))

@@ -12,7 +12,6 @@ can be short.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, small, stored
+from .common import bounded_batches, hashed_runs, small, stored
 
 TOKENIZER = "word_bpe_49k.json"
 WINDOW = 4096
@@ -41,81 +40,148 @@ _PARTS = 1 << 14  # of a leaf, and of a group of near copies
 _MEMO = 600_000
 _SEQUENCES = 1 << 20  # ids of sequences in a shard
 
-# How the tokenizer file splits a text, for the characters of _PLAIN; and its mark of a word's end.
-_LETTERS = "a-zß-öø-ÿ"
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]*")
-_RUNS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
+_PART = 1 << 21  # bytes of text that are cut into runs at a time
 _WORD_END = "</w>"
 _ZSTD = zstandard.ZstdCompressor(1)
+# What the tokenizer file does with plain texts: ASCII and the Latin-1 letters, which take two bytes in UTF-8.
+_SPACE, _LETTER, _DIGIT, _OTHER = range(4)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[[9, 10, 13, 32]] = _SPACE
+_KIND[48:58] = _DIGIT
+_KIND[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), 0xC3]] = _LETTER
+_PLAIN = bytes([9, 10, 13, *range(32, 127), *range(0x80, 0xC0), 0xC3])  # in UTF-8 the ones from 0x80 on only follow 0xC3 then
+_SIGNS = ("×".encode(), "÷".encode(), b"<|")  # no letters, and what may start a special token
+_AFTER = np.zeros(256, bool)  # letters that an apostrophe before them joins
+_AFTER[list(b"stmd")] = True
+
+
+def runs_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, places and sizes of the runs that the tokenizer cuts a plain lower-cased text into.
+
+    Runs are letters, single digits, or other signs; an apostrophe that starts a run takes s, t, m, d, re, ve or ll along.
+    """
+    found: list[tuple] = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    at = 0
+    while at < len(text):
+        end = text.rfind(b" ", at, at + _PART) + 1 if at + _PART < len(text) else len(text)
+        if not end:  # one long word
+            end = text.find(b" ", at + _PART) + 1 or len(text)
+        piece = np.frombuffer(text, np.uint8, end - at, at)
+        kind = _KIND[piece]
+        begin = np.append(True, kind[1:] != kind[:-1]) | (kind == _DIGIT)
+        mark = np.flatnonzero((piece == 39) & begin)
+        if len(mark):
+            padded = np.append(piece, np.zeros(3, np.uint8))
+            one, two = padded[mark + 1], padded[mark + 2]
+            long = ((one == 114) | (one == 118)) & (two == 101) | (one == 108) & (two == 108)
+            takes = np.where(_AFTER[one], 2, np.where(long, 3, 0))
+            mark, takes = mark[takes > 0], takes[takes > 0]
+            begin[mark + 1] = False
+            begin[(mark + takes)[mark + takes < len(piece)]] = True
+        inside = np.flatnonzero(kind != _SPACE)
+        if len(inside):
+            starts = np.flatnonzero(begin[inside])
+            sizes = np.diff(np.append(starts, len(inside)))
+            found.append((hashed_runs(piece[inside], starts, sizes), inside[starts] + at, sizes))
+        at = end
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 class Encoder:
-    """Texts' ids. The tokenizer never joins letters across a space or line feed, so words are looked up one by one.
+    """Texts' ids. Plain texts are cut into runs by array operations, and each different run is encoded once; any
+    other text goes word by word, as the tokenizer never joins letters across a space or line feed.
 
-    A word of plain characters is cut into runs as the tokenizer does; runs of letters not met before are encoded
-    many at a time, each ending in an id that marks a word's end. Any other word is encoded as it stands.
+    New runs are encoded many at a time by byte pairs, with a zero byte for a word's end.
     """
 
     def __init__(self, name: str = TOKENIZER) -> None:
         import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         vocabulary = self.tokenizer.get_vocab()
         self.kind = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
-        self.by_runs = name == TOKENIZER
         marked = [i for t, i in vocabulary.items() if t.endswith(_WORD_END)]
         self.ends = np.full(max(vocabulary.values()) + 1, not marked)  # whether an id ends a word
         self.ends[marked] = True
-        shown = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.bytes_of = {ord(c): shown.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xC0, 0x100))}
-        self.end = np.array([END], self.kind).tobytes()
-        self.words: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
-
-    def _run(self, run: str) -> bytes:
-        shown = run if run.isascii() else run.translate(self.bytes_of)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(shown)], self.kind).tobytes()
-
-    def _learn_letters(self, runs: list[str]) -> None:
-        for i in range(0, len(runs), 256):
-            some = runs[i : i + 256]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, self.kind)
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(some):
-                raw, cuts = ids.tobytes(), (np.append(0, ends) * self.kind.itemsize).tolist()
-                self.runs.update((run, raw[a:b]) for run, a, b in zip(some, cuts, cuts[1:]))
-            else:
-                self.runs.update((run, self._run(run)) for run in some)
-
-    def _learn(self, words: set[str]) -> None:
-        whole, cut, runs = {}, {}, self.runs
-        for word in words:
-            if self.by_runs and _PLAIN.fullmatch(word) and "<|" not in word:
-                low = word.lower()
-                if low.isalpha():
-                    whole[word] = low
-                else:
-                    cut[word] = _RUNS.findall(low)
-            else:
-                self.words[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
-        new = {r for r in whole.values() if r not in runs} | {r for found in cut.values() for r in found if r not in runs}
-        self._learn_letters([r for r in new if r.isalpha()])
-        runs.update((r, self._run(r)) for r in new if not r.isalpha())
-        self.words.update(zip(whole, map(runs.__getitem__, whole.values())))
-        self.words.update((word, b"".join([runs[r] for r in found])) for word, found in cut.items())
+        self.by_runs = name == TOKENIZER
+        if self.by_runs:
+            shown = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            byte = {chr(c): c for c in range(33, 127)}
+            for c in map(chr, range(0xC0, 0x100)):
+                byte |= dict(zip(shown.pre_tokenize_str(c)[0][0], c.encode()))
+            ranks = {}
+            for t, i in vocabulary.items():
+                letters = t.removesuffix(_WORD_END)
+                if letters and all(c in byte for c in letters):
+                    ranks[bytes(byte[c] for c in letters) + b"\0" * t.endswith(_WORD_END)] = i
+            ranks[b"\0"] = 1 << 20  # merged before anything else: a letter with a word's end has one of the first ids
+            self.pairs = tiktoken.Encoding("runs", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
+        self.words: dict[str, np.ndarray] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes of known runs, sorted; places in edges
+        self.ids, self.edges = np.zeros(0, self.kind), np.zeros(1, np.int64)
+
+    def _learn(self, keys: np.ndarray, runs: list[bytes]) -> None:
+        ids = np.array(self.pairs.encode_ordinary((b"\0".join(runs) + b"\0").decode()), self.kind)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        assert len(ends) == len(runs)
+        places = np.arange(len(runs)) + len(self.edges) - 1
+        self.edges = np.append(self.edges, ends + len(self.ids))
+        self.ids = np.append(self.ids, ids)
+        keys, places = np.append(self.keys, keys), np.append(self.places, places)
+        order = np.argsort(keys)
+        self.keys, self.places = keys[order], places[order]
+
+    def _plain(self, raw: list[bytes]) -> list[np.ndarray]:
+        letters = np.frombuffer(b" ".join(raw).lower(), np.uint8).copy()
+        second = np.flatnonzero(letters == 0xC3) + 1
+        letters[second[letters[second] < 0x9F]] += 32  # capitals: À to Þ
+        text = letters.tobytes()
+        hashes, starts, sizes = runs_of(text)
+        keys, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.keys) > _MEMO:
+            self._clear()
+        new = np.flatnonzero(~np.isin(keys, self.keys, assume_unique=True))
+        if len(new):
+            at = starts[first[new]]
+            self._learn(keys[new], [text[a:b] for a, b in zip(at.tolist(), (at + sizes[first[new]]).tolist())])
+        place = self.places[np.searchsorted(self.keys, keys)][which]
+        start, size = self.edges[place], self.edges[place + 1] - self.edges[place]
+        after = np.cumsum(size)
+        flat = self.ids[np.arange(after[-1] if len(after) else 0) + np.repeat(start - (after - size), size)]
+        edges = np.append(0, after)[np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in raw)]))]
+        end = self.kind.type(END)
+        return [np.append(flat[a:b], end) for a, b in zip(edges.tolist(), edges[1:].tolist())]
+
+    def _wordwise(self, text: str) -> np.ndarray:
+        if len(self.words) > _MEMO:
+            self.words.clear()
+        found = []
+        for word in text.replace("\n", " ").split(" "):
+            if word not in self.words:
+                self.words[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.kind)
+            found.append(self.words[word])
+        return np.concatenate([*found, np.array([END], self.kind)])
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, then END."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*split).difference(self.words)
-        if len(self.words) + len(new) > _MEMO:
-            self.words.clear()
-            self.runs.clear()
-            new = set().union(*split)
-        self._learn(new)
-        known = self.words.__getitem__
-        return [np.frombuffer(b"".join(map(known, words)) + self.end, self.kind) for words in split]
+        out: list[np.ndarray | None] = [None] * len(texts)
+        plain, raw = [], []
+        for i, text in enumerate(texts):
+            b = text.encode("utf-8", "surrogatepass")
+            if self.by_runs and not b.translate(None, _PLAIN) and not any(x in b for x in _SIGNS):
+                plain.append(i)
+                raw.append(b)
+                continue
+            out[i] = self._wordwise(text)
+        if raw:
+            for i, ids in zip(plain, self._plain(raw)):
+                out[i] = ids
+        return out
 
 
 @lru_cache(1)
@@ -415,5 +481,5 @@ def packed(docs: DataFrame, window: int = WINDOW, tokenizer: str = TOKENIZER, sh
         return pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     chosen = rows.select("doc_id", "order", "ids")
-    chosen = chosen.join(dealt(rows, freq, idf, n, shards, shard_tokens), "order") if shards > 1 else chosen.withColumn("shard", F.lit(0).cast("long"))
+    chosen = chosen.join(small(dealt(rows, freq, idf, n, shards, shard_tokens), n, 24), "order") if shards > 1 else chosen.withColumn("shard", F.lit(0).cast("long"))
     return chosen.groupBy("shard").applyInPandas(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

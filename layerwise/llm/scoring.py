@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fold_of_value, stored
+from .common import bounded_batches, fold_of_value, hashed_runs, mixed, stored
 from .eliasfano import Quantiser, Trie
 
 ORDER = 3
@@ -40,22 +40,6 @@ _DEAL = np.uint64(40)  # 24 bits of a word's hash choose its shard
 UNKNOWN, START, FIRST = 0, 1, 2  # numbers of words: those that training never met, what stands before a text, real ones
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
-
-
-_BYTE = np.random.default_rng(13).integers(0, 1 << 63, 256, dtype=np.uint64)
-_POWERS = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(256)], np.uint64)
-
-
-def _powers(n: int) -> np.ndarray:
-    """The first n powers of the hash's factor."""
-    if n <= len(_POWERS):
-        return _POWERS[:n]
-    return np.cumprod(np.append(np.uint64(1), np.full(n - 1, 0x9E3779B97F4A7C15, np.uint64)))
-
-
 def hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of a text's words, parted by spaces, and where they begin; a part of the text at a time."""
     found, begins, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
@@ -69,10 +53,7 @@ def hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
         if len(starts):
             ends = np.flatnonzero(inside & ~np.append(inside[1:], False)) + 1
             sizes = ends - starts
-            letters = _BYTE[piece[inside]]
-            first = np.cumsum(sizes) - sizes
-            letters *= _powers(int(sizes.max()))[np.arange(len(letters)) - np.repeat(first, sizes)]
-            found.append(mixed(np.add.reduceat(letters, first) + sizes.astype(np.uint64)))
+            found.append(hashed_runs(piece[inside], np.cumsum(sizes) - sizes, sizes))
             begins.append(starts + at)
         at = end
     return np.concatenate(found), np.concatenate(begins)
