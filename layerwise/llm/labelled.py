@@ -23,5 +23,11 @@ def training_labels(labels: DataFrame, column: str, limit: int = MAX_TRAIN, fold
 
 
 def fitted_on(features: DataFrame, labels: DataFrame) -> DataFrame:
-    """The features' rows that have a training label; the labels are few enough to broadcast (see MAX_TRAIN)."""
-    return features.join(F.broadcast(labels), "doc_id").dropDuplicates(["doc_id"])
+    """The features' rows that have a training label; the labels are few enough to broadcast (see MAX_TRAIN).
+
+    Of several rows with one doc_id the one with the least hash counts, so that a fit can be repeated.
+    """
+    rows = features.join(F.broadcast(labels), "doc_id")
+    rest = [c for c in rows.columns if c != "doc_id"]
+    least = F.min(F.struct(F.xxhash64(*rest).alias("_hash"), *rest)).alias("_least")
+    return rows.groupBy("doc_id").agg(least).select("doc_id", *[f"_least.{c}" for c in rest])

@@ -9,7 +9,6 @@ of the sums that it is judged by.
 from __future__ import annotations
 
 import html as markup
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fold_of, small, stored, words
+from .common import bounded_batches, fold_of, row_key, small, stored, words
 
 FOLDS = 5
 MAX_TRAIN = 4000  # labelled texts that fit the n-gram model
@@ -27,8 +26,11 @@ ORDERS = (1, 2, 3)
 TRUST = 0.2  # n-grams overlap and words repeat, so each counts for less than an independent observation
 WEIGHT = 5.0  # rows that the wider prior counts for
 _MEMO = 200_000
-_HIDDEN = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
-_DECLARED = re.compile(r"""(?is)<html\b[^>]*?\b(?:xml:)?lang\s*=\s*["']?([a-z]+)|<meta\b[^>]*?content-language[^>]*?content\s*=\s*["']?([a-z]+)""")
+_TAG = re.compile(r"(?i)<(html|meta)\b([^>]*)")
+_LANG = re.compile(r"""(?i)\b(?:xml:)?lang\s*=\s*["']?([a-z]+)""")
+_CONTENT = re.compile(r"""(?i)content\s*=\s*["']?([a-z]+)""")
+_OPENS = re.compile(r"(?i)<(script|style)\b")
+_CLOSES = {name: re.compile(rf"(?i)</{name}\s*>") for name in ("script", "style")}
 _HOST = re.compile(r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 # Three-letter codes (ISO 639-2 and 639-3) of languages that have a two-letter one.
 _ALIASES = {
@@ -38,13 +40,22 @@ _ALIASES = {
 
 
 def declared_language(page: str | None, known: set[str]) -> str | None:
-    """The language that a page's markup declares, by its whole primary subtag; `other` if it isn't known."""
-    m = _DECLARED.search(page or "")
-    if not m:
-        return None
-    said = (m[1] or m[2]).lower()
-    said = said if said in known else _ALIASES.get(said)
-    return said if said in known else "other"
+    """The language that a page's markup declares, by its whole primary subtag; `other` if it isn't known.
+
+    The first html tag with a lang, or meta tag about content-language, counts. Each tag is read once.
+    """
+    for tag in _TAG.finditer(page or ""):
+        rest = tag[2]
+        if tag[1].lower() == "html":
+            m = _LANG.search(rest)
+        else:
+            at = rest.lower().find("content-language")
+            m = _CONTENT.search(rest, at + len("content-language")) if at >= 0 else None
+        if m:
+            said = m[1].lower()
+            said = said if said in known else _ALIASES.get(said)
+            return said if said in known else "other"
+    return None
 
 
 def grams(word: str) -> Iterator[str]:
@@ -105,10 +116,11 @@ class Scorer:
 
 
 def trained(labelled: DataFrame, limit: int = MAX_TRAIN) -> NgramModel:
-    """The model of at most `limit` rows of labelled(doc_id, text, lang), outside the held-out fold 0."""
+    """The model of at most `limit` different rows of labelled(doc_id, text, lang), outside the held-out fold 0."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id"), FOLDS) != 0))
-    ids = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)  # few enough to broadcast
-    rows = rows.join(F.broadcast(ids), "doc_id").select("lang", "text")
+    rows = rows.select("lang", "text", row_key(rows).alias("_row"))
+    chosen = rows.select("_row").distinct().orderBy("_row").limit(limit)  # few enough to broadcast
+    rows = rows.join(F.broadcast(chosen), "_row").groupBy("_row").agg(F.min(F.struct("lang", "text")).alias("r")).select("r.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -127,8 +139,34 @@ def trained(labelled: DataFrame, limit: int = MAX_TRAIN) -> NgramModel:
 
 
 def visible(page: str | None) -> str:
-    """A page's text without markup, scripts, styles and comments."""
-    return markup.unescape(_HIDDEN.sub(" ", page or ""))
+    """A page's text without markup, scripts, styles and comments.
+
+    What has an end is skipped up to it: a comment to -->, a script or style to its closing tag, any tag to >. An end
+    that isn't found once isn't looked for again, so a page is read in time that follows its length.
+    """
+    page, out, at, missing = page or "", [], 0, set()
+    while (start := page.find("<", at)) >= 0:
+        out.append(page[at:start])
+        end = -1
+        if page.startswith("<!--", start):
+            if "-->" not in missing and (end := page.find("-->", start + 4)) >= 0:
+                end += 3
+            elif end < 0:
+                missing.add("-->")
+        elif m := _OPENS.match(page, start):
+            name = m[1].lower()
+            closing = None if name in missing else _CLOSES[name].search(page, m.end())
+            if closing:
+                end = closing.end()
+            else:
+                missing.add(name)
+        if end < 0:
+            end = page.find(">", start + 1) + 1
+            if not end:  # no tag ends any more
+                at = start
+                break
+        at = end
+    return markup.unescape(" ".join([*out, page[at:]]))
 
 
 def address(url: str | None) -> tuple[str | None, str | None, str | None]:
@@ -187,7 +225,6 @@ def fused(rows: DataFrame, model: NgramModel, keys: list[str]) -> DataFrame:
     sums = lambda prefix: [F.sum(F.when(told, F.col(f"t{i}")).otherwise(0.0)).alias(f"{prefix}{i}") for i in range(n)]
     grouped = found.groupBy("declared").agg(*sums("c")).collect()  # a row for each language of the model, other, and null
     overall = [sum(r[f"c{i}"] for r in grouped) for i in range(n)]
-    share = [(x + 1) / (sum(overall) + n) for x in overall]
     by_declared = {r.declared: [r[f"c{i}"] for i in range(n)] for r in grouped if r.declared is not None}
     declared_of = [sum(c[i] for c in by_declared.values()) for i in range(n)]
 
@@ -198,23 +235,27 @@ def fused(rows: DataFrame, model: NgramModel, keys: list[str]) -> DataFrame:
     n_hosts = per_host.count()
     addressed = hosts.groupBy().agg(*[F.coalesce(F.sum(f"h{i}"), F.lit(0.0)).alias(f"a{i}") for i in range(n)]).first()
     n_suffixes = hosts.select("suffix").distinct().count()
-    rows = found.join(small(per_host, n_hosts, 64 + 24 * n), "host", "left")
+    # Rows without a host stay out of the join, where they would all meet in one task.
+    named = found.where(F.col("host").isNotNull()).join(small(per_host, n_hosts, 64 + 24 * n), "host", "left")
+    rows = named.unionByName(found.where(F.col("host").isNull()), allowMissingColumns=True)
 
     def own(i: int) -> Column:
         return F.when(told, F.col(f"t{i}")).otherwise(0.0)
 
     one = F.when(told, 1.0).otherwise(0.0)
     add = lambda prefix: sum((F.col(f"{prefix}{i}") for i in range(n)), F.lit(0.0))
+    less = lambda total, own: F.greatest(F.lit(float(total)) - own, F.lit(0.0))
     scores = []
     for i in range(n):
-        domain = (F.greatest(F.col(f"d{i}") - own(i), F.lit(0.0)) + WEIGHT * share[i]) / (F.greatest(add("d") - one, F.lit(0.0)) + WEIGHT)
+        share = (less(overall[i], own(i)) + 1) / (less(sum(overall), one) + n)
+        domain = (F.greatest(F.col(f"d{i}") - own(i), F.lit(0.0)) + WEIGHT * share) / (F.greatest(add("d") - one, F.lit(0.0)) + WEIGHT)
         host = (F.greatest(F.col(f"h{i}") - own(i), F.lit(0.0)) + WEIGHT * domain) / (F.greatest(add("h") - one, F.lit(0.0)) + WEIGHT)
-        suffix = (F.greatest(F.col(f"s{i}") - own(i), F.lit(0.0)) + 0.5) / (addressed[i] + 0.5 * (n_suffixes + 1))
+        suffix = (F.greatest(F.col(f"s{i}") - own(i), F.lit(0.0)) + 0.5) / (less(addressed[i], own(i)) + 0.5 * (n_suffixes + 1))
         markup_said = F.lit(0.0)
         for said, c in by_declared.items():
-            p = (c[i] + 0.5) / (declared_of[i] + 0.5 * (n + 2))
-            markup_said = F.when(F.col("declared") == said, math.log(p)).otherwise(markup_said)
-        prior = F.when(F.col("host").isNull(), math.log(share[i])).otherwise(F.log(host) + F.log(suffix))
+            p = (less(c[i], own(i)) + 0.5) / (less(declared_of[i], own(i)) + 0.5 * (n + 2))
+            markup_said = F.when(F.col("declared") == said, F.log(p)).otherwise(markup_said)
+        prior = F.when(F.col("host").isNull(), F.log(share)).otherwise(F.log(host) + F.log(suffix))
         scores.append((F.col(f"ll{i}") + prior + markup_said).alias(f"z{i}"))
     keep = [*keys, "declared", F.when(told | F.col("declared").isNotNull() | F.col("host").isNotNull(), True).alias("any"), "words", *[f"t{i}" for i in range(n)]]
     out = rows.select(*keep, *scores)

@@ -531,6 +531,78 @@ def test_declared_language_is_the_whole_subtag(spark):
     assert {r.k: r.declared for r in language.evidence(frame, model, ["k"]).collect()} == said
 
 
+def test_pages_are_read_in_linear_time():
+    import time
+
+    for opening in ("<!--", "<script ", "<style>", "<html ", "<meta ", "<", "<meta content-language ", "<html lang ", "</script ", "<!-- -"):
+        page = opening * ((1 << 20) // len(opening))
+        began = time.process_time()
+        language.visible(page)
+        language.declared_language(page, {"en"})
+        assert time.process_time() - began < 3, opening
+
+
+def test_visible_and_declared():
+    cases = {
+        "a<b>c</b>d": "a c d",
+        "x<!-- > y --> z": "x  z",
+        "x<!-- y > z": "x  z",
+        "<SCRIPT>no</Script >yes<style>no</style>": " yes ",
+        "<script>a > b": " a > b",
+        "1 < 2": "1 < 2",
+        "a<b<c>d": "a d",
+        "&eacute;": "é",
+    }
+    for page, want in cases.items():
+        assert language.visible(page).split() == want.split(), page
+    said = lambda p: language.declared_language(p, {"en", "de"})
+    assert said('<HTML\nclass="a" xml:LANG = "de-AT">') == "de" and said("<html><html lang=en>") == "en"
+    assert said('<meta http-equiv="Content-Language" content="en">') == "en" and said("<meta content=en>") is None
+    assert said("<html lang=zz>") == "other" and said("<htmlx lang=de>") is None and said("lang=de") is None
+
+
+def test_fits_choose_the_same_rows(spark):
+    from layerwise.llm.labelled import fitted_on
+
+    docs = spark.createDataFrame([(i % 5, f"text {i}") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id long, label int")
+    seen = [sorted(map(tuple, fitted_on(docs.repartition(n), labels).collect())) for n in (1, 3, 7)]
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) == 5
+
+
+def test_fusion_against_a_loop(spark):
+    """The whole of fused(), sums with each row left out of its own, over a few rows."""
+    model = language.NgramModel({"de": Counter({" ": 3, "d": 9, "e": 5}), "en": Counter({" ": 3, "t": 8, "h": 6})})
+    page = lambda lang, text: f"<html lang={lang}>{text}</html>" if lang else f"<p>{text}</p>"
+    rows = [(0, "the th", None, None), (1, None, page("en", "th de"), "http://a.x.org/1"), (2, None, page("de", "ded"), "http://a.x.org/2"), (3, None, page("en", "th"), "http://b.x.org/"), (4, None, page(None, ""), "http://c.y.net"), (5, None, page("de", "hde"), None), (6, "", None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, html string, url string")
+    scorer, seen = language.Scorer(model), []
+    for i, text, page_, url in rows:
+        count, ll = scorer.likelihoods(text if page_ is None else language.visible(page_))
+        t = np.exp(ll) / np.exp(ll).sum()
+        seen.append((i, count, ll, t if count else np.zeros(2), language.declared_language(page_, {"de", "en"}), *language.address(url)))
+    n, got = 2, {r.doc_id: r for r in language.fused(frame, model, ["doc_id"]).collect()}
+    suffixes = {x[7] for x in seen if x[7]}
+    for i, count, ll, _, declared, host, domain, suffix in seen:
+        others = [x for x in seen if x[0] != i]
+        total = lambda keep: sum((x[3] for x in others if keep(x)), np.zeros(n))
+        share = (total(lambda x: True) + 1) / (total(lambda x: True).sum() + n)
+        z = ll.copy()
+        if host:
+            d = (total(lambda x: x[6] == domain) + 5 * share) / (total(lambda x: x[6] == domain).sum() + 5)
+            h = (total(lambda x: x[5] == host) + 5 * d) / (total(lambda x: x[5] == host).sum() + 5)
+            z = z + np.log(h) + np.log((total(lambda x: x[7] == suffix) + 0.5) / (total(lambda x: x[5] is not None) + 0.5 * (len(suffixes) + 1)))
+        else:
+            z = z + np.log(share)
+        if declared:
+            z = z + np.log((total(lambda x: x[4] == declared) + 0.5) / (total(lambda x: x[4] is not None) + 0.5 * (n + 2)))
+        if count or declared or host:
+            p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            assert got[i].lang == ["de", "en"][int(p.argmax())] and got[i].probability == pytest.approx(p.max(), rel=1e-6), i
+        else:
+            assert got[i].lang is None
+
+
 def test_language_parts():
     assert language.address("https://u:p@WWW.Example.co.uk:8080/x") == ("www.example.co.uk", "co.uk", "uk")
     assert language.address("no host") == (None, None, None) == language.address(None)

@@ -39,5 +39,26 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == {r.doc_id for r in mixed.select("doc_id").distinct().collect()}
 
 
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _size long, _copy string, _taken int, _spans string, _row long, _original string"
+
+
+def test_stages_on_awkward_rows(spark, tmp_path):
+    """Nulls, empty texts, repeated rows, and columns with the names of the stages' own."""
+    long = " ".join(f"word{i}" for i in range(3000))
+    rows = [(None, None, None, None), (1, None, "en", "a"), (2, "", "en", "a"), (3, "plain words of a text that is kept", "en", None), (3, "plain words of a text that is kept", "en", None), (4, long, "de", "b"), (None, "token = abcdef123456 here", None, "b")]
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), 7, "c", 8, "s", 9, "o") for r in rows], SCHEMA)
+    for name, stage in corpus_pipeline.STAGES[1:]:  # the first drops what its classifier rejects
+        for kind, frame in (("rows", docs), ("none", docs.limit(0))):
+            stage(spark, frame, SF).write.parquet(f"{tmp_path}/{name}-{kind}")
+            got = spark.read.parquet(f"{tmp_path}/{name}-{kind}")
+            assert (got.count() > 0) == (kind == "rows"), name
+            if name != "packing":
+                assert got.columns == docs.columns
+                left = {c: {r[c] for r in got.collect()} for c in ("_size", "_copy", "_taken", "_spans", "_row", "_original")}
+                assert kind == "none" or left == {"_size": {7}, "_copy": {"c"}, "_taken": {8}, "_spans": {"s"}, "_row": {9}, "_original": {"o"}}, name
+    rejected = corpus_pipeline.quality_stage(spark, docs, SF)
+    assert rejected.columns == docs.columns and rejected.count() <= len(rows)
+
+
 def test_every_operator_has_a_query():
     assert [name.split("_")[0] for name in registry.QUERIES] == [f"op{n}" for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10)]
