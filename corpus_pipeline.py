@@ -14,11 +14,17 @@ from layerwise.llm import jaccard, mixing, packing, quality, secrets
 from layerwise.llm.common import stored
 
 
-def _sized(docs: DataFrame, text: DataFrame) -> DataFrame:
-    """text with the columns of docs; n_chars, where there is one, follows the new text."""
+def _inner(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns, and every column packed into one, so that none clashes with a stage's own."""
+    return docs.select(*names, F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_original"))
+
+
+def _outer(docs: DataFrame, changed: DataFrame) -> DataFrame:
+    """The columns of docs with the changed text; n_chars, where there is one, follows it."""
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        text = text.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return text.select(*docs.columns)
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return changed.select(*[new.get(c, F.col(f"_original.`{c}`")).alias(c) for c in docs.columns])
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,11 +36,11 @@ def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _sized(docs, secrets.redacted(secrets.scan(docs)))
+    return _outer(docs, secrets.redacted(secrets.scan(_inner(docs, "doc_id", "text"))))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _sized(docs, mixing.repeated(mixing.mix(docs)))
+    return _outer(docs, mixing.repeated(mixing.mix(_inner(docs, "doc_id", "source", "text"))))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
