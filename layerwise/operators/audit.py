@@ -115,7 +115,7 @@ def explain_lineage(spark: SparkSession, source: str, transformations: DataFrame
     said = _answer(spark, raw, 0, list(dict.fromkeys(r["target"] for r in rows)))
     said = responses.lineage(said).select(F.explode("explanations").alias("e")).select(F.col("e.target").alias("target"), F.col("e.explanation").alias("_said"))
     had = F.col("explanation") if "explanation" in transformations.columns else F.lit(None).cast("string")
-    return transformations.join(F.broadcast(said), "target", "left").withColumn("explanation", F.coalesce("_said", had)).drop("_said")
+    return transformations.join(said, "target", "left").withColumn("explanation", F.coalesce("_said", had)).drop("_said")
 
 
 def validate_logic(spark: SparkSession, notebooks: DataFrame, catalog: str, schema: str, table: str, rule: str, explainer: Explainer | None = None) -> dict:

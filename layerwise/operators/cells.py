@@ -55,7 +55,7 @@ def cells(notebooks: DataFrame) -> DataFrame:
 
 def headings(rows: DataFrame) -> DataFrame:
     """cells -> with `heading`: that of the nearest earlier markdown cell that has one; it may be empty."""
-    line = F.element_at(F.filter(F.split("source", "\n", -1), lambda x: x.rlike(HEADING)), 1)
+    line = F.try_element_at(F.filter(F.split("source", "\n", -1), lambda x: x.rlike(HEADING)), F.lit(1))
     own = F.when((F.col("language") == "md") & line.isNotNull(), slug(F.lower(trimmed(F.regexp_replace(line, r"^\s*#+\s*", ""))), "_", None))
     before = Window.partitionBy("nb_ord", "path").orderBy("cell_index").rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("_own", own).withColumn("heading", F.last("_own", ignorenulls=True).over(before)).drop("_own")

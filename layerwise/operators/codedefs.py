@@ -44,24 +44,28 @@ def python_defs(source: str) -> list[tuple[str, str, str]]:
     return out
 
 
-def block_end(source: str, start: int) -> int:
-    """The place of the brace that closes the one at start; the last place if none does."""
-    depth = 0
-    for m in re.compile(r"[{}]").finditer(source, start):
-        depth += 1 if m[0] == "{" else -1
-        if not depth:
-            return m.start()
-    return len(source) - 1
-
-
 def scala_defs(source: str) -> list[tuple[str, str, str]]:
-    """Functions with a block, then one-line functions, then values; nothing from inside a block."""
-    blocks = [(m.start(), block_end(source, m.end() - 1), m[1]) for m in SCALA_BLOCK.finditer(source)]
-    outside = lambda m: not any(a <= m.start() <= b for a, b, _ in blocks)
-    out = [(name, "function", source[a : b + 1]) for a, b, name in blocks]
-    for kind, pattern in (("function", SCALA_LINE), ("variable", SCALA_VALUE)):
-        out += [(m[1], kind, m[0]) for m in pattern.finditer(source) if outside(m)]
-    return out
+    """Functions with a block, then one-line functions, then values; of what is inside a block only further blocks.
+
+    One walk over the starts of lines; a block that nothing closes goes to the end.
+    """
+    finds: list[tuple[int, int, tuple[str, str, str]]] = []
+    inside, taken, at = -1, [0, 0, 0], 0  # the last place of a block so far; how far each pattern has read
+    while at < len(source):
+        if at >= taken[0] and (m := SCALA_BLOCK.match(source, at)):
+            taken[0] = end = m.end()
+            depth = 1
+            while depth and end < len(source):
+                depth += (source[end] == "{") - (source[end] == "}")
+                end += 1
+            finds.append((0, at, (m[1], "function", source[at:end])))
+            inside = max(inside, end - 1)
+        for rank, kind, pattern in ((1, "function", SCALA_LINE), (2, "variable", SCALA_VALUE)):
+            if at > inside and at >= taken[rank] and (m := pattern.match(source, at)):
+                taken[rank] = m.end()
+                finds.append((rank, at, (m[1], kind, m[0])))
+        at = source.find("\n", at) + 1 or len(source)
+    return [found for _, _, found in sorted(finds)]
 
 
 def code_defs(notebooks: DataFrame) -> DataFrame:

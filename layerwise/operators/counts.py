@@ -8,6 +8,7 @@ from itertools import chain
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..sources.catalog import Layer
 
@@ -23,7 +24,9 @@ def table_counts(spark: SparkSession, layers: list[Layer]) -> DataFrame:
         for i, x in enumerate(layers)
         for j, t in enumerate(x.tables)
     ]
-    return reduce(DataFrame.unionAll, rows) if rows else spark.createDataFrame([], SCHEMA)
+    while len(rows) > 1:  # by halves: a plan for thousands of tables stays shallow
+        rows = [reduce(DataFrame.unionAll, rows[i : i + 8]) for i in range(0, len(rows), 8)]
+    return rows[0] if rows else spark.createDataFrame([], SCHEMA)
 
 
 def safe_table_counts(spark: SparkSession, layers: list[Layer]) -> DataFrame:
@@ -51,7 +54,7 @@ def layer_totals(spark: SparkSession, layers: list[Layer], counts: DataFrame, st
     total = F.sum("row_count")
     sums = counts.groupBy("layer_ord").agg(total.alias("total"))
     value = F.coalesce("total", F.lit(0)) if strict else F.col("total")
-    return names.join(F.broadcast(sums), "layer_ord", "left").select("layer_ord", "label", value.cast("long").alias("total_rows"))
+    return names.join(sums, "layer_ord", "left").select("layer_ord", "label", value.cast("long").alias("total_rows"))
 
 
 def compare_stages(spark: SparkSession, layers: list[Layer]) -> DataFrame:
@@ -65,13 +68,14 @@ def compare_stages(spark: SparkSession, layers: list[Layer]) -> DataFrame:
     wanted = [n & set(chain(*names[max(0, i - 1) : i], *names[i + 1 : i + 2])) for i, n in enumerate(names)]
     shared = [Layer(x.label, x.schema, [t for t in x.tables if t.name in wanted[i]]) for i, x in enumerate(layers)]
     counts = table_counts(spark, shared)
-    a, b = counts.alias("a"), counts.alias("b")
-    pairs = a.join(b, (F.col("a.table") == F.col("b.table")) & (F.col("b.layer_ord") == F.col("a.layer_ord") + 1))
-    return pairs.where("a.row_count <> b.row_count").select(
-        F.col("a.table").alias("table_name"),
-        F.col("a.label").alias("from_stage"),
-        F.col("b.label").alias("to_stage"),
-        F.col("a.row_count").alias("from_count"),
-        F.col("b.row_count").alias("to_count"),
-        (F.col("b.row_count") - F.col("a.row_count")).alias("difference"),
+    # A window, not a join of the counts with themselves, which would scan every table twice.
+    before = F.lag(F.struct("layer_ord", "label", "row_count")).over(Window.partitionBy("table").orderBy("layer_ord"))
+    pairs = counts.withColumn("b", before).where((F.col("b.layer_ord") == F.col("layer_ord") - 1) & (F.col("b.row_count") != F.col("row_count")))
+    return pairs.select(
+        F.col("table").alias("table_name"),
+        F.col("b.label").alias("from_stage"),
+        F.col("label").alias("to_stage"),
+        F.col("b.row_count").alias("from_count"),
+        F.col("row_count").alias("to_count"),
+        (F.col("row_count") - F.col("b.row_count")).alias("difference"),
     )

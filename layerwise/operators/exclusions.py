@@ -8,7 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import MISSING, bare_name, shortened, where_text
+from ..functions.text import MISSING, bare_name, shortened, where_text, without_comments
 from ..sources.catalog import Layer, inventory, table_index
 from .lineage import order
 
@@ -48,8 +48,12 @@ def excluded(df: DataFrame, predicates: list[str]) -> list[tuple[int, int] | Non
 
 
 def predicates(facts: DataFrame) -> DataFrame:
-    """lineage facts -> with predicate_sql: the parser's, else the text's after the first WHERE."""
-    return facts.withColumn("predicate_sql", F.coalesce("predicate", where_text(F.col("raw_sql"))))
+    """lineage facts -> with predicate_sql: the parser's; of what it can't read, the text after the first WHERE.
+
+    So a WHERE in a comment or inside a subquery is no rule of a statement that the parser reads.
+    """
+    text = where_text(without_comments(F.col("raw_sql")))
+    return facts.withColumn("predicate_sql", F.when(F.col("parsed"), F.col("predicate")).otherwise(text))
 
 
 def exclusion_rules(spark: SparkSession, layers: list[Layer], facts: DataFrame, skip_first: bool = True, qualified: bool = False) -> DataFrame:
@@ -66,7 +70,7 @@ def exclusion_rules(spark: SparkSession, layers: list[Layer], facts: DataFrame,
     lone = F.when(F.size("f.sources") == 1, F.element_at("f.sources", 1))
     rules = rules.withColumn("lone", bare_name(lone)).withColumn("lone_schema", F.try_element_at(F.split(lone, r"\."), F.lit(-2)))
     index = table_index(inventory(spark, layers)).select(F.col("name").alias("lone"), F.col("schema").alias("source_schema"), F.col("table").alias("source_name"))
-    rules = rules.join(F.broadcast(index), "lone", "left")
+    rules = rules.join(index, "lone", "left")
     rows = rules.select(
         "layer_ord", "label", "tbl_ord", "table", "f.path", "f.cell_index", "f.predicate_sql", F.coalesce(F.try_element_at("f.sources", F.lit(1)), F.lit(MISSING)).alias("source_table"),
         "source_schema", "source_name", "lone", "lone_schema", shortened(F.col("f.predicate_sql")).alias("short"),

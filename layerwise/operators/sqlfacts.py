@@ -11,9 +11,10 @@ from .cells import cells, headings, sql_statements
 
 
 def read(rows: DataFrame) -> DataFrame:
-    """rows(raw_sql, ...) -> with sources, target, tables, columns, normal, predicate, from Spark's parser or else by patterns.
+    """rows(raw_sql, ...) -> with sources, target, tables, columns, normal, predicate, parsed, from Spark's parser or else by patterns.
 
-    A read-only statement has no target. `predicate` is null where the parser finds no outermost WHERE.
+    A read-only statement has no target. `predicate` is null where the parser finds no
+    outermost WHERE, and where it can't read the statement (`parsed` is false).
     """
     plans = read_statements(rows).withColumn("_read", F.lit(True))
     joined = rows.join(plans, "raw_sql", "left")
@@ -27,6 +28,7 @@ def read(rows: DataFrame) -> DataFrame:
         pick("columns", F.array().cast("array<string>")),
         pick("normal", normal_sql(sql)),
         "predicate",
+        ok.alias("parsed"),
     )
 
 

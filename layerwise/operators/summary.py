@@ -21,7 +21,7 @@ def detect_layers(schemas: DataFrame) -> DataFrame:
 def table_infos(spark: SparkSession, layers: list[Layer]) -> DataFrame:
     """(layer_ord, label, schema, tbl_ord, table, kind, row_count, column_count, comment); what can't be counted is null."""
     counts = safe_table_counts(spark, layers).select("layer_ord", "tbl_ord", "row_count")
-    rows = inventory(spark, layers).join(F.broadcast(counts), ["layer_ord", "tbl_ord"])
+    rows = inventory(spark, layers).join(counts, ["layer_ord", "tbl_ord"])
     n_columns = F.when(F.col("columns").isNotNull(), F.size("columns"))
     return rows.select("layer_ord", "label", "schema", "tbl_ord", "table", table_kind(F.col("table"), F.col("label")).alias("kind"), "row_count", n_columns.alias("column_count"), "comment")
 

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from . import fixtures
 from .functions import responses
-from .functions.text import KINDS, LAYERS, STAGING_LAYER, notebook_key, slug, table_kind
+from .functions.text import KINDS, LABEL, LAYERS, LEVEL_SNIPPET, SNIPPET, STAGING_LAYER, notebook_key, shortened, snippet, table_kind
 from .operators import audit, codedefs, counts, drift, exclusions, lineage, search, sqlfacts, summary
-from .operators.cells import HEADING, MAGIC, PREFIX, cells
-from .sources.catalog import inventory, table_index
+from .operators.cells import HEADING, MAGIC, PREFIX, cells, headings
+from .sources.catalog import Layer, Table, inventory, table_index
+from .sources.notebooks import notebooks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -428,11 +429,43 @@ _SLUGGED = r"regexp_replace(regexp_replace(lower(regexp_replace(h, '^\s*#+\s*',
 
 @query(f"SELECT h, CASE WHEN regexp_matches(h, {literal(HEADING)}) THEN {_SLUGGED} END AS name FROM {values(_HEADED, 'v', 'h')}")
 def heading_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_HEADED, "h string")
-    name = slug(F.lower(F.regexp_replace("h", r"^\s*#+\s*", "")), "_", None)
-    return rows.withColumn("name", F.when(F.col("h").rlike(HEADING), name))
+    book = [(i, h, k, x, t) for i, (h,) in enumerate(_HEADED) for k, (x, t) in enumerate((("md", h), ("sql", "SELECT 1")))]
+    rows = spark.createDataFrame(book, "nb_ord int, path string, cell_index int, language string, source string")
+    return headings(rows).where("language = 'sql'").select(F.col("path").alias("h"), F.col("heading").alias("name"))
 
 
 @query(f"SELECT name, {_KEY} AS key FROM {values(_NOTEBOOK_NAMES, 'v', 'ord', 'name')}")
 def notebook_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(_NOTEBOOK_NAMES, "ord int, name string").select("name", notebook_key(F.col("name")).alias("key"))
+
+
+# A WHERE in a comment or inside a subquery drops no rows of the statement around it.
+_OWN_WHERE = (
+    "INSERT INTO silver.a SELECT * FROM bronze.orders -- where o_orderkey > 5\n;INSERT INTO silver.b SELECT * FROM (SELECT * FROM bronze.orders WHERE o_orderkey > 5) q;"
+    "INSERT INTO silver.c SELECT * FROM bronze.orders /* where o_orderkey > 5 */ WHERE o_orderkey > 7;INSERT INTO silver.d SELECT TOP 3 * FROM bronze.orders WHERE o_orderkey > 9 -- where o_orderkey > 5"
+)
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{t}: o_orderkey > {n}' AS rule_label, 'o_orderkey > {n}' AS predicate_sql, count(*) FILTER (WHERE NOT o_orderkey > {n}) AS excluded_count FROM orders" for t, n in (("c", 7), ("d", 9))
+    )
+)
+def own_where_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    layers = [Layer("bronze", "bronze", [Table("orders", orders)]), Layer("silver", "silver", [Table(t, orders) for t in "abcd"])]
+    facts = lineage.lineage_facts(notebooks(spark, [("/own", "SQL", _OWN_WHERE)]))
+    return exclusions.exclusion_rules(spark, layers, facts).select("rule_label", "predicate_sql", "excluded_count")
+
+
+def _cut(n: int, most: int, name: str) -> str:
+    mark = "chr(10) || '...'" if most == n else "'…'"
+    return f"CASE WHEN length(text) > {most} THEN substring(text, 1, {n}) || {mark} ELSE text END AS {name}"
+
+
+@query(f"SELECT doc_id, {_cut(LABEL - 1, LABEL, 'label')}, {_cut(SNIPPET, SNIPPET, 'snippet')}, {_cut(LEVEL_SNIPPET, LEVEL_SNIPPET, 'level_snippet')} FROM documents")
+def cut_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels and snippets of texts beyond each of the limits."""
+    text = F.col("text")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", shortened(text).alias("label"), snippet(text).alias("snippet"), snippet(text, LEVEL_SNIPPET).alias("level_snippet"))

@@ -20,9 +20,16 @@ def catalogs(spark: SparkSession) -> DataFrame:
 
 
 def schemas(spark: SparkSession, catalog: str | None = None) -> DataFrame:
-    if catalog:
-        spark.catalog.setCurrentCatalog(catalog)
-    return spark.createDataFrame([(d.name, d.catalog, d.description) for d in spark.catalog.listDatabases()], "name string, catalog string, comment string")
+    """The schemas of a catalog, by default the session's current one, which stays current."""
+    current = spark.catalog.currentCatalog()
+    try:
+        if catalog:
+            spark.catalog.setCurrentCatalog(catalog)
+        rows = [(d.name, d.catalog, d.description) for d in spark.catalog.listDatabases()]
+    finally:
+        if catalog:
+            spark.catalog.setCurrentCatalog(current)
+    return spark.createDataFrame(rows, "name string, catalog string, comment string")
 
 
 def columns(df: DataFrame) -> list[tuple[str, str]] | None:
@@ -56,9 +63,11 @@ class Layer:
     tables: list[Table] = field(default_factory=list)
 
 
-def schema_layer(spark: SparkSession, label: str, schema: str) -> Layer:
-    """A layer of all tables of a schema of the session."""
-    return Layer(label, schema, [Table(t.name, spark.table(f"`{schema}`.`{t.name}`"), t.description) for t in spark.catalog.listTables(schema)])
+def schema_layer(spark: SparkSession, label: str, schema: str, catalog: str | None = None) -> Layer:
+    """A layer of all tables of a schema, in the given catalog or the session's current one."""
+    place = f"`{catalog}`.`{schema}`" if catalog else f"`{schema}`"
+    tables = [t for t in spark.catalog.listTables(place) if not t.isTemporary]
+    return Layer(label, schema, [Table(t.name, spark.table(f"{place}.`{t.name}`"), t.description) for t in tables])
 
 
 def inventory(spark: SparkSession, layers: list[Layer]) -> DataFrame:

@@ -27,9 +27,9 @@ def notebooks(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFram
 def read_notebooks(spark: SparkSession, root: str) -> DataFrame:
     """All files under a folder, as notebooks ordered by path."""
     files = spark.read.text(root, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("path"), F.col("value").alias("source"))
-    order = Window.orderBy("path")  # files of code: few, and their order is part of every result
-    return files.select(
-        (F.row_number().over(order) - 1).alias("nb_ord"), "path", F.element_at(F.split("path", "/"), -1).alias("name"), language_of(F.col("path")).alias("language"), "source"
+    numbered = files.select("path", (F.row_number().over(Window.orderBy("path")) - 1).alias("nb_ord"))  # paths alone meet in one task
+    return files.join(numbered, "path").select(
+        "nb_ord", "path", F.element_at(F.split("path", "/"), -1).alias("name"), language_of(F.col("path")).alias("language"), "source"
     )
 
 

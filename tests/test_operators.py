@@ -74,6 +74,10 @@ def test_definitions():
     assert codedefs.python_defs(source) == [("f", "function", "def f(a,\n      b"), ("x", "variable", "x = 1"), ("h", "function", "def h(): return 1\n\n"), ("w", "variable", "w = [")]
     scala = "def a(x: Int) = {\nval inner = 1\n}\ndef b(y: Int): Int = y\nvar c = 2\ndef open(z: Int) = {\n x"
     assert [(n, k) for n, k, _ in codedefs.scala_defs(scala)] == [("a", "function"), ("open", "function"), ("b", "function"), ("c", "variable")]
+    nested = "def a(x: Int) = {\ndef b(y: Int) = {\n1 }\nval z = 2\n}\nval w = 3\ndef c(x: Int) =\n  x\n"
+    assert codedefs.scala_defs(nested) == [
+        ("a", "function", nested[: nested.index("\nval w")]), ("b", "function", "def b(y: Int) = {\n1 }"), ("c", "function", "def c(x: Int) =\n  x"), ("w", "variable", "val w = 3"),
+    ]
 
 
 @pytest.mark.parametrize(
@@ -105,6 +109,18 @@ def test_excluded_rows_add_up(spark):
     assert got[:2] == [None, None] and got[2] is None and got[4] is None and got[5] is not None
 
 
+def test_only_a_statements_own_where_is_a_rule(spark):
+    t = spark.range(10).toDF("v")
+    layers = [Layer("bronze", "b", [Table("src", t)]), Layer("silver", "s", [Table(x, t) for x in ("a", "b", "c", "d")])]
+    code = (
+        "INSERT INTO s.a SELECT * FROM b.src -- where v > 5\n;INSERT INTO s.b SELECT * FROM (SELECT * FROM b.src WHERE v > 5) q;"
+        "INSERT INTO s.c SELECT * FROM b.src /* where v > 5 */ WHERE v > 7;INSERT INTO s.d SELECT TOP 3 * FROM b.src WHERE v > 8 -- where v > 5"
+    )
+    facts = lineage.lineage_facts(notebooks(spark, [("/n", "SQL", code)]))
+    got = {r.rule_label: r.excluded_count for r in exclusions.exclusion_rules(spark, layers, facts).collect()}
+    assert got == {"c: v > 7": 8, "d: v > 8": 9}
+
+
 def test_first_writer_decides_and_last_layer_wins(spark):
     a, b = spark.range(10).toDF("v"), spark.range(3).toDF("v")
     layers = [Layer("bronze", "b", [Table("t", a), Table("src", a)]), Layer("silver", "s", [Table("T", b), Table("u", b), Table("w", b)])]
