@@ -26,9 +26,12 @@ def words(text: str) -> list[str]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset, a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset and all run in one
+    process, a temporary one. On a cluster other machines couldn't read that: an error says what to set."""
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.layerwise.sharedDir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="layerwise-shared-")
         spark.conf.set("spark.layerwise.sharedDir", found)
