@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from .common import packed_row, small, stored, unpacked
 
 
-
 @dataclass(frozen=True)
 class Rule:
     """kind: its name in spans; pattern: a regex that Java and Python read alike.
@@ -161,13 +160,18 @@ def candidates(docs: DataFrame, rules, shard_rows: int = 4096) -> DataFrame:
     spark = docs.sparkSession
     if not grams:
         return spark.createDataFrame([], "_key long, _rules array<int>")
-    low = F.lower(F.col("text"))
-    held = F.filter(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(i)) for i, g in enumerate(grams)]), lambda x: x.isNotNull())
-    rows = docs.select("_key", held.alias("held")).where(F.size("held") > 0)
-    rows = stored(rows, "trigrams")
+    # A row's trigrams are bits of as few longs as hold them. Stored before they are filtered: a filter would
+    # move below the projection, and every text would be searched twice.
+    words = [grams[at : at + 64] for at in range(0, len(grams), 64)]
+    low = docs.select("_key", F.lower("text").alias("low"))
+    bit = lambda g, i: F.shiftleft(F.contains("low", F.lit(g)).cast("long"), i)
+    bits = [reduce(Column.bitwiseOR, [bit(g, i) for i, g in enumerate(word)]).alias(f"bits{n}") for n, word in enumerate(words)]
+    rows = stored(low.select("_key", *bits), "trigrams").where(reduce(Column.__or__, [F.col(f"bits{n}") != 0 for n in range(len(words))]))
+    set_in = lambda n: lambda i: F.getbit(f"bits{n}", i - 64 * n) == 1
+    held = F.concat(*[F.filter(F.sequence(F.lit(64 * n), F.lit(64 * n + len(word) - 1)), set_in(n)) for n, word in enumerate(words)])
     shards = max(1, rows.count() // shard_rows)
     postings = (
-        rows.select(F.pmod(F.xxhash64("_key"), F.lit(shards)).alias("shard"), F.explode("held").alias("gram"), "_key")
+        rows.select(F.pmod(F.xxhash64("_key"), F.lit(shards)).alias("shard"), F.explode(held).alias("gram"), "_key")
         .groupBy("shard", "gram")
         .agg(F.sort_array(F.collect_set("_key")).alias("keys"))  # a shard holds about shard_rows keys
     )
