@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,11 +10,13 @@ from pyspark.sql import functions as F
 
 from . import fixtures
 from .functions import responses
-from .functions.text import KINDS, LABEL, LAYERS, LEVEL_SNIPPET, SNIPPET, STAGING_LAYER, notebook_key, shortened, snippet, table_kind
+from .functions.text import (
+    KINDS, LABEL, LAYERS, LEVEL_SNIPPET, MISSING, SNIPPET, STAGING_LAYER, normal_sql, notebook_key, parent_of, shortened, snippet, table_kind, text_sources, text_tables, text_target,
+)
 from .operators import audit, codedefs, counts, drift, exclusions, lineage, search, sqlfacts, summary
 from .operators.cells import HEADING, MAGIC, PREFIX, cells, headings
-from .sources.catalog import Layer, Table, inventory, table_index
-from .sources.notebooks import notebooks
+from .sources.catalog import Layer, Table, columns, inventory, schema_layer, table_index
+from .sources.notebooks import decoded, folder, notebooks, under
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -245,7 +248,8 @@ def responsible_code(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SOURCES = {"bronze.orders": _KEPT, "bronze.raw_lineitem": "lineitem", "bronze.customer": "customer"}
 
 
-def _rules_sql() -> str:
+def _rules_sql(told: Callable[[int], tuple[str, str]] = lambda k: ("", "ok")) -> str:
+    """told: what is said of the rule at a place, and its severity."""
     parts = []
     for i, label, _, table, _ in _TABLES:
         if i == 0:
@@ -256,9 +260,10 @@ def _rules_sql() -> str:
         _, path, cell, _, _, sources, _, predicate, _ = fact
         plain = "," not in sources and "x." not in predicate and "o." not in predicate
         count = f"(SELECT count(*) FROM (SELECT * FROM {_SOURCES[sources]}) WHERE NOT ({predicate}))" if plain else "CAST(NULL AS BIGINT)"
+        said, severity = told(len(parts))
         parts.append(
             f"SELECT '{label}' AS layer, {literal(path)} AS path, {cell} AS cell_index, {literal(predicate)} AS predicate_sql, {literal(sources.split(',')[0])} AS source_table,"
-            f" {count} AS excluded_count, {literal(f'{table}: {predicate}')} AS rule_label, '' AS explanation, 'ok' AS severity"
+            f" {count} AS excluded_count, {literal(f'{table}: {predicate}')} AS rule_label, {literal(said)} AS explanation, {literal(severity)} AS severity"
         )
     return " UNION ALL ".join(parts)
 
@@ -276,6 +281,7 @@ _DRIFT = (
     (2, 0, 0, "cell_0_0", "bronze.orders", 4), (2, 0, 1, "cell_0_1", "bronze.orders", 4), (2, 1, 0, "recent", "recent,silver.orders", 5),
 )
 _DRIFT_SQL = "f AS (SELECT * FROM " + values(_DRIFT, "v", "m", "cell", "stmt", "metric", "tables", "norm") + ")"
+_place = lambda m, cell: f"CASE {m} WHEN 0 THEN '/etl/load_orders' WHEN 1 THEN '/etl/load_orders_v2' ELSE '/etl/load_orders_final' END || ' (cell ' || {cell} || ')'"
 _PAIR = "a.m <> b.m AND a.norm <> b.norm AND (a.m, a.cell, a.stmt) < (b.m, b.cell, b.stmt)"
 
 
@@ -286,12 +292,13 @@ _PAIR = "a.m <> b.m AND a.norm <> b.norm AND (a.m, a.cell, a.stmt) < (b.m, b.cel
       FROM f a JOIN f b ON a.tables = b.tables AND {_PAIR} JOIN f z ON z.tables = a.tables
       WHERE NOT EXISTS (SELECT 1 FROM p1 WHERE p1.am = a.m AND p1.ac = a.cell AND p1.bm = b.m AND p1.bc = b.cell) GROUP BY ALL),
     u AS (SELECT *, row_number() OVER (ORDER BY pass, first, am, ac, "as", bm, bc, bs) AS n FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2))
-    SELECT 'load-orders-sql-' || n AS id, 'load-orders' AS group_id, 'sql-logic-mismatch' AS type, key, CAST(ac AS INT) AS left_cell, CAST(bc AS INT) AS right_cell FROM u"""
+    SELECT 'load-orders-sql-' || n AS id, 'load-orders' AS group_id, 'sql-logic-mismatch' AS type, key, CAST(ac AS INT) AS left_cell, CAST(bc AS INT) AS right_cell,
+      CASE pass WHEN 1 THEN 'The SQL named "' ELSE 'Statements over "' END || key || CASE pass WHEN 1 THEN '" is' ELSE '" are' END || ' not the same in ' || {_place('am', 'ac')} || ' and ' || {_place('bm', 'bc')} || '.' AS description FROM u"""
 )
 def sql_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     books = fixtures.corpus(spark)
     found = drift.sql_drift(books, drift.notebook_groups(books))
-    return found.select("id", "group_id", "type", "key", F.col("left.cell_index").alias("left_cell"), F.col("right.cell_index").alias("right_cell"))
+    return found.select("id", "group_id", "type", "key", "description", F.col("left.cell_index").alias("left_cell"), F.col("right.cell_index").alias("right_cell"))
 
 
 _DEFS = ((0, 3, 0, "threshold", "threshold = 100"), (0, 3, 1, "clean", "1"), (1, 3, 0, "threshold", "threshold = 200"), (1, 3, 1, "clean", "2"))
@@ -299,13 +306,14 @@ _DEFS = ((0, 3, 0, "threshold", "threshold = 100"), (0, 3, 1, "clean", "1"), (1,
 
 @query(
     f"WITH f AS (SELECT * FROM {values(_DEFS, 'v', 'm', 'cell', 'i', 'name', 'norm')})"
-    " SELECT 'load-orders-code-' || row_number() OVER (ORDER BY a.m, a.cell, a.i) AS id, a.name AS key, CAST(a.cell AS INT) AS left_cell, CAST(b.cell AS INT) AS right_cell"
+    " SELECT 'load-orders-code-' || row_number() OVER (ORDER BY a.m, a.cell, a.i) AS id, a.name AS key, CAST(a.cell AS INT) AS left_cell, CAST(b.cell AS INT) AS right_cell,"
+    f" CASE a.name WHEN 'clean' THEN 'Function' ELSE 'Variable' END || ' \"' || a.name || '\" has different definitions in ' || {_place('a.m', 'a.cell')} || ' and ' || {_place('b.m', 'b.cell')} || '.' AS description"
     " FROM f a JOIN f b ON a.name = b.name AND a.m < b.m AND a.norm <> b.norm"
 )
 def code_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     books = fixtures.corpus(spark)
     found = drift.code_drift(books, drift.notebook_groups(books))
-    return found.select("id", "key", F.col("left.cell_index").alias("left_cell"), F.col("right.cell_index").alias("right_cell"))
+    return found.select("id", "key", "description", F.col("left.cell_index").alias("left_cell"), F.col("right.cell_index").alias("right_cell"))
 
 
 _ALL_DEFS = (
@@ -353,11 +361,12 @@ _ANSWERS = (
     '{"responsibleIndex": "1", "isCorrect": false, "status": "error"}',
     "[1, 2]",
 )
-_ANSWER_SQL = (
-    "r AS (SELECT * FROM " + values(list(enumerate(_ANSWERS)), "v", "i", "raw") + "),"
+_answer_sql = lambda answers: (
+    "r AS (SELECT * FROM " + values(list(enumerate(answers)), "v", "i", "raw") + "),"
     r" c AS (SELECT i, regexp_replace(regexp_replace(regexp_replace(raw, '^\s+|\s+$', '', 'g'), '^```(?:json)?\s*', '', 'i'), '```\s*$', '') AS t FROM r),"
     " j AS (SELECT i, t, CASE WHEN json_valid(t) AND t <> 'null' THEN CAST(t AS JSON) END AS j FROM c)"
 )
+_ANSWER_SQL = _answer_sql(_ANSWERS)
 _is = lambda field, kind: f"json_type(j, '$.{field}') IN ({kind})"
 _text = lambda field: f"CASE WHEN {_is(field, chr(39) + 'VARCHAR' + chr(39))} THEN j->>'$.{field}' END"
 _texts = lambda field: (
@@ -469,3 +478,227 @@ def cut_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return docs.select("doc_id", shortened(text).alias("label"), snippet(text).alias("snippet"), snippet(text, LEVEL_SNIPPET).alias("level_snippet"))
+
+
+# Reviews of a step: as asked, with entries of wrong types, malformed.
+_REVIEWS = (
+    '{"status": "error", "summary": "s", "reconciliationAlerts": ["a", 1, "b"], "findings": [{"severity": "error", "table": "t", "message": "m"}, {"severity": "bad", "table": "  ", "message": "n"},'
+    ' {"message": 5}, {"table": 3, "message": "o"}, 7, null]}',
+    "oops",
+    '{"findings": "no", "status": "great", "reconciliationAlerts": {}}',
+)
+_SEVERITY = "CASE WHEN json_type(x, '$.severity') = 'VARCHAR' AND x->>'$.severity' IN ('info', 'warning', 'error') THEN x->>'$.severity' ELSE 'info' END"
+
+
+@query(
+    f"WITH {_answer_sql(_REVIEWS)}, f AS (SELECT i, unnest(CASE WHEN {_is('findings', chr(39) + 'ARRAY' + chr(39))} THEN CAST(j->'$.findings' AS JSON[]) ELSE [] END) AS x FROM j),"
+    f" g AS (SELECT i, x->>'$.message' AS message, {_SEVERITY} AS severity, CASE WHEN json_type(x, '$.table') = 'VARCHAR' AND trim(x->>'$.table') <> '' THEN x->>'$.table' END AS \"table\" FROM f WHERE json_type(x, '$.message') = 'VARCHAR')"
+    f" SELECT j.i, {_texts('reconciliationAlerts')} AS alerts, severity, message, \"table\" FROM j LEFT JOIN g ON g.i = j.i"
+)
+def parse_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(list(enumerate(_REVIEWS)), "i int, raw string").select("i", responses.level(F.col("raw")).alias("a"))
+    return rows.select("i", F.array_join("a.reconciliation_alerts", "|").alias("alerts"), F.explode_outer("a.findings").alias("f")).select("i", "alerts", "f.*")
+
+
+# A notebook a supplier, so that code grows with the data: a heading, a table with a filter, an insertion with a join.
+_MADE = {
+    "made": "silver.t_{k}", "read": "bronze.src_{m}", "out": "gold.g_{g}",
+    "create": "CREATE TABLE silver.t_{k} AS SELECT * FROM bronze.src_{m} WHERE amount > {n}",
+    "count": "SELECT count(*) FROM silver.t_{k}",
+    "insert": "INSERT INTO gold.g_{g} SELECT a.* FROM silver.t_{k} a JOIN bronze.src_0 b ON a.id = b.id",
+    "path": "/gen/n{k}",
+}
+_BOOK = "-- Databricks notebook source\n-- MAGIC %md\n-- MAGIC # Step {k}\n-- COMMAND ----------\n{create};\n{count}\n-- COMMAND ----------\n{insert}"
+
+
+def _filled(template: str) -> str:
+    """A template over a supplier's key as an expression of SQL."""
+    out = literal(template)
+    for hole, value in (("k", "s_suppkey"), ("m", "s_suppkey % 7"), ("g", "s_suppkey % 5"), ("n", "s_nationkey")):
+        out = out.replace("{" + hole + "}", f"' || CAST({value} AS VARCHAR(20)) || '")
+    return f"({out})"
+
+
+_M = {name: _filled(t) for name, t in _MADE.items()}
+_MADE_CELLS = (
+    "made_cells AS (SELECT s_suppkey AS k, 0 AS cell_index, 'md' AS language, " + _filled("# Step {k}") + f" AS source, {_M['path']} AS path FROM supplier"
+    f" UNION ALL SELECT s_suppkey, 1, 'sql', {_M['create']} || ';' || chr(10) || {_M['count']}, {_M['path']} FROM supplier UNION ALL SELECT s_suppkey, 2, 'sql', {_M['insert']}, {_M['path']} FROM supplier)"
+)
+_MADE_FACTS = (
+    f"made_facts AS (SELECT s_suppkey AS k, {_M['path']} AS path, 1 AS cell_index, 0 AS stmt_idx, {_M['made']} AS target, {_M['read']} AS sources, {_filled('amount > {n}')} AS predicate, {_M['create']} AS raw_sql FROM supplier"
+    f" UNION ALL SELECT s_suppkey, {_M['path']}, 1, 1, NULL, {_M['made']}, NULL, {_M['count']} FROM supplier"
+    f" UNION ALL SELECT s_suppkey, {_M['path']}, 2, 0, {_M['out']}, {_M['made']} || ',bronze.src_0', NULL, {_M['insert']} FROM supplier)"
+)
+
+
+def _made(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = _BOOK
+    for name in ("create", "count", "insert"):
+        text = text.replace("{" + name + "}", _MADE[name])
+    expr = _filled(text).replace("\n", "\\n").replace("VARCHAR(20)", "STRING")
+    path = _M["path"].replace("VARCHAR(20)", "STRING")
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    return rows.select(F.col("s_suppkey").cast("int").alias("nb_ord"), F.expr(path).alias("path"), F.substring_index(F.expr(path), "/", -1).alias("name"), F.lit("SQL").alias("language"), F.expr(expr).alias("source"))
+
+
+@query(f"WITH {_MADE_CELLS} SELECT path, CAST(cell_index AS INT) AS cell_index, language, source FROM made_cells")
+def made_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells(_made(spark, sf_dir)).select("path", "cell_index", "language", "source")
+
+
+@query(f"WITH {_MADE_FACTS} SELECT path, CAST(cell_index AS INT) AS cell_index, CAST(stmt_idx AS INT) AS stmt_idx, target, sources, predicate, raw_sql FROM made_facts")
+def made_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineage.lineage_facts(_made(spark, sf_dir)).select("path", "cell_index", "stmt_idx", "target", F.array_join("sources", ",").alias("sources"), "predicate", "raw_sql")
+
+
+@query(
+    f"WITH {_MADE_FACTS}, e AS (SELECT *, unnest(string_split(sources, ',')) AS source FROM made_facts WHERE target LIKE 'gold.%')"
+    " SELECT source, target, 'a.id = b.id' AS join_key_hint, arg_min(path, k) AS path, CAST(2 AS INT) AS cell_index FROM e GROUP BY source, target"
+)
+def made_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = spark.createDataFrame([(f"g_{i}",) for i in range(5)], "name string")
+    return lineage.edges(lineage.lineage_facts(_made(spark, sf_dir)), index)
+
+
+@query(f"WITH {_MADE_FACTS} SELECT path, CAST(cell_index AS INT) AS cell_index, target, raw_sql AS snippet FROM made_facts WHERE target LIKE 'gold.%'")
+def made_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineage.fan_out(_made(spark, sf_dir), "bronze.src_0", "gold").select("path", "cell_index", "target", "snippet")
+
+
+@query(f"WITH {_MADE_FACTS} SELECT path, CAST(cell_index AS INT) AS cell_index, raw_sql AS snippet FROM made_facts WHERE target = 'gold.g_0'")
+def made_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineage.writers(_made(spark, sf_dir), "main", "gold", "g_0").select("path", "cell_index", "snippet")
+
+
+@query(
+    f"WITH {_MADE_CELLS}, code AS (SELECT *, contains(source, 'g_1') AS hit FROM made_cells WHERE language <> 'md'), w AS (SELECT *, max(hit) OVER (PARTITION BY path) AS any_hit FROM code)"
+    " SELECT path, CAST(cell_index AS INT) AS cell_index, source AS snippet FROM w WHERE hit OR NOT any_hit ORDER BY k, w.cell_index LIMIT 40"
+)
+def made_level_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """More code than the report's 40 snippets, from the larger scales on."""
+    return search.level_code(_made(spark, sf_dir), ["gold.g_1"]).select("path", "cell_index", "snippet")
+
+
+# What lies in a folder and below it.
+_ENTRY = "CASE n_nationkey % 3 WHEN 0 THEN 'DIRECTORY' WHEN 1 THEN 'NOTEBOOK' ELSE 'FILE' END"
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    top = rows.select(F.concat(F.lit("/work/"), "n_name").alias("path"), F.expr(_ENTRY).alias("type"))
+    return top.unionByName(top.select(F.concat("path", F.lit("/inner")).alias("path"), F.lit("NOTEBOOK").alias("type")))
+
+
+@query(f"SELECT row_number() OVER (ORDER BY type <> 'DIRECTORY', n_name) - 1 AS place, '/work/' || n_name AS path, '/work' AS parent, type FROM (SELECT *, {_ENTRY} AS type FROM nation) WHERE type <> 'FILE'")
+def folder_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = folder(_entries(spark, sf_dir), "/work/").select("path", parent_of(F.col("path")).alias("parent"), "type").collect()  # a folder's entries
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "place long, path string, parent string, type string")
+
+
+@query("SELECT '/work/' || n_name || '/inner' AS path FROM nation WHERE n_nationkey = 3")
+def under_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = _entries(spark, sf_dir)
+    name = spark.read.parquet(f"{sf_dir}/nation.parquet").where("n_nationkey = 3").first().n_name
+    return under(entries, f"/work/{name}/").select("path")
+
+
+@query("SELECT doc_id, text AS source FROM documents")
+def exported_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return decoded(docs.select("doc_id", F.base64(F.encode("text", "UTF-8")).alias("content"))).select("doc_id", "source")
+
+
+_LISTED = ("nation", "region", "supplier")
+
+
+@query(
+    "SELECT c.tbl AS \"table\", columns, n AS row_count FROM (SELECT table_name AS tbl, string_agg(column_name, ',' ORDER BY ordinal_position) AS columns FROM information_schema.columns"
+    f" WHERE table_name IN {_LISTED} GROUP BY table_name) c JOIN (" + " UNION ALL ".join(f"SELECT '{t}' AS tbl, count(*) AS n FROM {t}" for t in _LISTED) + ") n ON n.tbl = c.tbl"
+)
+def schema_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of a schema of the session's catalog, as a layer. The tables point at files, which stay."""
+    spark.sql("CREATE DATABASE IF NOT EXISTS layerwise_demo")
+    for t in _LISTED:
+        spark.sql(f"DROP TABLE IF EXISTS layerwise_demo.{t}")
+        spark.sql(f"CREATE TABLE layerwise_demo.{t} USING parquet LOCATION '{sf_dir}/{t}.parquet'")
+    layer = schema_layer(spark, "demo", "layerwise_demo", spark.catalog.currentCatalog())
+    named = spark.createDataFrame([(t.name, ",".join(c for c, _ in columns(t.df) or [])) for t in layer.tables], "table string, columns string")
+    return named.join(counts.table_counts(spark, [layer]), "table").select("table", "columns", "row_count")
+
+
+@query("SELECT 'load-orders' AS id, '/etl/load_orders|/etl/load_orders_v2|/etl/load_orders_final' AS paths")
+def chosen_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = drift.chosen_groups(drift.notebook_groups(fixtures.corpus(spark)), ["load-orders", "no-such-group"])
+    return groups.select("id", F.array_join("paths", "|").alias("paths"))
+
+
+# Statements as their text alone tells: target, sources without it, one-line form, tables.
+_DIALECT = (
+    ("MERGE INTO `A`.b USING c ON a.b.x = c.x", "a.b", "c", "merge into a.b using c on a.b.x = c.x", ""),
+    ("create table if not exists T as\n select * from u join V -- from z", "t", "u,v", "create table if not exists t as select * from u join v", "u,v"),
+    ("INSERT INTO t SELECT TOP 3 * FROM t JOIN w /* from y */;", "t", "w", "insert into t select top 3 * from t join w", "t,w"),
+    ("SELECT 1", None, "", "select 1", ""),
+)
+
+
+@query(f"SELECT * FROM {values(_DIALECT, 'v', 'sql', 'target', 'sources', 'normal', 'tables')}")
+def dialect_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql = F.col("sql")
+    joined = lambda c, name: F.array_join(c, ",").alias(name)
+    rows = spark.createDataFrame([(r[0],) for r in _DIALECT], "sql string")
+    return rows.select("sql", text_target(sql).alias("target"), joined(text_sources(sql), "sources"), normal_sql(sql).alias("normal"), joined(text_tables(sql), "tables"))
+
+
+@query(f"SELECT 'a: 1 = 1' AS rule_label, '{MISSING}' AS source_table, CAST(NULL AS BIGINT) AS excluded_count")
+def rule_without_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    layers = [Layer("bronze", "bronze", [Table("orders", orders)]), Layer("silver", "silver", [Table("a", orders)])]
+    facts = lineage.lineage_facts(notebooks(spark, [("/one", "SQL", "INSERT INTO silver.a SELECT 1 AS x WHERE 1 = 1")]))
+    return exclusions.exclusion_rules(spark, layers, facts).select("rule_label", "source_table", "excluded_count")
+
+
+# Explanations by a fixed explainer: every second rule, one target, one candidate.
+def _told(k: int) -> tuple[str, str]:
+    return (responses.NO_RULE, "warning") if k % 2 else (f"rule {k}", "ok")
+
+
+@query(_rules_sql(_told))
+def explained_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answer = json.dumps({"explanations": [{"index": k, "explanation": f"rule {k}", "severity": "ok"} for k in range(0, 100, 2)]})
+    rules = audit.analyse(spark, fixtures.layers(spark, sf_dir), fixtures.corpus(spark), lambda messages: answer).rules
+    return rules.select(F.col("label").alias("layer"), "path", "cell_index", "predicate_sql", "source_table", "excluded_count", "rule_label", "explanation", "severity")
+
+
+@query(
+    f"WITH {_FACT_SQL}, c AS (SELECT *, row_number() OVER (ORDER BY nb_ord, cell_index, stmt_idx) - 1 AS i FROM facts WHERE stmt_idx < {lineage.LAST}"
+    " AND len(list_filter(string_split(concat_ws(',', target, sources), ','), lambda x: string_split(x, '.')[-1] = 'orders')) > 0)"
+    " SELECT i = 1 AS responsible, path, CAST(cell_index AS INT) AS cell_index, CAST(stmt_idx AS INT) AS stmt_idx, 'why' AS explanation FROM c"
+)
+def explained_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mismatch = counts.compare_stages(spark, fixtures.layers(spark, sf_dir)).where("table_name = 'orders'").first().asDict()
+    got = audit.analyse_mismatch(spark, fixtures.corpus(spark), mismatch, lambda messages: '{"responsibleIndex": 1, "explanation": "why"}')
+    rows = [(is_it, c["path"], c["cell_index"], c["stmt_idx"], got["explanation"]) for is_it, found in ((True, [got["responsible"]]), (False, got["others"])) for c in found]
+    return spark.createDataFrame(rows, "responsible boolean, path string, cell_index int, stmt_idx int, explanation string")
+
+
+@query(
+    f"WITH {_FACT_SQL} SELECT target, path, CAST(cell_index AS INT) AS cell_index, CASE target WHEN 'gold.fact_sales' THEN 'joined' ELSE {literal(responses.NO_LINEAGE)} END AS explanation"
+    " FROM facts WHERE target IS NOT NULL AND len(list_filter(string_split(sources, ','), lambda x: string_split(x, '.')[-1] = 'orders')) > 0"
+)
+def explained_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answer = '{"explanations": [{"targetTable": "gold.fact_sales", "explanation": "joined"}, {"targetTable": "no.such", "explanation": "x"}]}'
+    told = audit.explain_lineage(spark, "silver.orders", lineage.fan_out(fixtures.corpus(spark), "silver.orders"), lambda messages: answer)
+    return told.select("target", "path", "cell_index", "explanation")
+
+
+@query(f"WITH {_FACT_SQL} SELECT path, CAST(cell_index AS INT) AS cell_index, true AS is_correct, 'x' AS alerts FROM facts WHERE target = 'silver.orders'")
+def validated_logic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = audit.validate_logic(spark, fixtures.corpus(spark), "main", "silver", "orders", "only closed orders", lambda messages: '{"isCorrect": true, "alerts": ["x"]}')
+    rows = [(c["path"], c["cell_index"], got["is_correct"], "|".join(got["alerts"])) for c in got["candidates"]]
+    return spark.createDataFrame(rows, "path string, cell_index int, is_correct boolean, alerts string")
+
+
+@query(ORACLE_SQL["level_code"].replace("source[1:4000] AS snippet", "'error' AS status"))
+def reviewed_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = audit.analyse_level(spark, fixtures.corpus(spark), "bronze", "silver", ["silver.stg_lineitem"], explainer=lambda messages: _REVIEWS[0])
+    return spark.createDataFrame([(c["path"], c["cell_index"], got["status"]) for c in got["candidates"]], "path string, cell_index int, status string")
