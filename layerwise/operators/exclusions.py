@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import logging
 from collections import defaultdict
+from contextlib import contextmanager
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,17 @@ from .lineage import order
 SCHEMA = "layer_ord int, label string, tbl_ord int, path string, cell_index int, predicate_sql string, source_table string, excluded_count long, rule_label string, explanation string, severity string"
 
 
+@contextmanager
+def _quietly():
+    """Keeps the errors of expressions that are only tried out of the log."""
+    logger = logging.getLogger("SQLQueryContextLogger")
+    before, logger.disabled = logger.disabled, True
+    try:
+        yield
+    finally:
+        logger.disabled = before
+
+
 def excluded(df: DataFrame, predicates: list[str]) -> list[tuple[int, int] | None]:
     """For each predicate (rows for which it is false, rows for which it is null), or None if it can't be computed.
 
@@ -29,7 +42,8 @@ def excluded(df: DataFrame, predicates: list[str]) -> list[tuple[int, int] | Non
 
     def resolves(p: str) -> bool:
         try:
-            return df.select(F.expr(f"NOT ({p})").alias("p")).schema[0].dataType.simpleString() == "boolean"
+            with _quietly():
+                return df.select(F.expr(f"NOT ({p})").alias("p")).schema[0].dataType.simpleString() == "boolean"
         except PySparkException:
             return False
 
