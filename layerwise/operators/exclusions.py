@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import logging
 from collections import defaultdict
 from contextlib import contextmanager
 
 from pyspark.errors import PySparkException
+from pyspark.logger import PySparkLogger
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +20,7 @@ SCHEMA = "layer_ord int, label string, tbl_ord int, path string, cell_index int,
 @contextmanager
 def _quietly():
     """Keeps the errors of expressions that are only tried out of the log."""
-    logger = logging.getLogger("SQLQueryContextLogger")
+    logger = PySparkLogger.getLogger("SQLQueryContextLogger")
     before, logger.disabled = logger.disabled, True
     try:
         yield
