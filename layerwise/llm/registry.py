@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, language, mixing, neighbours, packing, quality, rules, scoring, secrets, toxicity
+from . import centroids, jaccard, language, mixing, neighbours, packing, prefixes, quality, rules, scoring, secrets, toxicity
 from .common import documents
 
 
@@ -131,6 +131,59 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score(documents(spark, sf_dir))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet")).drop("place", "last_place")
+
+
+# crc32 of an ASCII text, bit by bit.
+_CRC = (
+    "xor(list_reduce(list_concat([4294967295], list_transform(string_split({x}, ''), lambda ch: ord(ch))), lambda c, b:"
+    " list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda a, z: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)), 4294967295)"
+)
+OP11_SQL = rf"""
+WITH o AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) - 1 AS pos FROM o),
+n AS (SELECT c, c - c % {prefixes.STRIDE} AS base, {_CRC.format(x="CAST(c AS VARCHAR)")} % {prefixes.HEADS} AS h FROM (SELECT DISTINCT c FROM t)),
+r AS (SELECT n.c, 0 AS part, t.pos, t.role, t.text FROM n JOIN t ON t.c = n.base AND t.pos < n.h UNION ALL SELECT n.c, 1, t.pos, t.role, t.text FROM n JOIN t ON t.c = n.c AND t.pos >= n.h),
+p AS (SELECT n.c, coalesce(list([r.role, r.text] ORDER BY r.part, r.pos) FILTER (WHERE r.pos IS NOT NULL), []) AS path FROM n LEFT JOIN r ON r.c = n.c GROUP BY n.c),
+m AS (SELECT c, d, path[1:d] AS pre, len(path) = d AS ends FROM (SELECT c, path, unnest(range(0, len(path) + 1)) AS d FROM p)),
+g AS (SELECT pre, d, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256,
+        CASE WHEN d > 0 THEN len(regexp_extract_all(pre[d][2], '[^ 	-]+')) ELSE 0 END AS words FROM m GROUP BY pre, d),
+k AS (SELECT pre[1:d - 1] AS pre, d - 1 AS d, count(*) AS n FROM g WHERE d > 0 GROUP BY ALL),
+f AS (SELECT g.*, coalesce(k.n, 0) AS n_children FROM g LEFT JOIN k ON k.pre = g.pre AND k.d = g.d),
+s AS (SELECT a.pre, a.d, count(*) FILTER (WHERE b.n_children = 0) AS n_leaves, CAST(sum((b.n_convs - 1) * b.words) AS BIGINT) AS saved_tokens FROM f a JOIN f b ON b.d >= a.d AND b.pre[1:a.d] = a.pre GROUP BY a.pre, a.d)
+SELECT f.conv_id, f.d AS depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved_tokens, f.ends_sha256
+FROM f JOIN s ON s.pre = f.pre AND s.d = f.d LEFT JOIN f u ON u.d = f.d - 1 AND u.pre = f.pre[1:f.d - 1]"""
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+    return centroids.summed(found).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _op13_sql() -> str:
+    c = centroids
+    places = f"range(1, {c.DIM + 1})"
+    away = f"list_sum(list_transform({places}, lambda i: (q.v[i] - c.v[i]) * (q.v[i] - c.v[i])))"
+    parts = [
+        f"q AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor({c.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings"
+        f" WHERE len(embedding) = {c.DIM} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{c.SEED}:' || vec_id), v) - 1 AS c, v FROM q ORDER BY sha256('{c.SEED}:' || vec_id) NULLS LAST, v LIMIT {c.K})",
+    ]
+    for r in range(c.ROUNDS + 1):
+        parts.append(f"a{r} AS MATERIALIZED (SELECT rid, min((d, c)) AS z FROM (SELECT q.rid, c.c, {away} AS d FROM q, c{r} c) GROUP BY rid)")
+        if r < c.ROUNDS:
+            parts.append(
+                f"c{r + 1} AS MATERIALIZED (SELECT p.c, coalesce(n.v, p.v) AS v FROM c{r} p LEFT JOIN (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM"
+                f" (SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT a.z[2] AS c, unnest({places}) AS i, unnest(q.v) AS x FROM a{r} a JOIN q ON q.rid = a.rid) GROUP BY c, i) GROUP BY c) n ON n.c = p.c)"
+            )
+    last = c.ROUNDS
+    return (
+        "WITH " + ", ".join(parts) + f" SELECT q.vec_id, CAST(a.z[2] AS INT) AS cluster, CAST(a.z[1] AS BIGINT) AS distance, CAST(sum(a.z[1]) OVER (PARTITION BY a.z[2]) AS BIGINT) AS cluster_inertia,"
+        f" CAST(sum(a.z[1]) OVER () AS BIGINT) AS inertia, sha256(array_to_string(list_transform(c.v, lambda x: CAST(x AS VARCHAR)), ',')) AS centroid_sha256 FROM q JOIN a{last} a ON a.rid = q.rid JOIN c{last} c ON c.c = a.z[2]"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_toxicity": op2_toxicity,
@@ -142,5 +195,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_nearest": op9_nearest,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op13_centroids": op13_centroids,
 }
-ORACLE_SQL: dict[str, str] = {"op6_mixing": OP6_SQL, "op7_secrets": _op7_sql(), "op8_quality_rules": _op8_sql()}
+ORACLE_SQL: dict[str, str] = {"op6_mixing": OP6_SQL, "op7_secrets": _op7_sql(), "op8_quality_rules": _op8_sql(), "op11_prefix_trie": OP11_SQL, "op13_centroids": _op13_sql()}
