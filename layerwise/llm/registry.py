@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, jaccard, language, mixing, neighbours, packing, prefixes, quality, rules, scoring, secrets, toxicity
+from . import centroids, identifiers, jaccard, language, mixing, neighbours, packing, prefixes, quality, rules, scoring, secrets, toxicity
 from .common import documents
 
 
@@ -148,7 +148,8 @@ r AS (SELECT n.c, 0 AS part, t.pos, t.role, t.text FROM n JOIN t ON t.c = n.base
 p AS (SELECT n.c, coalesce(list([r.role, r.text] ORDER BY r.part, r.pos) FILTER (WHERE r.pos IS NOT NULL), []) AS path FROM n LEFT JOIN r ON r.c = n.c GROUP BY n.c),
 m AS (SELECT c, d, path[1:d] AS pre, len(path) = d AS ends FROM (SELECT c, path, unnest(range(0, len(path) + 1)) AS d FROM p)),
 g AS (SELECT pre, d, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256,
-        CASE WHEN d > 0 THEN len(regexp_extract_all(pre[d][2], '[^ 	-]+')) ELSE 0 END AS words FROM m GROUP BY pre, d),
+        CASE WHEN d > 0 THEN len(regexp_extract_all(pre[d][2], '[^ 	-
+]+')) ELSE 0 END AS words FROM m GROUP BY pre, d),
 k AS (SELECT pre[1:d - 1] AS pre, d - 1 AS d, count(*) AS n FROM g WHERE d > 0 GROUP BY ALL),
 f AS (SELECT g.*, coalesce(k.n, 0) AS n_children FROM g LEFT JOIN k ON k.pre = g.pre AND k.d = g.d),
 s AS (SELECT a.pre, a.d, count(*) FILTER (WHERE b.n_children = 0) AS n_leaves, CAST(sum((b.n_convs - 1) * b.words) AS BIGINT) AS saved_tokens FROM f a JOIN f b ON b.d >= a.d AND b.pre[1:a.d] = a.pre GROUP BY a.pre, a.d)
@@ -156,6 +157,14 @@ SELECT f.conv_id, f.d AS depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_chil
 FROM f JOIN s ON s.pre = f.pre AND s.d = f.d LEFT JOIN f u ON u.d = f.d - 1 AND u.pre = f.pre[1:f.d - 1]"""
 
 
+def op12_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = identifiers.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    base = [k.name for k in identifiers.BASE]
+    count = lambda kind: F.size(F.filter("_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    spans = F.filter("_spans", lambda s: s["kind"].isin(*base))
+    return found.select("doc_id", *map(count, base), F.sha2(secrets.joined(spans), 256).alias("base_sha256"), secrets.joined(F.col("_spans")).alias("spans"))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
     return centroids.summed(found).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
@@ -196,6 +205,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_nearest": op9_nearest,
     "op10_lm_scoring": op10_lm_scoring,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_identifiers": op12_identifiers,
     "op13_centroids": op13_centroids,
 }
 ORACLE_SQL: dict[str, str] = {"op6_mixing": OP6_SQL, "op7_secrets": _op7_sql(), "op8_quality_rules": _op8_sql(), "op11_prefix_trie": OP11_SQL, "op13_centroids": _op13_sql()}

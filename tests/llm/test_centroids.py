@@ -22,7 +22,8 @@ def by_hand(rows, k=centroids.K, rounds=centroids.ROUNDS, dim=centroids.DIM):
         for j in set(at):
             members = [v for (_, v), a in zip(kept, at) if a == j]
             centers[j] = tuple(sum(x) // len(members) for x in zip(*members))
-    return sorted(((i is None, i or 0, *own(v)[::-1]) for i, v in kept)), centers
+    capped = lambda d, j: (j, min(d, centroids.LARGEST))
+    return sorted(((i is None, i or 0, *capped(*own(v))) for i, v in kept)), centers
 
 
 def found(spark, rows, shape="vec_id long, embedding array<double>", **more):
