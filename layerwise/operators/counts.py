@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from contextlib import suppress
 from functools import reduce
 from itertools import chain
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.catalog import Layer
+from .pool import WORKERS, each
 
 SCHEMA = "layer_ord int, label string, schema string, tbl_ord int, table string, row_count long"
 
@@ -29,22 +31,27 @@ def table_counts(spark: SparkSession, layers: list[Layer]) -> DataFrame:
     return rows[0] if rows else spark.createDataFrame([], SCHEMA)
 
 
-def safe_table_counts(spark: SparkSession, layers: list[Layer]) -> DataFrame:
-    """As table_counts, but a table that can't be counted has a null count.
+def safe_table_counts(spark: SparkSession, layers: list[Layer], workers: int = WORKERS, limit: float | None = None) -> DataFrame:
+    """As table_counts, but a table that can't be counted, or not within `limit` seconds, has a null count.
 
-    All are counted in one job; only if that fails is each counted by itself.
+    Without a limit all are counted in one job; only if that fails, or with a limit, is each counted by itself, several
+    at a time.
     """
-    try:
-        rows = [tuple(r) for r in table_counts(spark, layers).collect()]  # a row a table
-    except PySparkException:
-        rows = []
-        for i, x in enumerate(layers):
-            for j, t in enumerate(x.tables):
-                try:
-                    n = t.df.count()
-                except PySparkException:
-                    n = None
-                rows.append((i, x.label, x.schema, j, t.name, n))
+    rows = None
+    if limit is None:
+        with suppress(PySparkException):
+            rows = [tuple(r) for r in table_counts(spark, layers).collect()]  # a row a table
+    if rows is None:
+
+        def counted(df: DataFrame) -> int | None:
+            try:
+                return df.count()
+            except PySparkException:
+                return None
+
+        places = [(i, x.label, x.schema, j, t) for i, x in enumerate(layers) for j, t in enumerate(x.tables)]
+        found = each([lambda t=t: counted(t.df) for *_, t in places], workers, limit)
+        rows = [(i, label, schema, j, t.name, n) for (i, label, schema, j, t), n in zip(places, found, strict=True)]
     return spark.createDataFrame(rows, SCHEMA)
 
 

@@ -7,14 +7,16 @@ from contextlib import contextmanager
 
 from pyspark.errors import PySparkException
 from pyspark.logger import PySparkLogger
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import MISSING, bare_name, shortened, where_text, without_comments
+from ..functions.text import MISSING, bare_name, shortened
 from ..sources.catalog import Layer, inventory, table_index
 from .lineage import order
+from .pool import each
 
 SCHEMA = "layer_ord int, label string, tbl_ord int, path string, cell_index int, predicate_sql string, source_table string, excluded_count long, rule_label string, explanation string, severity string"
+SCANS = "layer_ord int, label string, tbl_ord int, table string, path string, cell_index int, scan int, predicate_sql string, source_table string, excluded_count long, null_count long"
 
 
 @contextmanager
@@ -61,13 +63,45 @@ def excluded(df: DataFrame, predicates: list[str]) -> list[tuple[int, int] | Non
     return [found.get(p) for p in predicates]
 
 
-def predicates(facts: DataFrame) -> DataFrame:
-    """lineage facts -> with predicate_sql: the parser's; of what it can't read, the text after the first WHERE.
+def _placed(spark: SparkSession, layers: list[Layer], rules: DataFrame, source: Column) -> DataFrame:
+    """rules -> with the schema and table that a source's bare name has in the last layer, and what the source itself says."""
+    rules = rules.withColumn("lone", bare_name(source)).withColumn("lone_schema", F.try_element_at(F.split(source, r"\."), F.lit(-2)))
+    index = table_index(inventory(spark, layers)).select(F.col("name").alias("lone"), F.col("schema").alias("source_schema"), F.col("table").alias("source_name"))
+    return rules.join(index, "lone", "left")
+
+
+def _counted(layers: list[Layer], rows: list, qualified: bool) -> dict[int, tuple[int, int]]:
+    """(false, null) rows of each rule's source, by the rule's place: all rules of one source in one scan."""
+    frames = {(x.schema, t.name): t.df for x in layers for t in x.tables}
+    by_source: dict[tuple[str, str], list[int]] = defaultdict(list)
+    for i, r in enumerate(rows):
+        if r.source_schema is not None:
+            own = next((k for k in frames if qualified and r.lone_schema and (k[0].lower(), k[1].lower()) == (r.lone_schema, r.lone)), None)
+            by_source[own or (r.source_schema, r.source_name)].append(i)
+    jobs = [(frames[key], [rows[i].predicate_sql for i in places]) for key, places in by_source.items()]
+    out: dict[int, tuple[int, int]] = {}
+    for places, got in zip(by_source.values(), each([lambda j=j: excluded(*j) for j in jobs]), strict=True):
+        out |= {i: x for i, x in zip(places, got or [None] * len(places), strict=True) if x}
+    return out
+
+
+def scan_rules(spark: SparkSession, layers: list[Layer], facts: DataFrame, skip_first: bool = True, qualified: bool = False) -> DataFrame:
+    """SCANS: a rule for each WHERE that rows pass on their way into a table, branch by branch.
 
-    So a WHERE in a comment or inside a subquery is no rule of a statement that the parser reads.
+    Of a table's first writing statement: the WHEREs of all branches of set operations, of common table expressions, of
+    subqueries in FROM, and of an UPDATE, each with the one relation that it reads in the end (null if it reads several) and
+    the rows of that relation for which it is false, or null. `scan` is the order in which their SELECTs begin, the statement itself first.
     """
-    text = where_text(without_comments(F.col("raw_sql")))
-    return facts.withColumn("predicate_sql", F.when(F.col("parsed"), F.col("predicate")).otherwise(text))
+    tables = inventory(spark, layers).where(F.col("layer_ord") >= int(skip_first))
+    first = facts.where(F.col("target").isNotNull()).withColumn("name", bare_name(F.col("target")))
+    first = first.groupBy("name").agg(F.min_by(F.struct("path", "cell_index", "filters"), order()).alias("f"))
+    rules = tables.withColumn("name", F.lower("table")).join(first, "name").select("*", F.posexplode("f.filters").alias("scan", "x"))
+    rules = _placed(spark, layers, rules, F.col("x.source"))
+    rows = rules.select(
+        "layer_ord", "label", "tbl_ord", "table", "f.path", "f.cell_index", "scan", F.col("x.predicate").alias("predicate_sql"), F.col("x.source").alias("source_table"), "source_schema", "source_name", "lone", "lone_schema"
+    ).orderBy("layer_ord", "tbl_ord", "scan").collect()  # fmt: skip  # the WHEREs of one statement a table
+    found = _counted(layers, rows, qualified)
+    return spark.createDataFrame([(r.layer_ord, r.label, r.tbl_ord, r.table, r.path, r.cell_index, r.scan, r.predicate_sql, r.source_table, *found.get(i, (None, None))) for i, r in enumerate(rows)], SCANS)
 
 
 def exclusion_rules(spark: SparkSession, layers: list[Layer], facts: DataFrame, skip_first: bool = True, qualified: bool = False) -> DataFrame:
@@ -79,27 +113,16 @@ def exclusion_rules(spark: SparkSession, layers: list[Layer], facts: DataFrame,
     """
     tables = inventory(spark, layers).where(F.col("layer_ord") >= int(skip_first))
     first = facts.where(F.col("target").isNotNull()).withColumn("name", bare_name(F.col("target")))
-    first = predicates(first).groupBy("name").agg(F.min_by(F.struct("path", "cell_index", "sources", "predicate_sql"), order()).alias("f"))
+    first = first.withColumn("predicate_sql", F.col("predicate")).groupBy("name").agg(F.min_by(F.struct("path", "cell_index", "sources", "predicate_sql"), order()).alias("f"))
     rules = tables.withColumn("name", F.lower("table")).join(first, "name").where(F.col("f.predicate_sql").isNotNull())
     lone = F.when(F.size("f.sources") == 1, F.element_at("f.sources", 1))
-    rules = rules.withColumn("lone", bare_name(lone)).withColumn("lone_schema", F.try_element_at(F.split(lone, r"\."), F.lit(-2)))
-    index = table_index(inventory(spark, layers)).select(F.col("name").alias("lone"), F.col("schema").alias("source_schema"), F.col("table").alias("source_name"))
-    rules = rules.join(index, "lone", "left")
+    rules = _placed(spark, layers, rules, lone)
     rows = rules.select(
         "layer_ord", "label", "tbl_ord", "table", "f.path", "f.cell_index", "f.predicate_sql", F.coalesce(F.try_element_at("f.sources", F.lit(1)), F.lit(MISSING)).alias("source_table"),
         "source_schema", "source_name", "lone", "lone_schema", shortened(F.col("f.predicate_sql")).alias("short"),
     ).orderBy("layer_ord", "tbl_ord").collect()  # fmt: skip  # a rule a table at most
-    frames = {(x.schema, t.name): t.df for x in layers for t in x.tables}
-    by_source: dict[tuple[str, str], list[int]] = defaultdict(list)
-    for i, r in enumerate(rows):
-        if r.source_schema is not None:
-            own = next((k for k in frames if qualified and r.lone_schema and (k[0].lower(), k[1].lower()) == (r.lone_schema, r.lone)), None)
-            by_source[own or (r.source_schema, r.source_name)].append(i)
-    counts: dict[int, int] = {}
-    for key, places in by_source.items():
-        for i, got in zip(places, excluded(frames[key], [rows[i].predicate_sql for i in places])):
-            if got:
-                counts[i] = got[0]
+    found = _counted(layers, rows, qualified)
+    counts = {i: got[0] for i, got in found.items()}
     out = [
         (r.layer_ord, r.label, r.tbl_ord, r.path, r.cell_index, r.predicate_sql, r.source_table, counts.get(i), f"{r.table}: {r.short}", "", "ok") for i, r in enumerate(rows)
     ]

@@ -21,20 +21,20 @@ def order():
 
 
 def lineage_facts(notebooks: DataFrame) -> DataFrame:
-    """(nb_ord, path, cell_index, stmt_idx, sources, target, predicate, raw_sql, parsed); read-only statements have a null target.
+    """(nb_ord, path, cell_index, stmt_idx, sources, target, predicate, filters, raw_sql, parsed); read-only statements have a null target.
 
     A Python cell that writes a table by the DataFrame API, and reads one, gives a fact with the cell's whole
     text, unless one of its statements writes the same table.
     """
     every = cells(notebooks)
     facts = read(sql_statements(every).select("nb_ord", "path", "cell_index", "stmt_idx", "raw_sql"))
-    facts = facts.select("nb_ord", "path", "cell_index", "stmt_idx", "sources", "target", "predicate", "raw_sql", "parsed")
+    facts = facts.select("nb_ord", "path", "cell_index", "stmt_idx", "sources", "target", "predicate", "filters", "raw_sql", "parsed")
     written = facts.where(F.col("target").isNotNull()).groupBy("nb_ord", "path", "cell_index").agg(F.collect_set("target").alias("known"))
     reads = F.array_distinct(F.transform(F.regexp_extract_all("source", F.lit(READS), F.lit(1)), identifier))
     frames = every.where(F.col("language") == "python").withColumn("target", identifier(found(F.col("source"), WRITES))).withColumn("sources", reads)
     frames = frames.where(F.col("target").isNotNull() & (F.size("sources") > 0)).join(written, ["nb_ord", "path", "cell_index"], "left")
     frames = frames.where(F.col("known").isNull() | ~F.array_contains("known", F.col("target")))
-    frames = frames.select("nb_ord", "path", "cell_index", F.lit(LAST).alias("stmt_idx"), "sources", "target", F.lit(None).cast("string").alias("predicate"), F.col("source").alias("raw_sql"), F.lit(False).alias("parsed"))
+    frames = frames.select("nb_ord", "path", "cell_index", F.lit(LAST).alias("stmt_idx"), "sources", "target", F.lit(None).cast("string").alias("predicate"), F.lit(None).cast(facts.schema["filters"].dataType).alias("filters"), F.col("source").alias("raw_sql"), F.lit(False).alias("parsed"))
     return facts.unionByName(frames)
 
 

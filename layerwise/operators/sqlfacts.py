@@ -5,31 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import CREATE_VIEW, found, identifier, normal_sql, text_sources, text_tables, text_target
+from ..functions.text import CREATE_VIEW, found, identifier, normal_sql
 from ..plans.catalyst import read_statements
 from .cells import cells, headings, sql_statements
 
 
 def read(rows: DataFrame) -> DataFrame:
-    """rows(raw_sql, ...) -> with sources, target, tables, columns, normal, predicate, parsed, from Spark's parser or else by patterns.
+    """rows(raw_sql, ...) -> with sources, target, tables, columns, normal, predicate, filters, parsed (see plans.catalyst).
 
-    A read-only statement has no target. `predicate` is null where the parser finds no
-    outermost WHERE, and where it can't read the statement (`parsed` is false).
+    What Spark's grammar doesn't have is read by the lexer: it has no columns, and its normal form is its text as one line.
+    A read-only statement has no target.
     """
-    plans = read_statements(rows).withColumn("_read", F.lit(True))
-    joined = rows.join(plans, "raw_sql", "left")
-    sql, ok = F.col("raw_sql"), F.col("_read").isNotNull()
-    pick = lambda name, other: F.when(ok, F.col(name)).otherwise(other).alias(name)
-    return joined.select(
-        *rows.columns,
-        pick("sources", text_sources(sql)),
-        pick("target", text_target(sql)),
-        pick("tables", text_tables(sql)),
-        pick("columns", F.array().cast("array<string>")),
-        pick("normal", normal_sql(sql)),
-        "predicate",
-        ok.alias("parsed"),
-    )
+    plans = read_statements(rows).withColumn("normal", F.coalesce("normal", normal_sql(F.col("raw_sql"))))
+    return rows.join(plans, "raw_sql").select(*rows.columns, *[c for c in plans.columns if c != "raw_sql"])
 
 
 def sql_facts(notebooks: DataFrame) -> DataFrame:

@@ -1,135 +1,201 @@
-"""Statements read by Spark's parser, on the driver. Nothing is resolved and nothing is ever executed."""
+"""Statements read by Spark's parser and by the lexer. Nothing is resolved and nothing is ever executed.
+
+The parser only exists on the driver. Each different statement costs it one call, which gives the plan as rendered
+text; statements and plans go to the shared folder batch by batch, so that the driver never holds more than one, and
+tasks read the plans.
+"""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from itertools import islice
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA = "raw_sql string, sources array<string>, target string, tables array<string>, columns array<string>, normal string, predicate string"
-#: A filter is the statement's own if only these stand above it.
-_ABOVE = frozenset("Project Aggregate UnresolvedHaving Distinct Sort GlobalLimit LocalLimit UnresolvedWith WithWindowDefinition UnresolvedHint Offset".split())
-BATCH = 500
-
-
-def _list(seq) -> list:
-    return [seq.apply(i) for i in range(seq.size())]
-
-
-def _kind(node) -> str:
-    return node.getClass().getSimpleName()
+from ..functions.lexer import Reading, Token, reading_of, tokens
+from ..sources.shared import fresh_path, written
+
+_FILTER = "struct<source:string,predicate:string>"
+SCHEMA = f"raw_sql string, sources array<string>, target string, tables array<string>, columns array<string>, normal string, predicate string, filters array<{_FILTER}>, parsed boolean"
+_TREES = "raw_sql string, tree string"
+BATCH, BATCH_CHARS = 500, 8 << 20  # statements, and characters of them, that the driver holds at a time
+
+# One line of a rendered plan: marks of the depth, three characters each, and what the node says of itself.
+_LINE = re.compile(r"^((?:: {2}| {3})*)(:- |\+- )(.*)$", re.S)
+_RELATION = re.compile(r"'?UnresolvedRelation \[(.*?)\], \[")
+_IDENTIFIER = re.compile(r"'?UnresolvedIdentifier \[(.*?)\], (?:true|false)")
+_ATTRIBUTE = re.compile(r"'((?:`[^`]+`|[\w$-]+)(?:\.(?:`[^`]+`|[\w$-]+))*)(?![\w(`.])")
+_LABEL = re.compile(r"^'?(\w+)")
+
+
+@dataclass
+class Node:
+    label: str
+    children: list[Node] = field(default_factory=list)
+    inner: list[Node] = field(default_factory=list)  # bodies of common table expressions, subqueries
+
+    @property
+    def kind(self) -> str:
+        m = _LABEL.match(self.label)
+        return m[1] if m else ""
+
+    def below(self) -> Iterator[Node]:
+        yield self
+        for x in (*self.children, *self.inner):
+            yield from x.below()
+
+
+def tree_of(rendered: str) -> Node:
+    """The nodes of a rendered plan. Lines that don't look like a node's belong to the one before: literals may have several."""
+    root, path = None, []
+    for line in rendered.rstrip("\n").split("\n"):
+        m = _LINE.match(line)
+        if root is None:
+            root = Node(line)
+            path = [(0, root)]
+        elif m is None:
+            path[-1][1].label += "\n" + line
+        else:
+            depth = len(m[1]) // 3 + 1
+            while path[-1][0] >= depth:
+                path.pop()
+            over, parent = path[-1]
+            node = Node(m[3])
+            (parent.children if depth == over + 1 else parent.inner).append(node)  # inner plans are drawn one step deeper
+            path.append((depth, node))
+    return root
+
+
+def _name(listed: str) -> str:
+    return listed.replace(", ", ".").lower()
+
+
+def _written(root: Node) -> tuple[str | None, list[Node]]:
+    """The table that a plan writes and the nodes that it reads from."""
+    kind = root.kind
+    if kind == "CTE":
+        target, reads = _written(root.children[-1])
+        return target, [*reads, *root.inner] if target is not None else [root]
+    if kind == "Union" and root.children and root.children[0].kind == "InsertIntoStatement":
+        return _written(root.children[0])[0], [x for c in root.children for x in c.children]
+    if kind == "InsertIntoStatement":
+        m = _RELATION.search(root.label)
+        return (_name(m[1]) if m else None), [*root.children, *root.inner]
+    if kind in ("CreateTableAsSelect", "ReplaceTableAsSelect", "CreateTable", "ReplaceTable", "CreateView"):
+        m = _IDENTIFIER.match(root.children[0].label) if root.children else None
+        return (_name(m[1]) if m else None), [*root.children[1:], *root.inner]
+    if kind == "CreateViewCommand":
+        m = re.match(r"'?CreateViewCommand ((?:`(?:[^`]|``)*`\.?)+|[\w.]+),", root.label)
+        return (m[1].replace("`", "").lower() if m else None), [*root.children, *root.inner]
+    if kind in ("MergeIntoTable", "UpdateTable"):
+        own = next((n for n in root.children[0].below() if _RELATION.match(n.label)), None)
+        return (_name(_RELATION.match(own.label)[1]) if own else None), [*root.children[1:], *(root.inner if kind == "UpdateTable" else [])]
+    return None, [root]
+
+
+def _coded(found: list[Token]) -> tuple[Callable[[str], str], Callable[[str], str]]:
+    """Names that the rendering doesn't quote, as one character each, and back; literals with a quote in them vanish."""
+    odd = list(dict.fromkeys(t.text[1:-1].replace("``", "`") for t in found if t.text[0] == "`" and not re.fullmatch(r"\w*", t.text[1:-1])))[:6000]
+    literals = [x for t in found if t.kind == "text" and "'" in (x := t.text[1:-1])]
+
+    def to(text: str) -> str:
+        for x in literals:
+            for y in {x, x.replace("''", "'"), x.replace("\\'", "'")}:
+                text = text.replace(y, "")
+        for i, x in enumerate(odd):
+            text = text.replace(f"`{x}`", chr(0xE000 + i)).replace(x, chr(0xE000 + i))
+        return text
+
+    return to, lambda text: re.sub("[" + chr(0xE000) + "-" + chr(0xF8FF) + "]", lambda m: odd[ord(m[0]) - 0xE000] if ord(m[0]) - 0xE000 < len(odd) else m[0], text)
+
+
+def from_tree(sql: str, rendered: str, read: Reading) -> tuple:
+    """A row of SCHEMA from a rendered plan; where a WHERE begins and ends, only the text tells."""
+    root = tree_of(rendered)
+    target, reads = _written(root)
+    to, back = _coded(tokens(sql))
+    own = {x.strip().lower() for n in root.below() if n.kind == "CTE" for x in n.label[5:-1].split(",")}
+    names, columns = [], []
+    for n in (n for r in reads for n in r.below()):
+        label = to(n.label)
+        if m := _RELATION.match(label):
+            names.append(back(_name(m[1])))
+        elif n.kind != "SubqueryAlias":
+            columns += [back(m[1].split(".")[-1].strip("`")).lower() for m in _ATTRIBUTE.finditer(_LABEL.sub("", label))]
+    sources = list(dict.fromkeys(x for x in names if x not in own))
+    everything = sources if target is None else list(dict.fromkeys([target, *sources]))
+    # A view's plan also carries its body's text, comments and all.
+    shown = rendered if root.kind not in ("CreateView", "CreateViewCommand") else f"View {target} " + "\n".join(rendered.split("\n")[1:])
+    normal = re.sub(r"\s+", " ", re.sub(r"#\d+L?", "", shown)).lower().strip()
+    return sql, sources, target, everything, list(dict.fromkeys(columns)), normal, read.predicate, [{"source": s, "predicate": p} for s, p in read.filters], True
 
 
-def _below(node) -> Iterator:
-    """The node and all plans under it: children, bodies of common table expressions, subqueries."""
-    yield node
-    for part in (node.children(), node.innerChildren(), node.subqueries()):
-        for x in _list(part):
-            if hasattr(x, "getClass") and "plans.logical" in x.getClass().getName() or _kind(x).startswith("Unresolved"):
-                yield from _below(x)
+def from_text(sql: str, read: Reading) -> tuple:
+    """A row of SCHEMA of a statement that Spark's grammar doesn't have; its normal form is left to functions.text."""
+    everything = read.sources if read.target is None else list(dict.fromkeys([read.target, *read.sources]))
+    return sql, read.sources, read.target, everything, [], None, read.predicate, [{"source": s, "predicate": p} for s, p in read.filters], False
 
 
-def _expressions(node) -> Iterator:
-    todo = _list(node.expressions())
-    while todo:
-        e = todo.pop()
-        yield e
-        todo += _list(e.children())
+def row_of(sql: str, rendered: str | None) -> tuple:
+    read = reading_of(sql)
+    return from_text(sql, read) if rendered is None else from_tree(sql, rendered, read)
 
 
-def _name(parts) -> str:
-    return ".".join(_list(parts)).lower()
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    text, texts = pa.string(), pa.list_(pa.string())
+    types = [text, texts, text, texts, texts, text, text, pa.list_(pa.struct([("source", text), ("predicate", text)])), pa.bool_()]
+    names = ["raw_sql", "sources", "target", "tables", "columns", "normal", "predicate", "filters", "parsed"]
+    for b in batches:
+        found = [row_of(s, t) for s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names)
 
 
-def _target(plan) -> tuple[str | None, list]:
-    """The table a statement writes and the plans that it reads."""
-    kind = _kind(plan)
-    if kind in ("CreateTableAsSelect", "ReplaceTableAsSelect"):
-        return _name(plan.name().nameParts()), [plan.query()]
-    if kind in ("CreateTable", "ReplaceTable"):
-        return _name(plan.name().nameParts()), []
-    if kind == "InsertIntoStatement":
-        return _name(plan.table().multipartIdentifier()), [plan.query()]
-    if kind == "CreateViewCommand":
-        return plan.name().unquotedString().lower(), [plan.plan()]
-    if kind == "CreateView":
-        return _name(plan.child().nameParts()), [plan.query()]
-    if kind in ("MergeIntoTable", "UpdateTable"):
-        own = plan.targetTable() if kind == "MergeIntoTable" else plan.table()
-        while _kind(own) == "SubqueryAlias":
-            own = own.child()
-        if kind == "MergeIntoTable":
-            return _name(own.multipartIdentifier()), [plan.sourceTable()]
-        return _name(own.multipartIdentifier()), _list(plan.subqueries())
-    return None, [plan]
-
-
-def _predicate(reads: list, sql: str) -> str | None:
-    """The text of the outermost WHERE."""
-    if len(reads) != 1:
-        return None
-    node = reads[0]
-    while _kind(node) in _ABOVE:
-        node = _list(node.children())[0]
-    if _kind(node) != "Filter":
-        return None
-    todo, start, stop = [node.condition()], [], []
-    while todo:  # a BETWEEN's own span lacks its left side
-        e = todo.pop()
-        o = e.origin()
-        if o.startIndex().isDefined() and o.stopIndex().isDefined():
-            start.append(o.startIndex().get())
-            stop.append(o.stopIndex().get())
-        todo += _list(e.children())
-    return sql[min(start) : max(stop) + 1].strip() or None if start else None
-
-
-def parsed(spark: SparkSession, sql: str) -> tuple | None:
-    """A row of SCHEMA, or None if Spark's grammar doesn't have the statement."""
+def rendered(spark: SparkSession, sql: str) -> str | None:
+    """The statement's plan as text, or None if Spark's grammar doesn't have it."""
     try:
-        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-        target, reads = _target(plan)
-        nodes = [n for r in reads for n in _below(r)]
+        return spark._jsparkSession.sessionState().sqlParser().parsePlan(sql).toString()
     except (Py4JJavaError, PySparkException):
         return None
-    own, tables, columns = set(), [], []
-    for n in nodes:
-        if _kind(n) == "UnresolvedWith":
-            own |= {t._1().lower() for t in _list(n.cteRelations())}
-    for n in nodes:
-        if _kind(n) == "UnresolvedRelation":
-            tables.append(_name(n.multipartIdentifier()))
-        for e in _expressions(n):
-            if _kind(e) == "UnresolvedAttribute":
-                columns.append(_list(e.nameParts())[-1].lower())
-    sources = list(dict.fromkeys(t for t in tables if t not in own))
-    everything = sources if target is None else list(dict.fromkeys([target, *sources]))
-    # A view's plan also carries its body's text, comments and all.
-    shown = plan.toString() if "View" not in _kind(plan) else f"View {target} " + reads[0].toString()
-    normal = re.sub(r"\s+", " ", re.sub(r"#\d+L?", "", shown)).lower().strip()
-    return sql, sources, target, everything, list(dict.fromkeys(columns)), normal, _predicate(reads, sql)
 
 
-def read_statements(rows: DataFrame, column: str = "raw_sql") -> DataFrame:
-    """SCHEMA for each different statement of rows that Spark's grammar has.
+def _batches(texts: Iterator[str]) -> Iterator[list[str]]:
+    batch, size = [], 0
+    for t in texts:
+        batch.append(t)
+        size += len(t)
+        if len(batch) >= BATCH or size >= BATCH_CHARS:
+            yield batch
+            batch, size = [], 0
+    if batch:
+        yield batch
 
-    The parser only exists on the driver: the different texts come there BATCH at a time. They are code that
-    people wrote, not data; what is kept of each is its names and its normal form.
-    """
+
+def read_statements(rows: DataFrame, column: str = "raw_sql") -> DataFrame:
+    """SCHEMA for each different statement of rows. `normal` is null where Spark's grammar doesn't have one (`parsed` is false)."""
     spark = rows.sparkSession
     key = "spark.sql.debug.maxToStringFields"
     before = spark.conf.get(key)
     texts = (r[0] for r in rows.select(F.col(column)).where(F.col(column).isNotNull()).distinct().toLocalIterator())
-    found: list[tuple] = []
-    spark.conf.set(key, "100000")  # else long lists of columns are cut in the normal form
+    path, n, last = None, 0, []
+    spark.conf.set(key, "100000")  # else long lists of columns are cut in the plans
     try:
-        while batch := list(islice(texts, BATCH)):
-            found += [x for x in (parsed(spark, t) for t in batch) if x]
+        for batch in _batches(texts):
+            if last:
+                path = path or fresh_path(spark, "plans")
+                spark.createDataFrame(last, _TREES).coalesce(1).write.mode("append").parquet(path)
+            last = [(t, rendered(spark, t)) for t in batch]
+            n += 1
     finally:
         spark.conf.set(key, before)
-    return spark.createDataFrame(found, SCHEMA)
+    rest = spark.createDataFrame(last, _TREES)
+    if path is None:
+        return rest.mapInArrow(_rows, SCHEMA)
+    rest.coalesce(1).write.mode("append").parquet(path)
+    trees = spark.read.schema(_TREES).parquet(path).repartition(min(n, spark.sparkContext.defaultParallelism))
+    return written(trees.mapInArrow(_rows, SCHEMA), "statements")

@@ -702,3 +702,63 @@ def validated_logic(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reviewed_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = audit.analyse_level(spark, fixtures.corpus(spark), "bronze", "silver", ["silver.stg_lineitem"], explainer=lambda messages: _REVIEWS[0])
     return spark.createDataFrame([(c["path"], c["cell_index"], got["status"]) for c in got["candidates"]], "path string, cell_index int, status string")
+
+
+# What Spark's grammar lacks, and what it nests: a notebook of such statements for each supplier.
+# Each: statement, target, sources, predicate, its WHEREs with the relation that each reads.
+_NESTED = (
+    ("WITH c AS (SELECT * FROM bronze.src_{m} WHERE amount > {n}) INSERT INTO silver.w_{k} SELECT * FROM c WHERE id > {k}", "silver.w_{k}", "bronze.src_{m}", "id > {k}", "bronze.src_{m}: id > {k}|bronze.src_{m}: amount > {n}"),
+    ("INSERT INTO silver.d_{k} SELECT TOP 3 * FROM (SELECT * FROM bronze.src_{m} WHERE amount > {n}) q", "silver.d_{k}", "bronze.src_{m}", None, "bronze.src_{m}: amount > {n}"),
+    ("INSERT INTO silver.e_{k} SELECT TOP 5 'a where b' AS t, z FROM [bronze].[src_{m}] WHERE z = 'x{n}' -- where 1 = 1", "silver.e_{k}", "bronze.src_{m}", "z = 'x{n}'", "bronze.src_{m}: z = 'x{n}'"),
+    ("INSERT INTO silver.c_{k} SELECT * FROM bronze.src_{m} WHERE a > {n} ON CONFLICT DO NOTHING", "silver.c_{k}", "bronze.src_{m}", "a > {n}", "bronze.src_{m}: a > {n}"),
+    ("INSERT INTO silver.u_{k} SELECT a FROM bronze.src_{m} WHERE a > {n} UNION ALL SELECT a FROM bronze.alt_{g} WHERE a < {k}", "silver.u_{k}", "bronze.src_{m},bronze.alt_{g}", "a > {n}", "bronze.src_{m}: a > {n}|bronze.alt_{g}: a < {k}"),
+    ("UPDATE silver.v_{k} SET a = 1 WHERE b > {n}", "silver.v_{k}", "", "b > {n}", "silver.v_{k}: b > {n}"),
+    ("INSERT INTO silver.j_{k} SELECT x.a FROM (SELECT * FROM bronze.src_{m} WHERE `odd name` > {n}) x JOIN bronze.alt_{g} y ON x.a = y.a WHERE x.a IN (SELECT a FROM gold.g_{g} WHERE b)", "silver.j_{k}", "bronze.src_{m},bronze.alt_{g},gold.g_{g}", "x.a IN (SELECT a FROM gold.g_{g} WHERE b)", "?: x.a IN (SELECT a FROM gold.g_{g} WHERE b)|bronze.src_{m}: `odd name` > {n}"),
+    ("SELECT a INTO #t_{k} FROM dbo.[My Table] WITH (NOLOCK) WHERE offset > {n} AND CASE WHEN a THEN 1 END = 1 ORDER BY a", "#t_{k}", "dbo.my table", "offset > {n} AND CASE WHEN a THEN 1 END = 1", "dbo.my table: offset > {n} AND CASE WHEN a THEN 1 END = 1"),
+)
+
+
+def _made_of(spark: SparkSession, rows: DataFrame, path: str, text: str, order: str) -> DataFrame:
+    """A notebook of SQL for each row, from expressions over its columns."""
+    plain = lambda x: x.replace("VARCHAR(20)", "STRING")
+    named = rows.select(F.col(order).cast("int").alias("nb_ord"), F.expr(plain(path)).alias("path"), F.expr(plain(text)).alias("source"))
+    return named.select("nb_ord", "path", F.substring_index("path", "/", -1).alias("name"), F.lit("SQL").alias("language"), "source")
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT {_filled('/nested/n{k}')} AS path, {i} AS stmt_idx, {_filled(t)} AS target, {_filled(r)} AS sources, {'NULL' if p is None else _filled(p)} AS predicate, {_filled(f)} AS filters FROM supplier"
+        for i, (_, t, r, p, f) in enumerate(_NESTED)
+    )
+)
+def made_dialects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _made_of(spark, spark.read.parquet(f"{sf_dir}/supplier.parquet"), _filled("/nested/n{k}"), " || ';' || ".join(_filled(x[0] + chr(10)) for x in _NESTED).replace("\n", "\\n"), "s_suppkey")
+    each = F.transform("filters", lambda x: F.concat_ws(": ", F.coalesce(x["source"], F.lit("?")), x["predicate"]))
+    return lineage.lineage_facts(rows).select("path", "stmt_idx", "target", F.array_join("sources", ",").alias("sources"), "predicate", F.array_join(each, "|").alias("filters"))
+
+
+# A table for each nation, written by two branches over a filtered common table expression; one table that is updated.
+_BRANCHED = (
+    "WITH c AS (SELECT * FROM bronze.orders WHERE o_custkey > {k}) INSERT INTO silver.a_{k} SELECT * FROM c WHERE o_totalprice > {k}000"
+    " UNION ALL SELECT * FROM bronze.orders WHERE nullif(o_orderstatus, 'F') <> 'P' AND o_orderkey > {k};UPDATE silver.items SET l_tax = 0 WHERE l_quantity > {k} + 10"
+)
+_OF_NATION = lambda text: text.replace("s_suppkey", "n_nationkey")
+_SCANS = (
+    ("o_totalprice > n_nationkey * 1000", "o_totalprice > {k}000"), ("o_custkey > n_nationkey", "o_custkey > {k}"),
+    ("nullif(o_orderstatus, 'F') <> 'P' AND o_orderkey > n_nationkey", "nullif(o_orderstatus, 'F') <> 'P' AND o_orderkey > {k}"),
+)
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT {_OF_NATION(_filled('a_{k}'))} AS \"table\", {i} AS scan, {_OF_NATION(_filled(p))} AS predicate_sql, 'bronze.orders' AS source_table, count(*) FILTER (WHERE NOT ({q})) AS excluded_count, count(*) FILTER (WHERE ({q}) IS NULL) AS null_count FROM nation, orders GROUP BY n_nationkey"
+        for i, (q, p) in enumerate(_SCANS)
+    )
+    + " UNION ALL SELECT 'items', 0, 'l_quantity > 0 + 10', 'silver.items', count(*) FILTER (WHERE NOT l_quantity > 10), count(*) FILTER (WHERE l_quantity IS NULL) FROM lineitem"
+)
+def branch_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, items, nations = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem", "nation"))
+    keys = sorted(r[0] for r in nations.select("n_nationkey").collect())  # names of tables
+    layers = [Layer("bronze", "bronze", [Table("orders", orders)]), Layer("silver", "silver", [*(Table(f"a_{k}", orders) for k in keys), Table("items", items)])]
+    code = _made_of(spark, nations, _OF_NATION(_filled("/branched/n{k}")), _OF_NATION(_filled(_BRANCHED)), "n_nationkey")
+    return exclusions.scan_rules(spark, layers, lineage.lineage_facts(code)).select("table", "scan", "predicate_sql", "source_table", "excluded_count", "null_count")

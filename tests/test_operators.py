@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from layerwise import fixtures
 from layerwise.functions import text
+from layerwise.functions.lexer import reading_of
 from layerwise.operators import audit, cells, codedefs, counts, drift, exclusions, lineage, search, summary
-from layerwise.plans.catalyst import parsed
+from layerwise.plans import catalyst
+from layerwise.plans.catalyst import rendered, row_of
 from layerwise.sources import catalog, sinks
 from layerwise.sources.catalog import Layer, Table
 from layerwise.sources.notebooks import decoded, folder, notebooks, read_notebooks, under
@@ -93,10 +95,12 @@ def test_definitions():
     ],
 )
 def test_parser(spark, sql, target, sources, predicate):
-    _, got, written, tables, _, _, where = parsed(spark, sql)
+    parsed = lambda text: row_of(text, rendered(spark, text))
+    _, got, written, tables, _, _, where, _, known = parsed(sql)
+    assert known
     assert (written, sorted(got), where) == (target, sorted(sources), predicate)
-    assert parsed(spark, "SELECT TOP 3 * FROM t") is None
-    assert parsed(spark, sql)[5] == parsed(spark, "/* c */ " + sql.replace(" ", "  ").replace("SELECT", "select"))[5]
+    assert rendered(spark, "SELECT TOP 3 * FROM t") is None
+    assert parsed(sql)[5] == parsed("/* c */ " + sql.replace(" ", "  ").replace("SELECT", "select"))[5]
 
 
 def test_excluded_rows_add_up(spark):
@@ -230,3 +234,58 @@ def test_sources_and_sinks(spark, tmp_path):
 def test_detected_layers(spark):
     rows = spark.createDataFrame([(0, "gold_raw"), (1, "x")], "ord int, name string")
     assert [(r.layer_ord, r.schema) for r in summary.detect_layers(rows).collect()] == [(0, "gold_raw")]
+
+
+@pytest.mark.parametrize(
+    ("sql", "target", "sources", "predicate", "filters"),
+    [
+        ("INSERT INTO t (a, b) (SELECT a, b FROM (x JOIN y ON x.i = y.i) WHERE q)", "t", ["x", "y"], "q", [(None, "q")]),
+        ("MERGE INTO g.m t USING (SELECT * FROM s.s WHERE u = 1) s ON t.i = s.i WHEN MATCHED AND a > 1 THEN DELETE", "g.m", ["s.s"], None, [("s.s", "u = 1")]),
+        ("SELECT extract(YEAR FROM d) FROM t WHERE a IS DISTINCT FROM b AND limit > 3 LIMIT 3", None, ["t"], "a IS DISTINCT FROM b AND limit > 3", [("t", "a IS DISTINCT FROM b AND limit > 3")]),
+        ("WITH a AS (SELECT * FROM r WHERE p = 1 UNION SELECT * FROM q), b AS (SELECT * FROM a WHERE z) INSERT INTO o SELECT * FROM b WHERE k", "o", ["r", "q"], "k", [(None, "k"), ("r", "p = 1"), (None, "z")]),
+        ("DELETE FROM d WHERE x = 1", None, ["d"], None, []),
+        ("SELECT a[1] FROM t, explode(b) e, LATERAL (SELECT 1 FROM u WHERE c) w WHERE d = ')' /* where */", None, ["t", "u"], "d = ')' /* where */"[:7], [(None, "d = ')'"), ("u", "c")]),
+        ("WITH RECURSIVE r AS (SELECT 1 FROM base WHERE s UNION ALL SELECT 1 FROM r WHERE n < 5) SELECT * FROM r", None, ["base"], None, [("base", "s"), ("base", "n < 5")]),
+        ("CREATE TABLE x (a INT)", "x", [], None, []), ("", None, [], None, []), ("'", None, [], None, []), ("((((", None, [], None, []), ("SELECT 1 FROM", None, [], None, []), ("a WHERE", None, [], None, []), ("]]) ) FROM x", None, ["x"], None, []),
+    ],
+)
+def test_lexer(sql, target, sources, predicate, filters):
+    got = reading_of(sql)
+    assert (got.target, got.sources, got.predicate, got.filters) == (target, sources, predicate, filters)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["select", "from", "where", "with", "as", "(", ")", "'", '"', "`", "[", "]", ",", ".", "--", "/*", "*/", "\n", " ", "a", "union", "insert into", "case", "end", ";", "$$", "join", "t"]), max_size=40).map("".join))
+def test_the_lexer_takes_any_text(sql):
+    got = reading_of(sql)
+    assert got.predicate is None or got.predicate in sql
+
+
+def test_plans_are_read_from_files(spark, monkeypatch):
+    """More statements than a batch: the same rows as from one."""
+    text = [f"INSERT INTO t{i} SELECT `odd name`, 'it''s a''b', c.d FROM s.u{i} WHERE x > {i}" for i in range(20)] + ["SELECT TOP 3 * FROM z WHERE 'multi\nline' = y"]
+    rows = spark.createDataFrame([(t,) for t in text], "raw_sql string")
+    one = sorted(catalyst.read_statements(rows).collect(), key=lambda r: r.raw_sql)
+    monkeypatch.setattr(catalyst, "BATCH", 3)
+    assert sorted(catalyst.read_statements(rows).collect(), key=lambda r: r.raw_sql) == one
+    assert [r.columns for r in one if r.target == "t3"] == [["odd name", "d", "x"]] and sum(r.parsed for r in one) == 20
+    assert len({r.normal for r in one}) == 21
+
+
+def test_late_and_failing_tables_have_no_count(spark):
+    slow = spark.range(0, 10**13, 1, 1).where("hash(id) = 7")
+    bad = spark.range(1).select(F.expr("cast('x' as int)").alias("v")).where("v > 0")
+    layers = [Layer("bronze", "b", [Table("ok", spark.range(3)), Table("slow", slow), Table("bad", bad), Table("two", spark.range(2))])]
+    got = counts.safe_table_counts(spark, layers, workers=2, limit=5.0).collect()
+    assert [(r.table, r.row_count) for r in got] == [("ok", 3), ("slow", None), ("bad", None), ("two", 2)]
+    assert spark.range(5).count() == 5
+
+
+def test_rules_by_branch(spark):
+    t = spark.range(10).toDF("v")
+    layers = [Layer("bronze", "b", [Table("src", t), Table("other", t)]), Layer("silver", "s", [Table(x, t) for x in ("a", "b")])]
+    code = "WITH c AS (SELECT * FROM b.src WHERE v > 1) INSERT INTO s.a SELECT * FROM c WHERE v > 3 UNION ALL SELECT * FROM b.other o, b.src WHERE o.v = 1;UPDATE s.b SET v = 1 WHERE v > 7;INSERT INTO s.b SELECT * FROM b.src WHERE v > 2"
+    got = exclusions.scan_rules(spark, layers, lineage.lineage_facts(notebooks(spark, [("/n", "SQL", code)]))).collect()
+    assert [(r.table, r.scan, r.predicate_sql, r.source_table, r.excluded_count) for r in got] == [
+        ("a", 0, "v > 3", "b.src", 4), ("a", 1, "v > 1", "b.src", 2), ("a", 2, "o.v = 1", None, None), ("b", 0, "v > 7", "s.b", 8),
+    ]
