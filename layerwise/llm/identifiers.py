@@ -192,12 +192,12 @@ def occurrences(docs: DataFrame, patterns: DataFrame, n: int) -> DataFrame:
     started = F.array(F.lit("^"), F.lit("^"))
     pairs = let(words, lambda w: let(F.concat(started, w), lambda all_: F.arrays_zip(F.slice(all_, F.lit(1), F.size(w)).alias("a"), F.slice(all_, F.lit(2), F.size(w)).alias("b"))))
     rows = docs.select(F.inline(pairs)).toDF("a", "b").select(_plain(F.col("a")).alias("a"), _plain(F.col("b")).alias("b"))
-    lasts = patterns.select(F.element_at(F.split("pattern", " "), -1).alias("b")).distinct()
-    if n * 64 <= BROADCAST_BYTES:
-        rows = rows.join(F.broadcast(lasts), "b", "left_semi").groupBy("a", "b").agg(F.count("*").alias("n"))  # n patterns at most
-    else:
-        rows = rows.groupBy("a", "b").agg(F.count("*").alias("n")).join(lasts, "b", "left_semi")
-    rows = rows.select(F.explode(F.array(_one(F.col("b")), _two(F.col("a"), F.col("b")))).alias("pattern"), "n").groupBy("pattern").agg(F.sum("n").alias("total"))
+    both = F.explode(F.array(_one(F.col("b")), _two(F.col("a"), F.col("b")))).alias("pattern")
+    if n * 64 <= BROADCAST_BYTES:  # few enough to leave all other words out before anything is shuffled
+        lasts = patterns.select(F.element_at(F.split("pattern", " "), -1).alias("b")).distinct()
+        rows = rows.join(F.broadcast(lasts), "b", "left_semi").select(both).join(F.broadcast(patterns.select("pattern")), "pattern", "left_semi")
+        return rows.groupBy("pattern").agg(F.count("*").alias("total"))
+    rows = rows.groupBy("a", "b").agg(F.count("*").alias("n")).select(both, "n").groupBy("pattern").agg(F.sum("n").alias("total"))
     return rows.join(patterns.select("pattern"), "pattern", "left_semi")
 
 
@@ -214,21 +214,25 @@ def confident(docs: DataFrame, found: DataFrame, rounds: int = ROUNDS, least: fl
     # Fewer instances than these can't give the confidence asked for, whatever they are.
     fewest = max(LEAST_SUPPORT, int(least * PRIOR / (1 - least) + 1 - 1e-9)) if least < 1 else LEAST_SUPPORT
     patterns = stored(edges.groupBy("pattern").agg(F.count("*").alias("d"), F.sum("n").alias("n")).where(F.col("d") >= fewest), "patterns")
-    n = patterns.count()
-    totals = occurrences(docs, patterns, n)
-    share = F.col("n") / F.greatest("n", F.coalesce("total", F.lit(0)))
-    # An upper bound of a pattern's confidence, all instances being sure.
-    patterns = patterns.join(totals, "pattern", "left").withColumn("share", share).where(F.round(F.col("d") / (F.col("d") + PRIOR) * F.col("share"), 9) >= least)
-    patterns = stored(patterns.select("pattern", "d", "share"), "open-patterns")
-    n = patterns.count()
-    edges = stored(edges.join(small(patterns, n, 128), "pattern").select("pattern", "instance", "seed", "d", "share"), "open-pattern-instances")
-    sure, size = None, 0
+    edges = stored(edges.drop("n").join(small(patterns, patterns.count(), 128), "pattern"), "open-pattern-instances")
+    sure, size, shares = None, 0, None
     for _ in range(rounds):
         rows = edges.withColumn("score", F.col("seed").cast("double"))
         if sure is not None:
             known = edges.where("not seed").join(small(sure, size, 128), "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("known"))
             rows = rows.join(known, "instance", "left").withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("known", F.lit(0.0))))
-        rated = rows.groupBy("pattern").agg(F.round(F.sum("score") / (F.max("d") + PRIOR) * F.max("share"), 9).alias("confidence"))
+        rated = rows.groupBy("pattern").agg((F.sum("score") / (F.max("d") + PRIOR)).alias("best"), F.max("n").alias("n"))
+        rated = stored(rated.where(F.round("best", 9) >= least), "rated-patterns")  # the share can only lower it
+        new = stored(rated if shares is None else rated.join(shares, "pattern", "left_anti"), "new-patterns")
+        n_new = new.count()
+        if n_new:
+            share = F.col("n") / F.greatest("n", F.coalesce("total", F.lit(0)))
+            more = stored(new.join(occurrences(docs, new, n_new), "pattern", "left").select("pattern", share.alias("share")), "pattern-shares")
+            shares = more if shares is None else shares.unionByName(more)
+        if shares is not None:
+            rated = rated.join(shares, "pattern").select("pattern", F.round(F.col("best") * F.col("share"), 9).alias("confidence"))
+        else:
+            rated = rated.select("pattern", F.col("best").alias("confidence"))
         sure = stored(rated.where(F.col("confidence") >= least), "sure-patterns")
         before, size = size, sure.count()
         if size == before == 0:
