@@ -8,6 +8,7 @@ import uuid
 import zlib
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,7 +96,10 @@ def unpacked(df: DataFrame, columns: list[str], *own: str) -> DataFrame:
 
 _BYTE = np.random.default_rng(13).integers(0, 1 << 63, 256, dtype=np.uint64)
 _FACTOR = 0x9E3779B97F4A7C15
-_POWERS = np.array([pow(_FACTOR, i, 1 << 64) for i in range(256)], np.uint64)
+#: Runs from this size on are hashed by XXH64: a polynomial modulo 2**64 has collisions that can be written down, the
+#: shortest of some 1,000 letters, whatever its factor.
+LONG_RUN = 64
+_POWERS = np.array([pow(_FACTOR, i, 1 << 64) for i in range(LONG_RUN)], np.uint64)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -105,8 +109,9 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def hashed_runs(letters: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """64-bit hashes of runs of bytes that lie one after the other and are not empty."""
-    longest = int(sizes.max())
-    powers = _POWERS if longest <= len(_POWERS) else np.cumprod(np.append(np.uint64(1), np.full(longest - 1, _FACTOR, np.uint64)))
     terms = _BYTE[letters]
-    terms *= powers[np.arange(len(letters)) - np.repeat(starts, sizes)]
-    return mixed(np.add.reduceat(terms, starts) + sizes.astype(np.uint64))
+    terms *= _POWERS[(np.arange(len(letters)) - np.repeat(starts, sizes)) % LONG_RUN]
+    out = mixed(np.add.reduceat(terms, starts) + sizes.astype(np.uint64))
+    for i in np.flatnonzero(sizes >= LONG_RUN).tolist():
+        out[i] = xxhash.xxh64_intdigest(letters[starts[i] : starts[i] + sizes[i]].tobytes())
+    return out

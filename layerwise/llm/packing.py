@@ -19,6 +19,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -124,11 +125,13 @@ class Encoder:
     def _clear(self) -> None:
         self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes of known runs, sorted; places in edges
         self.ids, self.edges = np.zeros(0, self.kind), np.zeros(1, np.int64)
+        self.runs: list[bytes] = []  # by their places
 
     def _learn(self, keys: np.ndarray, runs: list[bytes]) -> None:
         ids = np.array(self.pairs.encode_ordinary((b"\0".join(runs) + b"\0").decode()), self.kind)
         ends = np.flatnonzero(self.ends[ids]) + 1
         assert len(ends) == len(runs)
+        self.runs += runs
         places = np.arange(len(runs)) + len(self.edges) - 1
         self.edges = np.append(self.edges, ends + len(self.ids))
         self.ids = np.append(self.ids, ids)
@@ -145,10 +148,20 @@ class Encoder:
         keys, first, which = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.keys) > _MEMO:
             self._clear()
-        new = np.flatnonzero(~np.isin(keys, self.keys, assume_unique=True))
+        known = np.isin(keys, self.keys, assume_unique=True)
+        run_of = lambda places: [text[a:b] for a, b in zip(starts[places].tolist(), (starts[places] + sizes[places]).tolist())]
+        old = np.flatnonzero(known)
+        stored_runs = [self.runs[i] for i in self.places[np.searchsorted(self.keys, keys[old])].tolist()]
+        for i, run, other in zip(old.tolist(), run_of(first[old]), stored_runs):
+            seed = 0
+            while run != other:  # a stored run has the same hash
+                seed += 1
+                keys[i] = xxhash.xxh64_intdigest(run, seed)
+                known[i] = keys[i] in self.keys
+                other = self.runs[self.places[np.searchsorted(self.keys, keys[i])]] if known[i] else run
+        new = np.flatnonzero(~known)
         if len(new):
-            at = starts[first[new]]
-            self._learn(keys[new], [text[a:b] for a, b in zip(at.tolist(), (at + sizes[first[new]]).tolist())])
+            self._learn(keys[new], run_of(first[new]))
         place = self.places[np.searchsorted(self.keys, keys)][which]
         start, size = self.edges[place], self.edges[place + 1] - self.edges[place]
         after = np.cumsum(size)

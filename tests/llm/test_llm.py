@@ -654,3 +654,38 @@ def test_language_parts():
     assert language.address("https://u:p@WWW.Example.co.uk:8080/x") == ("www.example.co.uk", "co.uk", "uk")
     assert language.address("no host") == (None, None, None) == language.address(None)
     assert language.visible("<style>a</style>x &amp; y<!-- z --><b>w</b>").split() == ["x", "&", "y", "w"]
+
+
+def thue_morse(n, letters="ab"):
+    """A word and its complement: polynomials modulo a power of two give both one hash, from some length on."""
+    bits = [i.bit_count() % 2 for i in range(n)]
+    return "".join(letters[b] for b in bits), "".join(letters[1 - b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [32, 64, 1024, 4096])
+def test_runs_that_share_a_polynomial(n):
+    a, b = thue_morse(n)
+    library = packing.Encoder().tokenizer
+    ids = lambda t: [*library.encode(t, add_special_tokens=False).ids, packing.END]
+    both, apart = packing.Encoder(), packing.Encoder()
+    assert [x.tolist() for x in both.encode_all([a, b])] == [ids(a), ids(b)]
+    assert [apart.encode_all([t])[0].tolist() for t in (a, b, a)] == [ids(a), ids(b), ids(a)]
+
+
+def test_a_stored_run_with_the_same_hash(monkeypatch):
+    """Should hashes collide all the same, the runs' letters tell."""
+    monkeypatch.setattr(packing, "hashed_runs", lambda letters, starts, sizes: np.full(len(starts), 7, np.uint64))
+    one = packing.Encoder()
+    library = one.tokenizer
+    for t in ("hello", "world", "hello", "again", "world"):
+        assert one.encode_all([t])[0].tolist() == [*library.encode(t, add_special_tokens=False).ids, packing.END]
+
+
+def test_long_words_are_counted_apart(spark):
+    a, b = thue_morse(1024)
+    learnt = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10)
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
+    rows = {r.doc_id: r for r in scoring.score(spark.createDataFrame([(learnt, f"{a} {a}"), (held, b)], "doc_id long, text string")).collect()}
+    assert (rows[learnt].n_known, rows[held].n_known, rows[held].train_tokens) == (3, 1, 3)  # its end
+    p = lambda c: math.log10((c + 0.1) / (3 + 0.1 * 3))
+    assert rows[held].base_score == pytest.approx(p(0) + p(1)) and rows[learnt].base_score == pytest.approx(2 * p(2) + p(1))
