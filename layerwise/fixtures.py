@@ -67,7 +67,7 @@ def layers(spark: SparkSession, sf_dir: str) -> list[Layer]:
     stg = items.where("l_returnflag <> 'R'")
     sales = stg.join(kept, stg.l_orderkey == kept.o_orderkey).where("o_totalprice > 1000")
     return [
-        Layer("bronze", "bronze", [Table("orders", orders), Table("raw_lineitem", items), Table("customer", customer), Table("events", events)]),
+        Layer("bronze", "bronze", [Table(name, df, path=f"{sf_dir}/{table}.parquet") for name, table, df in (("orders", "orders", orders), ("raw_lineitem", "lineitem", items), ("customer", "customer", customer), ("events", "events", events))]),
         Layer("silver", "silver", [Table("orders", kept), Table("stg_lineitem", stg), Table("customer_map", customer.where("c_custkey BETWEEN 1 AND 100").select("c_custkey")), Table("stg_tmp", customer.where("c_acctbal < 0"))]),
         Layer("gold", "gold", [Table("orders", kept), Table("fact_sales", sales), Table("dim_customer", customer), Table("events", events.where("value > 50"))]),
         Layer("empty", "none", []),

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import prompts, responses
 from ..sources.catalog import Layer, inventory, table_index
-from . import counts, exclusions, lineage, search, summary
+from ..sources.shared import written
+from . import counts, exclusions, lineage, measures, search, summary
 
 Explainer = Callable[[list[dict[str, str]]], str]
 
@@ -48,10 +49,10 @@ def analyse(spark: SparkSession, layers: list[Layer], notebooks: DataFrame, expl
     """Exclusion rules with live counts, strict totals of the layers after the first, and the lineage graph."""
     if not layers:
         raise ValueError("at least one layer is needed")
-    facts = lineage.lineage_facts(notebooks).cache()  # both the rules and the graph read it
+    facts = written(lineage.lineage_facts(notebooks), "facts")  # both the rules and the graph read it
     graph = lineage.edges(facts, table_index(inventory(spark, layers)))
-    rules = exclusions.exclusion_rules(spark, layers, facts)
-    totals = counts.layer_totals(spark, layers, counts.table_counts(spark, layers), strict=True).where("layer_ord > 0")
+    rules, found = measures.rules_and_counts(spark, layers, facts, first_counted=1)
+    totals = counts.layer_totals(spark, layers, found, strict=True).where("layer_ord > 0")
     if explainer is not None:
         rules = explained_rules(spark, rules, explainer)
     return Analysis(rules, totals, graph)
@@ -83,8 +84,9 @@ def summarise(spark: SparkSession, layers: list[Layer], notebooks: DataFrame, ex
     """Tables with kinds and best-effort counts, null-skipping totals, figures, lineage, and perhaps a narrative."""
     if not layers:
         raise ValueError("at least one layer is needed")
-    tables = summary.table_infos(spark, layers).cache()
-    graph = lineage.edges(lineage.lineage_facts(notebooks), table_index(inventory(spark, layers))).cache()
+    tables = written(summary.table_infos(spark, layers), "tables")
+    graph = lineage.edges(lineage.lineage_facts(notebooks), table_index(inventory(spark, layers)))
+    graph = written(graph, "lineage")
     stats = summary.project_stats(tables, graph, len(layers))
     told = None
     if explainer is not None:

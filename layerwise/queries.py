@@ -13,7 +13,7 @@ from .functions import responses
 from .functions.text import (
     KINDS, LABEL, LAYERS, LEVEL_SNIPPET, MISSING, SNIPPET, STAGING_LAYER, normal_sql, notebook_key, parent_of, shortened, snippet, table_kind, text_sources, text_tables, text_target,
 )
-from .operators import audit, codedefs, counts, drift, exclusions, lineage, search, sqlfacts, summary
+from .operators import audit, codedefs, counts, drift, exclusions, lineage, measures, search, sqlfacts, summary
 from .operators.cells import HEADING, MAGIC, PREFIX, cells, headings
 from .sources.catalog import Layer, Table, columns, inventory, schema_layer, table_index
 from .sources.notebooks import decoded, folder, notebooks, under
@@ -42,6 +42,25 @@ def values(rows, name: str, *columns: str) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows) + f") AS {name}({', '.join(columns)})"
 
 
+def of_suppliers(spark: SparkSession, sf_dir: str, rows, shape: str) -> DataFrame:
+    """Every one of a few rows for each supplier: `k` and the rows' columns."""
+    names, types = zip(*(x.strip().split(" ", 1) for x in shape.split(",")))
+    listed = F.array(*[F.struct(*[F.lit(v).cast(t).alias(n) for v, n, t in zip(r, names, types)]) for r in rows])
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("k"), F.inline(listed))
+
+
+def supplied(rows, *columns: str) -> str:
+    """The same in SQL, as a relation."""
+    return f"(SELECT s_suppkey AS k, v.* FROM supplier, {values(rows, 'v', *columns)}) AS w"
+
+
+def corpus_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A copy of the fixture's notebooks for each supplier, in a folder of its own and with names of its own."""
+    rows = of_suppliers(spark, sf_dir, [(i, p, p.rsplit("/", 1)[-1], x, t) for i, (p, x, t) in enumerate(fixtures.NOTEBOOKS)], "i int,path string,name string,language string,source string")
+    own = lambda mark, c: F.concat(F.lit(mark), F.col("k").cast("string"), c)
+    return rows.select((F.col("k") * 100 + F.col("i")).cast("int").alias("nb_ord"), own("/s", F.col("path")).alias("path"), own("s", F.concat(F.lit("_"), "name")).alias("name"), "language", "source")
+
+
 # The layers of fixtures.layers(), table by table.
 _KEPT = "orders WHERE o_orderstatus <> 'P'"
 _TABLES = (
@@ -111,9 +130,10 @@ def _kind_sql(name: str, layer: str) -> str:
 _NAMES = tuple((n, x) for n in ("fact_sales", "FCT_x", "f_y", "sales_facts", "a_fact_b", "dim_date", "d_z", "my_dimension", "bridge_a", "user_map", "xref_q", "stg_a", "stgfoo", "tmp_x", "work_y", "orders", "factory", "") for x in ("bronze", "Raw zone", "gold", None))
 
 
-@query(f"SELECT name, layer, {_kind_sql('name', 'layer')} AS kind FROM {values(_NAMES, 'v', 'name', 'layer')}")
+@query(f"SELECT k, name, layer, {_kind_sql('name', 'layer')} AS kind FROM (SELECT k, name || CASE WHEN k % 2 = 0 THEN '_' || k ELSE '' END AS name, layer FROM {supplied(_NAMES, 'name', 'layer')})")
 def classify_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(_NAMES, "name string, layer string").withColumn("kind", table_kind(F.col("name"), F.col("layer")))
+    rows = of_suppliers(spark, sf_dir, _NAMES, "name string,layer string").withColumn("name", F.concat("name", F.when(F.col("k") % 2 == 0, F.concat(F.lit("_"), F.col("k").cast("string"))).otherwise(F.lit(""))))
+    return rows.withColumn("kind", table_kind(F.col("name"), F.col("layer")))
 
 
 _SCHEMAS = tuple(enumerate(("zz_gold", "Landing", "raw_x", "silver", "mart", "misc", "clean_source")))
@@ -121,11 +141,12 @@ _RANK = "CASE " + " ".join(f"WHEN regexp_matches(lower(name), '{'|'.join(keys)}'
 
 
 @query(
-    f"SELECT layer_ord, CASE layer_ord WHEN 0 THEN 'bronze' WHEN 1 THEN 'silver' ELSE 'gold' END AS label, arg_min(name, ord) AS \"schema\" FROM (SELECT *, CAST({_RANK} AS INT) AS layer_ord FROM {values(_SCHEMAS, 'v', 'ord', 'name')})"
+    f"SELECT layer_ord, CASE layer_ord WHEN 0 THEN 'bronze' WHEN 1 THEN 'silver' ELSE 'gold' END AS label, arg_min(name, ord) AS \"schema\" FROM (SELECT *, CAST({_RANK} AS INT) AS layer_ord FROM (SELECT k * 10 + ord AS ord, name || '_' || k AS name FROM {supplied(_SCHEMAS, 'ord', 'name')}))"
     " WHERE layer_ord IS NOT NULL GROUP BY layer_ord"
 )
 def detect_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary.detect_layers(spark.createDataFrame(_SCHEMAS, "ord int, name string"))
+    rows = of_suppliers(spark, sf_dir, _SCHEMAS, "ord int,name string")
+    return summary.detect_layers(rows.select((F.col("k") * 10 + F.col("ord")).alias("ord"), F.concat("name", F.lit("_"), F.col("k").cast("string")).alias("name")))
 
 
 _NOTEBOOK_NAMES = tuple(enumerate(("Sales_v2.py", "sales-final", "sales (2)", "sales(2)", "sales_2024", "_v1_v2", "load  orders", "Load-Orders_copy.sql", "Δ", "x.ipynb", "x_old_bak", " sales ", "v2", "(3)")))
@@ -134,9 +155,10 @@ _KEY = rf"regexp_replace(regexp_replace(lower({_BASE}), '[\s_\-]+', '_', 'g'), '
 _SLUG = "coalesce(nullif(regexp_replace(regexp_replace(base_key, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'group')"
 
 
-@query(f"SELECT {_SLUG} AS id, base_key, string_agg(name, '|' ORDER BY ord) AS paths FROM (SELECT *, {_KEY} AS base_key FROM {values(_NOTEBOOK_NAMES, 'v', 'ord', 'name')}) GROUP BY base_key")
+@query(f"SELECT {_SLUG} AS id, base_key, string_agg(name, '|' ORDER BY ord) AS paths FROM (SELECT *, {_KEY} AS base_key FROM (SELECT k * 100 + ord AS ord, 's' || k || name AS name FROM {supplied(_NOTEBOOK_NAMES, 'ord', 'name')})) GROUP BY base_key")
 def notebook_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_NOTEBOOK_NAMES, "nb_ord int, name string").withColumn("path", F.col("name"))
+    rows = of_suppliers(spark, sf_dir, _NOTEBOOK_NAMES, "ord int,name string")
+    rows = rows.select((F.col("k") * 100 + F.col("ord")).alias("nb_ord"), F.concat(F.lit("s"), F.col("k").cast("string"), "name").alias("name")).withColumn("path", F.col("name"))
     return drift.notebook_groups(rows).select("id", "base_key", F.array_join("paths", "|").alias("paths"))
 
 
@@ -158,14 +180,14 @@ def _cells_sql(unknown: str) -> str:
                   FROM (SELECT nb_ord, path, i - 1 AS cell_index, regexp_replace(raw[i], '^\n+|\n+$', '', 'g') AS plain
                     FROM (SELECT nb_ord, path, raw, unnest(range(1, len(raw) + 1)) AS i
                       FROM (SELECT nb_ord, path, regexp_split_to_array(regexp_replace(replace(src, chr(13) || chr(10), chr(10)), '^{p}\s*Databricks notebook source\s*\n', ''), '(?m)^{p}\s*COMMAND -+\s*$') AS raw
-                        FROM {values(rows, "v", "nb_ord", "path", "src")}))) WHERE plain <> '')))"""
+                        FROM (SELECT k * 100 + nb_ord AS nb_ord, '/s' || k || path AS path, src FROM {supplied(rows, "nb_ord", "path", "src")})))) WHERE plain <> '')))"""
         )
     return "cells AS (" + " UNION ALL ".join(parts) + ")"
 
 
 @query(f"WITH {_cells_sql('UNKNOWN')} SELECT path, CAST(cell_index AS INT) AS cell_index, language, source FROM cells")
 def notebook_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cells(fixtures.corpus(spark)).select("path", "cell_index", "language", "source")
+    return cells(corpus_of(spark, sf_dir)).select("path", "cell_index", "language", "source")
 
 
 @query(
@@ -174,7 +196,7 @@ def notebook_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     " SELECT path, CAST(cell_index AS INT) AS cell_index, source[1:4000] AS snippet FROM w WHERE hit OR NOT any_hit ORDER BY nb_ord, w.cell_index LIMIT 40"
 )
 def level_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.level_code(fixtures.corpus(spark), ["silver.stg_lineitem"]).select("path", "cell_index", "snippet")
+    return search.level_code(corpus_of(spark, sf_dir), ["silver.stg_lineitem"]).select("path", "cell_index", "snippet")
 
 
 # The facts that the fixture's notebooks hold, as read by eye: place, metric, tables (target first), raw text, target, sources, join hint, WHERE.
@@ -204,44 +226,46 @@ _FACTS = (
 )
 _FACT_SQL = "facts AS (SELECT * FROM " + values(_FACTS, "v", "nb_ord", "path", "cell_index", "stmt_idx", "target", "sources", "hint", "predicate", "raw_sql") + ")"
 
+_OWN_FACTS = _FACT_SQL.replace("SELECT * FROM (VALUES", "SELECT s_suppkey * 100 + nb_ord AS nb_ord, '/s' || s_suppkey || path AS path, cell_index, stmt_idx, target, sources, hint, predicate, raw_sql FROM supplier, (VALUES", 1)
+
 
-@query(f"WITH {_FACT_SQL} SELECT path, CAST(cell_index AS INT) AS cell_index, CAST(stmt_idx AS INT) AS stmt_idx, target, sources, predicate, raw_sql FROM facts")
+@query(f"WITH {_OWN_FACTS} SELECT path, CAST(cell_index AS INT) AS cell_index, CAST(stmt_idx AS INT) AS stmt_idx, target, sources, predicate, raw_sql FROM facts")
 def lineage_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lineage.lineage_facts(fixtures.corpus(spark)).select("path", "cell_index", "stmt_idx", "target", F.array_join("sources", ",").alias("sources"), "predicate", "raw_sql")
+    return lineage.lineage_facts(corpus_of(spark, sf_dir)).select("path", "cell_index", "stmt_idx", "target", F.array_join("sources", ",").alias("sources"), "predicate", "raw_sql")
 
 
 _INDEX = "idx AS (SELECT DISTINCT lower(tbl) AS name FROM " + values([(t,) for _, _, _, t, _ in _TABLES], "v", "tbl") + ")"
 
 
 @query(
-    f"WITH {_FACT_SQL}, {_INDEX}, e AS (SELECT nb_ord, cell_index, stmt_idx, unnest(string_split(sources, ',')) AS source, target, hint, path FROM facts WHERE target IS NOT NULL AND string_split(target, '.')[-1] IN (SELECT name FROM idx)),"
+    f"WITH {_OWN_FACTS}, {_INDEX}, e AS (SELECT nb_ord, cell_index, stmt_idx, unnest(string_split(sources, ',')) AS source, target, hint, path FROM facts WHERE target IS NOT NULL AND string_split(target, '.')[-1] IN (SELECT name FROM idx)),"
     " r AS (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY nb_ord, cell_index, stmt_idx) AS n FROM e)"
     " SELECT source, target, hint AS join_key_hint, path, CAST(cell_index AS INT) AS cell_index FROM r WHERE n = 1"
 )
 def lineage_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = table_index(inventory(spark, fixtures.layers(spark, sf_dir)))
-    return lineage.edges(lineage.lineage_facts(fixtures.corpus(spark)), index)
+    return lineage.edges(lineage.lineage_facts(corpus_of(spark, sf_dir)), index)
 
 
 @query(
-    f"WITH {_FACT_SQL} SELECT target, path, CAST(cell_index AS INT) AS cell_index, sources, raw_sql[1:400] || CASE WHEN length(raw_sql) > 400 THEN chr(10) || '...' ELSE '' END AS snippet"
+    f"WITH {_OWN_FACTS} SELECT target, path, CAST(cell_index AS INT) AS cell_index, sources, raw_sql[1:400] || CASE WHEN length(raw_sql) > 400 THEN chr(10) || '...' ELSE '' END AS snippet"
     " FROM facts WHERE len(list_filter(string_split(sources, ','), lambda x: string_split(x, '.')[-1] = 'orders')) > 0 AND len(string_split(target, '.')) >= 2 AND string_split(target, '.')[-2] = 'gold'"
 )
 def lineage_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lineage.fan_out(fixtures.corpus(spark), "silver.orders", "gold").select("target", "path", "cell_index", F.array_join("sources", ",").alias("sources"), "snippet")
+    return lineage.fan_out(corpus_of(spark, sf_dir), "silver.orders", "gold").select("target", "path", "cell_index", F.array_join("sources", ",").alias("sources"), "snippet")
 
 
-@query(f"WITH {_FACT_SQL} SELECT path, CAST(cell_index AS INT) AS cell_index, raw_sql AS snippet FROM facts WHERE target IN ('orders', 'silver.orders', 'main.silver.orders') OR ends_with(target, '.silver.orders')")
+@query(f"WITH {_OWN_FACTS} SELECT path, CAST(cell_index AS INT) AS cell_index, raw_sql AS snippet FROM facts WHERE target IN ('orders', 'silver.orders', 'main.silver.orders') OR ends_with(target, '.silver.orders')")
 def writers_of_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lineage.writers(fixtures.corpus(spark), "main", "silver", "orders").select("path", "cell_index", "snippet")
+    return lineage.writers(corpus_of(spark, sf_dir), "main", "silver", "orders").select("path", "cell_index", "snippet")
 
 
 @query(
-    f"WITH {_FACT_SQL} SELECT path, CAST(cell_index AS INT) AS cell_index, raw_sql AS snippet FROM facts WHERE stmt_idx < {lineage.LAST}"
+    f"WITH {_OWN_FACTS} SELECT path, CAST(cell_index AS INT) AS cell_index, raw_sql AS snippet FROM facts WHERE stmt_idx < {lineage.LAST}"
     " AND len(list_filter(string_split(concat_ws(',', target, sources), ','), lambda x: string_split(x, '.')[-1] = 'customer')) > 0"
 )
 def responsible_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.responsible_code(fixtures.corpus(spark), "customer").select("path", "cell_index", "snippet")
+    return search.responsible_code(corpus_of(spark, sf_dir), "customer").select("path", "cell_index", "snippet")
 
 
 # Which rows each rule is counted on: the last layer that has the source's bare name.
@@ -280,23 +304,23 @@ _DRIFT = (
     (1, 1, 0, "orders_clean", "bronze.orders,silver.orders", 3), (1, 4, 0, "orders_clean", "silver.orders", 2),
     (2, 0, 0, "cell_0_0", "bronze.orders", 4), (2, 0, 1, "cell_0_1", "bronze.orders", 4), (2, 1, 0, "recent", "recent,silver.orders", 5),
 )
-_DRIFT_SQL = "f AS (SELECT * FROM " + values(_DRIFT, "v", "m", "cell", "stmt", "metric", "tables", "norm") + ")"
-_place = lambda m, cell: f"CASE {m} WHEN 0 THEN '/etl/load_orders' WHEN 1 THEN '/etl/load_orders_v2' ELSE '/etl/load_orders_final' END || ' (cell ' || {cell} || ')'"
-_PAIR = "a.m <> b.m AND a.norm <> b.norm AND (a.m, a.cell, a.stmt) < (b.m, b.cell, b.stmt)"
+_DRIFT_SQL = "f AS (SELECT * FROM " + supplied(_DRIFT, "m", "cell", "stmt", "metric", "tables", "norm") + ")"
+_place = lambda m, cell: f"'/s' || k || CASE {m} WHEN 0 THEN '/etl/load_orders' WHEN 1 THEN '/etl/load_orders_v2' ELSE '/etl/load_orders_final' END || ' (cell ' || {cell} || ')'"
+_PAIR = "a.k = b.k AND a.m <> b.m AND a.norm <> b.norm AND (a.m, a.cell, a.stmt) < (b.m, b.cell, b.stmt)"
 
 
 @query(
-    f"""WITH {_DRIFT_SQL}, p1 AS (SELECT 1 AS pass, a.metric AS key, min((z.m, z.cell, z.stmt)) AS first, a.m AS am, a.cell AS ac, a.stmt AS "as", b.m AS bm, b.cell AS bc, b.stmt AS bs
-      FROM f a JOIN f b ON a.metric = b.metric AND {_PAIR} JOIN f z ON z.metric = a.metric GROUP BY ALL),
-    p2 AS (SELECT 2 AS pass, a.tables AS key, min((z.m, z.cell, z.stmt)) AS first, a.m AS am, a.cell AS ac, a.stmt AS "as", b.m AS bm, b.cell AS bc, b.stmt AS bs
-      FROM f a JOIN f b ON a.tables = b.tables AND {_PAIR} JOIN f z ON z.tables = a.tables
-      WHERE NOT EXISTS (SELECT 1 FROM p1 WHERE p1.am = a.m AND p1.ac = a.cell AND p1.bm = b.m AND p1.bc = b.cell) GROUP BY ALL),
-    u AS (SELECT *, row_number() OVER (ORDER BY pass, first, am, ac, "as", bm, bc, bs) AS n FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2))
-    SELECT 'load-orders-sql-' || n AS id, 'load-orders' AS group_id, 'sql-logic-mismatch' AS type, key, CAST(ac AS INT) AS left_cell, CAST(bc AS INT) AS right_cell,
+    f"""WITH {_DRIFT_SQL}, p1 AS (SELECT a.k, 1 AS pass, a.metric AS key, min((z.m, z.cell, z.stmt)) AS first, a.m AS am, a.cell AS ac, a.stmt AS "as", b.m AS bm, b.cell AS bc, b.stmt AS bs
+      FROM f a JOIN f b ON a.metric = b.metric AND {_PAIR} JOIN f z ON z.metric = a.metric AND z.k = a.k GROUP BY ALL),
+    p2 AS (SELECT a.k, 2 AS pass, a.tables AS key, min((z.m, z.cell, z.stmt)) AS first, a.m AS am, a.cell AS ac, a.stmt AS "as", b.m AS bm, b.cell AS bc, b.stmt AS bs
+      FROM f a JOIN f b ON a.tables = b.tables AND {_PAIR} JOIN f z ON z.tables = a.tables AND z.k = a.k
+      WHERE NOT EXISTS (SELECT 1 FROM p1 WHERE p1.k = a.k AND p1.am = a.m AND p1.ac = a.cell AND p1.bm = b.m AND p1.bc = b.cell) GROUP BY ALL),
+    u AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY pass, first, am, ac, "as", bm, bc, bs) AS n FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2))
+    SELECT 's' || k || '-load-orders-sql-' || n AS id, 's' || k || '-load-orders' AS group_id, 'sql-logic-mismatch' AS type, key, CAST(ac AS INT) AS left_cell, CAST(bc AS INT) AS right_cell,
       CASE pass WHEN 1 THEN 'The SQL named "' ELSE 'Statements over "' END || key || CASE pass WHEN 1 THEN '" is' ELSE '" are' END || ' not the same in ' || {_place('am', 'ac')} || ' and ' || {_place('bm', 'bc')} || '.' AS description FROM u"""
 )
 def sql_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    books = fixtures.corpus(spark)
+    books = corpus_of(spark, sf_dir)
     found = drift.sql_drift(books, drift.notebook_groups(books))
     return found.select("id", "group_id", "type", "key", "description", F.col("left.cell_index").alias("left_cell"), F.col("right.cell_index").alias("right_cell"))
 
@@ -305,13 +329,13 @@ _DEFS = ((0, 3, 0, "threshold", "threshold = 100"), (0, 3, 1, "clean", "1"), (1,
 
 
 @query(
-    f"WITH f AS (SELECT * FROM {values(_DEFS, 'v', 'm', 'cell', 'i', 'name', 'norm')})"
-    " SELECT 'load-orders-code-' || row_number() OVER (ORDER BY a.m, a.cell, a.i) AS id, a.name AS key, CAST(a.cell AS INT) AS left_cell, CAST(b.cell AS INT) AS right_cell,"
-    f" CASE a.name WHEN 'clean' THEN 'Function' ELSE 'Variable' END || ' \"' || a.name || '\" has different definitions in ' || {_place('a.m', 'a.cell')} || ' and ' || {_place('b.m', 'b.cell')} || '.' AS description"
-    " FROM f a JOIN f b ON a.name = b.name AND a.m < b.m AND a.norm <> b.norm"
+    f"WITH f AS (SELECT * FROM {supplied(_DEFS, 'm', 'cell', 'i', 'name', 'norm')})"
+    " SELECT 's' || a.k || '-load-orders-code-' || row_number() OVER (PARTITION BY a.k ORDER BY a.m, a.cell, a.i) AS id, a.name AS key, CAST(a.cell AS INT) AS left_cell, CAST(b.cell AS INT) AS right_cell,"
+    f" CASE a.name WHEN 'clean' THEN 'Function' ELSE 'Variable' END || ' \"' || a.name || '\" has different definitions in ' || {_place('a.m', 'a.cell').replace('|| k ||', '|| a.k ||')} || ' and ' || {_place('b.m', 'b.cell').replace('|| k ||', '|| a.k ||')} || '.' AS description"
+    " FROM f a JOIN f b ON a.k = b.k AND a.name = b.name AND a.m < b.m AND a.norm <> b.norm"
 )
 def code_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    books = fixtures.corpus(spark)
+    books = corpus_of(spark, sf_dir)
     found = drift.code_drift(books, drift.notebook_groups(books))
     return found.select("id", "key", "description", F.col("left.cell_index").alias("left_cell"), F.col("right.cell_index").alias("right_cell"))
 
@@ -325,18 +349,18 @@ _ALL_DEFS = (
 )
 
 
-@query(f"SELECT '/etl/' || path AS path, CAST(cell AS INT) AS cell_index, name, kind, normal FROM {values(_ALL_DEFS, 'v', 'path', 'cell', 'name', 'kind', 'normal')}")
+@query(f"SELECT '/s' || k || '/etl/' || path AS path, CAST(cell AS INT) AS cell_index, name, kind, normal FROM {supplied(_ALL_DEFS, 'path', 'cell', 'name', 'kind', 'normal')}")
 def code_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return codedefs.code_defs(fixtures.corpus(spark)).select("path", "cell_index", "name", "kind", "normal")
+    return codedefs.code_defs(corpus_of(spark, sf_dir)).select("path", "cell_index", "name", "kind", "normal")
 
 
 _METRICS = tuple((p.removeprefix(_P), c, i) for _, p, c, i, *_ in _FACTS if i < lineage.LAST)
 _METRIC_NAMES = ("orders_clean", "orders_clean", "orders_clean", "orders_clean", "cell_0_0", "cell_0_1", "recent", "stg", "cell_1", "cell_1", "cell_2", "cell_0", "cell_1_0", "cell_1_1", "cell_1_2")
 
 
-@query(f"SELECT '/etl/' || path AS path, CAST(c AS INT) AS cell_index, CAST(i AS INT) AS stmt_idx, metric_name FROM {values([(*m, n) for m, n in zip(_METRICS, _METRIC_NAMES)], 'v', 'path', 'c', 'i', 'metric_name')}")
+@query(f"SELECT '/s' || k || '/etl/' || path AS path, CAST(c AS INT) AS cell_index, CAST(i AS INT) AS stmt_idx, metric_name FROM {supplied([(*m, n) for m, n in zip(_METRICS, _METRIC_NAMES)], 'path', 'c', 'i', 'metric_name')}")
 def sql_fact_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sqlfacts.sql_facts(fixtures.corpus(spark)).select("path", "cell_index", "stmt_idx", "metric_name")
+    return sqlfacts.sql_facts(corpus_of(spark, sf_dir)).select("path", "cell_index", "stmt_idx", "metric_name")
 
 
 @query(
@@ -362,7 +386,7 @@ _ANSWERS = (
     "[1, 2]",
 )
 _answer_sql = lambda answers: (
-    "r AS (SELECT * FROM " + values(list(enumerate(answers)), "v", "i", "raw") + "),"
+    "r AS (SELECT k * 100 + i AS i, replace(raw, '\"b\"', '\"b' || k || '\"') AS raw FROM " + supplied(list(enumerate(answers)), "i", "raw") + "),"
     r" c AS (SELECT i, regexp_replace(regexp_replace(regexp_replace(raw, '^\s+|\s+$', '', 'g'), '^```(?:json)?\s*', '', 'i'), '```\s*$', '') AS t FROM r),"
     " j AS (SELECT i, t, CASE WHEN json_valid(t) AND t <> 'null' THEN CAST(t AS JSON) END AS j FROM c)"
 )
@@ -374,8 +398,11 @@ _texts = lambda field: (
 )
 
 
-def _answers(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(_ANSWERS)), "i int, raw string").withColumn("n", F.lit(3))
+def _answers(spark: SparkSession, sf_dir: str, answers=_ANSWERS) -> DataFrame:
+    """Answers about each supplier."""
+    rows = of_suppliers(spark, sf_dir, list(enumerate(answers)), "i int,raw string").withColumn("n", F.lit(3))
+    named = F.replace("raw", F.lit('"b"'), F.concat(F.lit('"b'), F.col("k").cast("string"), F.lit('"')))
+    return rows.select((F.col("k") * 100 + F.col("i")).alias("i"), named.alias("raw"), "n")
 
 
 @query(
@@ -383,24 +410,24 @@ def _answers(spark: SparkSession) -> DataFrame:
     f" SELECT i, CASE WHEN k >= 0 AND k < 3 THEN CAST(k AS INT) END AS responsible_index, coalesce({_text('explanation')}, t) AS explanation FROM x"
 )
 def parse_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _answers(spark).select("i", responses.analysis(F.col("raw"), F.col("n")).alias("a")).select("i", "a.*")
+    return _answers(spark, sf_dir).select("i", responses.analysis(F.col("raw"), F.col("n")).alias("a")).select("i", "a.*")
 
 
 @query(f"WITH {_ANSWER_SQL} SELECT i, coalesce({_is('isCorrect', chr(39) + 'BOOLEAN' + chr(39))} AND j->>'$.isCorrect' = 'true', false) AS is_correct, {_texts('alerts')} AS alerts, coalesce({_text('explanation')}, t) AS explanation FROM j")
 def parse_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _answers(spark).select("i", responses.validation(F.col("raw")).alias("a")).select("i", "a.is_correct", F.array_join("a.alerts", "|").alias("alerts"), "a.explanation")
+    return _answers(spark, sf_dir).select("i", responses.validation(F.col("raw")).alias("a")).select("i", "a.is_correct", F.array_join("a.alerts", "|").alias("alerts"), "a.explanation")
 
 
 @query(f"WITH {_ANSWER_SQL} SELECT i, CASE WHEN {_text('status')} IN ('ok', 'warning', 'error') THEN j->>'$.status' ELSE 'warning' END AS status, coalesce({_text('summary')}, t) AS summary FROM j")
 def parse_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _answers(spark).select("i", responses.level(F.col("raw")).alias("a")).select("i", "a.status", "a.summary")
+    return _answers(spark, sf_dir).select("i", responses.level(F.col("raw")).alias("a")).select("i", "a.status", "a.summary")
 
 
 @query(
     f"WITH {_ANSWER_SQL} SELECT i, coalesce({_text('overview')}, t) AS overview, coalesce({_text('architecture')}, '') AS architecture, coalesce({_text('howItWorks')}, '') AS how_it_works, {_texts('onboardingTips')} AS onboarding_tips FROM j"
 )
 def parse_narrative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _answers(spark).select("i", responses.narrative(F.col("raw")).alias("a")).select("i", "a.overview", "a.architecture", "a.how_it_works", F.array_join("a.onboarding_tips", "|").alias("onboarding_tips"))
+    return _answers(spark, sf_dir).select("i", responses.narrative(F.col("raw")).alias("a")).select("i", "a.overview", "a.architecture", "a.how_it_works", F.array_join("a.onboarding_tips", "|").alias("onboarding_tips"))
 
 
 _EXPLAINED = (
@@ -412,9 +439,9 @@ _EXPLAINED = (
 _TOLD = ((0, 0, "a", "warning"), (0, 1, responses.NO_RULE, "warning"), (0, 2, "d", "ok")) + tuple((i, k, t, "warning") for i, t in ((1, '{"explanations": []}\n'), (2, "broken {"), (3, '{"explanations": {"index": 0}}')) for k in range(3))
 
 
-@query(f"SELECT i, CAST(k AS INT) AS \"index\", explanation, severity FROM {values(_TOLD, 'v', 'i', 'k', 'explanation', 'severity')}")
+@query(f"SELECT k * 100 + i AS i, CAST(pos AS INT) AS \"index\", explanation, severity FROM {supplied(_TOLD, 'i', 'pos', 'explanation', 'severity')}")
 def parse_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(_EXPLAINED)), "i int, raw string").withColumn("n", F.lit(3))
+    rows = _answers(spark, sf_dir, _EXPLAINED)
     return responses.exclusions(rows).select("i", F.explode("explanations").alias("e")).select("i", "e.*")
 
 
@@ -425,9 +452,9 @@ _LINES = (
 _LINED = ((0, "a", "2"), (0, "b", responses.NO_LINEAGE), (1, "a", "oops"), (1, "b", "oops"))
 
 
-@query(f"SELECT * FROM {values(_LINED, 'v', 'i', 'target', 'explanation')}")
+@query(f"SELECT k * 100 + i AS i, target, explanation FROM {supplied(_LINED, 'i', 'target', 'explanation')}")
 def parse_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(_LINES)), "i int, raw string").withColumn("targets", F.array(F.lit("a"), F.lit("b")))
+    rows = of_suppliers(spark, sf_dir, list(enumerate(_LINES)), "i int,raw string").withColumn("i", F.col("k") * 100 + F.col("i")).withColumn("targets", F.array(F.lit("a"), F.lit("b")))
     return responses.lineage(rows).select("i", F.explode("explanations").alias("e")).select("i", "e.*")
 
 
@@ -436,16 +463,18 @@ _HEADED = (("# Sales  KPI!",), ("  ## Δ",), ("###x_y",), ("#  ",))
 _SLUGGED = r"regexp_replace(regexp_replace(lower(regexp_replace(h, '^\s*#+\s*', '')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')"
 
 
-@query(f"SELECT h, CASE WHEN regexp_matches(h, {literal(HEADING)}) THEN {_SLUGGED} END AS name FROM {values(_HEADED, 'v', 'h')}")
+@query(f"SELECT h, CASE WHEN regexp_matches(h, {literal(HEADING)}) THEN {_SLUGGED} END AS name FROM (SELECT h || ' ' || k AS h FROM {supplied(_HEADED, 'h')})")
 def heading_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = [(i, h, k, x, t) for i, (h,) in enumerate(_HEADED) for k, (x, t) in enumerate((("md", h), ("sql", "SELECT 1")))]
-    rows = spark.createDataFrame(book, "nb_ord int, path string, cell_index int, language string, source string")
+    heads = of_suppliers(spark, sf_dir, _HEADED, "h string").select(F.concat("h", F.lit(" "), F.col("k").cast("string")).alias("path"))
+    two = F.array(*[F.struct(F.lit(i).alias("cell_index"), F.lit(x).alias("language"), t.alias("source")) for i, (x, t) in enumerate((("md", F.col("path")), ("sql", F.lit("SELECT 1"))))])
+    rows = heads.select(F.lit(0).alias("nb_ord"), "path", F.inline(two))
     return headings(rows).where("language = 'sql'").select(F.col("path").alias("h"), F.col("heading").alias("name"))
 
 
-@query(f"SELECT name, {_KEY} AS key FROM {values(_NOTEBOOK_NAMES, 'v', 'ord', 'name')}")
+@query(f"SELECT name, {_KEY} AS key FROM (SELECT k || name AS name FROM {supplied(_NOTEBOOK_NAMES, 'ord', 'name')})")
 def notebook_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(_NOTEBOOK_NAMES, "ord int, name string").select("name", notebook_key(F.col("name")).alias("key"))
+    rows = of_suppliers(spark, sf_dir, _NOTEBOOK_NAMES, "ord int,name string").select(F.concat(F.col("k").cast("string"), "name").alias("name"))
+    return rows.select("name", notebook_key(F.col("name")).alias("key"))
 
 
 # A WHERE in a comment or inside a subquery drops no rows of the statement around it.
@@ -496,7 +525,7 @@ _SEVERITY = "CASE WHEN json_type(x, '$.severity') = 'VARCHAR' AND x->>'$.severit
     f" SELECT j.i, {_texts('reconciliationAlerts')} AS alerts, severity, message, \"table\" FROM j LEFT JOIN g ON g.i = j.i"
 )
 def parse_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(_REVIEWS)), "i int, raw string").select("i", responses.level(F.col("raw")).alias("a"))
+    rows = _answers(spark, sf_dir, _REVIEWS).select("i", responses.level(F.col("raw")).alias("a"))
     return rows.select("i", F.array_join("a.reconciliation_alerts", "|").alias("alerts"), F.explode_outer("a.findings").alias("f")).select("i", "alerts", "f.*")
 
 
@@ -626,9 +655,11 @@ def schema_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.join(counts.table_counts(spark, [layer]), "table").select("table", "columns", "row_count")
 
 
-@query("SELECT 'load-orders' AS id, '/etl/load_orders|/etl/load_orders_v2|/etl/load_orders_final' AS paths")
+@query("SELECT 's' || k || '-load-orders' AS id, '/s' || k || '/etl/load_orders|/s' || k || '/etl/load_orders_v2|/s' || k || '/etl/load_orders_final' AS paths FROM (SELECT s_suppkey AS k FROM supplier WHERE s_suppkey % 2 = 0)")
 def chosen_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = drift.chosen_groups(drift.notebook_groups(fixtures.corpus(spark)), ["load-orders", "no-such-group"])
+    groups = drift.notebook_groups(corpus_of(spark, sf_dir))
+    keys = [r[0] for r in spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_suppkey % 2 = 0").select("s_suppkey").collect()]  # what a user asks for
+    groups = drift.chosen_groups(groups, [*(f"s{k}-load-orders" for k in keys), "no-such-group"])
     return groups.select("id", F.array_join("paths", "|").alias("paths"))
 
 
@@ -641,12 +672,12 @@ _DIALECT = (
 )
 
 
-@query(f"SELECT * FROM {values(_DIALECT, 'v', 'sql', 'target', 'sources', 'normal', 'tables')}")
+@query(f"SELECT k, sql, target, sources, normal, tables FROM {supplied(_DIALECT, 'sql', 'target', 'sources', 'normal', 'tables')}")
 def dialect_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql = F.col("sql")
     joined = lambda c, name: F.array_join(c, ",").alias(name)
-    rows = spark.createDataFrame([(r[0],) for r in _DIALECT], "sql string")
-    return rows.select("sql", text_target(sql).alias("target"), joined(text_sources(sql), "sources"), normal_sql(sql).alias("normal"), joined(text_tables(sql), "tables"))
+    rows = of_suppliers(spark, sf_dir, [(r[0],) for r in _DIALECT], "sql string")
+    return rows.select("k", "sql", text_target(sql).alias("target"), joined(text_sources(sql), "sources"), normal_sql(sql).alias("normal"), joined(text_tables(sql), "tables"))
 
 
 @query(f"SELECT 'a: 1 = 1' AS rule_label, '{MISSING}' AS source_table, CAST(NULL AS BIGINT) AS excluded_count")
@@ -682,25 +713,25 @@ def explained_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {_FACT_SQL} SELECT target, path, CAST(cell_index AS INT) AS cell_index, CASE target WHEN 'gold.fact_sales' THEN 'joined' ELSE {literal(responses.NO_LINEAGE)} END AS explanation"
+    f"WITH {_OWN_FACTS} SELECT target, path, CAST(cell_index AS INT) AS cell_index, CASE target WHEN 'gold.fact_sales' THEN 'joined' ELSE {literal(responses.NO_LINEAGE)} END AS explanation"
     " FROM facts WHERE target IS NOT NULL AND len(list_filter(string_split(sources, ','), lambda x: string_split(x, '.')[-1] = 'orders')) > 0"
 )
 def explained_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     answer = '{"explanations": [{"targetTable": "gold.fact_sales", "explanation": "joined"}, {"targetTable": "no.such", "explanation": "x"}]}'
-    told = audit.explain_lineage(spark, "silver.orders", lineage.fan_out(fixtures.corpus(spark), "silver.orders"), lambda messages: answer)
+    told = audit.explain_lineage(spark, "silver.orders", lineage.fan_out(corpus_of(spark, sf_dir), "silver.orders"), lambda messages: answer)
     return told.select("target", "path", "cell_index", "explanation")
 
 
-@query(f"WITH {_FACT_SQL} SELECT path, CAST(cell_index AS INT) AS cell_index, true AS is_correct, 'x' AS alerts FROM facts WHERE target = 'silver.orders'")
+@query(f"WITH {_OWN_FACTS} SELECT path, CAST(cell_index AS INT) AS cell_index, true AS is_correct, 'x' AS alerts FROM facts WHERE target = 'silver.orders'")
 def validated_logic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = audit.validate_logic(spark, fixtures.corpus(spark), "main", "silver", "orders", "only closed orders", lambda messages: '{"isCorrect": true, "alerts": ["x"]}')
+    got = audit.validate_logic(spark, corpus_of(spark, sf_dir), "main", "silver", "orders", "only closed orders", lambda messages: '{"isCorrect": true, "alerts": ["x"]}')
     rows = [(c["path"], c["cell_index"], got["is_correct"], "|".join(got["alerts"])) for c in got["candidates"]]
     return spark.createDataFrame(rows, "path string, cell_index int, is_correct boolean, alerts string")
 
 
 @query(ORACLE_SQL["level_code"].replace("source[1:4000] AS snippet", "'error' AS status"))
 def reviewed_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = audit.analyse_level(spark, fixtures.corpus(spark), "bronze", "silver", ["silver.stg_lineitem"], explainer=lambda messages: _REVIEWS[0])
+    got = audit.analyse_level(spark, corpus_of(spark, sf_dir), "bronze", "silver", ["silver.stg_lineitem"], explainer=lambda messages: _REVIEWS[0])
     return spark.createDataFrame([(c["path"], c["cell_index"], got["status"]) for c in got["candidates"]], "path string, cell_index int, status string")
 
 
@@ -762,3 +793,35 @@ def branch_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     layers = [Layer("bronze", "bronze", [Table("orders", orders)]), Layer("silver", "silver", [*(Table(f"a_{k}", orders) for k in keys), Table("items", items)])]
     code = _made_of(spark, nations, _OF_NATION(_filled("/branched/n{k}")), _OF_NATION(_filled(_BRANCHED)), "n_nationkey")
     return exclusions.scan_rules(spark, layers, lineage.lineage_facts(code)).select("table", "scan", "predicate_sql", "source_table", "excluded_count", "null_count")
+
+
+@query(f"WITH {_COUNTS} SELECT label, tbl AS \"table\", n AS row_count FROM counts")
+def measured_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """table_counts once more, with the exclusion rules' scans: footers, one scan for a table with rules, one job for the rest."""
+    facts = lineage.lineage_facts(corpus_of(spark, sf_dir))
+    return measures.rules_and_counts(spark, fixtures.layers(spark, sf_dir), facts)[1].select("label", "table", "row_count")
+
+
+# Code that writes real tables, a notebook for each supplier: which of it stands behind each difference in row counts?
+_CULPRITS = ("INSERT INTO silver.orders SELECT * FROM bronze.orders WHERE o_custkey > {k}", "INSERT INTO gold.events SELECT * FROM silver.stg_lineitem WHERE l_tax > {n}", "INSERT INTO silver.nothing SELECT * FROM bronze.other_{m}")
+_NAMED = ("orders", "events")
+
+
+@query(
+    f"WITH {_COUNTS}, d AS (SELECT DISTINCT a.tbl FROM counts a JOIN counts b ON a.tbl = b.tbl AND b.layer_ord = a.layer_ord + 1 WHERE a.n <> b.n)"
+    + " UNION ALL ".join(f" SELECT d.tbl AS table_name, {_filled('/culprits/n{k}')} AS path, {i} AS stmt_idx, {_filled(c)} AS snippet FROM supplier, d WHERE d.tbl = '{t}'" for i, (t, c) in enumerate(zip(_NAMED, _CULPRITS)))
+)
+def mismatch_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    differing = counts.compare_stages(spark, fixtures.layers(spark, sf_dir))
+    code = _made_of(spark, spark.read.parquet(f"{sf_dir}/supplier.parquet"), _filled("/culprits/n{k}"), " || ';' || ".join(map(_filled, _CULPRITS)), "s_suppkey")
+    return search.responsible_for(code, differing).select("table_name", "path", "stmt_idx", "snippet")
+
+
+@query(
+    f"WITH {_MADE_CELLS}, code AS (SELECT g AS step, made_cells.*, contains(source, 'g_' || g) AS hit FROM made_cells, range(5) r(g) WHERE language <> 'md'), w AS (SELECT *, max(hit) OVER (PARTITION BY step, path) AS any_hit FROM code),"
+    " r AS (SELECT *, row_number() OVER (PARTITION BY step ORDER BY k, cell_index) AS n FROM w WHERE hit OR NOT any_hit)"
+    " SELECT 'to g_' || step AS step, path, CAST(cell_index AS INT) AS cell_index, source AS snippet FROM r WHERE n <= 40"
+)
+def made_level_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code of five steps in one pass; 40 snippets of each are the report's length."""
+    return search.level_codes(_made(spark, sf_dir), {f"to g_{g}": [f"gold.g_{g}"] for g in range(5)}).select("step", "path", "cell_index", "snippet")

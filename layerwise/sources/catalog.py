@@ -49,9 +49,16 @@ def compute(spark: SparkSession) -> dict:
 
 @dataclass
 class Table:
+    """A table's name and rows. path: set if these are just the Parquet files there, whose footers know how many rows they have."""
+
     name: str
     df: DataFrame
     comment: str | None = None
+    path: str | None = None
+
+
+def parquet_table(spark: SparkSession, name: str, path: str) -> Table:
+    return Table(name, spark.read.parquet(path), path=path)
 
 
 @dataclass

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from layerwise import fixtures
 from layerwise.functions import text
 from layerwise.functions.lexer import reading_of
-from layerwise.operators import audit, cells, codedefs, counts, drift, exclusions, lineage, search, summary
+from layerwise.operators import audit, cells, codedefs, counts, drift, exclusions, lineage, measures, search, summary
 from layerwise.plans import catalyst
 from layerwise.plans.catalyst import rendered, row_of
 from layerwise.sources import catalog, sinks
@@ -289,3 +289,45 @@ def test_rules_by_branch(spark):
     assert [(r.table, r.scan, r.predicate_sql, r.source_table, r.excluded_count) for r in got] == [
         ("a", 0, "v > 3", "b.src", 4), ("a", 1, "v > 1", "b.src", 2), ("a", 2, "o.v = 1", None, None), ("b", 0, "v > 7", "s.b", 8),
     ]
+
+
+def test_each_table_is_read_once(spark, tmp_path):
+    """Rows and rules of a table are one scan; a plain table's rows come from footers."""
+    spark.range(100).toDF("v").repartition(3).write.parquet(f"{tmp_path}/plain")
+    spark.range(50).toDF("v").write.parquet(f"{tmp_path}/src")
+    plain, src = catalog.parquet_table(spark, "plain", f"{tmp_path}/plain"), catalog.parquet_table(spark, "src", f"{tmp_path}/src")
+    layers = [Layer("bronze", "b", [src, plain]), Layer("silver", "s", [Table("a", src.df.where("v > 9")), Table("c", src.df.where("v > 19"))])]
+    code = "INSERT INTO s.a SELECT * FROM b.src WHERE v > 9;INSERT INTO s.c SELECT * FROM b.src WHERE v > 19"
+    facts = lineage.lineage_facts(notebooks(spark, [("/n", "SQL", code)]))
+    rules, found = measures.rules_and_counts(spark, layers, facts)
+    assert [(r.table, r.row_count) for r in found.collect()] == [("src", 50), ("plain", 100), ("a", 40), ("c", 30)]
+    assert [r.excluded_count for r in rules.collect()] == [10, 20]
+    assert exclusions.profiled(src.df, ["v > 9", "bad", "v > 19"]) == (50, [(10, 0), None, (20, 0)])
+    with measures._footers(spark):
+        plan = measures.footer_plan(spark, [plain.path])._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [COUNT(*)]" in plan
+    one = src.df.agg(F.count_if(F.expr("v > 9")), F.count("*"))._jdf.queryExecution().executedPlan().toString()
+    assert one.count("FileScan") == 1
+    assert measures.footer_counts(spark, [plain.path, src.path], batch=1) == [100, 50] and "parquet" in spark.conf.get("spark.sql.sources.useV1SourceList")
+
+
+def test_all_tables_at_once(spark):
+    books = notebooks(spark, [("/1", "SQL", "SELECT * FROM a.T1;SELECT 1 FROM x.t2 JOIN T1 ON y"), ("/2", "PYTHON", "print('nothing')"), ("/3", None, "spark.sql('select * from t3')")])
+    names = spark.createDataFrame([("t1",), ("T2",), ("none",), ("t1",)], "table_name string")
+    got = sorted((r.table_name, r.path, r.stmt_idx) for r in search.responsible_for(books, names).collect())
+    assert got == sorted([("t1", "/1", 0), ("t1", "/1", 1), ("T2", "/1", 1)])
+    for n in ("t1", "T2"):
+        assert sorted((r.path, r.stmt_idx) for r in search.responsible_code(books, n).collect()) == [(p, i) for t, p, i in got if t == n]
+    steps = {"one": ["a.t1"], "two": ["b.t3", "t2"], "none": []}
+    every = search.level_codes(books, steps, most=2).collect()
+    for step, tables in steps.items():
+        assert sorted((r.path, r.cell_index, r.snippet) for r in every if r.step == step) == sorted((r.path, r.cell_index, r.snippet) for r in search.level_code(books, tables, 2).collect())
+
+
+def test_pairs_meet_without_texts(spark):
+    versions = [(f"/n_v{i}", "SQL", f"CREATE VIEW v AS SELECT {'a' * 300} FROM t WHERE x > {i % 2}") for i in range(6)]
+    books = notebooks(spark, versions)
+    found = drift.sql_drift(books, drift.notebook_groups(books))
+    assert found.count() == 9 and {len(r.left.snippet) for r in found.collect()} == {len(versions[0][2])}
+    facts = drift._in_groups(drift.sql_facts(books), drift.notebook_groups(books), books).withColumn("seq", F.struct("member", "cell_index", "stmt_idx"))
+    assert not {"raw_sql", "normal"} & set(drift._pairs(facts, ["id", "base_key", "metric_name"]).columns)
