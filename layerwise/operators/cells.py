@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import slug, statements, trimmed
+from ..sources.notebooks import PREFIX
 
 # The notebook file format.
-PREFIX = {"PYTHON": "#", "R": "#", "SQL": "--", "SCALA": "//"}
 DEFAULT = {"PYTHON": "python", "R": "r", "SQL": "sql", "SCALA": "scala"}
 MAGIC = {"sql": "sql", "python": "python", "scala": "scala", "r": "r", "md": "md", "md-sandbox": "md"}
 HEADER, CUT = r"\s*Databricks notebook source\s*\n", r"\s*COMMAND -+\s*$"

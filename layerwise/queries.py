@@ -16,7 +16,8 @@ from .functions.text import (
 from .operators import audit, codedefs, counts, drift, exclusions, lineage, measures, search, sqlfacts, summary
 from .operators.cells import HEADING, MAGIC, PREFIX, cells, headings
 from .sources.catalog import Layer, Table, columns, inventory, schema_layer, table_index
-from .sources.notebooks import decoded, folder, notebooks, under
+from .sources.notebooks import decoded, folder, notebooks, read_notebooks, under
+from .sources.shared import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -825,3 +826,30 @@ def mismatch_code(spark: SparkSession, sf_dir: str) -> DataFrame:
 def made_level_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The code of five steps in one pass; 40 snippets of each are the report's length."""
     return search.level_codes(_made(spark, sf_dir), {f"to g_{g}": [f"gold.g_{g}"] for g in range(5)}).select("step", "path", "cell_index", "snippet")
+
+
+# A folder of files of every kind for each nation; what are notebooks, and which cells have they?
+_FILES = (
+    ("a/n{k}.py", "# Databricks notebook source\nx = {k}\n# COMMAND ----------\n# MAGIC %sql\n# MAGIC SELECT {k}"),
+    ("a/n{k}.sql", "-- Databricks notebook source\nSELECT {k};\n-- COMMAND ----------\n-- MAGIC %md\n-- MAGIC # Step {k}"),
+    ("b/c/n{k}.ipynb", '{"cells": [{"cell_type": "markdown", "source": ["# Step {k}\\n", "more"]}, {"cell_type": "code", "source": "%sql\\nSELECT {k}"}, {"cell_type": "raw", "source": "r"}, {"cell_type": "code", "source": ["y = [{k}]\\n", "z"]}], "metadata": {"language_info": {"name": "python"}}}'),
+    ("b/broken{k}.ipynb", "not json {k}"),
+    ("b/n{k}.txt", "SELECT {k}"),
+)
+_FOUND_CELLS = (
+    ("n{k}.py", 0, "python", "x = {k}"), ("n{k}.py", 1, "sql", "SELECT {k}"), ("n{k}.sql", 0, "sql", "SELECT {k};"), ("n{k}.sql", 1, "md", "# Step {k}"),
+    ("n{k}.ipynb", 0, "md", "# Step {k}\nmore"), ("n{k}.ipynb", 1, "sql", "SELECT {k}"), ("n{k}.ipynb", 2, "python", "y = [{k}]\nz"),
+)
+
+
+@query(" UNION ALL ".join(f"SELECT {_OF_NATION(_filled(n))} AS name, CAST({i} AS INT) AS cell_index, '{x}' AS language, {_OF_NATION(_filled(t))} AS source FROM nation" for n, i, x, t in _FOUND_CELLS))
+def notebook_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = fresh_path(spark, "notebook-files")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for (k,) in spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey").collect():  # the files to be read: 25 nations'
+        for name, text in _FILES:
+            stream = files.create(path(f"{root}/{name.replace('{k}', str(k))}"))
+            stream.write(bytearray(text.replace("{k}", str(k)).encode()))
+            stream.close()
+    return cells(read_notebooks(spark, root)).select(F.element_at(F.split("path", "/"), -1).alias("name"), "cell_index", "language", "source")

@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .shared import written
+
 SCHEMA = "nb_ord int, path string, name string, language string, source string"
 # Fixed values.
+PREFIX = {"PYTHON": "#", "R": "#", "SQL": "--", "SCALA": "//"}
 LANGUAGES = (("py", "PYTHON"), ("sql", "SQL"), ("scala", "SCALA"), ("r", "R"))
 
 
@@ -24,13 +27,55 @@ def notebooks(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFram
     return spark.createDataFrame([(i, p, p.rsplit("/", 1)[-1], x or "UNKNOWN", s) for i, (p, x, s) in enumerate(rows)], SCHEMA)
 
 
+def numbered(paths: DataFrame) -> DataFrame:
+    """paths(path) -> (path, nb_ord): their places in order, from 0. Ranges are sorted apart, and know how many come before them."""
+    ranged = paths.repartitionByRange("path").sortWithinPartitions("path").withColumn("_g", F.monotonically_increasing_id())
+    ranged = written(ranged, "paths").withColumn("_range", F.shiftright("_g", 33))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    starts = ranged.groupBy("_range").agg(F.count("*").alias("n"), F.min("_g").alias("_least")).select("_range", "_least", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    return ranged.join(F.broadcast(starts), "_range").select("path", (F.col("_before") + F.col("_g") - F.col("_least")).cast("int").alias("nb_ord"))  # as many rows as ranges
+
+
+_IPYNB = "cells array<struct<cell_type:string,source:variant>>, metadata struct<kernelspec:struct<language:string>,language_info:struct<name:string>>"
+
+
+def from_ipynb(content: Column) -> Column:
+    """struct<language, source> of a notebook in JSON: its cells in the format of exported notebooks; null if it isn't JSON.
+
+    A cell's source may be a text or a list of lines. Code that starts with a % names its own language; markdown cells
+    become cells of magic lines. Other kinds of cells are left out.
+    """
+    book = F.from_json(content, _IPYNB)
+    name = F.coalesce(book["metadata"]["language_info"]["name"], book["metadata"]["kernelspec"]["language"], F.lit("python"))
+    language = F.upper(name)
+    mark = F.coalesce(F.create_map(*[F.lit(x) for kv in PREFIX.items() for x in kv])[language], F.lit("#"))
+
+    def cell(c: Column) -> Column:
+        lines = F.try_variant_get(c["source"], "$", "array<string>")
+        text = F.coalesce(F.array_join(lines, ""), F.try_variant_get(c["source"], "$", "string"), F.lit(""))
+        marked = F.concat(mark, F.lit(" MAGIC "), F.regexp_replace(text, "\n", F.concat(F.lit("\n"), mark, F.lit(" MAGIC "))))
+        heading = F.concat(mark, F.lit(" MAGIC %md\n"), marked)
+        return F.when(c["cell_type"] == "markdown", heading).when(F.ltrim(text).startswith("%"), marked).otherwise(text)
+
+    cut = F.concat(F.lit("\n"), mark, F.lit(" COMMAND ----------\n"))
+    kept = F.filter(book["cells"], lambda c: c["cell_type"].isin("code", "markdown"))
+    whole = F.concat(mark, F.lit(" Databricks notebook source\n"), F.aggregate(F.transform(kept, cell), F.lit(None).cast("string"), lambda a, x: F.when(a.isNull(), x).otherwise(F.concat(a, cut, x))))
+    return F.when(book["cells"].isNotNull(), F.struct(language.alias("language"), F.coalesce(whole, F.lit("")).alias("source")))
+
+
 def read_notebooks(spark: SparkSession, root: str) -> DataFrame:
-    """All files under a folder, as notebooks ordered by path."""
-    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("path"), F.col("value").alias("source"))
-    numbered = files.select("path", (F.row_number().over(Window.orderBy("path")) - 1).alias("nb_ord"))  # paths alone meet in one task
-    return files.join(numbered, "path").select(
-        "nb_ord", "path", F.element_at(F.split("path", "/"), -1).alias("name"), language_of(F.col("path")).alias("language"), "source"
-    )
+    """The notebooks among the files under a folder, ordered by path: sources of the known languages, and .ipynb files.
+
+    Spark reads the files, several a task, from any store that it knows. Other files are not opened; .ipynb files that
+    aren't notebooks are left out. Only the paths are sorted.
+    """
+    endings = [x for x, _ in LANGUAGES] + ["ipynb"]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.lower("path").rlike(rf"\.({'|'.join(endings)})\z"))
+    text = F.decode("content", "UTF-8")
+    book = F.when(F.lower("path").endswith(".ipynb"), from_ipynb(text)).otherwise(F.struct(language_of(F.col("path")).alias("language"), text.alias("source")))
+    rows = files.select("path", book.alias("b")).where("b is not null").select("path", "b.language", "b.source")
+    rows = written(rows, "notebooks")
+    return rows.join(numbered(rows.select("path")), "path").select("nb_ord", "path", F.element_at(F.split("path", "/"), -1).alias("name"), "language", "source")
 
 
 def decoded(rows: DataFrame, column: str = "content") -> DataFrame:

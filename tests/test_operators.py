@@ -1,5 +1,7 @@
 """Auditing operators on hand-made notebooks and tables."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,6 +15,7 @@ from layerwise.plans import catalyst
 from layerwise.plans.catalyst import rendered, row_of
 from layerwise.sources import catalog, sinks
 from layerwise.sources.catalog import Layer, Table
+from layerwise.sources.snapshots import Conflict, Snapshots
 from layerwise.sources.notebooks import decoded, folder, notebooks, read_notebooks, under
 
 SF = "/root/testdata/sf0.001"
@@ -331,3 +334,44 @@ def test_pairs_meet_without_texts(spark):
     assert found.count() == 9 and {len(r.left.snippet) for r in found.collect()} == {len(versions[0][2])}
     facts = drift._in_groups(drift.sql_facts(books), drift.notebook_groups(books), books).withColumn("seq", F.struct("member", "cell_index", "stmt_idx"))
     assert not {"raw_sql", "normal"} & set(drift._pairs(facts, ["id", "base_key", "metric_name"]).columns)
+
+
+def test_snapshots_of_two_writers(spark, tmp_path):
+    """Writers at the same time: every version is committed once, and a reader always sees a whole one."""
+    shelf = Snapshots(spark, f"file://{tmp_path}/results")
+    with pytest.raises(KeyError):
+        shelf.read("a")
+    assert shelf.publish(spark.range(1), "a") == 1
+    seen = []
+
+    def write(n):
+        return [shelf.publish(spark.range(n), "a") for _ in range(3)]
+
+    def look(_):
+        seen.extend(shelf.read("a").count() for _ in range(6))
+
+    with ThreadPoolExecutor(3) as pool:
+        reader = pool.submit(look, 0)
+        versions = sorted(v for found in pool.map(write, (10, 20)) for v in found)
+        reader.result()
+    assert versions == [2, 3, 4, 5, 6, 7] and set(seen) <= {1, 10, 20}
+    assert shelf.read("a", 1).count() == 1
+    with pytest.raises(Conflict):
+        shelf.publish(spark.range(5), "a", after=3)
+    assert shelf.publish(spark.range(5), "a", after=7) == 8
+    again = Snapshots(spark, f"file://{tmp_path}/results")  # as another session would
+    again.forget("a", keep=2)
+    assert again.versions("a") == [7, 8] and again.read("a").count() == 5
+    assert shelf.publish(spark.range(0), "b") == 1 and shelf.read("b").count() == 0
+
+
+def test_notebooks_among_other_files(spark, tmp_path):
+    book = '{"cells": [{"cell_type": "code", "source": "[1, 2]"}, {"cell_type": "code", "source": []}, {"cell_type": "code"}, {"cell_type": "code", "source": ["%%sql\\n", "SELECT 1"]}], "nbformat": 4}'
+    (tmp_path / "b c").mkdir()
+    for name, content in (("x.txt", "no"), ("b c/y.IPYNB", book), ("z.ipynb", "{"), ("e.ipynb", '{"cells": []}'), ("a.scala", "//é"), ("noending", "x"), ("r.csv", "1")):
+        (tmp_path / name).write_text(content)
+    got = read_notebooks(spark, str(tmp_path)).orderBy("nb_ord").collect()
+    assert [(r.nb_ord, r.name, r.language) for r in got] == [(0, "a.scala", "SCALA"), (1, "y.IPYNB", "PYTHON"), (2, "e.ipynb", "PYTHON")]
+    assert got[0].source == "//é" and [(r.cell_index, r.language, r.source) for r in cells.cells(spark.createDataFrame(got)).where("nb_ord = 1").collect()] == [(0, "python", "[1, 2]"), (3, "python", "%%sql\nSELECT 1")]
+    plan = spark.read.format("binaryFile").load(str(tmp_path)).select("path")._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan.split("ReadSchema")[-1]
