@@ -100,7 +100,7 @@ def _written(root: Node) -> tuple[str | None, list[Node]]:
 
 def _coded(found: list[Token]) -> tuple[Callable[[str], str], Callable[[str], str]]:
     """Names that the rendering doesn't quote, as one character each, and back; literals with a quote in them vanish."""
-    odd = list(dict.fromkeys(t.text[1:-1].replace("``", "`") for t in found if t.text[0] == "`" and not re.fullmatch(r"\w*", t.text[1:-1])))[:6000]
+    odd = list(dict.fromkeys(t.text[1:-1].replace("``", "`") for t in found if t.text[0] == "`" and not re.match(r"\w*\Z", t.text[1:-1])))[:6000]
     literals = [x for t in found if t.kind == "text" and "'" in (x := t.text[1:-1])]
 
     def to(text: str) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,11 +14,12 @@ from .functions import responses
 from .functions.text import (
     KINDS, LABEL, LAYERS, LEVEL_SNIPPET, MISSING, SNIPPET, STAGING_LAYER, normal_sql, notebook_key, parent_of, shortened, snippet, table_kind, text_sources, text_tables, text_target,
 )
-from .operators import audit, codedefs, counts, drift, exclusions, lineage, measures, search, sqlfacts, summary
+from .operators import audit, codedefs, counts, drift, exclusions, explained, lineage, measures, search, sqlfacts, summary
 from .operators.cells import HEADING, MAGIC, PREFIX, cells, headings
 from .sources.catalog import Layer, Table, columns, inventory, schema_layer, table_index
-from .sources.notebooks import decoded, folder, notebooks, read_notebooks, under
+from .sources.notebooks import decoded, folder, listed_by, notebooks, placed, read_notebooks, under
 from .sources.shared import fresh_path
+from .sources.snapshots import Snapshots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -621,8 +623,8 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT row_number() OVER (ORDER BY type <> 'DIRECTORY', n_name) - 1 AS place, '/work/' || n_name AS path, '/work' AS parent, type FROM (SELECT *, {_ENTRY} AS type FROM nation) WHERE type <> 'FILE'")
 def folder_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = folder(_entries(spark, sf_dir), "/work/").select("path", parent_of(F.col("path")).alias("parent"), "type").collect()  # a folder's entries
-    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "place long, path string, parent string, type string")
+    rows = folder(_entries(spark, sf_dir), "/work/")
+    return placed(rows, *listed_by()).select("place", "path", parent_of(F.col("path")).alias("parent"), "type")
 
 
 @query("SELECT '/work/' || n_name || '/inner' AS path FROM nation WHERE n_nationkey = 3")
@@ -646,12 +648,15 @@ _LISTED = ("nation", "region", "supplier")
     f" WHERE table_name IN {_LISTED} GROUP BY table_name) c JOIN (" + " UNION ALL ".join(f"SELECT '{t}' AS tbl, count(*) AS n FROM {t}" for t in _LISTED) + ") n ON n.tbl = c.tbl"
 )
 def schema_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tables of a schema of the session's catalog, as a layer. The tables point at files, which stay."""
-    spark.sql("CREATE DATABASE IF NOT EXISTS layerwise_demo")
-    for t in _LISTED:
-        spark.sql(f"DROP TABLE IF EXISTS layerwise_demo.{t}")
-        spark.sql(f"CREATE TABLE layerwise_demo.{t} USING parquet LOCATION '{sf_dir}/{t}.parquet'")
-    layer = schema_layer(spark, "demo", "layerwise_demo", spark.catalog.currentCatalog())
+    """Tables of a schema of the session's catalog, as a layer. The schema is gone afterwards; its tables point at files, which stay."""
+    name = f"layerwise_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {name}")
+    try:
+        for t in _LISTED:
+            spark.sql(f"CREATE TABLE {name}.{t} USING parquet LOCATION '{sf_dir}/{t}.parquet'")
+        layer = schema_layer(spark, "demo", name, spark.catalog.currentCatalog())
+    finally:
+        spark.sql(f"DROP DATABASE {name} CASCADE")
     named = spark.createDataFrame([(t.name, ",".join(c for c, _ in columns(t.df) or [])) for t in layer.tables], "table string, columns string")
     return named.join(counts.table_counts(spark, [layer]), "table").select("table", "columns", "row_count")
 
@@ -853,3 +858,28 @@ def notebook_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
             stream.write(bytearray(text.replace("{k}", str(k)).encode()))
             stream.close()
     return cells(read_notebooks(spark, root)).select(F.element_at(F.split("path", "/"), -1).alias("name"), "cell_index", "language", "source")
+
+
+# Every difference with the code behind it and the question about it; an explainer that points at the second candidate of `orders`.
+_ASKED = "'Difference:' || chr(10) || d.j || chr(10) || chr(10) || 'Candidates:' || chr(10) || coalesce(c.code, 'No code was found.')"
+_PICKS = "CASE WHEN d.table_name = 'orders' THEN c.paths[2] END"
+
+
+@query(
+    f"WITH {_COUNTS}, d AS (SELECT a.tbl AS table_name, a.label AS from_stage, b.label AS to_stage, '{{\"table_name\":\"' || a.tbl || '\",\"from_stage\":\"' || a.label || '\",\"to_stage\":\"' || b.label || '\",\"from_count\":' || a.n || ',\"to_count\":' || b.n || ',\"difference\":' || (b.n - a.n) || '}}' AS j"
+    " FROM counts a JOIN counts b ON a.tbl = b.tbl AND b.layer_ord = a.layer_ord + 1 WHERE a.n <> b.n),"
+    " s AS (" + " UNION ALL ".join(f"SELECT '{t}' AS table_name, s_suppkey AS k, {_filled('/culprits/n{k}')} AS path, {_filled(c)} AS snippet FROM supplier" for t, c in zip(_NAMED, _CULPRITS)) + "),"
+    " n AS (SELECT *, row_number() OVER (PARTITION BY table_name ORDER BY k) AS n FROM s),"
+    " c AS (SELECT table_name, string_agg('[' || (n - 1) || '] ' || path || ', cell 0' || chr(10) || '<code>' || chr(10) || snippet || chr(10) || '</code>', chr(10) ORDER BY n) FILTER (WHERE n <= 40) AS code, list(path ORDER BY n) AS paths, count(*) AS n FROM n GROUP BY table_name)"
+    f" SELECT d.table_name, d.from_stage, sha256({_ASKED}) AS prompt_hash, coalesce(c.n, 0) AS n_candidates, {_PICKS} AS responsible, CASE d.table_name WHEN 'orders' THEN 'why' END AS explanation FROM d LEFT JOIN c USING (table_name)"
+)
+def explained_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def explainer(messages: list[dict[str, str]]) -> str:
+        if '"table_name":"orders"' not in messages[1]["content"]:
+            raise RuntimeError("no answer")
+        return '{"responsibleIndex": 1, "explanation": "why"}'
+
+    code = _made_of(spark, spark.read.parquet(f"{sf_dir}/supplier.parquet"), _filled("/culprits/n{k}"), " || ';' || ".join(map(_filled, _CULPRITS)), "s_suppkey")
+    differing = counts.compare_stages(spark, fixtures.layers(spark, sf_dir))
+    found = explained.explained_mismatches(code, differing, explainer, Snapshots(spark, fresh_path(spark, "explained")))
+    return found.select("table_name", "from_stage", "prompt_hash", "n_candidates", F.col("responsible.path").alias("responsible"), "explanation")

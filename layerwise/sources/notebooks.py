@@ -27,13 +27,13 @@ def notebooks(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFram
     return spark.createDataFrame([(i, p, p.rsplit("/", 1)[-1], x or "UNKNOWN", s) for i, (p, x, s) in enumerate(rows)], SCHEMA)
 
 
-def numbered(paths: DataFrame) -> DataFrame:
-    """paths(path) -> (path, nb_ord): their places in order, from 0. Ranges are sorted apart, and know how many come before them."""
-    ranged = paths.repartitionByRange("path").sortWithinPartitions("path").withColumn("_g", F.monotonically_increasing_id())
-    ranged = written(ranged, "paths").withColumn("_range", F.shiftright("_g", 33))
+def placed(rows: DataFrame, *order) -> DataFrame:
+    """rows with `place`, their place in an order, from 0. Ranges of it are sorted apart, and know how many rows come before them."""
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_g", F.monotonically_increasing_id())
+    ranged = written(ranged, "placed").withColumn("_range", F.shiftright("_g", 33))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     starts = ranged.groupBy("_range").agg(F.count("*").alias("n"), F.min("_g").alias("_least")).select("_range", "_least", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
-    return ranged.join(F.broadcast(starts), "_range").select("path", (F.col("_before") + F.col("_g") - F.col("_least")).cast("int").alias("nb_ord"))  # as many rows as ranges
+    return ranged.join(F.broadcast(starts), "_range").select(*rows.columns, (F.col("_before") + F.col("_g") - F.col("_least")).alias("place"))  # as many rows as ranges
 
 
 _IPYNB = "cells array<struct<cell_type:string,source:variant>>, metadata struct<kernelspec:struct<language:string>,language_info:struct<name:string>>"
@@ -75,7 +75,7 @@ def read_notebooks(spark: SparkSession, root: str) -> DataFrame:
     book = F.when(F.lower("path").endswith(".ipynb"), from_ipynb(text)).otherwise(F.struct(language_of(F.col("path")).alias("language"), text.alias("source")))
     rows = files.select("path", book.alias("b")).where("b is not null").select("path", "b.language", "b.source")
     rows = written(rows, "notebooks")
-    return rows.join(numbered(rows.select("path")), "path").select("nb_ord", "path", F.element_at(F.split("path", "/"), -1).alias("name"), "language", "source")
+    return rows.join(placed(rows.select("path"), "path"), "path").select(F.col("place").cast("int").alias("nb_ord"), "path", F.element_at(F.split("path", "/"), -1).alias("name"), "language", "source")
 
 
 def decoded(rows: DataFrame, column: str = "content") -> DataFrame:
@@ -83,6 +83,11 @@ def decoded(rows: DataFrame, column: str = "content") -> DataFrame:
     return rows.withColumn("source", F.decode(F.unbase64(F.col(column)), "UTF-8"))
 
 
+def listed_by() -> tuple[Column, Column]:
+    """Folders first, then by name as people sort."""
+    return F.expr("type <> 'DIRECTORY'"), F.expr("name COLLATE UNICODE")
+
+
 def folder(entries: DataFrame, path: str = "/") -> DataFrame:
     """entries(path, type, ...): what lies directly in a folder, folders first, then by name as people sort.
 
@@ -90,7 +95,7 @@ def folder(entries: DataFrame, path: str = "/") -> DataFrame:
     """
     inside = F.regexp_replace(F.regexp_replace("path", r"/[^/]*\z", ""), r"\A\z", "/") == (path.rstrip("/") or "/")
     rows = entries.where(F.col("type").isin("DIRECTORY", "NOTEBOOK") & inside).withColumn("name", F.element_at(F.split("path", "/"), -1))
-    return rows.orderBy(F.col("type") != "DIRECTORY", F.expr("name COLLATE UNICODE"))
+    return rows.orderBy(*listed_by())
 
 
 def under(rows: DataFrame, root: str = "/") -> DataFrame:

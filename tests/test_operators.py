@@ -1,5 +1,6 @@
 """Auditing operators on hand-made notebooks and tables."""
 
+import time
 from concurrent.futures import ThreadPoolExecutor
 
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from layerwise import fixtures
 from layerwise.functions import text
 from layerwise.functions.lexer import reading_of
-from layerwise.operators import audit, cells, codedefs, counts, drift, exclusions, lineage, measures, search, summary
+from layerwise.operators import audit, cells, codedefs, counts, drift, exclusions, explained, lineage, measures, search, summary
 from layerwise.plans import catalyst
 from layerwise.plans.catalyst import rendered, row_of
 from layerwise.sources import catalog, sinks
@@ -375,3 +376,31 @@ def test_notebooks_among_other_files(spark, tmp_path):
     assert got[0].source == "//é" and [(r.cell_index, r.language, r.source) for r in cells.cells(spark.createDataFrame(got)).where("nb_ord = 1").collect()] == [(0, "python", "[1, 2]"), (3, "python", "%%sql\nSELECT 1")]
     plan = spark.read.format("binaryFile").load(str(tmp_path)).select("path")._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan.split("ReadSchema")[-1]
+
+
+def test_answers_are_kept_and_late_ones_left_out(spark, tmp_path):
+    store, asked = Snapshots(spark, f"file://{tmp_path}/kept"), []
+
+    def explainer(messages):
+        asked.append(messages[1]["content"])
+        if "slow" in asked[-1]:
+            time.sleep(60)
+        if "bad" in asked[-1]:
+            raise ValueError
+        return f"answer to {asked[-1]}"
+
+    prompts = spark.createDataFrame([(t, t) for t in ("one", "slow", "bad", "two", "one")], "prompt_hash string, prompt string")
+    for _ in range(2):
+        got = {r.prompt: r.answer for r in explained.answered(prompts, explainer, store, "s", limit=1.0).collect()}
+        assert got == {"one": "answer to one", "two": "answer to two", "slow": None, "bad": None}
+    assert sorted(asked) == ["bad", "bad", "one", "slow", "slow", "two"]  # what was answered isn't asked again
+
+
+def test_questions_as_columns(spark, tmp_path):
+    books = notebooks(spark, [("/1", "SQL", "INSERT INTO s.a SELECT * FROM b.src;SELECT 1 FROM a")])
+    rows = spark.createDataFrame([("a", "x", "y", 1, 2, 1), ("none", "x", "y", 1, 2, 1)], "table_name string, from_stage string, to_stage string, from_count long, to_count long, difference long")
+    answer = lambda messages: '{"responsibleIndex": 1, "explanation": "e"}'
+    got = {r.table_name: r for r in explained.explained_mismatches(books, rows, answer, Snapshots(spark, f"file://{tmp_path}/a"), most=5).collect()}
+    assert got["a"].responsible.snippet == "SELECT 1 FROM a" and got["a"].n_candidates == 2 and got["a"].explanation == "e"
+    assert "[0] /1, cell 0\n<code>\nINSERT INTO s.a SELECT * FROM b.src\n</code>\n[1] /1" in got["a"].prompt
+    assert got["none"].responsible is None and got["none"].prompt.endswith("Candidates:\nNo code was found.")
