@@ -123,6 +123,20 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
        failures & {rules.mask("base-1") | rules.mask("prose-1")} = 0 AS kept, failures FROM f"""
 
 
+def quality_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of a policy drops, drops alone, and what the policy would keep without it."""
+    return rules.ablation(rules.ledger(documents(spark, sf_dir)), "prose-1")
+
+
+def _ablation_sql() -> str:
+    m, names = rules.mask("prose-1"), rules.POLICIES["prose-1"]
+    listed = ", ".join(f"('{n}', {rules.BIT[n]})" for n in names)
+    return (
+        f"WITH l AS ({_op8_sql()}), b AS (SELECT failures & {m} AS bits FROM l) SELECT rule, count(*) FILTER (WHERE bits & bit <> 0) AS failed, count(*) FILTER (WHERE bits = bit) AS only,"
+        f" count(*) FILTER (WHERE bits = 0 OR bits = bit) AS kept_without FROM b, (VALUES {listed}) AS r(rule, bit) GROUP BY rule"
+    )
+
+
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -202,10 +216,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
     "op7_secrets": op7_secrets,
     "op8_quality_rules": op8_quality_rules,
+    "quality_rule_ablations": quality_rule_ablations,
     "op9_nearest": op9_nearest,
     "op10_lm_scoring": op10_lm_scoring,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_identifiers": op12_identifiers,
     "op13_centroids": op13_centroids,
 }
-ORACLE_SQL: dict[str, str] = {"op6_mixing": OP6_SQL, "op7_secrets": _op7_sql(), "op8_quality_rules": _op8_sql(), "op11_prefix_trie": OP11_SQL, "op13_centroids": _op13_sql()}
+ORACLE_SQL: dict[str, str] = {"op6_mixing": OP6_SQL, "op7_secrets": _op7_sql(), "op8_quality_rules": _op8_sql(), "quality_rule_ablations": _ablation_sql(), "op11_prefix_trie": OP11_SQL, "op13_centroids": _op13_sql()}
