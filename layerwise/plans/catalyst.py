@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from py4j.protocol import Py4JJavaError
+from py4j import protocol
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -156,11 +156,17 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names)
 
 
-def rendered(spark: SparkSession, sql: str) -> str | None:
-    """The statement's plan as text, or None if Spark's grammar doesn't have it."""
+def rendered(spark: SparkSession, sql: str, parser=None) -> str | None:
+    """The statement's plan as text, or None if Spark's grammar doesn't have it.
+
+    A refusal is only noticed: PySpark would fetch the parser's whole error, for ten times what the parsing takes.
+    """
+    parser = parser or spark._jsparkSession.sessionState().sqlParser()
+    command = f"{protocol.CALL_COMMAND_NAME}{parser._target_id}\nparsePlan\n{protocol.get_command_part(sql)}{protocol.END_COMMAND_PART}"
+    answer = parser._gateway_client.send_command(command)
     try:
-        return spark._jsparkSession.sessionState().sqlParser().parsePlan(sql).toString()
-    except (Py4JJavaError, PySparkException):
+        return protocol.get_return_value(answer, parser._gateway_client, parser._target_id, "parsePlan").toString()
+    except (protocol.Py4JError, PySparkException):
         return None
 
 
@@ -183,13 +189,14 @@ def read_statements(rows: DataFrame, column: str = "raw_sql") -> DataFrame:
     before = spark.conf.get(key)
     texts = (r[0] for r in rows.select(F.col(column)).where(F.col(column).isNotNull()).distinct().toLocalIterator())
     path, n, last = None, 0, []
+    parser = spark._jsparkSession.sessionState().sqlParser()
     spark.conf.set(key, "100000")  # else long lists of columns are cut in the plans
     try:
         for batch in _batches(texts):
             if last:
                 path = path or fresh_path(spark, "plans")
                 spark.createDataFrame(last, _TREES).coalesce(1).write.mode("append").parquet(path)
-            last = [(t, rendered(spark, t)) for t in batch]
+            last = [(t, rendered(spark, t, parser)) for t in batch]
             n += 1
     finally:
         spark.conf.set(key, before)
