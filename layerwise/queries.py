@@ -16,6 +16,7 @@ from .functions.text import (
 )
 from .operators import audit, codedefs, counts, drift, exclusions, explained, lineage, measures, search, sqlfacts, summary
 from .operators.cells import HEADING, MAGIC, PREFIX, cells, headings
+from .sources import catalog
 from .sources.catalog import Layer, Table, columns, inventory, schema_layer, table_index
 from .sources.notebooks import decoded, folder, listed_by, notebooks, placed, read_notebooks, under
 from .sources.shared import fresh_path
@@ -883,3 +884,51 @@ def explained_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     differing = counts.compare_stages(spark, fixtures.layers(spark, sf_dir))
     found = explained.explained_mismatches(code, differing, explainer, Snapshots(spark, fresh_path(spark, "explained")))
     return found.select("table_name", "from_stage", "prompt_hash", "n_candidates", F.col("responsible.path").alias("responsible"), "explanation")
+
+
+@query("SELECT s_suppkey AS k, CASE WHEN s_suppkey % 3 = 0 THEN ' ' ELSE 'layer ' || s_suppkey END AS label, CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE 's' END AS \"schema\" FROM supplier WHERE s_suppkey % 3 <> 0 AND s_suppkey % 5 <> 0")
+def complete_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("k"))
+    label = F.when(F.col("k") % 3 == 0, " ").otherwise(F.concat(F.lit("layer "), F.col("k").cast("string")))
+    return catalog.complete_layers(rows.withColumn("label", label).withColumn("schema", F.when(F.col("k") % 5 == 0, "").otherwise("s")))
+
+
+_ALL_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+@query(f"SELECT table_name AS \"table\", string_agg(column_name, ',' ORDER BY ordinal_position) AS columns FROM information_schema.columns WHERE table_name IN {_ALL_TABLES} GROUP BY table_name")
+def columns_of_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    layer = Layer("all", "all", [catalog.parquet_table(spark, t, f"{sf_dir}/{t}.parquet") for t in _ALL_TABLES])
+    return inventory(spark, [layer]).select("table", F.array_join("columns.name", ",").alias("columns"))
+
+
+@query("SELECT row_number() OVER (ORDER BY name) - 1 AS place, name AS base_key, '/x/' || name || '|/x/' || name || '_v2' AS paths FROM (SELECT replace(lower(n_name), '_', 'x') AS name FROM nation)")
+def group_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups in the order that people sort by."""
+    both = F.array(F.struct(F.lit(0).alias("v"), F.lit("").alias("mark")), F.struct(F.lit(1).alias("v"), F.lit("_v2").alias("mark")))
+    named = F.replace(F.lower("n_name"), F.lit("_"), F.lit("x")).alias("n")
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", named, F.inline(both))
+    rows = rows.select((F.col("n_nationkey") * 2 + F.col("v")).alias("nb_ord"), F.concat("n", "mark").alias("name"), F.concat(F.lit("/x/"), "n", "mark").alias("path"))
+    groups = drift.notebook_groups(rows)
+    return placed(groups.select("base_key", F.array_join("paths", "|").alias("paths")), F.expr("base_key COLLATE UNICODE"))
+
+
+_N_FACTS = ("load_orders", 2, 2), ("load_orders_v2", 2, 2), ("load_orders_final", 3, 0), ("build_sales", 4, 1), ("df_api", 0, 1), ("udfs", 0, 4), ("quirks", 4, 0)
+
+
+@query(f"SELECT '/s' || k || '/etl/' || path AS path, CAST(n_sql AS BIGINT) AS n_sql, CAST(n_defs AS BIGINT) AS n_defs FROM {supplied(_N_FACTS, 'path', 'n_sql', 'n_defs')}")
+def facts_of_notebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements and definitions of every notebook that has any."""
+    books = corpus_of(spark, sf_dir)
+    one = lambda df, a, b: df.select("path", F.lit(a).alias("n_sql"), F.lit(b).alias("n_defs"))
+    both = one(sqlfacts.sql_facts(books), 1, 0).unionByName(one(codedefs.code_defs(books), 0, 1))
+    return both.groupBy("path").agg(F.sum("n_sql").alias("n_sql"), F.sum("n_defs").alias("n_defs"))
+
+
+@query("SELECT 1 AS version, count(*) AS n FROM orders UNION ALL SELECT 2, count(*) FILTER (WHERE o_orderstatus <> 'P') FROM orders")
+def kept_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result that is replaced: both versions, as a reader of either sees them."""
+    shelf, orders = Snapshots(spark, fresh_path(spark, "shelf")), spark.read.parquet(f"{sf_dir}/orders.parquet")
+    found = [shelf.read("orders", shelf.publish(x, "orders")) for x in (orders, orders.where("o_orderstatus <> 'P'"))]
+    each = [x.groupBy().agg(F.count("*").alias("n")).select(F.lit(i + 1).alias("version"), "n") for i, x in enumerate(found)]
+    return each[0].unionAll(each[1])
