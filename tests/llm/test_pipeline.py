@@ -61,4 +61,4 @@ def test_stages_on_awkward_rows(spark, tmp_path):
 
 
 def test_every_operator_has_a_query():
-    assert [name.split("_")[0] for name in registry.QUERIES] == [f"op{n}" for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10)]
+    assert [name.split("_")[0] for name in registry.QUERIES if name.startswith("op")] == [f"op{n}" for n in range(1, 14)]
