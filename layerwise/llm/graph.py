@@ -8,21 +8,30 @@ from pyspark.sql import functions as F
 from .common import stored
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, paths: bool = False) -> DataFrame:
     """edges(u long, v long) -> (node, component): the least node that each node is connected to.
 
-    Each round a node takes the least label around it and then that label's own label, which halves the way
-    left to go. Every round is written to the shared folder; only a count comes to the driver. Self-loops and
+    With `paths` also path: the node's labels of all rounds. Nodes that share an early one are near each other.
+
+    Each round a node takes the least label around it, the node that was its label takes that too, and both then
+    take their label's own label. So nodes that share a label move together, and the number of rounds grows with
+    the logarithm of the longest way, not with the way. Every round is written to the shared folder; only a count comes to the driver. Self-loops and
     repeated edges don't matter; nulls are not allowed. Nodes without edges are not listed.
     """
     both = stored(edges.select("u", "v").union(edges.select("v", "u")).distinct(), "edges")
-    labels = stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("component")), "labels")
+    labels = both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("component"))
+    kept = ["path"] if paths else []
+    labels = stored(labels.withColumn("path", F.array("component")) if paths else labels, "labels")
     while True:
         around = both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("component").alias("near"))
-        lower = labels.join(around, F.col("node") == F.col("u")).select("node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
+        lower = labels.join(around, F.col("node") == F.col("u")).select("node", F.col("component").alias("was"), "near", *kept)
+        hooks = lower.groupBy(F.col("was").alias("root")).agg(F.min("near").alias("hook"))
+        lower = lower.join(hooks, F.col("node") == F.col("root"), "left")
+        lower = lower.select("node", "was", F.least("was", "near", F.coalesce("hook", "was")).alias("component"), *kept)
         above = labels.select(F.col("node").alias("label"), F.col("component").alias("top"))
         jumped = lower.join(above, F.col("component") == F.col("label"), "left")
-        jumped = stored(jumped.select("node", "was", F.least("component", F.coalesce("top", "component")).alias("component")), "labels")
-        labels = jumped.select("node", "component")
+        jumped = jumped.select("node", "was", F.least("component", F.coalesce("top", "component")).alias("component"), *kept)
+        jumped = stored(jumped.withColumn("path", F.concat("path", F.array("component"))) if paths else jumped, "labels")
+        labels = jumped.select("node", "component", *kept)
         if jumped.where("component < was").isEmpty():
             return labels

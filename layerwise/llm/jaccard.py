@@ -3,9 +3,10 @@
 Rows with equal n-gram sets are one class (copies). Band hashes of the classes are shuffled; classes that
 share a bucket are candidates. Candidates that hang together form a neighbourhood, inside which every pair
 is compared on its full n-gram sets, by products of 0/1 matrices. A neighbourhood over BLOCK classes or
-BLOCK_GRAMS n-grams is cut into blocks. A block is one row, linked inside first, which leaves it a few roots;
-then every two blocks meet in a task, which says how many links each class got there, as one array a block,
-and names one edge for each root that it joins to others, never the pairs.
+BLOCK_GRAMS n-grams is cut into blocks of classes that lie near each other in the graph of candidates. A block is
+one row, linked inside first, which leaves it a few roots; then every two blocks that share a bucket meet in a
+task, which says how many links each class got there, as one array a block, and names one edge for each root
+that it joins to others, never the pairs.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, packed_row, row_key, small, stored, unpacked, words
 from .graph import components
+from .prefixes import laid_out, running
 
 N = 5
 SIMILARITY = 0.8
@@ -168,7 +170,7 @@ def signatures(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return rows.mapInArrow(run, f"_row binary, doc_id {kind}, class binary, node long, grams long, bands array<long>")
 
 
-_BLOCK = "component long, own int, n int, nodes binary, sizes binary, copies binary, sets binary, links binary, roots binary"
+_BLOCK = "component long, own long, nodes binary, sizes binary, copies binary, sets binary, links binary, roots binary"
 
 
 def _linked(rows: pd.DataFrame, shingler: Shingler, similarity: float) -> tuple[list[np.ndarray], pd.DataFrame]:
@@ -185,16 +187,42 @@ def _unpacked_block(r: pd.Series) -> tuple[list[np.ndarray], np.ndarray, np.ndar
     return np.split(np.frombuffer(r["sets"], np.uint64), np.cumsum(sizes)[:-1]), np.frombuffer(r["copies"], np.int64), np.frombuffer(r["roots"], np.int64)
 
 
-def compared(texts: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK, block_grams: int = BLOCK_GRAMS) -> tuple[DataFrame, DataFrame]:
+def in_blocks(places: DataFrame, block: int = BLOCK, block_grams: int = BLOCK_GRAMS) -> DataFrame:
+    """places(node, component, grams, path) -> (node, component, own): blocks of at most about `block` nodes and `block_grams` grams.
+
+    Nodes are laid out so that those with the same labels in components() lie together, late rounds before early
+    ones, and are cut by a running sum. So a block is a few near pieces of its component, and one in a long chain
+    touches few others. A node over `block_grams` is a block by itself.
+    """
+    share = F.greatest(F.lit(block_grams), F.col("grams") * block).cast("long")
+    rows = laid_out(places.select("node", "component", "path", share.alias("share")), "block-order", "component", F.reverse("path"), "node")
+    return running(rows, upto=F.col("share")).select("node", "component", F.expr(f"(upto - 1) div {block * block_grams}L").alias("own"))
+
+
+def meetings(owned: DataFrame, bands: DataFrame) -> DataFrame:
+    """owned(node, component, own), bands(node, bands array) -> (component, i, j): blocks i < j with nodes in one bucket."""
+    at = owned.join(bands, "node").select("component", "own", F.explode("bands").alias("band")).distinct()
+    at = stored(at, "buckets-of-blocks")
+    i, j = (at.select("component", "band", F.col("own").alias(name)) for name in "ij")
+    return i.join(j, ["component", "band"]).where("i < j").select("component", "i", "j").distinct()
+
+
+def compared(
+    texts: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK, block_grams: int = BLOCK_GRAMS, places: DataFrame | None = None, bands: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """texts(node, copies, text, component, size, all_grams), a row a node -> (node, links, root) and (u, v).
 
     links: rows whose n-gram sets are like the node's; root: a node of its block that it is connected to, by
     links inside the block. (u, v): edges between roots of different blocks, fewer a task than its two blocks
-    have roots.
+    have roots. places(node, component, size, all_grams, grams, path) says where nodes lie, bands(node, bands)
+    which buckets they are in; without them nodes lie by number, and a component is one bucket.
     """
-    blocks = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("all_grams") / block_grams)).cast("int")
-    sized = texts.withColumn("n", blocks)
-    few, many = sized.where(F.col("n") <= 1), sized.where(F.col("n") > 1)
+    if places is None:
+        places = texts.withColumn("grams", F.ceil(F.col("all_grams") / F.col("size"))).withColumn("path", F.array("component"))
+    if bands is None:
+        bands = texts.select("node", F.array("component").alias("bands"))
+    is_large = (F.col("size") > block) | (F.col("all_grams") > block_grams)
+    few, many = texts.where(~is_large), texts.where(is_large)
     load = few.agg(F.count("*"), F.sum(F.col("all_grams") / F.col("size"))).first()
     batches = max(1, int(load[0] // block), int((load[1] or 0) // block_grams))
 
@@ -206,16 +234,19 @@ def compared(texts: DataFrame, similarity: float = SIMILARITY, block: int = BLOC
         rows = rows.sort_values("node")
         sets, found = _linked(rows, Shingler(), similarity)
         raw = lambda x, kind: np.asarray(x, kind).tobytes()
-        row = (key[0], key[1], int(rows["n"].iat[0]), raw(rows["node"], np.int64), raw([len(s) for s in sets], np.int64), raw(rows["copies"], np.int64))
+        row = (*key, raw(rows["node"], np.int64), raw([len(s) for s in sets], np.int64), raw(rows["copies"], np.int64))
         return pd.DataFrame([(*row, np.concatenate(sets).tobytes(), raw(found["links"], np.int64), raw(found["root"], np.int64))], columns=_BLOCK.replace(",", "").split()[::2])
 
     small_ones = few.select("node", "copies", "text", "component").groupBy(F.pmod(F.xxhash64("component"), F.lit(batches))).applyInPandas(inside, "node long, links long, root long")
-    own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("n")).cast("int").alias("own")
-    cut = stored(many.select("node", "copies", "text", "component", "n", own).groupBy("component", "own").applyInPandas(packed, _BLOCK), "blocks")
+    places = places.where(is_large)
+    if places.isEmpty():
+        return small_ones, texts.sparkSession.createDataFrame([], "u long, v long")
+    owned = stored(in_blocks(places, block, block_grams), "owned")
+    of_node = small(owned.select("node", "own"), owned.count(), 32)
+    cut = many.select("node", "copies", "text", "component").join(of_node, "node")
+    cut = stored(cut.groupBy("component", "own").applyInPandas(packed, _BLOCK), "blocks")
 
     def across(key: tuple, pair: pd.DataFrame) -> pd.DataFrame:
-        if len(pair) < 2:  # hashing left the other block empty
-            return pd.DataFrame({"component": [], "own": [], "links": [], "edges": []})
         (sets, copies, roots), (sets2, copies2, roots2) = (_unpacked_block(pair.iloc[k]) for k in pair["own"].argsort())
         like = similar([*sets, *sets2], similarity, len(sets))
         # Roots that a link joins hang together; each but the least of such a set names one edge.
@@ -228,10 +259,10 @@ def compared(texts: DataFrame, similarity: float = SIMILARITY, block: int = BLOC
         links = [(like @ copies2).tobytes(), (like.T @ copies).tobytes()]
         return pd.DataFrame({"component": [key[0]] * 2, "own": list(key[1:]), "links": links, "edges": edges})
 
-    others = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda k: k != F.col("own"))
-    meets = F.transform(others, lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
-    tasks = cut.select("component", "own", "sizes", "copies", "sets", "roots", F.explode(meets).alias("p")).select("*", "p.i", "p.j").drop("p")
-    met = stored(tasks.groupBy("component", "i", "j").applyInPandas(across, "component long, own int, links binary, edges array<struct<u:long,v:long>>"), "meetings")
+    pairs = stored(meetings(owned, bands), "block-pairs")
+    sides = pairs.withColumn("own", F.explode(F.array("i", "j")))
+    tasks = cut.select("component", "own", "sizes", "copies", "sets", "roots").join(small(sides, 2 * pairs.count(), 48), ["component", "own"])
+    met = stored(tasks.groupBy("component", "i", "j").applyInPandas(across, "component long, own long, links binary, edges array<struct<u:long,v:long>>"), "meetings")
 
     def summed(rows: pd.DataFrame) -> pd.DataFrame:
         block = rows[rows["nodes"].notna()].iloc[0]
@@ -244,7 +275,7 @@ def compared(texts: DataFrame, similarity: float = SIMILARITY, block: int = BLOC
     return small_ones.unionByName(large_ones), met.select(F.explode("edges").alias("e")).select("e.u", "e.v")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """docs(doc_id, text, ...) -> (_row, doc_id, class_id, copy_id, n_copies, n_links, keep), a row a row.
 
     copy_id: the least doc_id with the same n-gram set; n_copies: the rows of that set, itself included;
@@ -260,13 +291,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     banded = classes.select("node", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("node").alias("v"), F.max("node").alias("last")).where("v < last").select("band", "v")
     edges = banded.join(buckets, "band").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
-    near = components(stored(edges, "candidates"))
+    near = components(stored(edges, "candidates"), paths=True)
     members = classes.select("node", "copies", "grams", "_row").join(near, "node")
     sizes = members.groupBy("component").agg(F.count("*").alias("size"), F.sum("grams").alias("all_grams"))
     members = stored(members.join(sizes, "component"), "neighbourhoods")
     texts = docs.select(row_key(docs).alias("_row"), "text").join(small(members.select("_row"), members.count(), 32), "_row", "left_semi")
-    texts = texts.dropDuplicates(["_row"]).join(members, "_row")  # equal rows have one text
-    inside, across = compared(texts, similarity)
+    texts = texts.dropDuplicates(["_row"]).join(members.drop("grams", "path"), "_row")  # equal rows have one text
+    inside, across = compared(texts, similarity, block, places=members, bands=classes.select("node", "bands"))
     inside = stored(inside, "compared")
     links = inside.select("node", "links")
     edges = inside.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(across)

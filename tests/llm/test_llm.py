@@ -85,6 +85,14 @@ def test_jaccard_against_all_pairs(spark, rows):
     assert kept.count() == groups
 
 
+def test_components_of_a_chain(spark):
+    """The rounds, which are the labels of a path, are few however long a chain is."""
+    ids = random.Random(4).sample(range(10**9), 3000)
+    got = components(spark.createDataFrame(list(zip(ids, ids[1:])), "u long, v long"), paths=True).collect()
+    assert len(got) == 3000 and {x.component for x in got} == {min(ids)}
+    assert len(got[0].path) <= 20
+
+
 def near_copies(n, changed=0.01, words=120):
     base = texts(1)[1](words).split()
     r = random.Random(2)
@@ -129,6 +137,28 @@ def test_jaccard_edges_stay_linear(spark):
         assert sum(r.links for r in inside.collect()) > n
 
 
+def test_jaccard_chain(spark):
+    """Each text is like the next one only: links stay right, and blocks meet those beside them instead of all others."""
+    n, block = 5000, 50
+    chain = [(i, " ".join(f"w{k}" for k in range(8 * i, 8 * i + 100)), "s") for i in range(n)]
+    chain += [(n + i, f"alone {i} " * 20 + f"{i}", "s") for i in range(50)]
+    docs = docs_of(spark, chain)
+    got = {r.doc_id: r for r in jaccard.near_duplicates(docs, block=block).collect()}
+    assert all(got[i].n_links == (1 if i in (0, n - 1) else 2) and got[i].class_id == 0 for i in range(n))
+    assert all(got[n + i].n_links == 0 and got[n + i].class_id == n + i for i in range(50))
+    sigs = jaccard.signatures(docs.where(f"doc_id < {n}")).select("node", "bands").collect()
+    bands = spark.createDataFrame(sigs, "node long, bands array<long>")
+    of_band = defaultdict(list)
+    for r in sigs:
+        for b in r.bands:
+            of_band[b].append(r.node)
+    edges = spark.createDataFrame([(u, min(v)) for v in of_band.values() for u in v if u != min(v)], "u long, v long")
+    owned = jaccard.in_blocks(components(edges, paths=True).withColumn("grams", F.lit(96)), block)
+    sizes = [r["count"] for r in owned.groupBy("own").count().collect()]
+    assert max(sizes) <= block and len(sizes) == n // block
+    assert jaccard.meetings(owned, bands).count() <= 12 * len(sizes)  # of 4,950
+
+
 def test_minhash_recall():
     assert 1 - (1 - 0.8**jaccard.ROWS) ** jaccard.bands_for() >= jaccard.RECALL
     r = np.random.default_rng(0)
