@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from layerwise import fixtures
+from layerwise import fixtures, queries
 from layerwise.functions import text
 from layerwise.functions.lexer import reading_of
 from layerwise.operators import audit, cells, codedefs, counts, drift, exclusions, explained, lineage, measures, search, summary
@@ -276,6 +276,43 @@ def test_plans_are_read_from_files(spark, monkeypatch):
     assert len({r.normal for r in one}) == 21
 
 
+_FORMS = (
+    "CREATE OR REPLACE TABLE silver.t_{k} AS SELECT a{k}, `b{k}`, log{k}(x) FROM bronze.src_{m} WHERE amount > {k} AND z = 'x{k}'",
+    "WITH c{k} AS (SELECT * FROM a.t{m} WHERE q = {k}) INSERT INTO b.u{k} SELECT * FROM c{k} JOIN d.v{m} ON c{k}.i1 = v{m}.i1 WHERE x <= {k}",
+    "CREATE TEMP VIEW w{k} AS\n-- note {k}\nSELECT * FROM s.t{k} WHERE d > '1997-0{m}-01' AND e > {k}.5",
+    "INSERT INTO gold.g{k} SELECT TOP {k} * FROM [dbo].[t{k}] WHERE a > {k}", "SELECT a INTO #t{k} FROM ##u{k} WHERE z = 'x{k}' 'y{k}'",
+    "MERGE INTO g.t{k} t USING b.s{k} s ON t.k1 = s.k1 WHEN MATCHED AND s.a = {k} THEN UPDATE SET v = 'n{k}' WHEN NOT MATCHED THEN INSERT *",
+    "UPDATE t{k} SET a = {k}, b = 'x-{k}' WHERE c IN (SELECT c{k} FROM u{m})", "DELETE FROM d{k} WHERE x = {k}", "SELECT * FROM t{k} LIMIT {k}",
+    "SELECT CAST(a AS DECIMAL({k}, 2)), INTERVAL {k} MONTH FROM t{k} WHERE d > INTERVAL '{k}' DAY", "SELECT a COLLATE UTF{k} FROM t{k} WHERE a = 0{k}",
+    "SELECT x FROM T{k} JOIN t{k} ON x = -{k} AND y = {k}L AND z = {k}e2 AND t{k}.y{k} = 99999999999999999999", "SELECT `odd name {k}`, \"s{k}\" FROM t{k} WHERE a = {k} GROUP BY {k}",
+    "SELECT IDENTIFIER('t{k}') FROM t{k}", "SELECT ${{k}} FROM t{k}", "SELECT qzx0xzq FROM t{k} WHERE a = {k}", "SELECT (SELECT max(a{k}) FROM u{k}) FROM t{k} a WHERE a.x1 = :p{k} OR b IN ({k}, 'v{k}')",
+)
+
+
+def test_a_shape_costs_one_call(spark, monkeypatch):
+    """Statements of one shape are parsed once, and each row is what its own plan gives."""
+    text = [f.replace("{k}", str(k)).replace("{m}", str(k % 3)) for f in _FORMS for k in (1, 2, 3, 8, 10, 12, 41, 77, 123)]
+    want = {t: row_of(t, rendered(spark, t)) for t in text}
+    assert len({r[8] for r in want.values()}) == 2
+    calls = []
+    monkeypatch.setattr(catalyst, "rendered", lambda spark, sql, parser: calls.append(sql) or rendered(spark, sql, parser))
+    got = catalyst.read_statements(spark.createDataFrame([(t,) for t in text], "raw_sql string")).collect()
+    for r in got:
+        assert [list(x) if isinstance(x, tuple) else x for x in (*r[:7], [f.asDict() for f in r.filters], r.parsed)] == list(want[r.raw_sql]), r.raw_sql
+    assert len(got) == len(want)
+    calls.clear()
+    made = [f"INSERT INTO gold.g_{i % 5} SELECT * FROM silver.t_{i} WHERE amount > {i}" for i in range(300)]
+    assert catalyst.read_statements(spark.createDataFrame([(t,) for t in made], "raw_sql string")).where("parsed").count() == 300
+    assert len(calls) == 1
+
+
+def test_made_code_is_many_tasks(spark, tmp_path):
+    """A small file of suppliers isn't one task that makes and reads all of their code."""
+    spark.range(64).selectExpr("id + 1 AS s_suppkey", "CAST(0 AS INT) AS s_nationkey").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    for rows in (queries.corpus_of(spark, str(tmp_path)), queries._made(spark, str(tmp_path))):
+        assert rows.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+
+
 def test_late_and_failing_tables_have_no_count(spark):
     slow = spark.range(0, 10**13, 1, 1).where("hash(id) = 7")
     bad = spark.range(1).select(F.expr("cast('x' as int)").alias("v")).where("v > 0")
