@@ -110,14 +110,20 @@ def analyse_mismatch(spark: SparkSession, notebooks: DataFrame, mismatch: dict,
 
 def explain_lineage(spark: SparkSession, source: str, transformations: DataFrame, explainer: Explainer | None = None) -> DataFrame:
     """transformations(target, ..., explanation?) with explanations by target; one without keeps what it had."""
-    rows = _dicts(transformations)
-    if not rows:
-        return transformations
-    raw = _needed(explainer)(prompts.lineage(source, rows))
-    said = _answer(spark, raw, 0, list(dict.fromkeys(r["target"] for r in rows)))
+    found, targets = written(transformations, "transformations"), {}
+
+    def each():
+        for r in found.toLocalIterator():  # of all rows, the driver holds the question's text only
+            targets[r.target] = None
+            yield r.asDict(recursive=True)
+
+    question = prompts.lineage(source, each())
+    if not targets:
+        return found
+    said = _answer(spark, _needed(explainer)(question), 0, list(targets))
     said = responses.lineage(said).select(F.explode("explanations").alias("e")).select(F.col("e.target").alias("target"), F.col("e.explanation").alias("_said"))
-    had = F.col("explanation") if "explanation" in transformations.columns else F.lit(None).cast("string")
-    return transformations.join(said, "target", "left").withColumn("explanation", F.coalesce("_said", had)).drop("_said")
+    had = F.col("explanation") if "explanation" in found.columns else F.lit(None).cast("string")
+    return found.join(said, "target", "left").withColumn("explanation", F.coalesce("_said", had)).drop("_said")
 
 
 def validate_logic(spark: SparkSession, notebooks: DataFrame, catalog: str, schema: str, table: str, rule: str, explainer: Explainer | None = None) -> dict:

@@ -205,6 +205,16 @@ def test_explanations(spark):
     assert audit.explain_lineage(spark, "x", fan.limit(0)).count() == 0
 
 
+def test_explained_lineage_leaves_rows_where_they_are(spark, monkeypatch):
+    """The question is made row by row: the driver never holds all rows, and a table of many is read once."""
+    monkeypatch.setattr(audit, "_dicts", None)
+    fan = spark.range(50).selectExpr("concat('t', id % 3) AS target", "'/p' AS path", "CAST(id AS INT) AS cell_index", "uuid() AS snippet")
+    asked = []
+    told = audit.explain_lineage(spark, "x", fan, lambda m: asked.append(m[1]["content"]) or '{"explanations": [{"targetTable": "t1", "explanation": "e"}]}').collect()
+    assert len(told) == 50 and {r.explanation for r in told if r.target == "t1"} == {"e"}
+    assert all(r.snippet in asked[0] for r in told)
+
+
 def test_level_code_limits(spark):
     many = "\n-- COMMAND ----------\n".join(f"SELECT {i} FROM t" for i in range(60))
     books = notebooks(spark, [("/a", "SQL", "SELECT 1 FROM other"), ("/b", "SQL", many)])
