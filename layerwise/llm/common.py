@@ -98,7 +98,7 @@ _BYTE = np.random.default_rng(13).integers(0, 1 << 63, 256, dtype=np.uint64)
 _FACTOR = 0x9E3779B97F4A7C15
 #: Runs from this size on are hashed by XXH64: a polynomial modulo 2**64 has collisions that can be written down, the
 #: shortest of some 1,000 letters, whatever its factor.
-LONG_RUN = 64
+LONG_RUN = 64  # a power of two
 _POWERS = np.array([pow(_FACTOR, i, 1 << 64) for i in range(LONG_RUN)], np.uint64)
 
 
@@ -110,7 +110,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 def hashed_runs(letters: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """64-bit hashes of runs of bytes that lie one after the other and are not empty."""
     terms = _BYTE[letters]
-    terms *= _POWERS[(np.arange(len(letters)) - np.repeat(starts, sizes)) % LONG_RUN]
+    terms *= _POWERS[(np.arange(len(letters)) - np.repeat(starts, sizes)) & (LONG_RUN - 1)]
     out = mixed(np.add.reduceat(terms, starts) + sizes.astype(np.uint64))
     for i in np.flatnonzero(sizes >= LONG_RUN).tolist():
         out[i] = xxhash.xxh64_intdigest(letters[starts[i] : starts[i] + sizes[i]].tobytes())

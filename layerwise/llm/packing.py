@@ -39,6 +39,7 @@ DIMENSIONS = 32
 COPY_KEYS, KEY_HASHES = 6, 3  # near copies share a key of so many MinHashes: of Jaccard 0.8 98.6 %, of 0.1 0.6 %
 _PARTS = 1 << 14  # of a leaf, and of a group of near copies
 _MEMO = 600_000
+_SLOT_BITS = 20
 _SEQUENCES = 1 << 20  # ids of sequences in a shard
 
 _PART = 1 << 21  # bytes of text that are cut into runs at a time
@@ -125,13 +126,15 @@ class Encoder:
     def _clear(self) -> None:
         self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes of known runs, sorted; places in edges
         self.ids, self.edges = np.zeros(0, self.kind), np.zeros(1, np.int64)
-        self.runs: list[bytes] = []  # by their places
+        self.letters, self.bounds = np.zeros(0, np.uint8), np.zeros(1, np.int64)  # of known runs, by their places
+        self.slots = self.slot_places = np.zeros(0, np.int64)  # made when runs are met: the driver has no use for them
 
     def _learn(self, keys: np.ndarray, runs: list[bytes]) -> None:
         ids = np.array(self.pairs.encode_ordinary((b"\0".join(runs) + b"\0").decode()), self.kind)
         ends = np.flatnonzero(self.ends[ids]) + 1
         assert len(ends) == len(runs)
-        self.runs += runs
+        self.bounds = np.append(self.bounds, np.cumsum(list(map(len, runs))) + len(self.letters))
+        self.letters = np.append(self.letters, np.frombuffer(b"".join(runs), np.uint8))
         places = np.arange(len(runs)) + len(self.edges) - 1
         self.edges = np.append(self.edges, ends + len(self.ids))
         self.ids = np.append(self.ids, ids)
@@ -139,30 +142,67 @@ class Encoder:
         order = np.argsort(keys)
         self.keys, self.places = keys[order], places[order]
 
+    def _same(self, letters: np.ndarray, starts: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Which runs of letters are the known ones at these places, letter by letter."""
+        same = sizes == self.bounds[places + 1] - self.bounds[places]
+        like = np.flatnonzero(same)
+        if len(like):
+            size = sizes[like]
+            before = np.cumsum(size) - size
+            inside = np.arange(size.sum()) - np.repeat(before, size)
+            differ = letters[inside + np.repeat(starts[like], size)] != self.letters[inside + np.repeat(self.bounds[places[like]], size)]
+            same[like] = ~np.logical_or.reduceat(differ, before)
+        return same
+
     def _plain(self, raw: list[bytes]) -> list[np.ndarray]:
         letters = np.frombuffer(b" ".join(raw).lower(), np.uint8).copy()
         second = np.flatnonzero(letters == 0xC3) + 1
         letters[second[letters[second] < 0x9F]] += 32  # capitals: À to Þ
         text = letters.tobytes()
         hashes, starts, sizes = runs_of(text)
-        keys, first, which = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.keys) > _MEMO:
             self._clear()
-        known = np.isin(keys, self.keys, assume_unique=True)
+        if not len(self.slots):
+            self.slots, self.slot_places = np.full(1 << _SLOT_BITS, ~np.uint64(0)), np.full(1 << _SLOT_BITS, -1)  # hashes last met, by their first bits
+            self.slots[-1] = 0  # an empty slot holds a hash that belongs to another
+        slot = (hashes >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+        met = np.flatnonzero(self.slots[slot] == hashes)
+        place = np.full(len(hashes), -1)
+        place[met] = self.slot_places[slot[met]]
+        some = np.full(len(self.bounds) - 1, -1)  # one of the runs that are met at each place; its letters are compared
+        some[place[met]] = met
+        of_place = np.flatnonzero(some >= 0)
+        some[of_place[self._same(letters, starts[some[of_place]], sizes[some[of_place]], of_place)]] = -1
+        place[met[some[place[met]] >= 0]] = -1
+        rest = np.flatnonzero(place < 0)
+        order = np.argsort(hashes[rest])
+        keys = hashes[rest[order]]
+        fresh = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+        which = np.empty(len(keys), np.int64)
+        which[order] = np.cumsum(fresh) - 1
+        keys, first = keys[fresh], rest[order[fresh]]
+        at = np.searchsorted(self.keys, keys)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == keys[known]
         run_of = lambda places: [text[a:b] for a, b in zip(starts[places].tolist(), (starts[places] + sizes[places]).tolist())]
         old = np.flatnonzero(known)
-        stored_runs = [self.runs[i] for i in self.places[np.searchsorted(self.keys, keys[old])].tolist()]
-        for i, run, other in zip(old.tolist(), run_of(first[old]), stored_runs):
-            seed = 0
+        odd = old[~self._same(letters, starts[first[old]], sizes[first[old]], self.places[at[old]])]
+        for i, run in zip(odd.tolist(), run_of(first[odd])):
+            seed, other = 0, None
             while run != other:  # a stored run has the same hash
                 seed += 1
                 keys[i] = xxhash.xxh64_intdigest(run, seed)
                 known[i] = keys[i] in self.keys
-                other = self.runs[self.places[np.searchsorted(self.keys, keys[i])]] if known[i] else run
+                p = self.places[np.searchsorted(self.keys, keys[i])] if known[i] else -1
+                other = self.letters[self.bounds[p] : self.bounds[p + 1]].tobytes() if known[i] else run
         new = np.flatnonzero(~known)
         if len(new):
             self._learn(keys[new], run_of(first[new]))
-        place = self.places[np.searchsorted(self.keys, keys)][which]
+        found = self.places[np.searchsorted(self.keys, keys)]
+        slot = (keys >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+        self.slots[slot] = keys
+        self.slot_places[slot] = found
+        place[rest] = found[which]
         start, size = self.edges[place], self.edges[place + 1] - self.edges[place]
         after = np.cumsum(size)
         flat = self.ids[np.arange(after[-1] if len(after) else 0) + np.repeat(start - (after - size), size)]
@@ -305,13 +345,13 @@ def document_frequencies(rows: DataFrame) -> np.ndarray:
 
 @lru_cache(1)
 def _signs() -> np.ndarray:
-    return np.random.default_rng(12).integers(0, 2, (TERMS, DIMENSIONS), dtype=np.int8).astype(np.float32) * 2 - 1
+    return np.random.default_rng(12).integers(0, 2, (TERMS, DIMENSIONS), dtype=np.int8) * 2 - 1
 
 
 def vector(words: np.ndarray, counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """A unit vector of a document's words, each with its weight and BM25's saturation; 0 without such words."""
     w = weights[words] * (counts * (K1 + 1) / (counts + K1))
-    v = w.astype(np.float32) @ _signs()[words]
+    v = w.astype(np.float32) @ _signs().take(words, axis=0).astype(np.float32)
     return v / max(float(np.linalg.norm(v)), 1e-9)
 
 
@@ -420,9 +460,10 @@ class Index:
 
     def scores(self, seed: int) -> np.ndarray:
         """Every document's score for the seed's words."""
-        at = np.searchsorted(self.term, self.counted[seed][0])
-        at = at[at < len(self.term)]
-        at = at[np.isin(self.term[at], self.counted[seed][0], assume_unique=True)]
+        words = self.counted[seed][0]
+        at = np.searchsorted(self.term, words)
+        words, at = words[at < len(self.term)], at[at < len(self.term)]
+        at = at[self.term[at] == words]
         lo, hi = self.edge[at], self.edge[at + 1]
         place = np.repeat(lo - np.append(0, np.cumsum(hi - lo)[:-1]), hi - lo) + np.arange((hi - lo).sum())
         return np.bincount(self.doc[place], self.weight[place], self.n)

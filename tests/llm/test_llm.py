@@ -312,6 +312,31 @@ def test_packing_takes_the_best_neighbour_first():
     assert [d for d, *_ in packing.pack([4, 4, 4, 4], index, 8)] == [0, 2, 1, 3]
 
 
+def test_scores_count_a_word_once():
+    """A word that weighs nothing stands before one that does: the latter's score isn't doubled."""
+    counted = [(np.array([5, 6], np.int32), np.array([1, 1])), (np.array([6], np.int32), np.array([1]))]
+    idf = np.zeros(packing.TERMS, np.float32)
+    idf[6] = 1.0
+    index = packing.Index(counted, idf)
+    size = np.array([2, 1])
+    want = (packing.K1 + 1) / (1 + packing.K1 * (1 - packing.B + packing.B * size / size.mean()))
+    assert np.allclose(index.scores(0), want)
+    assert np.allclose(index.scores(1), want)
+
+
+def test_known_runs_are_compared_by_letters():
+    """Runs met before are found by their hashes; one whose hash is another's gets its own ids, again and again."""
+    one = packing.Encoder()
+    ids = lambda t: [*one.tokenizer.encode(t, add_special_tokens=False).ids, packing.END]
+    texts = ["red green 7 blue", "green red", "", "blue blue 77"]
+    assert [x.tolist() for x in one.encode_all(texts)] == list(map(ids, texts))
+    one.letters = one.letters.copy()
+    place = next(i for i in range(len(one.bounds) - 1) if one.letters[one.bounds[i] : one.bounds[i + 1]].tobytes() == b"blue")
+    one.letters[one.bounds[place]] = ord("g")  # as if "glue" were known by the hash of "blue"
+    for _ in range(2):
+        assert [x.tolist() for x in one.encode_all(texts)] == list(map(ids, texts))
+
+
 def water(sizes, weights, epochs):
     target, open_ = {}, set(sizes)
     while True:
