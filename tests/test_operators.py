@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from layerwise import fixtures, queries
 from layerwise.functions import text
 from layerwise.functions.lexer import reading_of
-from layerwise.operators import audit, cells, codedefs, counts, drift, exclusions, explained, lineage, measures, search, summary
+from layerwise.operators import audit, cells, codedefs, counts, drift, exclusions, explained, lineage, measures, search, sqlfacts, summary
 from layerwise.plans import catalyst
 from layerwise.plans.catalyst import rendered, row_of
 from layerwise.sources import catalog, sinks
@@ -451,3 +451,32 @@ def test_questions_as_columns(spark, tmp_path):
     assert got["a"].responsible.snippet == "SELECT 1 FROM a" and got["a"].n_candidates == 2 and got["a"].explanation == "e"
     assert "[0] /1, cell 0\n<code>\nINSERT INTO s.a SELECT * FROM b.src\n</code>\n[1] /1" in got["a"].prompt
     assert got["none"].responsible is None and got["none"].prompt.endswith("Candidates:\nNo code was found.")
+
+
+def test_writers_read_only_cells_that_name_the_table(spark, monkeypatch):
+    seen, read = [], lineage.read
+    monkeypatch.setattr(lineage, "read", lambda rows: (seen.extend(r.raw_sql for r in rows.select("raw_sql").collect()), read(rows))[1])
+    books = notebooks(spark, [("/a", "SQL", "-- Databricks notebook source\nINSERT INTO silver.orders SELECT 1\n-- COMMAND ----------\nINSERT INTO silver.other SELECT 2")])
+    assert [(r.cell_index, r.snippet) for r in lineage.writers(books, "main", "silver", "orders").collect()] == [(0, "INSERT INTO silver.orders SELECT 1")]
+    assert seen == ["INSERT INTO silver.orders SELECT 1"]
+
+
+def test_a_frame_gives_way_to_a_statement_that_does_not_name_the_source(spark):
+    cell = 'spark.sql("CREATE TABLE gold.x AS SELECT 1 AS a")\nspark.table("silver.orders").write.saveAsTable("gold.x")'
+    assert lineage.fan_out(notebooks(spark, [("/a", "PYTHON", cell)]), "silver.orders").count() == 0
+
+
+def test_code_is_cut_once(spark):
+    """However often its cells, statements and facts are read, a notebook's text is computed once."""
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(s):
+        runs.add(1)
+        return s
+
+    books = notebooks(spark, [("/a", "SQL", "INSERT INTO silver.orders SELECT 1; SELECT 2")])
+    books = books.withColumn("source", F.udf(counted, "string").asNondeterministic()("source"))
+    for n, facts_of in enumerate((lineage.lineage_facts, sqlfacts.sql_facts), 1):
+        facts = facts_of(books)
+        assert facts.count() == len(facts.collect()) == 2
+        assert runs.value == n
