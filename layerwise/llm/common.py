@@ -20,6 +20,9 @@ _SPACES = str.maketrans("\t\n\x0b\x0c\r", "     ")
 #: Largest side that is ever broadcast, in bytes of its rows as estimated by the caller.
 BROADCAST_BYTES = 16 << 20
 
+#: What a row_key takes in the table that a broadcast is at the driver: key and value rows of 32 bytes, pointers, hash slots.
+KEY_BYTES = 112
+
 
 def words(text: str) -> list[str]:
     """The words of a text; what re.findall(WORD) gives, several times as fast."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,21 +19,30 @@ def components(edges: DataFrame, paths: bool = False) -> DataFrame:
     take their label's own label. So nodes that share a label move together, and the number of rounds grows with
     the logarithm of the longest way, not with the way. Every round is written to the shared folder; only a count comes to the driver. Self-loops and
     repeated edges don't matter; nulls are not allowed. Nodes without edges are not listed.
+
+    What a node hears and what it has are added up by one aggregation, and so is what it passes on: a round is two
+    joins and two aggregations, as the driver's memory goes with the number of stages that it plans.
     """
     both = stored(edges.select("u", "v").union(edges.select("v", "u")).distinct(), "edges")
     labels = both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("component"))
-    kept = ["path"] if paths else []
-    labels = stored(labels.withColumn("path", F.array("component")) if paths else labels, "labels")
+    labels = stored(labels, "labels")
+    rounds = [labels]
+    none = F.lit(None).cast("long").alias("was")
     while True:
-        around = both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("component").alias("near"))
-        lower = labels.join(around, F.col("node") == F.col("u")).select("node", F.col("component").alias("was"), "near", *kept)
-        hooks = lower.groupBy(F.col("was").alias("root")).agg(F.min("near").alias("hook"))
-        lower = lower.join(hooks, F.col("node") == F.col("root"), "left")
-        lower = lower.select("node", "was", F.least("was", "near", F.coalesce("hook", "was")).alias("component"), *kept)
+        heard = both.join(labels, F.col("v") == F.col("node")).select(F.col("u").alias("node"), F.col("component").alias("near"), none)
+        own = labels.select("node", F.col("component").alias("near"), F.col("component").alias("was"))
+        around = heard.union(own).groupBy("node").agg(F.min("near").alias("near"), F.max("was").alias("was"))
+        passed = F.explode(F.array(F.struct("node", "near", "was"), F.struct(F.col("was").alias("node"), "near", none))).alias("p")
+        lower = around.select(passed).select("p.*").groupBy("node").agg(F.max("was").alias("was"), F.min("near").alias("component"))
         above = labels.select(F.col("node").alias("label"), F.col("component").alias("top"))
         jumped = lower.join(above, F.col("component") == F.col("label"), "left")
-        jumped = jumped.select("node", "was", F.least("component", F.coalesce("top", "component")).alias("component"), *kept)
-        jumped = stored(jumped.withColumn("path", F.concat("path", F.array("component"))) if paths else jumped, "labels")
-        labels = jumped.select("node", "component", *kept)
+        jumped = stored(jumped.select("node", "was", F.least("component", F.coalesce("top", "component")).alias("component")), "labels")
+        labels = jumped.select("node", "component")
+        rounds.append(labels)
         if jumped.where("component < was").isEmpty():
-            return labels
+            break
+    if not paths:
+        return labels
+    told = reduce(DataFrame.union, [r.select("node", F.struct(F.lit(i).alias("round"), "component").alias("r")) for i, r in enumerate(rounds)])
+    told = told.groupBy("node").agg(F.sort_array(F.collect_list("r"))["component"].alias("path"))
+    return stored(told.select("node", F.element_at("path", -1).alias("component"), "path"), "paths")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, packed_row, row_key, small, stored, unpacked, words
+from .common import KEY_BYTES, bounded_batches, packed_row, row_key, small, stored, unpacked, words
 from .graph import components
 from .prefixes import laid_out, running
 
@@ -295,14 +295,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int
     members = classes.select("node", "copies", "grams", "_row").join(near, "node")
     sizes = members.groupBy("component").agg(F.count("*").alias("size"), F.sum("grams").alias("all_grams"))
     members = stored(members.join(sizes, "component"), "neighbourhoods")
-    texts = docs.select(row_key(docs).alias("_row"), "text").join(small(members.select("_row"), members.count(), 32), "_row", "left_semi")
+    texts = docs.select(row_key(docs).alias("_row"), "text").join(small(members.select("_row"), members.count(), KEY_BYTES), "_row", "left_semi")
     texts = texts.dropDuplicates(["_row"]).join(members.drop("grams", "path"), "_row")  # equal rows have one text
     inside, across = compared(texts, similarity, block, places=members, bands=classes.select("node", "bands"))
     inside = stored(inside, "compared")
-    links = inside.select("node", "links")
-    edges = inside.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(across)
-    near = components(stored(edges, "links"))
-    info = classes.select("class", "node", "copies", "least").join(links, "node", "left").join(near, "node", "left")
+    # A block's links are settled in it: only what joins the roots of different blocks is left.
+    if across.isEmpty():
+        links = inside.withColumnRenamed("root", "component")
+    else:
+        met = components(stored(across, "links")).select(F.col("node").alias("root"), "component")
+        links = inside.join(met, "root", "left").select("node", "links", F.coalesce("component", "root").alias("component"))
+    info = classes.select("class", "node", "copies", "least").join(links, "node", "left")
     info = stored(info.select("class", "copies", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component")), "class-links")
     groups = info.groupBy("component").agg(F.min("least").alias("winner"))
     info = stored(info.join(groups, "component").drop("component"), "class-info")
@@ -322,7 +325,7 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs that near_duplicates keeps, one for each class, with all their columns."""
     rows = stored(near_duplicates(docs, similarity).select("_row", "keep"), "keep")
     lost = rows.where("not keep").select("_row").distinct()
-    kept = docs.select(packed_row(docs), row_key(docs).alias("_row")).join(small(lost, rows.count(), 32), "_row", "left_anti")
+    kept = docs.select(packed_row(docs), row_key(docs).alias("_row")).join(small(lost, rows.where("not keep").count(), KEY_BYTES), "_row", "left_anti")
     if not rows.where("keep").groupBy("_row").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates(["_row"])
     return unpacked(kept, docs.columns)

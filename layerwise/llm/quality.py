@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fold_of, packed_row, row_key, small, stored, unpacked, words
+from .common import KEY_BYTES, bounded_batches, fold_of, packed_row, row_key, small, stored, unpacked, words
 from .labelled import FOLDS, MAX_TRAIN, fitted_on, training_labels
 
 ROWS = 1 << 14  # hashed vocabulary
@@ -201,5 +201,5 @@ def score(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN, threshold:
 def accepted(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN, threshold: float = 0.3) -> DataFrame:
     """The rows of docs whose score reaches the threshold, with all their columns."""
     rejected = stored(scored(docs, labels, limit).where(F.col("score") < threshold).select("_row").distinct(), "rejected")
-    kept = docs.select(packed_row(docs), row_key(docs).alias("_row")).join(small(rejected, rejected.count(), 32), "_row", "left_anti")
+    kept = docs.select(packed_row(docs), row_key(docs).alias("_row")).join(small(rejected, rejected.count(), KEY_BYTES), "_row", "left_anti")
     return unpacked(kept, docs.columns)

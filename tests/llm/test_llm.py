@@ -159,6 +159,37 @@ def test_jaccard_chain(spark):
     assert jaccard.meetings(owned, bands).count() <= 12 * len(sizes)  # of 4,950
 
 
+def stages_of(spark, group, run):
+    """How many stages Spark was given for what `run` does; the driver keeps plan, code and metrics of each."""
+    sc = spark.sparkContext
+    sc.setJobGroup(group, group)
+    try:
+        out = run()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    return out, len({s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds})
+
+
+def test_jaccard_stages_are_few(spark, rows):
+    """Neither small neighbourhoods, whose links are settled where they are compared, nor rounds of labels cost many stages."""
+    ids = random.Random(4).sample(range(10**9), 300)
+    chain = spark.createDataFrame(list(zip(ids, ids[1:])), "u long, v long")
+    got, n = stages_of(spark, "stages-components", lambda: components(chain, paths=True).collect())
+    assert {r.component for r in got} == {min(ids)} and n <= 10 * len(got[0].path)
+    got, n = stages_of(spark, "stages-jaccard", lambda: jaccard.near_duplicates(docs_of(spark, rows)).collect())
+    assert Counter((r.doc_id, r.n_links, r.class_id) for r in got) == brute_links(rows)[0] and n <= 80
+
+
+def test_jaccard_roots_of_blocks_are_joined(spark):
+    """A neighbourhood that is cut into blocks is one class where links cross them, and stays as many as it is where none do."""
+    near = near_copies(40, 0.002, 60)
+    rows = [(i, t, "s") for i, t in enumerate(near)] + [(100 + i, t + " of another end", "s") for i, t in enumerate(near_copies(3, 0, 30))]
+    for block in (1000, 7):
+        got = jaccard.near_duplicates(docs_of(spark, rows), block=block).collect()
+        assert Counter((r.doc_id, r.n_links, r.class_id) for r in got) == brute_links(rows)[0]
+
+
 def test_minhash_recall():
     assert 1 - (1 - 0.8**jaccard.ROWS) ** jaccard.bands_for() >= jaccard.RECALL
     r = np.random.default_rng(0)
