@@ -23,6 +23,9 @@ BROADCAST_BYTES = 16 << 20
 #: What a row_key takes in the table that a broadcast is at the driver: key and value rows of 32 bytes, pointers, hash slots.
 KEY_BYTES = 112
 
+#: What a row of some ids, counts, a digest and labels takes there at most.
+ROW_BYTES = 256
+
 
 def words(text: str) -> list[str]:
     """The words of a text; what re.findall(WORD) gives, several times as fast."""
@@ -55,8 +58,18 @@ def stored(df: DataFrame, label: str, *partition: str) -> DataFrame:
 
 
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
-    """df, marked for broadcast only if its known number of rows keeps it under BROADCAST_BYTES."""
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+    """df, marked for broadcast only if its known number of rows keeps it under BROADCAST_BYTES, and else for a sorted join."""
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df.hint("merge")
+
+
+def measured(df: DataFrame, rows: int, row_bytes: int = ROW_BYTES) -> DataFrame:
+    """df, a side of a join; neither side that Spark might broadcast has more than `rows` rows.
+
+    Spark takes a table for as large as its compressed file, and an array, or all that explode makes of it, for one
+    value: what is 10 MB to it can be the driver's whole memory. So it may only choose by that while the number of rows,
+    which is known, keeps the table under BROADCAST_BYTES; beyond, the join is a sorted one.
+    """
+    return df if rows * row_bytes <= BROADCAST_BYTES else df.hint("merge")
 
 
 def bounded_batches(spark: SparkSession) -> None:

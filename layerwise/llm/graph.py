@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import KEY_BYTES, measured, stored
 
 
 def components(edges: DataFrame, paths: bool = False) -> DataFrame:
@@ -26,16 +26,16 @@ def components(edges: DataFrame, paths: bool = False) -> DataFrame:
     both = stored(edges.select("u", "v").union(edges.select("v", "u")).distinct(), "edges")
     labels = both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("component"))
     labels = stored(labels, "labels")
-    rounds = [labels]
+    rounds, n = [labels], both.count()  # no fewer than labels
     none = F.lit(None).cast("long").alias("was")
     while True:
-        heard = both.join(labels, F.col("v") == F.col("node")).select(F.col("u").alias("node"), F.col("component").alias("near"), none)
+        heard = both.join(measured(labels, n, KEY_BYTES), F.col("v") == F.col("node")).select(F.col("u").alias("node"), F.col("component").alias("near"), none)
         own = labels.select("node", F.col("component").alias("near"), F.col("component").alias("was"))
         around = heard.union(own).groupBy("node").agg(F.min("near").alias("near"), F.max("was").alias("was"))
         passed = F.explode(F.array(F.struct("node", "near", "was"), F.struct(F.col("was").alias("node"), "near", none))).alias("p")
         lower = around.select(passed).select("p.*").groupBy("node").agg(F.max("was").alias("was"), F.min("near").alias("component"))
         above = labels.select(F.col("node").alias("label"), F.col("component").alias("top"))
-        jumped = lower.join(above, F.col("component") == F.col("label"), "left")
+        jumped = lower.join(measured(above, n, KEY_BYTES), F.col("component") == F.col("label"), "left")
         jumped = stored(jumped.select("node", "was", F.least("component", F.coalesce("top", "component")).alias("component")), "labels")
         labels = jumped.select("node", "component")
         rounds.append(labels)

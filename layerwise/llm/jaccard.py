@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY_BYTES, bounded_batches, packed_row, row_key, small, stored, unpacked, words
+from .common import KEY_BYTES, bounded_batches, measured, packed_row, row_key, small, stored, unpacked, words
 from .graph import components
 from .prefixes import laid_out, running
 
@@ -201,10 +201,10 @@ def in_blocks(places: DataFrame, block: int = BLOCK, block_grams: int = BLOCK_GR
 
 def meetings(owned: DataFrame, bands: DataFrame) -> DataFrame:
     """owned(node, component, own), bands(node, bands array) -> (component, i, j): blocks i < j with nodes in one bucket."""
-    at = owned.join(bands, "node").select("component", "own", F.explode("bands").alias("band")).distinct()
+    at = owned.join(bands.hint("merge"), "node").select("component", "own", F.explode("bands").alias("band")).distinct()
     at = stored(at, "buckets-of-blocks")
     i, j = (at.select("component", "band", F.col("own").alias(name)) for name in "ij")
-    return i.join(j, ["component", "band"]).where("i < j").select("component", "i", "j").distinct()
+    return i.join(measured(j, at.count(), KEY_BYTES), ["component", "band"]).where("i < j").select("component", "i", "j").distinct()
 
 
 def compared(
@@ -223,7 +223,7 @@ def compared(
         bands = texts.select("node", F.array("component").alias("bands"))
     is_large = (F.col("size") > block) | (F.col("all_grams") > block_grams)
     few, many = texts.where(~is_large), texts.where(is_large)
-    load = few.agg(F.count("*"), F.sum(F.col("all_grams") / F.col("size"))).first()
+    load = places.where(~is_large).agg(F.count("*"), F.sum(F.col("all_grams") / F.col("size"))).first()  # without their texts
     batches = max(1, int(load[0] // block), int((load[1] or 0) // block_grams))
 
     def inside(rows: pd.DataFrame) -> pd.DataFrame:
@@ -242,7 +242,7 @@ def compared(
     if places.isEmpty():
         return small_ones, texts.sparkSession.createDataFrame([], "u long, v long")
     owned = stored(in_blocks(places, block, block_grams), "owned")
-    of_node = small(owned.select("node", "own"), owned.count(), 32)
+    of_node = small(owned.select("node", "own"), owned.count(), KEY_BYTES)
     cut = many.select("node", "copies", "text", "component").join(of_node, "node")
     cut = stored(cut.groupBy("component", "own").applyInPandas(packed, _BLOCK), "blocks")
 
@@ -261,7 +261,7 @@ def compared(
 
     pairs = stored(meetings(owned, bands), "block-pairs")
     sides = pairs.withColumn("own", F.explode(F.array("i", "j")))
-    tasks = cut.select("component", "own", "sizes", "copies", "sets", "roots").join(small(sides, 2 * pairs.count(), 48), ["component", "own"])
+    tasks = cut.select("component", "own", "sizes", "copies", "sets", "roots").join(small(sides, 2 * pairs.count(), KEY_BYTES), ["component", "own"])
     met = stored(tasks.groupBy("component", "i", "j").applyInPandas(across, "component long, own long, links binary, edges array<struct<u:long,v:long>>"), "meetings")
 
     def summed(rows: pd.DataFrame) -> pd.DataFrame:
@@ -288,15 +288,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int
     sigs = stored(signatures(docs, similarity), "signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("_row").alias("row")))
     classes = stored(sigs.groupBy("class", "node").agg(F.count("*").alias("copies"), first.alias("least"), F.min("_row").alias("_row"), F.first("grams").alias("grams"), F.first("bands").alias("bands")), "classes")
+    n = classes.count()
     banded = classes.select("node", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("node").alias("v"), F.max("node").alias("last")).where("v < last").select("band", "v")
-    edges = banded.join(buckets, "band").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
+    edges = banded.join(measured(buckets, n * bands_for(similarity), KEY_BYTES), "band").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
     near = components(stored(edges, "candidates"), paths=True)
-    members = classes.select("node", "copies", "grams", "_row").join(near, "node")
+    members = classes.select("node", "copies", "grams", "_row").join(measured(near, n), "node")
     sizes = members.groupBy("component").agg(F.count("*").alias("size"), F.sum("grams").alias("all_grams"))
-    members = stored(members.join(sizes, "component"), "neighbourhoods")
+    members = stored(members.join(measured(sizes, n), "component"), "neighbourhoods")
     texts = docs.select(row_key(docs).alias("_row"), "text").join(small(members.select("_row"), members.count(), KEY_BYTES), "_row", "left_semi")
-    texts = texts.dropDuplicates(["_row"]).join(members.drop("grams", "path"), "_row")  # equal rows have one text
+    texts = texts.dropDuplicates(["_row"]).join(measured(members.drop("grams", "path"), n), "_row")  # equal rows have one text
     inside, across = compared(texts, similarity, block, places=members, bands=classes.select("node", "bands"))
     inside = stored(inside, "compared")
     # A block's links are settled in it: only what joins the roots of different blocks is left.
@@ -304,12 +305,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int
         links = inside.withColumnRenamed("root", "component")
     else:
         met = components(stored(across, "links")).select(F.col("node").alias("root"), "component")
-        links = inside.join(met, "root", "left").select("node", "links", F.coalesce("component", "root").alias("component"))
-    info = classes.select("class", "node", "copies", "least").join(links, "node", "left")
+        links = inside.join(measured(met, n), "root", "left").select("node", "links", F.coalesce("component", "root").alias("component"))
+    info = classes.select("class", "node", "copies", "least").join(measured(links, n), "node", "left")
     info = stored(info.select("class", "copies", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component")), "class-links")
     groups = info.groupBy("component").agg(F.min("least").alias("winner"))
-    info = stored(info.join(groups, "component").drop("component"), "class-info")
-    rows = sigs.select("_row", "doc_id", "class").join(info, "class")
+    info = stored(info.join(measured(groups, n), "component").drop("component"), "class-info")
+    rows = sigs.select("_row", "doc_id", "class").join(measured(info, n), "class")
     return rows.select(
         "_row",
         "doc_id",

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from layerwise.llm import eliasfano, jaccard, language, mixing, neighbours, packing, quality, registry, rules, scoring, secrets, toxicity
+from layerwise.llm import common, eliasfano, graph, jaccard, language, mixing, neighbours, packing, quality, registry, rules, scoring, secrets, toxicity
 from layerwise.llm.graph import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _row long, _size string, score string, want int, _spans string, bits int"
@@ -181,6 +181,37 @@ def test_jaccard_stages_are_few(spark, rows):
     assert Counter((r.doc_id, r.n_links, r.class_id) for r in got) == brute_links(rows)[0] and n <= 80
 
 
+def plans_of(monkeypatch, *modules):
+    """The plans of what the modules store from now on, as (label, plan)."""
+    plans = []
+
+    def seen(df, label, *partition):
+        plans.append((label, plan_of(df)))
+        return common.stored(df, label, *partition)
+
+    for m in modules:
+        monkeypatch.setattr(m, "stored", seen)
+    return plans
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_jaccard_leaves_no_broadcast_to_sparks_estimate(spark, rows, monkeypatch):
+    """Where counted rows don't fit, Spark doesn't broadcast the table after all, as it takes an exploded array for one value."""
+    plans = plans_of(monkeypatch, jaccard, graph)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    some = rows + [(1000 + i, t, "s") for i, t in enumerate(near_copies(40, 0.01))]
+    found = jaccard.near_duplicates(docs_of(spark, some), block=6)
+    plans.append(("found", plan_of(found)))
+    assert Counter((r.doc_id, r.n_links, r.class_id) for r in found.collect()) == brute_links(some)[0]
+    assert {"candidates", "labels", "neighbourhoods", "compared", "class-info", "block-pairs", "meetings", "blocks"} <= {label for label, _ in plans}
+    # A table of as many rows as ranges is broadcast where blocks are cut.
+    assert not [label for label, plan in plans if "BroadcastHashJoin" in plan and label != "owned"]
+    assert sum("SortMergeJoin" in plan for _, plan in plans) >= 10
+
+
 def test_jaccard_roots_of_blocks_are_joined(spark):
     """A neighbourhood that is cut into blocks is one class where links cross them, and stays as many as it is where none do."""
     near = near_copies(40, 0.002, 60)
