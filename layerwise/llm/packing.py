@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, hashed_runs, small, stored
+from .common import KEY_BYTES, bounded_batches, hashed_runs, measured, small, stored
 
 TOKENIZER = "word_bpe_49k.json"
 WINDOW = 4096
@@ -421,16 +421,16 @@ def dealt(rows: DataFrame, freq: np.ndarray, idf: np.ndarray, n: int, shards: in
     placed = stored(placed, "leaves")
     keyed = rows.select("order", F.explode("keys").alias("key"))
     first = keyed.groupBy("key").agg(F.min("order").alias("lead"), F.count("*").alias("of")).where("of > 1").select("key", "lead")
-    led = keyed.join(first, "key").groupBy("order").agg(F.min("lead").alias("lead")).where("lead < order")
+    led = keyed.join(measured(first, n * COPY_KEYS, KEY_BYTES), "key").groupBy("order").agg(F.min("lead").alias("lead")).where("lead < order")
     led = stored(led, "leads")
     while True:  # a lead that has a lead itself gives way to it, so that all who are linked to the last one meet
         up = led.select(F.col("order").alias("lead"), F.col("lead").alias("top"))
-        jumped = stored(led.join(up, "lead", "left").select("order", F.coalesce("top", "lead").alias("lead"), F.col("top").isNotNull().alias("moved")), "leads")
+        jumped = stored(led.join(measured(up, n, KEY_BYTES), "lead", "left").select("order", F.coalesce("top", "lead").alias("lead"), F.col("top").isNotNull().alias("moved")), "leads")
         led = jumped.select("order", "lead")
         if jumped.where("moved").isEmpty():
             break
-    moved = led.join(placed.select(F.col("order").alias("lead"), F.col("leaf").alias("lead_leaf")), "lead")
-    placed = placed.join(moved, "order", "left").select("order", "n", F.coalesce("lead_leaf", "leaf").alias("leaf"), F.coalesce("lead", "order").alias("lead"))
+    moved = led.join(measured(placed.select(F.col("order").alias("lead"), F.col("leaf").alias("lead_leaf")), n, KEY_BYTES), "lead")
+    placed = placed.join(measured(moved, n, KEY_BYTES), "order", "left").select("order", "n", F.coalesce("lead_leaf", "leaf").alias("leaf"), F.coalesce("lead", "order").alias("lead"))
     placed = stored(placed, "led-leaves")
     # A leaf, or a part of one, of more than two shards' ids is cut; both tables have about a row a shard.
     parts = lambda df, by, name: df.groupBy(*by).agg(F.sum("n").alias("all")).select(*by, F.when(F.col("all") > 2 * shard_tokens, F.least(F.ceil(F.col("all") / shard_tokens), F.lit(_PARTS))).otherwise(1).cast("long").alias(name))

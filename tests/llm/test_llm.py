@@ -358,6 +358,21 @@ def test_packing_brings_near_copies_together(spark):
     assert sum(near(i * 7, 5000 + i * 7) for i in range(40)) >= 36
 
 
+def test_packing_leaves_no_broadcast_to_sparks_estimate(spark, monkeypatch):
+    """As in jaccard: a row's keys are an array, and a table of those that near copies share can be many times its file."""
+    plans = plans_of(monkeypatch, packing)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    docs = docs_of(spark, [(i, t, "s") for i, t in enumerate(near_copies(60))])
+    pieces = packing.packed(docs, window=256, shard_tokens=2000)
+    plans.append(("pieces", plan_of(pieces)))
+    held = Counter()
+    for p in pieces.collect():
+        held[p.doc_id] += p.length / p.doc_tokens
+    assert len(held) == 60 and all(abs(x - 1) < 1e-9 for x in held.values())
+    assert {"leads", "led-leaves"} <= {label for label, _ in plans}
+    assert not [label for label, plan in plans if "BroadcastHashJoin" in plan]
+
+
 def test_encoder_is_the_tokenizer():
     one, r = packing.Encoder(), random.Random(7)
     alphabet = "abcXYZ éÉßñÀÿ×÷µªº0129'’\"#$%&<|>\t\n\u0301İΣσςﬁ١中!.,;-_"
