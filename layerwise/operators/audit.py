@@ -127,9 +127,9 @@ def explain_lineage(spark: SparkSession, source: str, transformations: DataFrame
 
 
 def validate_logic(spark: SparkSession, notebooks: DataFrame, catalog: str, schema: str, table: str, rule: str, explainer: Explainer | None = None) -> dict:
-    """Whether the code that writes a table follows a rule; with the code."""
+    """Whether the code that writes a table follows a rule; with the code. It is asked about whole: a rule may be kept or broken at a statement's end."""
     ask = _needed(explainer)
-    found = _dicts(lineage.writers(notebooks, catalog, schema, table).orderBy("nb_ord", "cell_index", "stmt_idx"))
+    found = _dicts(lineage.writers(notebooks, catalog, schema, table, whole=True).orderBy("nb_ord", "cell_index", "stmt_idx"))
     raw = ask(prompts.validation(f"{catalog}.{schema}.{table}", rule, found))
     got = _answer(spark, raw).select(responses.validation(F.col("raw")).alias("a")).first().a
     return {**got.asDict(), "candidates": found}

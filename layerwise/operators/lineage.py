@@ -59,11 +59,12 @@ def fan_out(notebooks: DataFrame, table: str, target_schema: str | None = None)
     return facts.select("nb_ord", "cell_index", "stmt_idx", "target", "path", "sources", snippet(F.col("raw_sql")).alias("snippet"))
 
 
-def writers(notebooks: DataFrame, catalog: str, schema: str, table: str) -> DataFrame:
-    """(nb_ord, cell_index, stmt_idx, path, snippet) of statements that write catalog.schema.table."""
+def writers(notebooks: DataFrame, catalog: str, schema: str, table: str, whole: bool = False) -> DataFrame:
+    """(nb_ord, cell_index, stmt_idx, path, snippet) of statements that write catalog.schema.table; with `whole` a snippet is all of the statement."""
     facts = lineage_facts(mentioning(notebooks, table), table).where(F.col("target").isNotNull())
     facts = facts.where(matches_table(F.col("target"), catalog, schema, table))
-    return facts.select("nb_ord", "cell_index", "stmt_idx", "path", snippet(F.col("raw_sql")).alias("snippet"))
+    text = F.col("raw_sql")
+    return facts.select("nb_ord", "cell_index", "stmt_idx", "path", (text if whole else snippet(text)).alias("snippet"))
 
 
 def edges(facts: DataFrame, index: DataFrame) -> DataFrame:

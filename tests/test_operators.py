@@ -215,6 +215,16 @@ def test_explained_lineage_leaves_rows_where_they_are(spark, monkeypatch):
     assert all(r.snippet in asked[0] for r in told)
 
 
+def test_logic_is_judged_by_whole_code(spark):
+    """A rule that stands at the end of long code is in the question, and in the code that comes with the answer."""
+    many = ", ".join(f"column_{i}" for i in range(100))
+    sql = f"INSERT INTO silver.orders SELECT {many} FROM bronze.orders WHERE status <> 'pending'"
+    frame = f"# {many}\nspark.table('bronze.orders').where('not held').write.saveAsTable('silver.orders')"
+    asked = []
+    got = audit.validate_logic(spark, notebooks(spark, [("/a", "SQL", sql), ("/b", "PYTHON", frame)]), "main", "silver", "orders", "no pending orders", lambda m: asked.append(m[1]["content"]) or '{"isCorrect": true}')
+    assert [c["snippet"] for c in got["candidates"]] == [sql, frame] and sql in asked[0] and frame in asked[0]
+
+
 def test_level_code_limits(spark):
     many = "\n-- COMMAND ----------\n".join(f"SELECT {i} FROM t" for i in range(60))
     books = notebooks(spark, [("/a", "SQL", "SELECT 1 FROM other"), ("/b", "SQL", many)])
